@@ -82,7 +82,8 @@ def rolling_depth(pings: DataFrame, span_s: float = DEPTH_SPAN_S, *, keys: Seque
     slices = slices or Slices.fit(pings, order[0])
     tagged = with_halo(pings, slices, span_s + 1e-3)  # a little wide; the frame below is exact
     part = list(keys) if slices.single else [*keys, SLICE]
-    w = Window.partitionBy(*part).orderBy(order[0]).rangeBetween(-span_s, 0)
+    micros = F.bround(F.col(order[0]) * 1e6).cast("long")
+    w = Window.partitionBy(*part).orderBy(micros).rangeBetween(-round(span_s * 1e6), 0)
     out = tagged.withColumns({"depth_min": F.min("water_depth").over(w), "depth_max": F.max("water_depth").over(w)})
     return out.filter(~F.col(HALO)).select(*pings.columns, "depth_min", "depth_max")
 

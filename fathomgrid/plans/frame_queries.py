@@ -77,14 +77,14 @@ def quaternion_angles(spark, d):
 
 
 @query(with_(STATES + """,
-q AS (SELECT seq, x * 0.01e0 AS aw, y * 0.1e0 AS ax, yaw AS ay, 0.5e0 AS az, yaw * 0.2e0 AS bw, 0.25e0 AS bx, x * 0.02e0 AS by_, y * 0.05e0 AS bz FROM e)""",
+q AS (SELECT seq, cos(x) AS aw, sin(y) AS ax, yaw AS ay, 0.5e0 AS az, cos(yaw) AS bw, 0.25e0 AS bx, sin(x) AS by_, cos(y) AS bz FROM e)""",
              f"""SELECT seq, {R('aw * bw - ax * bx - ay * by_ - az * bz', 'w')}, {R('aw * bx + ax * bw + ay * bz - az * by_', 'x')},
 {R('aw * by_ - ax * bz + ay * bw + az * bx', 'y')}, {R('aw * bz + ax * by_ - ay * bx + az * bw', 'z')},
 {R('aw * bw - ax * bx - ay * by_ + az * bz', 'ew')}, {R('aw * bx + ax * bw - ay * bz - az * by_', 'ex')},
 {R('aw * by_ + ax * bz + ay * bw + az * bx', 'ey')}, {R('-aw * bz + ax * by_ - ay * bx + az * bw', 'ez')} FROM q"""))
 def quaternion_products(spark, d):
     x, y, yaw = _col("x", "y", "yaw")
-    a, b = (x * 0.01, y * 0.1, yaw, F.lit(0.5)), (yaw * 0.2, F.lit(0.25), x * 0.02, y * 0.05)
+    a, b = (F.cos(x), F.sin(y), yaw, F.lit(0.5)), (F.cos(yaw), F.lit(0.25), F.sin(x), F.cos(y))
     rows = tables.states(spark, d).select("seq", attitude.quat_multiply(a, b).alias("m"), attitude.quat_error(a, b).alias("e"))
     return rows.select("seq", *[r6(f"m.{c}", c) for c in "wxyz"], *[r6(f"e.{c}", f"e{c}") for c in "wxyz"])
 

@@ -23,10 +23,11 @@ def _shown(spark, d):
     return grid.render(grid.mosaic(tables.samples(spark, d), policies=()))
 
 
-@query(with_(NEAREST_CELLS, f"SELECT mission_id, cx, cy, {R('avg(v)', 'mean')}, count(*) AS n FROM n GROUP BY mission_id, cx, cy"))
+@query(with_(NEAREST_CELLS, f"SELECT mission_id, cx, cy, round(avg(v), 8) + 0e0 AS mean, count(*) AS n FROM n GROUP BY mission_id, cx, cy"))
 def mosaic_mean(spark, d):
+    """Eight decimals: intensities are multiples of 4e-6, so means of few of them tie at six."""
     cells = grid.mosaic(tables.samples(spark, d), SCATTER, policies=())
-    return cells.select("mission_id", "cx", "cy", r6(F.col("sum") / F.col("wsum"), "mean"), F.col("count").alias("n"))
+    return cells.select("mission_id", "cx", "cy", F.round(F.col("sum") / F.col("wsum"), 8).alias("mean"), F.col("count").alias("n"))
 
 
 @query(with_(CELLS, f"SELECT mission_id, cx, cy, count, {R('closest')}, {R('oldest')}, {R('newest')} FROM hits"))
@@ -65,7 +66,6 @@ def contrast_limits(spark, d):
     return grid.contrast_limits(_shown(spark, d)).select("mission_id", r6("vmin"), r6("vmax"))
 
 
-#: pixel steps are compared away from their edges, where a last-bit difference of two engines' sums would show
 NORM = LIMITS + """,
 nv AS (SELECT mission_id, cx, cy, value, greatest(0e0, least(1e0, (value - vmin) / (vmax - vmin))) AS u FROM cells JOIN lim USING (mission_id))"""
 

@@ -133,7 +133,7 @@ wf AS (SELECT mission_id, seq, greatest(0, least(39, CAST(trunc((range_m - y) /
 wfr AS (SELECT mission_id, seq, col, arg_max(v, pos) AS v FROM wf GROUP BY mission_id, seq, col),
 num AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY t, seq) AS n, count(*) OVER (PARTITION BY mission_id) AS total FROM mp),
 fl AS (SELECT *, CASE WHEN total >= 16 THEN (total - 16) // 8 + 1 ELSE 0 END AS nfull,
-  coalesce(hypot(robot_x - lag(robot_x) OVER w, robot_y - lag(robot_y) OVER w) / (t - lag(t) OVER w), 0e0) AS speed_mps
+  coalesce(sqrt(pow(robot_x - lag(robot_x) OVER w, 2) + pow(robot_y - lag(robot_y) OVER w, 2)) / (t - lag(t) OVER w), 0e0) AS speed_mps
   FROM num WINDOW w AS (PARTITION BY mission_id ORDER BY t, seq)),
 ti AS (SELECT *, CASE WHEN nfull > 0 THEN least(total - (16 + (nfull - 1) * 8), 16) ELSE least(total, 16) END AS tail FROM fl),
 im AS (SELECT ti.*, j AS image_id, CAST(n - j * 8 - 1 AS INTEGER) AS row_no FROM ti, (SELECT unnest(range(0, 100)) AS j)
