@@ -23,15 +23,15 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def r6(column: Column | str, name: str | None = None) -> Column:
-    """Rounded to 6 decimals for comparison."""
-    out = F.round(F.col(column) if isinstance(column, str) else column, 6)
+def r6(column: Column | str, name: str | None = None, digits: int = 6) -> Column:
+    """Rounded for comparison; more digits where short decimal inputs would tie at six."""
+    out = F.round(F.col(column) if isinstance(column, str) else column, digits)
     return out.alias(name or (column if isinstance(column, str) else None))
 
 
-def R(expression: str, name: str | None = None) -> str:
+def R(expression: str, name: str | None = None, digits: int = 6) -> str:
     """The same in SQL; adding zero turns -0.0 into 0.0."""
-    return f"round(CAST({expression} AS DOUBLE), 6) + 0e0 AS {name or expression.split('.')[-1]}"
+    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0e0 AS {name or expression.split('.')[-1]}"
 
 
 # --- SQL forms of the derived tables ---------------------------------------------------------

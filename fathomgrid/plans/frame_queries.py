@@ -17,13 +17,13 @@ def _col(*names):
 
 @query(with_(STATES + """,
 o AS (SELECT seq, radians(lon - 7.30e0) * 6378137e0 * cos(radians(43.69e0)) AS east, radians(lat - 43.69e0) * 6378137e0 AS north FROM e)""",
-             f"""SELECT seq, {R('east')}, {R('north')}, {R('43.69e0 + degrees(north / 6378137e0)', 'lat')},
-{R('7.30e0 + degrees(east / (6378137e0 * cos(radians(43.69e0))))', 'lon')} FROM o"""))
+             f"""SELECT seq, {R('east')}, {R('north')}, {R('43.69e0 + degrees(north / 6378137e0)', 'lat', 9)},
+{R('7.30e0 + degrees(east / (6378137e0 * cos(radians(43.69e0))))', 'lon', 9)} FROM o"""))
 def gps_roundtrip(spark, d):
     lat0, lon0 = F.lit(43.69), F.lit(7.30)
     out = tables.states(spark, d).select("seq", geodesy.gps_to_enu(lat0, lon0, *_col("lat", "lon")).alias("p"))
     back = geodesy.enu_to_gps(lat0, lon0, F.col("p.east"), F.col("p.north"))
-    return out.select("seq", r6("p.east", "east"), r6("p.north", "north"), r6(back["lat"], "lat"), r6(back["lon"], "lon"))
+    return out.select("seq", r6("p.east", "east"), r6("p.north", "north"), r6(back["lat"], "lat", 9), r6(back["lon"], "lon", 9))
 
 
 @query(with_(STATES + """,

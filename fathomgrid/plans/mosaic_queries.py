@@ -14,6 +14,11 @@ SCATTER = Mosaic(bilinear=False)
 ORIGIN = (43.69, 7.30)
 
 
+def _amplitude(value):
+    """Mean intensity on a linear scale: means in dB are fractions of 4e-6 and would tie when rounded."""
+    return r6(F.pow(F.lit(10.0), value / 20), "amplitude", 9)
+
+
 def _cells(spark, d):
     return grid.mosaic(tables.samples(spark, d))
 
@@ -23,11 +28,11 @@ def _shown(spark, d):
     return grid.render(grid.mosaic(tables.samples(spark, d), policies=()))
 
 
-@query(with_(NEAREST_CELLS, f"SELECT mission_id, cx, cy, round(avg(v), 8) + 0e0 AS mean, count(*) AS n FROM n GROUP BY mission_id, cx, cy"))
+@query(with_(NEAREST_CELLS, f"SELECT mission_id, cx, cy, {R('avg(v)', 'mean', 8)}, count(*) AS n FROM n GROUP BY mission_id, cx, cy"))
 def mosaic_mean(spark, d):
     """Eight decimals: intensities are multiples of 4e-6, so means of few of them tie at six."""
     cells = grid.mosaic(tables.samples(spark, d), SCATTER, policies=())
-    return cells.select("mission_id", "cx", "cy", F.round(F.col("sum") / F.col("wsum"), 8).alias("mean"), F.col("count").alias("n"))
+    return cells.select("mission_id", "cx", "cy", r6(F.col("sum") / F.col("wsum"), "mean", 8), F.col("count").alias("n"))
 
 
 @query(with_(CELLS, f"SELECT mission_id, cx, cy, count, {R('closest')}, {R('oldest')}, {R('newest')} FROM hits"))
@@ -36,10 +41,10 @@ def mosaic_planes(spark, d):
     return cells.select("mission_id", "cx", "cy", "count", r6("closest"), r6("oldest"), r6("newest"))
 
 
-@query(with_(CELLS, f"SELECT mission_id, cx, cy, count, {R('sum')}, {R('wsum')}, {R('value')}, {R('closest')}, {R('oldest')}, {R('newest')} FROM cells"))
+@query(with_(CELLS, f"SELECT mission_id, cx, cy, count, {R('sum', digits=8)}, {R('wsum')}, {R('pow(10e0, value / 20)', 'amplitude', 9)}, {R('closest')}, {R('oldest')}, {R('newest')} FROM cells"))
 def mosaic_splat(spark, d):
     cells = _cells(spark, d)
-    return cells.select("mission_id", "cx", "cy", "count", r6("sum"), r6("wsum"), r6(grid.shown_value("average"), "value"),
+    return cells.select("mission_id", "cx", "cy", "count", r6("sum", digits=8), r6("wsum"), _amplitude(grid.shown_value("average")),
                         r6("closest"), r6("oldest"), r6("newest"))
 
 
@@ -109,10 +114,10 @@ fill AS (SELECT n.mission_id, n.cx, n.cy, total / k AS fv FROM near n LEFT JOIN
 
 
 @query(with_(GAPS, f"""SELECT coalesce(c.mission_id, f.mission_id) AS mission_id, coalesce(c.cx, f.cx) AS cx, coalesce(c.cy, f.cy) AS cy,
-coalesce(c.count, 0) AS count, {R('coalesce(f.fv, c.value)', 'value')}, f.fv IS NOT NULL AS filled
+coalesce(c.count, 0) AS count, {R('pow(10e0, coalesce(f.fv, c.value) / 20)', 'amplitude', 9)}, f.fv IS NOT NULL AS filled
 FROM (SELECT * FROM cells WHERE count > 0 OR value IS NOT NULL) c FULL JOIN fill f ON f.mission_id = c.mission_id AND f.cx = c.cx AND f.cy = c.cy"""))
 def gap_fill(spark, d):
-    return grid.fill_gaps(_shown(spark, d)).select("mission_id", "cx", "cy", "count", r6("value"), "filled")
+    return grid.fill_gaps(_shown(spark, d)).select("mission_id", "cx", "cy", "count", _amplitude(F.col("value")), "filled")
 
 
 TILES = CELLS + """,

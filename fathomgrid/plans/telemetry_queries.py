@@ -90,7 +90,7 @@ lo AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN lat END IGNORE N
   last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS) OVER w AS spd FROM e {W})"""
 
 
-@query(with_(LOCF, f"""SELECT seq, {R('glat', 'lat')}, {R('glon', 'lon')},
+@query(with_(LOCF, f"""SELECT seq, {R('glat', 'lat', 9)}, {R('glon', 'lon', 9)},
 {R('coalesce(hdg, 90e0 - degrees(yaw) - 360e0 * floor((90e0 - degrees(yaw)) / 360e0))', 'heading_deg')},
 {R('coalesce(spd, sqrt(pow(x * 0.1e0, 2) + pow(y * 0.1e0, 2)))', 'speed_mps')} FROM lo WHERE event_type = 'view'"""))
 def robot_states(spark, d):
@@ -99,7 +99,7 @@ def robot_states(spark, d):
     rows = _kind(spark, d, *names).withColumns({
         "kind": kind, "vx": F.col("x") * 0.1, "vy": F.col("y") * 0.1, "groundspeed": F.col("value")})
     out = telemetry.robot_states(rows)
-    return out.select("seq", r6("lat"), r6("lon"), r6("heading_deg"), r6("speed_mps"))
+    return out.select("seq", r6("lat", digits=9), r6("lon", digits=9), r6("heading_deg"), r6("speed_mps"))
 
 
 ODOM = STATES + f""",
@@ -183,27 +183,27 @@ def throttle(spark, d):
 
 
 @query(with_(STATES + ", c AS (SELECT * FROM e WHERE event_type <> 'error')",
-             f"""SELECT mission_id, {R('arg_min(lat, row(us, seq))', 'lat')}, {R('arg_min(lon, row(us, seq))', 'lon')},
-{R('arg_min(x, row(us, seq))', 'x')}, {R('arg_min(y, row(us, seq))', 'y')} FROM c GROUP BY mission_id"""))
+             f"""SELECT mission_id, {R('arg_min(lat, row(us, seq))', 'lat', 9)}, {R('arg_min(lon, row(us, seq))', 'lon', 9)},
+{R('arg_min(x, row(us, seq))', 'x', 9)}, {R('arg_min(y, row(us, seq))', 'y', 9)} FROM c GROUP BY mission_id"""))
 def gps_origin(spark, d):
     known = F.col("event_type") != "error"
     rows = tables.states(spark, d).withColumns({"lat": F.when(known, F.col("lat")), "lon": F.when(known, F.col("lon"))})
-    return telemetry.gps_origin(rows).select("mission_id", *[r6(f"origin.{c}", c) for c in ("lat", "lon", "x", "y")])
+    return telemetry.gps_origin(rows).select("mission_id", *[r6(f"origin.{c}", c, 9) for c in ("lat", "lon", "x", "y")])
 
 
 @query(with_(STATES + f""",
 o AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN x END IGNORE NULLS) OVER w AS px,
   last_value(CASE WHEN event_type = 'view' THEN y END IGNORE NULLS) OVER w AS py FROM e {W}),
 c AS (SELECT *, round_even(lat * 1e7, 0) / 1e7 AS la, round_even(lon * 1e7, 0) / 1e7 AS lo FROM o WHERE event_type = 'click' AND px IS NOT NULL)""",
-             f"""SELECT mission_id, {R('arg_min(la, row(us, seq))', 'lat')}, {R('arg_min(lo, row(us, seq))', 'lon')},
-{R('arg_min(px, row(us, seq))', 'x')}, {R('arg_min(py, row(us, seq))', 'y')} FROM c GROUP BY mission_id"""))
+             f"""SELECT mission_id, {R('arg_min(la, row(us, seq))', 'lat', 9)}, {R('arg_min(lo, row(us, seq))', 'lon', 9)},
+{R('arg_min(px, row(us, seq))', 'x', 9)}, {R('arg_min(py, row(us, seq))', 'y', 9)} FROM c GROUP BY mission_id"""))
 def replay_origin(spark, d):
     rows = tables.states(spark, d)
     fixes = rows.filter("event_type = 'click'").select(
         "mission_id", "seq", F.lit("GLOBAL_POSITION_INT").alias("type"),
         F.bround(F.col("lat") * 1e7).alias("lat"), F.bround(F.col("lon") * 1e7).alias("lon"))
     out = telemetry.replay_origin(fixes, rows.filter("event_type = 'view'"))
-    return out.select("mission_id", *[r6(f"origin.{c}", c) for c in ("lat", "lon", "x", "y")])
+    return out.select("mission_id", *[r6(f"origin.{c}", c, 9) for c in ("lat", "lon", "x", "y")])
 
 
 @query(with_(STATES, f"""SELECT mission_id, printf('%.3f', (us // 1000 - min(us // 1000) OVER (PARTITION BY mission_id)) / 1e3) AS t_since_first_s,
