@@ -27,7 +27,8 @@ class Display:
 
 
 def _unit(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Clipped to 0..1; `greatest` and `least` skip NULL, so a missing value is kept apart."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def normalise(value: Column, low: Column, high: Column) -> Column:

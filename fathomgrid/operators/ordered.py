@@ -48,6 +48,11 @@ class Slices:
         row = df.agg(F.percentile_approx(F.col(column).cast("double"), quantiles, 4 * pieces).alias("q")).first()
         return cls(column, tuple(sorted({float(v) for v in row.q})))
 
+    def refit(self, df: DataFrame, column: str) -> "Slices":
+        """Slices of a table derived from the fitted one, by another column. A whole table stays
+        whole, without counting again."""
+        return Slices(column) if self.single else Slices.fit(df, column)
+
     def assign(self, df: DataFrame, output: str = SLICE, value: Column | None = None) -> DataFrame:
         """Add the slice number of the ordering column (or of `value`) as `output`."""
         if self.single:

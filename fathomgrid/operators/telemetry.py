@@ -152,6 +152,7 @@ def fallback_states(odom: DataFrame, fixes: DataFrame, params: Alignment = Align
     there is none), or sits at the origin while the reckoned position is over 1 m away; at most one
     state per 200 ms.
     """
+    slices = slices or Slices.fit(fixes, "t")
     reckoned = dead_reckon(fixes, keys=keys, slices=slices)
     seen = attach_latest(reckoned, odom.select(*keys, "t", "seq", "x", "y"), "_odom", keys=keys, slices=slices)
     o = F.col("_odom")
@@ -163,7 +164,7 @@ def fallback_states(odom: DataFrame, fixes: DataFrame, params: Alignment = Align
         F.col("reckoned_x").alias("x"), F.col("reckoned_y").alias("y"), F.col("reckoned_yaw").alias("yaw"),
         "lat", "lon", F.coalesce("compass_deg", attitude.compass_deg(F.col("reckoned_yaw"))).alias("heading_deg"),
         F.col("reckoned_speed").alias("speed_mps"))
-    kept = sequential.throttle(wanted, params.state_period_ns, keys=keys)
+    kept = sequential.throttle(wanted, params.state_period_ns, keys=keys, slices=slices.refit(wanted, "stamp_ns"))
     return wanted.join(kept.select(*keys, "seq"), [*keys, "seq"]).drop("stamp_ns")
 
 

@@ -72,7 +72,7 @@ def contrast_limits(spark, d):
 
 
 NORM = LIMITS + """,
-nv AS (SELECT mission_id, cx, cy, value, greatest(0e0, least(1e0, (value - vmin) / (vmax - vmin))) AS u FROM cells JOIN lim USING (mission_id))"""
+nv AS (SELECT mission_id, cx, cy, value, CASE WHEN value IS NOT NULL THEN greatest(0e0, least(1e0, (value - vmin) / (vmax - vmin))) END AS u FROM cells JOIN lim USING (mission_id))"""
 
 
 @query(with_(NORM, "SELECT mission_id, cx, cy, coalesce(CAST(trunc(u * 255) AS INTEGER), 0) AS pixel FROM nv"))
@@ -83,7 +83,7 @@ def normalize_8bit(spark, d):
 
 
 @query(with_(NORM + """,
-ix AS (SELECT *, coalesce(CAST(trunc(greatest(0e0, least(1e0, pow(u, 0.8e0) + 0.1e0)) * 255) AS INTEGER), 0) / 255e0 AS q FROM nv)""",
+ix AS (SELECT *, CASE WHEN u IS NULL THEN 0 ELSE CAST(trunc(greatest(0e0, least(1e0, pow(u, 0.8e0) + 0.1e0)) * 255) AS INTEGER) END / 255e0 AS q FROM nv)""",
              """SELECT mission_id, cx, cy, CAST(trunc(least(1e0, 1.6e0 * q) * 255) AS INTEGER) AS r,
 CAST(trunc(greatest(0e0, least(1e0, q * 1.15e0 + -0.05e0)) * 255) AS INTEGER) AS g, CAST(trunc(greatest(0e0, least(1e0, q * 0.9e0 + -0.35e0)) * 255) AS INTEGER) AS b,
 CASE WHEN value IS NULL THEN 0 ELSE 255 END AS a FROM ix"""))

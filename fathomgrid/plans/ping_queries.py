@@ -187,8 +187,8 @@ def pixel_world(spark, d):
 @query(with_(WATERFALL + """,
 px AS (SELECT im.mission_id, im.image_id, row_no, col, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM im JOIN wfr USING (mission_id, seq)),
 lim AS (SELECT mission_id, image_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM px GROUP BY mission_id, image_id)""",
-             """SELECT im.mission_id, im.image_id, im.row_no, CAST(c AS INTEGER) AS col, coalesce(CAST(trunc(greatest(0e0, least(1e0,
-(v - lo) / (greatest(hi, lo + 1e-6) - lo))) * 255) AS INTEGER), 0) AS pixel FROM im CROSS JOIN (SELECT unnest(range(0, 40)) AS c)
+             """SELECT im.mission_id, im.image_id, im.row_no, CAST(c AS INTEGER) AS col, CASE WHEN v IS NULL THEN 0 ELSE
+CAST(trunc(greatest(0e0, least(1e0, (v - lo) / (greatest(hi, lo + 1e-6) - lo))) * 255) AS INTEGER) END AS pixel FROM im CROSS JOIN (SELECT unnest(range(0, 40)) AS c)
 JOIN lim USING (mission_id, image_id) LEFT JOIN px ON px.mission_id = im.mission_id AND px.image_id = im.image_id
 AND px.row_no = im.row_no AND px.col = c"""))
 def image_8bit(spark, d):

@@ -31,18 +31,21 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
 
     `profiles` has side, seq, stamp_ns and the raw columns of `measure`; `poses` seq, stamp_ns, x,
     y, yaw. Pairing, pose and altitude run on narrow rows; the sample arrays are joined once, at
-    the end. Pairs without a pose are dropped before the altitude lock sees them.
+    the end. Pairs without a pose are dropped before the altitude lock sees them. Store the result
+    before working on it: it is the table that mosaics and images start from.
     """
     measured = measure(profiles, config)
-    pairs = sequential.pair_pings(profiles, config.pairing, keys=keys, slices=slices)
+    slices = slices or Slices.fit(profiles, "seq")
+    by_stamp = slices.refit(profiles, "stamp_ns")
+    pairs = sequential.pair_pings(profiles, config.pairing, keys=keys, slices=by_stamp)
     narrow_poses = poses.select(*keys, "seq", "stamp_ns", "x", "y", "yaw")
     if config.pairing.pose_mode == "locf":
         # what was known when the second packet of the pair arrived
         pairs = pairs.withColumn("seq", F.greatest("port_seq", "stbd_seq"))
-        posed = attach_latest(pairs, narrow_poses, "pose", keys=keys, on="seq", left_tie="port_seq")
+        posed = attach_latest(pairs, narrow_poses, "pose", keys=keys, on="seq", left_tie="port_seq", slices=slices)
     else:
         pairs = pairs.withColumns({"seq": F.col("port_seq"), "stamp_ns": F.col("port_ns")})
-        posed = attach_nearest(pairs, narrow_poses, "pose", keys=keys, left_tie="port_seq", slices=slices)
+        posed = attach_nearest(pairs, narrow_poses, "pose", keys=keys, left_tie="port_seq", slices=by_stamp)
     posed = posed.filter(F.col("pose").isNotNull())
 
     def side(name: str, columns: dict) -> DataFrame:
@@ -51,8 +54,8 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
 
     slants = (posed.join(side("port", {"slant_m": "port_fbr"}), [*keys, "port_seq"])
               .join(side("stbd", {"slant_m": "stbd_fbr"}), [*keys, "stbd_seq"]))
-    locked = sequential.track_altitude(slants, config.tracking, keys=keys, order=("seq",))
-    fused = sequential.fuse_altitude(locked, keys=keys).filter("altitude is not null").select(*keys, "seq", "altitude")
+    locked = sequential.track_altitude(slants, config.tracking, keys=keys, order=("seq",), slices=slices)
+    fused = sequential.fuse_altitude(locked, keys=keys, slices=slices).filter("altitude is not null").select(*keys, "seq", "altitude")
     good = posed.join(fused, [*keys, "seq"])
 
     raw = {c: c for c in ("db", "start_mm", "length_mm", "num_results")}
@@ -70,12 +73,13 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
 
 def replay(packets: DataFrame, config: Config = Config(), *, keys: Sequence[str] = MISSION) -> tuple[DataFrame, DataFrame]:
     """(pings, states) of recorded logs, on the mission clock (seconds from its first event)."""
-    profiles, messages = logs.clocked(packets, keys=keys)
-    poses = tel.synthesise_odom(messages, keys=keys)
-    pings = process(profiles, poses, _locf(config), keys=keys)
-    kept = sequential.throttle(poses, config.alignment.state_period_ns, keys=keys)
-    origin = tel.replay_origin(messages, poses, keys=keys)
-    fix = _fix_seq(messages, poses, keys)
+    slices = Slices.fit(packets, "seq")
+    profiles, messages = logs.clocked(packets, keys=keys, slices=slices)
+    poses = tel.synthesise_odom(messages, keys=keys, slices=slices)
+    pings = process(profiles, poses, _locf(config), keys=keys, slices=slices)
+    kept = sequential.throttle(poses, config.alignment.state_period_ns, keys=keys, slices=slices.refit(poses, "stamp_ns"))
+    origin = tel.replay_origin(messages, poses, keys=keys, slices=slices)
+    fix = _fix_seq(messages, poses, keys, slices)
     states = (poses.join(kept.select(*keys, "seq"), [*keys, "seq"]).join(origin, list(keys), "left").join(fix, list(keys), "left"))
     bound = F.when(F.col("seq") >= F.col("_from"), geodesy.local_to_gps(F.col("origin"), F.col("x"), F.col("y")))
     states = states.withColumn("_gps", bound).select(
@@ -92,8 +96,8 @@ def _locf(config: Config) -> Config:
     return replace(config, pairing=replace(config.pairing, pose_mode="locf"))
 
 
-def _fix_seq(messages: DataFrame, poses: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _fix_seq(messages: DataFrame, poses: DataFrame, keys: Sequence[str], slices: Slices) -> DataFrame:
     """Packet at which the origin of a log becomes known."""
     fixes = messages.filter("type = 'GLOBAL_POSITION_INT'").filter(F.abs(units.deg_e7(F.col("lat"))) > 1e-6).select(*keys, "seq")
-    known = attach_latest(fixes, poses.select(*keys, "seq"), "_p", keys=keys, on="seq", inclusive=False).filter("_p is not null")
+    known = attach_latest(fixes, poses.select(*keys, "seq"), "_p", keys=keys, on="seq", inclusive=False, slices=slices).filter("_p is not null")
     return known.groupBy(*keys).agg(F.min("seq").alias("_from"))
