@@ -45,6 +45,11 @@ def cell_center(number: Column, params: Mosaic) -> Column:
     return (number + 0.5) * params.cell_m - params.half_extent_m
 
 
+def _nearness(near: Column, latest: Column) -> Column:
+    """Order key of the closest sample: smallest scaled range first, the latest among equals."""
+    return (-near).cast("decimal(19,0)") * F.lit(KEY_SPAN).cast("decimal(19,0)") + latest.cast("decimal(19,0)")
+
+
 def _order_keys() -> dict[str, Column]:
     ping, sample = F.col("ping_seq").cast("long"), F.col("sample_idx").cast("long")
     latest = ping * SAMPLES_PER_PING + sample
@@ -55,7 +60,7 @@ def _order_keys() -> dict[str, Column]:
         # first ping to hit the cell, but the last of its samples there
         "oldest": -ping * SAMPLES_PER_PING + sample,
         # smallest single-precision range; among equals the latest sample
-        "closest": (-near).cast("decimal(19,0)") * F.lit(KEY_SPAN).cast("decimal(19,0)") + latest.cast("decimal(19,0)"),
+        "closest": _nearness(near, latest),
     }
 
 
@@ -141,10 +146,8 @@ def contrast_limits(cells: DataFrame, params: Mosaic = Mosaic(), *, keys: Sequen
     probs = [p / 100.0 for p in params.percentiles]
     found = exact_percentiles(cells, "value", probs, keys=keys, slices=slices)
     low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    limits = found.select(*keys, low.alias("vmin"), F.when(high - low < 1e-6, low + 1e-6).otherwise(high).alias("vmax"))
-    everyone = cells.select(*keys).distinct()
-    return everyone.join(limits, list(keys), "left").select(
-        *keys, F.coalesce("vmin", F.lit(0.0)).alias("vmin"), F.coalesce("vmax", F.lit(1.0)).alias("vmax"))
+    top = F.when(high - low < 1e-6, low + 1e-6).otherwise(high)
+    return found.select(*keys, F.coalesce(low, F.lit(0.0)).alias("vmin"), F.coalesce(top, F.lit(1.0)).alias("vmax"))
 
 
 def fill_gaps(rendered: DataFrame, params: Mosaic = Mosaic(), gaps: GapFill = GapFill(), *,
@@ -194,6 +197,7 @@ def tile_cells(cells: DataFrame, origin: Column, zoom: Column, params: Mosaic =
 
 def merge_cells(partial: DataFrame, *, keys: Sequence[str] = MISSION) -> DataFrame:
     """Cells from partially combined cells (the output of `raster.densify`, or of earlier runs)."""
+    order = {"closest": _nearness(F.col("closest_near"), F.col("closest_at")), "oldest": F.col("oldest_key"), "newest": F.col("newest_key")}
     return partial.groupBy(*keys, "cx", "cy").agg(
         F.sum("sum").alias("sum"), F.sum("wsum").alias("wsum"), F.sum("count").alias("count"),
-        *[F.max_by(p, f"{p}_key").alias(p) for p in ("closest", "oldest", "newest")])
+        *[F.max_by(p, by).alias(p) for p, by in order.items()])

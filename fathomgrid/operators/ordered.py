@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.config import Scale
+from fathomgrid.session import checkpointed
 
 MISSION = ("mission_id",)
 SLICE = "_slice"
@@ -184,15 +185,21 @@ def newest(df: DataFrame, n: int, *, keys: Sequence[str] = MISSION, order: Seque
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], *, keys: Sequence[str] = MISSION,
                       slices: Slices | None = None) -> DataFrame:
-    """Percentiles with linear interpolation, one `array<double>` column `q` per key.
+    """Percentiles with linear interpolation, one `array<double>` column `q` per key; NULL for a
+    key without values.
 
-    Equal values are counted first, so a value shared by many rows is one row here; ranks come
-    from a running count, and only the rows at the wanted ranks are kept.
+    Equal values are counted first, so a value shared by many rows is one row from there on. The
+    counts are stored once, since their size decides how to go on: few enough for one task per
+    key, or ranked in value slices, keeping only the rows at the wanted ranks.
     """
-    counted = (df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
-               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    ranked = scan(counted, {"_end": running(F.col("_n"))}, keys=keys, order=("_v",), slices=slices)
-    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    clean = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    counted = checkpointed(df.select(*keys, clean.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    slices = slices or Slices.fit(counted, "_v")
+    if slices.single:
+        return counted.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs)), F.col("_n")).alias("q"))
+    there = counted.filter("_v is not null")
+    ranked = scan(there, {"_end": running(F.col("_n"))}, keys=keys, order=("_v",), slices=slices)
+    total = there.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     ranked = ranked.join(total, list(keys))
     begin = F.col("_end") - F.col("_n")
     aggs = []
@@ -202,6 +209,6 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], *, keys
         aggs += [F.max(F.when((begin <= low) & (low < F.col("_end")), F.col("_v"))).alias(f"_lo{i}"),
                  F.max(F.when((begin <= high) & (high < F.col("_end")), F.col("_v"))).alias(f"_hi{i}"),
                  F.max(at - low).alias(f"_f{i}")]
-    picked = ranked.groupBy(*keys).agg(*aggs)
     points = [F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(len(probs))]
-    return picked.select(*keys, F.array(*points).alias("q"))
+    picked = ranked.groupBy(*keys).agg(*aggs).select(*keys, F.array(*points).alias("q"))
+    return counted.select(*keys).distinct().join(picked, list(keys), "left")

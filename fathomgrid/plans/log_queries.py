@@ -13,6 +13,7 @@ from fathomgrid.plans import tables
 from fathomgrid.plans.catalog import BOTTOM, STATES, R, query, r6, recursive, with_
 from fathomgrid.plans.ping_queries import LOOSE, PAIRS, _lock_sql
 from fathomgrid.plans.processing import process
+from fathomgrid.session import checkpointed
 from fathomgrid.sinks.envelopes import envelopes
 from fathomgrid.sources import logs
 
@@ -120,7 +121,8 @@ UNION ALL SELECT 'local_velocity', log_id, no, stamp_ns, {R('yaw', 'value', 9)}
 UNION ALL SELECT 'odom', log_id, no, stamp_ns, {R('pi() / 2 - nyaw', 'value', 9)} FROM st WHERE event_type IN ('view', 'signup') AND nyaw IS NOT NULL AND nx IS NOT NULL
 UNION ALL SELECT side || '_profile', log_id, no, stamp_ns, {R('seq', 'value', 9)} FROM (SELECT *, CASE WHEN src = 1 THEN 'port' ELSE 'stbd' END AS side FROM st WHERE sonar)"""))
 def log_topics(spark, d):
-    t = logs.topics(_packets(spark, d), keys=KEY)
+    # seven streams read the packets: store them once
+    t = logs.topics(checkpointed(_packets(spark, d)), keys=KEY)
     values = {"navsat": "lat", "compass_hdg": "data", "local_pose": "position.y", "local_velocity": "linear.y", "odom": "yaw",
               "port_profile": "ping_number", "stbd_profile": "ping_number"}
     parts = [t[name].select(F.lit(name).alias("topic"), "log_id", "seq", "stamp_ns", r6(F.col(c).cast("double"), "value", 9)) for name, c in values.items()]

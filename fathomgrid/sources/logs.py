@@ -124,13 +124,24 @@ def profiles(packets: DataFrame, *, keys: Sequence[str] = MISSION, extra: Sequen
     return out.select(*keys, "seq", *extra, "side", F.col("_p").isNull().alias("decode_error"), "_p.*")
 
 
-def telemetry(packets: DataFrame, *, keys: Sequence[str] = MISSION, extra: Sequence[str] = ()) -> DataFrame:
-    """Telemetry messages. `decode_error` marks payloads that are not UTF-8 JSON."""
-    text = F.col("payload").cast("string")
+def profile_complete(payload: Column) -> Column:
+    """Does a profile payload hold its head and all the samples the head announces?"""
+    def byte(at: int) -> Column:
+        return F.conv(F.hex(F.substring(payload, at + 1, 1)), 16, 10).cast("int")
+    at = PROFILE_HEAD.fields["num_results"][1]
+    head = PROFILE_HEAD.itemsize
+    return F.when(F.length(payload) < head, False).otherwise(F.length(payload) >= head + 2 * (byte(at) + 256 * byte(at + 1)))
+
+
+def telemetry(packets: DataFrame, *, keys: Sequence[str] = MISSION, extra: Sequence[str] = (), others: bool = False) -> DataFrame:
+    """Telemetry messages. `decode_error` marks payloads that are not UTF-8 JSON. With `others`,
+    packets of other kinds stay in, without message columns."""
+    mine = F.col("packet_id") == TELEMETRY_ID
+    text = F.when(mine, F.col("payload").cast("string"))
     # The whole envelope as a variant tells broken JSON from a message without some fields.
     tree = F.try_parse_json(F.when(F.is_valid_utf8(text), text))
     parsed = F.from_json(F.when(F.is_valid_utf8(text), text), f"message struct<{_fields(MESSAGE)}>")
-    out = packets.filter(F.col("packet_id") == TELEMETRY_ID).select(
+    out = (packets if others else packets.filter(mine)).select(
         *keys, "seq", *extra, tree.isNull().alias("decode_error"), parsed["message"].alias("_m"))
     return out.select(*keys, "seq", *extra, "decode_error", "_m.*")
 
@@ -216,16 +227,16 @@ COUNTED_AS = {
 def ingest_counts(packets: DataFrame, *, keys: Sequence[str] = MISSION, slices: Slices | None = None) -> DataFrame:
     """Rows per ingest category (keys, category, packets)."""
     slices = slices or Slices.fit(packets, "seq")
-    sonar, messages = profiles(packets, keys=keys), telemetry(packets, keys=keys)
-    kind = F.col("type")
-    names = F.when(F.col("decode_error"), F.array(F.lit("decode_errors")))
+    messages = telemetry(packets, keys=keys, extra=("packet_id", "src", "payload"), others=True)
+    target = (F.col("packet_id") == PROFILE_ID) & F.col("src").isin(PORT_DEVICE, STBD_DEVICE)
+    side = F.when(F.col("src") == PORT_DEVICE, "sonar_port").otherwise("sonar_stbd")
+    names = F.when(target, F.array(F.when(profile_complete(F.col("payload")), side).otherwise("decode_errors")))
+    names = names.when(F.col("packet_id") != TELEMETRY_ID, F.array(F.lit("skipped_non_target")))
+    names = names.when(F.col("decode_error"), F.array(F.lit("decode_errors")))
     for message, categories in COUNTED_AS.items():
-        names = names.when(kind == message, F.array(*map(F.lit, categories)))
+        names = names.when(F.col("type") == message, F.array(*map(F.lit, categories)))
     names = names.otherwise(F.array(F.lit("mavlink_skipped_type")))
-    known = (F.col("packet_id") == TELEMETRY_ID) | ((F.col("packet_id") == PROFILE_ID) & F.col("src").isin(PORT_DEVICE, STBD_DEVICE))
-    rows = (sonar.select(*keys, F.when(F.col("decode_error"), "decode_errors").otherwise(F.concat(F.lit("sonar_"), "side")).alias("category"))
-            .unionByName(messages.select(*keys, F.explode(names).alias("category")))
-            .unionByName(packets.filter(~known).select(*keys, F.lit("skipped_non_target").alias("category")))
-            .unionByName(tel.synthesise_odom(messages.filter(~F.col("decode_error")), keys=keys, slices=slices)
-                         .select(*keys, F.lit("odom_synthesized").alias("category"))))
+    good = messages.filter((F.col("packet_id") == TELEMETRY_ID) & ~F.col("decode_error"))
+    rows = messages.select(*keys, F.explode(names).alias("category")).unionByName(
+        tel.synthesise_odom(good, keys=keys, slices=slices).select(*keys, F.lit("odom_synthesized").alias("category")))
     return rows.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("packets"))
