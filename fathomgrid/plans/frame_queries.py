@@ -147,3 +147,19 @@ def validity_flags(spark, d):
     return select_range(tables.states(spark, d), 1704500000.0, 1705500000.0).select(
         "seq", fix_valid(status, lat, F.col("lon")).alias("fix_ok"),
         attitude.quat_valid(zero, zero, zero, zero).alias("attitude_ok"), units.finite(compass).alias("compass_ok"))
+
+
+@query(with_(STATES, f"""SELECT seq, {R('x')}, {R('y')}, {R('value', 'z')}, 0e0 AS roll, 0e0 AS pitch, {R('atan2(sin(yaw), cos(yaw))', 'yaw')},
+{R('x * 2', 'u')}, {R('yaw * 3', 'r')}, {R('sin(yaw / 2)', 'qz')} FROM e"""))
+def odometry_vectors(spark, d):
+    """Odometry flattened to pose and twist vectors, with Euler angles and with the quaternion."""
+    x, y, yaw, zero = F.col("x"), F.col("y"), F.col("yaw"), F.lit(0.0)
+
+    def named(**parts):
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+    odom = named(position=named(x=x, y=y, z=F.col("value")), orientation=named(x=zero, y=zero, z=F.sin(yaw / 2), w=F.cos(yaw / 2)),
+                 linear=named(x=x * 2, y=zero, z=zero), angular=named(x=zero, y=zero, z=yaw * 3))
+    rows = tables.states(spark, d).select("seq", odom.alias("o"))
+    flat = rows.select("seq", attitude.flatten_odometry(F.col("o")).alias("e"), attitude.flatten_odometry(F.col("o"), True).alias("q"))
+    pose = [r6(F.get("e.pose", F.lit(i)), n) for i, n in enumerate(("x", "y", "z", "roll", "pitch", "yaw"))]
+    return flat.select("seq", *pose, r6(F.get("e.twist", F.lit(0)), "u"), r6(F.get("e.twist", F.lit(5)), "r"), r6(F.get("q.pose", F.lit(5)), "qz"))

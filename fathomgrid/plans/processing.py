@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fathomgrid.config import Config
@@ -14,6 +14,7 @@ from fathomgrid.operators import sequential
 from fathomgrid.operators import telemetry as tel
 from fathomgrid.operators.asof import attach_latest, attach_nearest
 from fathomgrid.operators.ordered import MISSION, Slices
+from fathomgrid.session import checkpointed
 from fathomgrid.sources import logs
 
 
@@ -26,13 +27,14 @@ def measure(profiles: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *, keys: Sequence[str] = MISSION,
-            slices: Slices | None = None) -> DataFrame:
+            slices: Slices | None = None, dropped: tuple[Observation, Observation] | None = None) -> DataFrame:
     """Pings (keys, seq, t, robot_x, robot_y, yaw, water_depth, y_local, intensity_db) of raw profiles.
 
     `profiles` has side, seq, stamp_ns and the raw columns of `measure`; `poses` seq, stamp_ns, x,
     y, yaw. Pairing, pose and altitude run on narrow rows; the sample arrays are joined once, at
     the end. Pairs without a pose are dropped before the altitude lock sees them. Store the result
-    before working on it: it is the table that mosaics and images start from.
+    before working on it: it is the table that mosaics and images start from. `dropped` takes two
+    observations: `pairs` and `unposed`, and `pings` and `unlocked` (no altitude yet).
     """
     measured = measure(profiles, config)
     slices = slices or Slices.fit(profiles, "seq")
@@ -46,7 +48,10 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
     else:
         pairs = pairs.withColumns({"seq": F.col("port_seq"), "stamp_ns": F.col("port_ns")})
         posed = attach_nearest(pairs, narrow_poses, "pose", keys=keys, left_tie="port_seq", slices=by_stamp)
-    posed = posed.filter(F.col("pose").isNotNull())
+    if dropped:
+        posed = posed.observe(dropped[0], F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("pose").isNull()).alias("unposed"))
+    # narrow rows, read by the altitude pass and again by the final joins
+    posed = checkpointed(posed.filter(F.col("pose").isNotNull()))
 
     def side(name: str, columns: dict) -> DataFrame:
         return measured.filter(F.col("side") == name).select(*keys, F.col("seq").alias(f"{name}_seq"), *[
@@ -55,7 +60,10 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
     slants = (posed.join(side("port", {"slant_m": "port_fbr"}), [*keys, "port_seq"])
               .join(side("stbd", {"slant_m": "stbd_fbr"}), [*keys, "stbd_seq"]))
     locked = sequential.track_altitude(slants, config.tracking, keys=keys, order=("seq",), slices=slices)
-    fused = sequential.fuse_altitude(locked, keys=keys, slices=slices).filter("altitude is not null").select(*keys, "seq", "altitude")
+    fused = sequential.fuse_altitude(locked, keys=keys, slices=slices)
+    if dropped:
+        fused = fused.observe(dropped[1], F.count(F.lit(1)).alias("pings"), F.count_if(F.col("altitude").isNull()).alias("unlocked"))
+    fused = fused.filter("altitude is not null").select(*keys, "seq", "altitude")
     good = posed.join(fused, [*keys, "seq"])
 
     raw = {c: c for c in ("db", "start_mm", "length_mm", "num_results")}
@@ -101,3 +109,17 @@ def _fix_seq(messages: DataFrame, poses: DataFrame, keys: Sequence[str], slices:
     fixes = messages.filter("type = 'GLOBAL_POSITION_INT'").filter(F.abs(units.deg_e7(F.col("lat"))) > 1e-6).select(*keys, "seq")
     known = attach_latest(fixes, poses.select(*keys, "seq"), "_p", keys=keys, on="seq", inclusive=False, slices=slices).filter("_p is not null")
     return known.groupBy(*keys).agg(F.min("seq").alias("_from"))
+
+
+def mission_events(pings: DataFrame, states: DataFrame) -> DataFrame:
+    """Pings and states of missions in one table with `kind`, the columns of the other kind NULL."""
+    return (pings.withColumn("kind", F.lit("ping")).unionByName(states.withColumn("kind", F.lit("state")), allowMissingColumns=True))
+
+
+def in_time_order(events: DataFrame, *, keys: Sequence[str] = MISSION) -> DataFrame:
+    """Events sorted by time, arrival deciding among equal times."""
+    return events.orderBy(*keys, "t", "seq")
+
+
+def pings_of(events: DataFrame) -> DataFrame:
+    return events.filter("kind = 'ping'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathomgrid.config import Alignment
 from fathomgrid.operators import asof, missions, sequential, telemetry
 from fathomgrid.operators.ordered import newest
-from fathomgrid.plans import tables
+from fathomgrid.plans import processing, tables
 from fathomgrid.plans.catalog import STATES, R, query, r6, recursive, with_
 from fathomgrid.sources import messages
 
@@ -265,6 +265,17 @@ def mission_rebase(spark, d):
     return missions.rebase(tables.states(spark, d).withColumn("t", F.col("us"))).select("seq", "t", "duration_s")
 
 
+@query(with_(STATES, f"""SELECT mission_id, us AS t, seq, CASE WHEN event_type = 'error' THEN 'ping' ELSE 'state' END AS kind,
+{R("CASE WHEN event_type = 'error' THEN value END", 'water_depth')}, {R("CASE WHEN event_type = 'view' THEN yaw END", 'yaw')}
+FROM e WHERE event_type IN ('error', 'view') ORDER BY mission_id, us, seq"""))
+def mission_events(spark, d):
+    """Pings and states in one table, in time order."""
+    rows = tables.states(spark, d).withColumn("t", F.col("us"))
+    pings = rows.filter("event_type = 'error'").select("mission_id", "t", "seq", F.col("value").alias("water_depth"))
+    events = processing.mission_events(pings, rows.filter("event_type = 'view'").select("mission_id", "t", "seq", "yaw"))
+    return processing.in_time_order(events).select("mission_id", "t", "seq", "kind", r6("water_depth"), r6("yaw"))
+
+
 @query(with_(STATES + ", r AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY us DESC, seq DESC) AS k FROM e)",
              "SELECT mission_id, seq FROM r WHERE k <= 150"))
 def newest_rows(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathomgrid.config import Config, Seabed, Tracking
 from fathomgrid.functions.attitude import flatten_odometry
 from fathomgrid.operators import imaging, missions, mosaic, raster
+from fathomgrid.operators import telemetry as tel
 from fathomgrid.plans import processing
 from fathomgrid.sinks import files
 from fathomgrid.sources import logs, messages
@@ -109,6 +110,18 @@ def test_replay_and_artefacts(spark, recording, tmp_path):
     assert (tmp_path / "det").exists()
 
 
+def test_dropped_pairs_are_counted(spark, recording):
+    from pyspark.sql import Observation
+
+    packets = logs.read_logs(spark, recording)
+    profiles, telemetry_rows = logs.clocked(packets)
+    poses = tel.synthesise_odom(telemetry_rows)
+    seen = Observation(), Observation()
+    config = processing._locf(Config())
+    assert processing.process(profiles, poses, config, dropped=seen).count() == 31
+    assert seen[0].get == {"pairs": 41, "unposed": 1} and seen[1].get == {"pings": 40, "unlocked": 9}
+
+
 def test_session_files(spark):
     log = spark.createDataFrame([("/data/a.svlog", 95), ("/data/b.svlog", 200), ("/data/s/c.svlog", 100)], "path string, mtime long")
     sessions = spark.createDataFrame([("s", "/data/s", 100, 150)], "session_id string, folder string, started long, ended long")

@@ -24,3 +24,27 @@ def test_contract(spark):
 def test_query(spark, con, name):
     result = check.compare(spark, con, name, SF)
     assert not result.startswith("FAIL"), result
+
+
+ORDERED = (
+    "burst_clock", "track_segments", "frozen_pose", "gps_reckon", "nearest_pose", "robot_states", "odom_synthesis", "pinger_world",
+    "live_distance", "pose_restamp_auto", "throttle", "replay_origin", "sequence_numbers", "fallback_states", "rolling_depth",
+    "detection_rowcol", "pair_pings_sparse", "pair_pings_dense", "altitude_fused", "ping_speed", "image_windows", "contrast_limits",
+    "log_counts", "ned_envelopes", "sonar_pings")
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_query_in_many_slices(spark, con, name, monkeypatch):
+    """The same rows when every table is cut into slices of about 150 rows."""
+    from fathomgrid.operators.ordered import Slices
+
+    whole = Slices.fit.__func__
+    cuts = []
+
+    def fit(cls, df, column, **_):
+        cuts.append(whole(cls, df, column, rows_per_slice=150))
+        return cuts[-1]
+    monkeypatch.setattr(Slices, "fit", classmethod(fit))
+    result = check.compare(spark, con, name, SF)
+    assert not result.startswith("FAIL"), result
+    assert any(not c.single for c in cuts)
