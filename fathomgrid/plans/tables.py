@@ -26,7 +26,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def epoch_us(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a timestamp column, whatever the session time zone."""
     if df.schema[name].dataType.typeName() == "timestamp_ntz":
-        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(name))
+        since = F.expr(f"CAST(CAST({name} - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(18, 6))")
+        return (since * 1_000_000).cast("long")
     return F.unix_micros(name)
 
 

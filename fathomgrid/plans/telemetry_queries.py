@@ -79,7 +79,7 @@ b AS (SELECT p.mission_id, p.seq, p.us, v.seq AS bs, v.us AS bu FROM p ASOF LEFT
 f AS (SELECT p.seq, v.seq AS fs, v.us AS fu FROM p ASOF LEFT JOIN v ON p.mission_id = v.mission_id AND p.us <= v.us)""",
              """SELECT b.mission_id, b.seq, CASE WHEN fs IS NULL OR us - bu <= fu - us THEN bs ELSE fs END AS pose_seq FROM b JOIN f USING (seq)"""))
 def nearest_pose(spark, d):
-    out = asof.attach_nearest(_kind(spark, d, "error"), _kind(spark, d, "view").select("mission_id", "us", "seq"), "p", on="us")
+    out = asof.attach_nearest(_kind(spark, d, "error").select("mission_id", "us", "seq"), _kind(spark, d, "view").select("mission_id", "us", "seq"), "p", on="us")
     return out.select("mission_id", "seq", F.col("p.seq").alias("pose_seq"))
 
 
