@@ -9,7 +9,7 @@ from fathomgrid.functions import attitude
 from fathomgrid.operators import imaging, raster, sequential
 from fathomgrid.operators import mosaic as grid
 from fathomgrid.plans import tables
-from fathomgrid.plans.catalog import BOTTOM, GROUND, MERGED, PINGS, R, query, r6, recursive, with_
+from fathomgrid.plans.catalog import BOTTOM, CELLS, GROUND, MERGED, PINGS, SAMPLES, R, query, r6, recursive, with_
 
 IMAGE = Seabed(rows=16, stride=8, columns=40)
 LOOSE = Tracking(bootstrap_pings=3, agreement_m=3.0, outlier_m=2.0, relock_after=3)
@@ -207,17 +207,48 @@ def image_detections(spark, d):
         "mission_id", "image_id", "uid", r6("t_s"), "row_no", "col", r6("x"), r6("y"), "class_name", "confidence")
 
 
-@query()
+#: every side on an even grid (rs), the same grid points on the previous ping's profile (pi), and the virtual pings (vp)
+DENSE = MERGED + """,
+pr AS (SELECT mission_id, seq, CASE WHEN y > 0 THEN 0 ELSE 1 END AS side, y, v, lead(y) OVER w AS y1, lead(v) OVER w AS v1
+  FROM m WINDOW w AS (PARTITION BY mission_id, seq, y > 0 ORDER BY y)),
+ex AS (SELECT mission_id, seq, side, min(y) AS lo, max(y) AS hi, greatest(CAST(ceil((max(y) - min(y)) / 0.125e0) AS INTEGER) + 1, 2) AS n FROM pr GROUP BY ALL),
+gu AS (SELECT *, unnest(range(0, n)) AS i FROM ex),
+gr AS (SELECT mission_id, seq, side, i, CASE WHEN i = n - 1 THEN hi ELSE i * ((hi - lo) / (n - 1)) + lo END AS y FROM gu),
+r0 AS (SELECT gr.mission_id, gr.seq, gr.side, gr.i, gr.y, CAST(CASE WHEN p.y1 IS NULL THEN p.v ELSE (p.v1 - p.v) / (p.y1 - p.y) * (gr.y - p.y) + p.v END AS FLOAT) AS v
+  FROM gr ASOF JOIN pr p ON gr.mission_id = p.mission_id AND gr.seq = p.seq AND gr.side = p.side AND gr.y >= p.y),
+rs AS (SELECT *, lead(y) OVER w AS y1, CAST(lead(v) OVER w AS DOUBLE) AS v1, CAST(first_value(v) OVER w AS DOUBLE) AS v0 FROM r0 WINDOW w AS (PARTITION BY mission_id, seq, side ORDER BY y)),
+pv AS (SELECT *, lag(seq) OVER w AS ps, lag(robot_x) OVER w AS px, lag(robot_y) OVER w AS py, lag(yaw) OVER w AS pyaw FROM mp WINDOW w AS (PARTITION BY mission_id ORDER BY t, seq)),
+ge AS (SELECT pv.*, sqrt(pow(robot_x - px, 2) + pow(robot_y - py, 2)) AS hull, atan2(sin(yaw - pyaw), cos(yaw - pyaw)) AS turn,
+  greatest(p.hi, -s.hi) AS reach FROM pv JOIN ex p ON p.mission_id = pv.mission_id AND p.seq = pv.seq AND p.side = 0
+  JOIN ex s ON s.mission_id = pv.mission_id AND s.seq = pv.seq AND s.side = 1),
+gk AS (SELECT *, coalesce(hull <= 2.5e0 AND abs(turn) <= 0.6e0, false) AS ok FROM ge),
+gn AS (SELECT *, CASE WHEN ok THEN least(greatest(CAST(ceil((hull + abs(turn) * reach) / 0.125e0) AS INTEGER), 1), 64) ELSE 1 END AS nv FROM gk),
+vu AS (SELECT *, unnest(range(1, nv + 1)) AS k FROM gn),
+vp AS (SELECT mission_id, seq, k, nv, k / CAST(nv AS DOUBLE) AS f, CASE WHEN ok THEN px + k / CAST(nv AS DOUBLE) * (robot_x - px) ELSE robot_x END AS vx,
+  CASE WHEN ok THEN py + k / CAST(nv AS DOUBLE) * (robot_y - py) ELSE robot_y END AS vy, CASE WHEN ok THEN pyaw + k / CAST(nv AS DOUBLE) * turn ELSE yaw END AS vyaw FROM vu),
+pg AS (SELECT rs.mission_id, rs.seq, rs.side, rs.i, rs.y, gn.ps FROM rs JOIN gn USING (mission_id, seq) WHERE ok),
+pi AS (SELECT pg.mission_id, pg.seq, pg.side, pg.i, CASE WHEN q.y IS NULL THEN NULL WHEN q.y1 IS NULL THEN CAST(q.v AS DOUBLE)
+  ELSE (q.v1 - CAST(q.v AS DOUBLE)) / (q.y1 - q.y) * (pg.y - q.y) + CAST(q.v AS DOUBLE) END AS pv
+  FROM pg ASOF LEFT JOIN rs q ON pg.mission_id = q.mission_id AND pg.ps = q.seq AND pg.side = q.side AND pg.y >= q.y),
+pf AS (SELECT mission_id, seq, side, any_value(v0) AS v0 FROM rs GROUP BY ALL),
+l AS (SELECT rs.mission_id, rs.seq AS ping_seq, row_number() OVER (PARTITION BY rs.mission_id, rs.seq ORDER BY vp.k, rs.side, rs.i) - 1 AS sample_idx,
+  vx - sin(vyaw) * rs.y AS x, vy + cos(vyaw) * rs.y AS y, abs(rs.y) AS rng,
+  CAST(CASE WHEN vp.k = vp.nv THEN rs.v ELSE CAST((1e0 - f) * coalesce(pi.pv, pf.v0) + f * CAST(rs.v AS DOUBLE) AS FLOAT) END AS DOUBLE) AS v
+  FROM rs JOIN vp USING (mission_id, seq) LEFT JOIN pi ON pi.mission_id = rs.mission_id AND pi.seq = rs.seq AND pi.side = rs.side AND pi.i = rs.i
+  LEFT JOIN gn ON gn.mission_id = rs.mission_id AND gn.seq = rs.seq LEFT JOIN pf ON pf.mission_id = rs.mission_id AND pf.seq = gn.ps AND pf.side = rs.side)"""
+
+
+@query(with_(DENSE, f"SELECT mission_id, ping_seq, CAST(sample_idx AS INTEGER) AS sample_idx, {R('x')}, {R('y')}, {R('v')}, {R('rng')} FROM l"))
 def virtual_pings(spark, d):
-    """Densified samples; compared with a per-ping NumPy walk in the tests."""
+    """Densified samples; the tests also compare them with a plain per-sample walk."""
     pings = raster.with_previous(tables.merged_pings(spark, d))
     out = raster.densified_samples(pings)
     return out.select("mission_id", "ping_seq", "sample_idx", r6("x"), r6("y"), r6("v"), r6("rng"))
 
 
-@query()
+@query(with_(CELLS.replace(SAMPLES, DENSE), f"SELECT mission_id, cx, cy, count, {R('sum')}, {R('wsum')}, {R('closest')}, {R('oldest')}, {R('newest')} FROM cells"))
 def mosaic_densified(spark, d):
-    """Mosaic of densified pings; compared with gridding the samples of `virtual_pings` in the tests."""
+    """Mosaic of densified pings."""
     cells = grid.merge_cells(raster.densify(raster.with_previous(tables.merged_pings(spark, d))))
     return cells.select("mission_id", "cx", "cy", "count", *[r6(c) for c in ("sum", "wsum", "closest", "oldest", "newest")])
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fathomgrid.config import Alignment, Pairing, Seabed, Tracking
+from fathomgrid.functions.geodesy import EARTH_RADIUS_M
 from fathomgrid.operators.ordered import MISSION
 from fathomgrid.operators.sequential import SideLock
 
@@ -222,7 +223,7 @@ def robot_states(df: DataFrame, params: Alignment = Alignment(), *, keys: Sequen
     odometry is silent for `odom_dead_s`, or sits at the origin although GPS has moved, fixes
     drive instead with dead-reckoned positions. Event time throughout.
     """
-    radius = 6378137.0
+    radius = EARTH_RADIUS_M
     period = params.state_period_ns / 1e9
 
     def step(state: dict, rows: pd.DataFrame):
