@@ -139,7 +139,8 @@ ct AS (SELECT log_id, CASE WHEN packet_id = 2194 OR (sonar AND src = 0) THEN ['s
              """SELECT log_id, category, count(*) AS packets FROM (SELECT log_id, unnest(cs) AS category FROM ct
 UNION ALL SELECT log_id, 'odom_synthesized' FROM st WHERE event_type IN ('view', 'signup') AND nyaw IS NOT NULL AND nx IS NOT NULL) GROUP BY ALL"""))
 def log_counts(spark, d):
-    return logs.ingest_counts(_packets(spark, d), keys=KEY)
+    # read for the categories and again for the odometry scan
+    return logs.ingest_counts(checkpointed(_packets(spark, d)), keys=KEY)
 
 
 @query(with_(STATES + """,
