@@ -27,14 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.llm import sketch
 from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.frames import arrow, column
 
-ROWS = 2
-LOG2_BLOCK = 16
-LOG2_WIDEST = 29
-FLUSH = 1 << 21
-_SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_ROW = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Scan:
@@ -66,86 +63,36 @@ class Scan:
             return at
         least = self.least[at]
         change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        hit = np.ones(len(change), bool)
-        for row in range(ROWS):
-            place = slot(least[change], row, log2_width)
-            hit &= (bits[row][place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+        hit = sketch.may_repeat(bits, least[change], log2_width)
         return at[np.repeat(hit, np.diff(np.r_[change, len(least)]))]
 
     def first_in_document(self, at: np.ndarray) -> np.ndarray:
         """Whether each window position is the first of its content in its document."""
-        key = ts.mix(self.window[at] ^ (self.words.row[at].astype(np.uint64) * _SALTS[0]))
+        key = ts.mix(self.window[at] ^ (self.words.row[at].astype(np.uint64) * _ROW))
         first = np.zeros(len(at), bool)
         first[np.unique(key, return_index=True)[1]] = True
         return first
 
 
-def slot(values: np.ndarray, row: int, log2_width: int) -> np.ndarray:
-    return (ts.mix(values ^ _SALTS[row]) >> np.uint64(64 - log2_width)).astype(np.int64)
-
-
-def sketch(docs: DataFrame, k: int, log2_width: int, text: str) -> DataFrame:
-    """Merged counters as bits "counted more than once": (row, block, bits)."""
-    block = min(LOG2_BLOCK, log2_width)
-
+def anchor_bits(docs: DataFrame, k: int, text: str, log2_width: int):
     def make():
-        scan, held, n = Scan(k), [], 0
-
-        def flush():
-            values = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            for row in range(ROWS):
-                places, counts = np.unique(slot(values, row, log2_width), return_counts=True)
-                cells = ((places & ((1 << block) - 1)) << 1 | (counts > 1)).astype(np.uint32)
-                names, at = np.unique(places >> block, return_index=True)
-                ends = [*at[1:], len(cells)]
-                if len(names):
-                    yield {"row": np.full(len(names), row, np.int32), "block": names.astype(np.int32),
-                           "cells": [cells[a:b].tobytes() for a, b in zip(at, ends, strict=True)]}
+        scan = Scan(k)
 
-        def step(batch):
-            nonlocal n
-            for _, _, data, cuts in ts.pieces(batch.column(0)):
+        def values(batch):
+            found = []
+            for _, _, data, cuts in ts.pieces(column(batch, text)):
                 scan.read(data, cuts)
-                found = scan.anchors()
-                held.append(found)
-                n += len(found)
-            yield from flush()
-            held.clear()
-        return step
-
-    def merge(key, batches):
-        seen = np.zeros(1 << block, np.uint8)
-        for cell in batches.column("cells").to_pylist():
-            cell = np.frombuffer(cell, np.uint32)
-            seen[cell >> 1] = np.minimum(seen[cell >> 1] + 1 + (cell & 1), 2)
-        bits = np.packbits(seen > 1, bitorder="little").tobytes()
-        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
-
-    parts = arrow(docs.select(F.col(text).alias("t")), make, "row int, block int, cells binary")
-    return parts.groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
-
-
-def width(docs: DataFrame, text: str) -> int:
-    """About five counters per anchor, from the size of the whole corpus."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return min(max(16, int(size / 8).bit_length()), LOG2_WIDEST)
-
-
-def repeated_bits(docs: DataFrame, k: int, text: str, log2_width: int | None):
-    """The merged sketch, broadcast: at most `ROWS * 2**LOG2_WIDEST` bits."""
-    log2_width = log2_width or width(docs, text)
-    size = max(1, (1 << log2_width) // 8)
-    bits = [np.zeros(size, np.uint8) for _ in range(ROWS)]
-    step = max(1, (1 << min(LOG2_BLOCK, log2_width)) // 8)
-    for row in sketch(docs, k, log2_width, text).toLocalIterator():
-        bits[row["row"]][row["block"] * step:(row["block"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(bits), log2_width
+                found.append(scan.anchors())
+            return found
+        return values
+    return sketch.repeated_bits(docs.select(text), make, log2_width)
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text: str = "text", log2_width: int | None = None) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept (the remaining words joined by one space), kept_sha256."""
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    bits, log2_width = repeated_bits(narrow, k, "t", log2_width)
+    log2_width = log2_width or sketch.width_for(sketch.text_bytes(narrow, "t") // 8)  # about five counters per anchor
+    bits = anchor_bits(narrow, k, "t", log2_width)
 
     def make():
         scan = Scan(k)

@@ -22,3 +22,37 @@ def substring(docs: list[tuple[int, str | None]], k: int = 20) -> dict[int, tupl
         kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
         out[doc] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def shingles(text: str | None, k: int = 5) -> set:
+    words = [w.translate(_LOWER) for w in WORD.findall(text or "")]
+    if not words:
+        return set()
+    return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def near_duplicates(docs: list[tuple[int, str | None]], k: int = 5, percent: int = 80) -> dict[int, tuple]:
+    sets = {doc: shingles(text, k) for doc, text in docs}
+    where, parent = {}, {d: d for d in sets}
+    for doc, grams in sets.items():
+        for gram in grams:
+            where.setdefault(gram, []).append(doc)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for doc, grams in sets.items():
+        shared = {}
+        for gram in grams:
+            for other in where[gram]:
+                if other < doc:
+                    shared[other] = shared.get(other, 0) + 1
+        for other, same in shared.items():
+            if 100 * same >= percent * (len(grams) + len(sets[other]) - same):
+                a, b = sorted((find(doc), find(other)))
+                parent[b] = a
+    return {doc: (len(grams), find(doc)) for doc, grams in sets.items()}
