@@ -18,6 +18,8 @@ _SEED = 0x5EED
 #: bytes that end a word: space, and tab to carriage return
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: bytes that end a word where punctuation doesn't count: all of ASCII but letters and digits
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -95,9 +97,9 @@ class Words:
     first: np.ndarray
 
 
-def words(data: np.ndarray, cuts: np.ndarray) -> Words:
-    """Maximal runs of non-space bytes, never across documents."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, cuts: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes that aren't in the table `space`, never across documents."""
+    inside = ~space[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     before[cuts] = False
