@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomgrid.llm import decontaminate, langid, ngram_join, substring
+from fathomgrid.llm import bpe, decontaminate, langid, ngram_join, rans, substring
 from fathomgrid.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load(spark, tokenizer("word_bpe_49k.json")))
+
+
+@query
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = rans.through_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
