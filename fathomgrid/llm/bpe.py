@@ -272,7 +272,7 @@ def decode(encoded: DataFrame, codec, id_column: str = "doc_id", ids: str = "ids
 
 
 def round_trip(docs: DataFrame, codec, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode in one scan: id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encode and decode in one scan: id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256."""
     def make():
         encoder, decoder = Encoder(codec.value), Decoder(codec.value)
 
@@ -286,9 +286,9 @@ def round_trip(docs: DataFrame, codec, id_column: str = "doc_id", text: str = "t
             names, texts = column(batch, "id"), [t or "" for t in column(batch, "t").to_pylist()]
             for a, b in _grouped(texts):
                 done = encoder.encode(texts[a:b])
-                yield {"id": names.slice(a, b - a), "n_tokens": [len(x) // 4 for x in done], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in done],
+                yield {"id": names.slice(a, b - a), "n_tokens": [len(x) // 4 for x in done], "ids": done, "ids_sha256": [hashlib.sha256(x).hexdigest() for x in done],
                        "decoded_sha256": [digest(x) for x in done]}
         return step
 
     return arrow(docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("t")), make,
-                 f"id {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)
+                 f"id {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)

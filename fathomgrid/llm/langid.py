@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model, table, calibration: dict, id_column: str = "
         deviation = np.sqrt([calibration[x][1] for x in langs])
 
         def step(batch):
-            texts = [t or "" for t in column(batch, "__t").to_pylist()]
+            texts = column(batch, "__t").to_pylist()
             for a, b in _batches(texts, texts):
                 keys, sizes = char_grams(texts[a:b], table.value, order)
                 n, has = len(sizes), sizes > 0
@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model, table, calibration: dict, id_column: str = "
                     "cross_entropy": pa.array(least, mask=~known), "n_predicted": sizes, "fits": fits}
         return step
 
-    chosen = docs.select(id_column, *keep, F.col(text).cast("string").alias("__t"))
+    chosen = docs.select(id_column, *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "__t")
     return arrow(chosen, make, schema + ", lang_pred string, score double, cross_entropy double, n_predicted long, fits boolean")
 

@@ -19,6 +19,12 @@ def query(fn):
     return fn
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
@@ -47,7 +53,7 @@ def tokenizer(name: str) -> str:
 
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load(spark, tokenizer("word_bpe_49k.json")))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load(spark, tokenizer("word_bpe_49k.json"))).drop("ids")
 
 
 @query

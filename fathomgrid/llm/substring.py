@@ -88,9 +88,12 @@ def anchor_bits(docs: DataFrame, k: int, text: str, log2_width: int):
     return sketch.repeated_bits(docs.select(text), make, log2_width)
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text: str = "text", log2_width: int | None = None) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept (the remaining words joined by one space), kept_sha256."""
-    narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text: str = "text", log2_width: int | None = None,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, the columns `keep`, n_words, n_removed, kept (the remaining words joined by one space), kept_sha256."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    narrow = rows.select("id", "t")
+    kept_columns = rows.dtypes[2:]
     log2_width = log2_width or sketch.width_for(sketch.text_bytes(narrow, "t") // 8)  # about five counters per anchor
     bits = anchor_bits(narrow, k, "t", log2_width)
 
@@ -133,8 +136,9 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text
                     i, j = w.first[r], w.first[r + 1]
                     keep = np.flatnonzero(~gone[i:j]) + i
                     kept.append(b" ".join([raw[s:e] for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist(), strict=True)]))
-                yield {"id": ids.slice(a, b - a), "n_words": np.diff(w.first), "n_removed": sums[w.first[1:]] - sums[w.first[:-1]],
+                yield {c: column(batch, c).slice(a, b - a) for c, _ in kept_columns} | {"id": ids.slice(a, b - a), "n_words": np.diff(w.first), "n_removed": sums[w.first[1:]] - sums[w.first[:-1]],
                        "kept": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         return step
 
-    return arrow(narrow.join(removed, "id", "left"), rewrite, "id long, n_words long, n_removed long, kept string, kept_sha256 string").withColumnRenamed("id", id_column)
+    schema = ", ".join(["id long", *[f"{c} {t}" for c, t in kept_columns], "n_words long, n_removed long, kept string, kept_sha256 string"])
+    return arrow(rows.join(removed, "id", "left"), rewrite, schema).withColumnsRenamed({"id": id_column} | {f"keep_{i}": c for i, c in enumerate(keep)})
