@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fathomgrid.session import checkpointed
-
-__all__ = ["checkpointed", "shared_folder", "stored", "arrow", "runs", "table", "copies", "column"]
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,36 +36,21 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
-    """`mapInArrow` with state made once per task: `make()` gives a function from a batch to column dicts."""
-    from pyspark.sql.types import _parse_datatype_string
-    names = _parse_datatype_string(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    fields = to_arrow_schema(names)
+def arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, ending: bool = False) -> DataFrame:
+    """`mapInArrow` with state made once per task: `make()` gives a function from a batch to dicts of columns.
+
+    With `ending` the function is called once more with None after the last batch.
+    """
+    kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
         step = make()
-        for batch in batches:
+        for batch in chain(batches, (None,) if ending else ()):
             for columns in step(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array)
-                                                  else columns[f.name].cast(f.type) for f in fields], schema=fields)
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in kind], schema=kind)
     return df.mapInArrow(run, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     found = batch.column(batch.schema.get_field_index(name))
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-
-
-def runs(lengths: np.ndarray) -> np.ndarray:
-    """Offsets of consecutive runs."""
-    out = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(lengths, out=out[1:])
-    return out
-
-
-def copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, first_id) of documents whose whole text also stands under a smaller id."""
-    keys = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), F.octet_length(text).alias("k3")).filter("k3 > 0")
-    firsts = keys.groupBy("k1", "k2", "k3").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keys.join(firsts, ["k1", "k2", "k3"]).filter("id > first_id").select(F.col("id").alias(id_column), "first_id")

@@ -108,3 +108,12 @@ def counters(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch
 def estimate(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
     log2_width = counts.shape[1].bit_length() - 1
     return np.minimum(*(counts[row][slot(values, row, log2_width)] for row in range(ROWS)))
+
+
+def member_bits(values: DataFrame, log2_width: int):
+    """Broadcast bits of a set of longs (one column): never misses a member."""
+    def make():
+        def step(batch):
+            return [np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)]
+        return step
+    return repeated_bits(values, make, log2_width)

@@ -56,3 +56,21 @@ def near_duplicates(docs: list[tuple[int, str | None]], k: int = 5, percent: int
                 a, b = sorted((find(doc), find(other)))
                 parent[b] = a
     return {doc: (len(grams), find(doc)) for doc, grams in sets.items()}
+
+
+def suffixes(docs: list[tuple[int, str | None]], k: int = 50) -> dict[int, tuple]:
+    first = {}
+    for doc, text in sorted(docs, key=lambda x: x[0]):
+        raw = (text or "").encode()
+        for i in range(len(raw) - k + 1):
+            first.setdefault(raw[i:i + k], doc)
+    out = {}
+    for doc, text in docs:
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - k + 1):
+            if first[raw[i:i + k]] < doc:
+                gone[i:i + k] = b"\x01" * k
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out[doc] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    return out
