@@ -92,8 +92,10 @@ class Alignment:
 class Scale:
     """Sizing of ordered passes; see operators.ordered.Slices."""
 
-    rows_per_slice: int = 2_000_000
-    max_slices: int = 4096
+    slice_s: float = 600.0
+    slice_rows: int = 10_000
+    #: ordering columns that hold seconds
+    seconds: tuple = ("t",)
 
 
 @dataclass(frozen=True)

@@ -79,7 +79,7 @@ def rate_per_second(messages: DataFrame, *, keys: Sequence[str] = MISSION, on: s
 def rolling_depth(pings: DataFrame, span_s: float = DEPTH_SPAN_S, *, keys: Sequence[str] = MISSION,
                   order: Sequence[str] = ("t", "seq"), slices: Slices | None = None) -> DataFrame:
     """Add depth_min and depth_max over the last `span_s` seconds up to the row."""
-    slices = slices or Slices.fit(pings, order[0])
+    slices = slices or Slices.fit(order[0])
     tagged = with_halo(pings, slices, span_s + 1e-3)  # a little wide; the frame below is exact
     part = list(keys) if slices.single else [*keys, SLICE]
     micros = F.bround(F.col(order[0]) * 1e6).cast("long")

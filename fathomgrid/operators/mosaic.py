@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.config import GapFill, Mosaic
 from fathomgrid.functions import attitude, geodesy
-from fathomgrid.operators.ordered import MISSION, Slices, exact_percentiles
+from fathomgrid.operators.ordered import MISSION, exact_percentiles
 
 # Step weights of the 3x3 distance mask.
 STRAIGHT_STEP, DIAGONAL_STEP = 0.955, 1.3693
@@ -140,11 +140,10 @@ def extent(cells: DataFrame, params: Mosaic = Mosaic(), *, keys: Sequence[str] =
         (100.0 * F.col("occupied") / (columns * rows)).alias("coverage_pct"))
 
 
-def contrast_limits(cells: DataFrame, params: Mosaic = Mosaic(), *, keys: Sequence[str] = MISSION,
-                    slices: Slices | None = None) -> DataFrame:
+def contrast_limits(cells: DataFrame, params: Mosaic = Mosaic(), *, keys: Sequence[str] = MISSION) -> DataFrame:
     """Display range per key (vmin, vmax): percentiles of the non-empty values, (0, 1) without any."""
     probs = [p / 100.0 for p in params.percentiles]
-    found = exact_percentiles(cells, "value", probs, keys=keys, slices=slices)
+    found = exact_percentiles(cells, "value", probs, keys=keys)
     low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     top = F.when(high - low < 1e-6, low + 1e-6).otherwise(high)
     return found.select(*keys, F.coalesce(low, F.lit(0.0)).alias("vmin"), F.coalesce(top, F.lit(1.0)).alias("vmax"))

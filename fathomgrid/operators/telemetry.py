@@ -26,7 +26,7 @@ def burst_clock(packets: DataFrame, start_ns: int = 0, *, keys: Sequence[str] =
     sonar and decoded telemetry packet; the converter clock starts at `CONVERTER_EPOCH_NS` and
     runs only over packets that decoded, so filter those first.
     """
-    slices = slices or Slices.fit(packets, order[0])
+    slices = slices or Slices.fit(order[0])
     seen = scan(packets, {"_last": previous(F.col(boot))}, keys=keys, order=order, slices=slices)
     tick = F.when(F.col(boot).isNotNull() & F.col(boot).eqNullSafe(F.col("_last")), 0).otherwise(1).cast("long")
     out = scan(seen, {"_ticks": running(tick)}, keys=keys, order=order, slices=slices)
@@ -103,7 +103,7 @@ def frozen_poses(pings: DataFrame, params: Alignment = Alignment(), *, keys: Seq
     Needs robot_x, robot_y of the ping and state_x, state_y (NULL: unknown). A frozen ping while
     the boat has not moved neither counts nor resets; any other ping resets.
     """
-    slices = slices or Slices.fit(pings, order[0])
+    slices = slices or Slices.fit(order[0])
     frozen = (F.abs("robot_x") < params.frozen_eps_m) & (F.abs("robot_y") < params.frozen_eps_m)
     moved = F.coalesce(F.hypot("state_x", "state_y") > params.moved_min_m, F.lit(False))
     counted = scan(pings.withColumn("_frozen", frozen), {"_hits": running((F.col("_frozen") & moved).cast("long"))},
@@ -116,7 +116,7 @@ def frozen_poses(pings: DataFrame, params: Alignment = Alignment(), *, keys: Seq
 def track_segments(states: DataFrame, params: Alignment = Alignment(), *, keys: Sequence[str] = MISSION,
                    order: Sequence[str] = ("t", "seq"), slices: Slices | None = None) -> DataFrame:
     """Add `segment` (from 0): a new one after a jump or after a silence longer than `stale_s`."""
-    slices = slices or Slices.fit(states, order[0])
+    slices = slices or Slices.fit(order[0])
     seen = scan(states, {"_was": previous(F.struct(F.col(order[0]).alias("t"), "x", "y"))}, keys=keys, order=order, slices=slices)
     was = F.col("_was")
     jump = units.distance(F.col("x"), F.col("y"), was["x"], was["y"]) > params.jump_m
@@ -152,7 +152,7 @@ def fallback_states(odom: DataFrame, fixes: DataFrame, params: Alignment = Align
     there is none), or sits at the origin while the reckoned position is over 1 m away; at most one
     state per 200 ms.
     """
-    slices = slices or Slices.fit(fixes, "t")
+    slices = slices or Slices.fit("t")
     reckoned = dead_reckon(fixes, keys=keys, slices=slices)
     seen = attach_latest(reckoned, odom.select(*keys, "t", "seq", "x", "y"), "_odom", keys=keys, slices=slices)
     o = F.col("_odom")
@@ -164,7 +164,7 @@ def fallback_states(odom: DataFrame, fixes: DataFrame, params: Alignment = Align
         F.col("reckoned_x").alias("x"), F.col("reckoned_y").alias("y"), F.col("reckoned_yaw").alias("yaw"),
         "lat", "lon", F.coalesce("compass_deg", attitude.compass_deg(F.col("reckoned_yaw"))).alias("heading_deg"),
         F.col("reckoned_speed").alias("speed_mps"))
-    kept = sequential.throttle(wanted, params.state_period_ns, keys=keys, slices=slices.refit(wanted, "stamp_ns"))
+    kept = sequential.throttle(wanted, params.state_period_ns, keys=keys, slices=Slices.fit("stamp_ns"))
     return wanted.join(kept.select(*keys, "seq"), [*keys, "seq"]).drop("stamp_ns")
 
 

@@ -37,8 +37,8 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
     observations: `pairs` and `unposed`, and `pings` and `unlocked` (no altitude yet).
     """
     measured = measure(profiles, config)
-    slices = slices or Slices.fit(profiles, "seq")
-    by_stamp = slices.refit(profiles, "stamp_ns")
+    slices = slices or Slices.fit("seq")
+    by_stamp = Slices.fit("stamp_ns")
     pairs = sequential.pair_pings(profiles, config.pairing, keys=keys, slices=by_stamp)
     narrow_poses = poses.select(*keys, "seq", "stamp_ns", "x", "y", "yaw")
     if config.pairing.pose_mode == "locf":
@@ -81,11 +81,11 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
 
 def replay(packets: DataFrame, config: Config = Config(), *, keys: Sequence[str] = MISSION) -> tuple[DataFrame, DataFrame]:
     """(pings, states) of recorded logs, on the mission clock (seconds from its first event)."""
-    slices = Slices.fit(packets, "seq")
+    slices = Slices.fit("seq")
     profiles, messages = logs.clocked(packets, keys=keys, slices=slices)
     poses = tel.synthesise_odom(messages, keys=keys, slices=slices)
     pings = process(profiles, poses, _locf(config), keys=keys, slices=slices)
-    kept = sequential.throttle(poses, config.alignment.state_period_ns, keys=keys, slices=slices.refit(poses, "stamp_ns"))
+    kept = sequential.throttle(poses, config.alignment.state_period_ns, keys=keys, slices=Slices.fit("stamp_ns"))
     origin = tel.replay_origin(messages, poses, keys=keys, slices=slices)
     fix = _fix_seq(messages, poses, keys, slices)
     states = (poses.join(kept.select(*keys, "seq"), [*keys, "seq"]).join(origin, list(keys), "left").join(fix, list(keys), "left"))

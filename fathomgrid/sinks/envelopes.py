@@ -37,7 +37,7 @@ def envelopes(records: DataFrame, boot_ns: Column | None = None, *, keys: Sequen
     those of the typed topics. Fixes take the latest relative altitude and heading before them,
     poses the latest velocity. Records that are not valid are left out and take no number.
     """
-    slices = slices or Slices.fit(records, order[0])
+    slices = slices or Slices.fit(order[0])
     kind = F.col("kind")
     finite = units.finite(F.col("data"))
     seen = scan(records, {

@@ -156,7 +156,7 @@ def clocked(packets: DataFrame, *, converter: bool = False, keys: Sequence[str]
 
     In replay a sonar packet ticks whether or not it decodes; for the converter it must decode.
     """
-    slices = slices or Slices.fit(packets, "seq")
+    slices = slices or Slices.fit("seq")
     sonar, messages = profiles(packets, keys=keys), telemetry(packets, keys=keys)
     ticking_sonar = sonar.filter(~F.col("decode_error")) if converter else sonar
     boot = ticking_sonar.select(*keys, "seq", F.lit(None).cast("long").alias("time_boot_ms")).unionByName(
@@ -176,7 +176,7 @@ def topics(packets: DataFrame, *, keys: Sequence[str] = MISSION, slices: Slices
 
     Persist `packets` (or write them once) when several streams are used.
     """
-    slices = slices or Slices.fit(packets, "seq")
+    slices = slices or Slices.fit("seq")
     sonar, messages = clocked(packets, converter=True, keys=keys, slices=slices)
     at = [*keys, "seq", "stamp_ns"]
     raw = packets.select(*keys, "seq", F.lit(0).alias("src"), "dst", "packet_id", "payload")
@@ -226,7 +226,7 @@ COUNTED_AS = {
 
 def ingest_counts(packets: DataFrame, *, keys: Sequence[str] = MISSION, slices: Slices | None = None) -> DataFrame:
     """Rows per ingest category (keys, category, packets)."""
-    slices = slices or Slices.fit(packets, "seq")
+    slices = slices or Slices.fit("seq")
     messages = telemetry(packets, keys=keys, extra=("packet_id", "src", "payload"), others=True)
     target = (F.col("packet_id") == PROFILE_ID) & F.col("src").isin(PORT_DEVICE, STBD_DEVICE)
     side = F.when(F.col("src") == PORT_DEVICE, "sonar_port").otherwise("sonar_stbd")

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fathomgrid.config import Alignment, Pairing, Seabed, Tracking
 from fathomgrid.functions.geodesy import EARTH_RADIUS_M
 from fathomgrid.operators.ordered import MISSION
-from fathomgrid.operators.sequential import SideLock
+from fathomgrid.operators.sequential import lock_altitude
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 Step = Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]]
@@ -141,17 +141,20 @@ def track_altitude(df: DataFrame, params: Tracking = Tracking(), *, keys: Sequen
     """Streaming form of `sequential.track_altitude` and `fuse_altitude` (seq, port_fbr, stbd_fbr)."""
 
     def step(state: dict, rows: pd.DataFrame):
-        locks = SideLock(params, state.get("port")), SideLock(params, state.get("stbd"))
-        held, out = state.get("held"), []
-        for seq, port, stbd in zip(rows["seq"], rows["port_fbr"], rows["stbd_fbr"]):
-            sides = [lock.feed(None if pd.isna(v) else float(v)) for lock, v in zip(locks, (port, stbd))]
-            known = [a for a in sides if a is not None]
-            held = max(known) if known else held
-            out.append((int(seq), *sides, held))
-        frame = pd.DataFrame(out, columns=["seq", "port_alt", "stbd_alt", "altitude"])
-        for c in ("port_alt", "stbd_alt", "altitude"):
-            frame[c] = pd.array(frame[c], "Float64")
-        return {"port": locks[0].pack(), "stbd": locks[1].pack(), "held": held}, frame
+        sides = {}
+        for side in ("port", "stbd"):
+            kept = [float("nan") if x is None else x for x in state.get(side, [])]
+            sides[side] = lock_altitude(rows[f"{side}_fbr"].to_numpy(np.float64, na_value=np.nan), params, kept)
+        highest = pd.Series(np.fmax(*[altitude for altitude, _ in sides.values()]))
+        if state.get("held") is not None:
+            highest = pd.concat([pd.Series([state["held"]]), highest])
+        held = highest.ffill().tail(len(rows)).to_numpy()
+        frame = pd.DataFrame({"seq": rows["seq"].to_numpy()})
+        for name, values in (("port_alt", sides["port"][0]), ("stbd_alt", sides["stbd"][0]), ("altitude", held)):
+            frame[name] = pd.array(np.ma.masked_invalid(values).tolist(), "Float64")
+        last = held[-1] if len(held) else np.nan
+        ends = {side: [None if x != x else x for x in exit_] for side, (_, exit_) in sides.items()}
+        return ends | {"held": None if last != last else float(last)}, frame
 
     return _apply(df.select(*keys, "seq", "port_fbr", "stbd_fbr"), step,
                   "seq long, port_alt double, stbd_alt double, altitude double", keys, ("seq",))

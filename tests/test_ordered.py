@@ -28,8 +28,7 @@ def as_set(df):
 def test_sliced_scan_equals_plain_windows(rows):
     looks = {"p": O.previous(F.col("v")), "l": O.latest(F.col("v")), "u": O.upcoming(F.col("v")),
              "r": O.running(F.col("v")), "n": O.position()}
-    cut = O.Slices.fit(rows, "t", rows_per_slice=40)
-    assert len(cut.bounds) > 8
+    cut = O.Slices("t", 23.0)
     assert as_set(O.scan(rows, looks, slices=cut)) == as_set(O.scan(rows, looks, slices=O.Slices("t")))
 
 
@@ -42,10 +41,10 @@ def test_newest_and_percentiles(rows):
         everything.setdefault(r.mission_id, []).append(r)
     for m, rs in everything.items():
         assert sorted(got[m]) == sorted((r.t, r.seq) for r in rs)[-5:]
-    q = O.exact_percentiles(rows, "v", [0.02, 0.5, 0.98], slices=O.Slices("_v", (10.0, 20.0, 55.0, 90.0)))
-    for r in q.collect():
-        want = np.percentile([x.v for x in everything[r.mission_id] if x.v is not None], [2, 50, 98])
-        assert np.allclose(r.q, want)
+    for accuracy in (10_000, 40):  # brackets of single values, and of several
+        for r in O.exact_percentiles(rows, "v", [0.0, 0.02, 0.5, 0.98, 1.0], accuracy=accuracy).collect():
+            want = np.percentile([x.v for x in everything[r.mission_id] if x.v is not None], [0, 2, 50, 98, 100])
+            assert np.allclose(r.q, want)
 
 
 def greedy(p, s, tol):
@@ -88,8 +87,7 @@ def test_pairing_sliced_equals_queue(spark, seed):
     df = ping_rows(spark, port, stbd)
     want = sorted(greedy(port, stbd, tol))
     for size in (7, 25):
-        cut = O.Slices.fit(df, "stamp_ns", rows_per_slice=size)
-        assert not cut.single
+        cut = O.Slices("stamp_ns", size * 20.0 * MS)
         got = pairs_of(S.pair_pings(df, Pairing(tolerance_ns=tol * MS), slices=cut))
         assert got == want
     assert pairs_of(S.pair_pings(df, slices=O.Slices("stamp_ns"))) == want
@@ -105,7 +103,7 @@ def test_throttle_sliced_equals_sequential(spark, step):
         if last is None or t - last >= 200:
             kept.append(i)
             last = t
-    for cut in (O.Slices("stamp_ns"), O.Slices.fit(df, "stamp_ns", rows_per_slice=11)):
+    for cut in (O.Slices("stamp_ns"), O.Slices("stamp_ns", 700.0 * MS)):
         got = sorted(r.seq for r in S.throttle(df, 200 * MS, slices=cut).collect())
         assert got == kept
 
@@ -139,6 +137,52 @@ def test_altitude_sliced_equals_sequential(spark):
             data.append((m, i, hit(), hit()))
     df = spark.createDataFrame(data, "mission_id long, seq long, port_fbr double, stbd_fbr double").cache()
     params = Tracking(bootstrap_pings=3, agreement_m=0.4, outlier_m=1.0, relock_after=4)
-    cut = O.Slices.fit(df, "seq", rows_per_slice=100)
-    assert not cut.single
+    cut = O.Slices("seq", 33.0)
     assert as_set(S.track_altitude(df, params, slices=cut)) == as_set(S.track_altitude(df, params, slices=O.Slices("seq")))
+
+
+def test_altitude_lock_is_the_row_by_row_rule():
+    """Runs from saved states, cut anywhere, against the rule taken one row at a time."""
+    def plain(values, p):
+        out, altitude, streak, recent = [], None, 0, []
+        for v in values:
+            if altitude is None:
+                streak = streak + 1 if v != v else 0
+                recent = recent + [v] if v == v else [] if streak >= p.relock_after else recent
+                last = recent[-p.bootstrap_pings:]
+                if v == v and len(last) == p.bootstrap_pings and max(last) - min(last) <= p.agreement_m:
+                    altitude = sum(last) / len(last)
+            else:
+                near = v == v and abs(v - altitude) <= p.outlier_m
+                altitude, streak = (v, 0) if near else (altitude, streak + 1)
+                if streak >= p.relock_after:
+                    altitude, streak, recent = None, 0, []
+            out.append(np.nan if altitude is None else altitude)
+        return np.array(out)
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        p = Tracking(rng.choice([1, 2, 3, 4]), rng.choice([0.2, 0.4, 1]), rng.choice([0.1, 0.5, 1.0]), rng.choice([1, 2, 4, 5]))
+        level, values = 5.0, []
+        for _ in range(rng.randrange(60)):
+            level += rng.uniform(-0.3, 0.3)
+            u = rng.random()
+            values.append(np.nan if u < 0.3 else level + rng.uniform(-2, 2) if u < 0.45 else level + rng.uniform(-0.1, 0.1))
+        got, state, i = [np.zeros(0)], [], 0
+        while i < len(values):
+            k = rng.randrange(1, 20)
+            part, state = S.lock_altitude(np.array(values[i:i + k]), p, state)
+            got.append(part)
+            i += k
+        assert np.allclose(np.concatenate(got), plain(values, p), rtol=0, atol=1e-9, equal_nan=True)
+
+
+def test_altitude_of_a_silent_side_settles_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    stored = S.checkpointed
+    monkeypatch.setattr(S, "checkpointed", lambda df: rounds.append(1) or stored(df))
+    level = [5.0 + 0.01 * (i % 7) for i in range(600)]
+    df = spark.createDataFrame([(1, i, v, None) for i, v in enumerate(level)], "mission_id long, seq long, port_fbr double, stbd_fbr double")
+    got = S.track_altitude(df, slices=O.Slices("seq", 50.0)).orderBy("seq").collect()
+    assert [r.port_alt for r in got[9:]] == [pytest.approx(v, abs=0.05) for v in level[9:]] and all(r.stbd_alt is None for r in got)
+    assert len(rounds) <= 2 * 3  # two stores a round, over 12 slices
