@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.frames import arrow, column
+from fathomgrid.llm.frames import Shared, arrow, column
 
 #: what the library's \s matches; Python's own split also takes U+001C to U+001F
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -237,7 +237,7 @@ def _grouped(texts: list[str]):
 
 
 def load(spark, path: str):
-    return spark.sparkContext.broadcast(Codec(path))
+    return Shared(spark, Codec(path))
 
 
 def encode(docs: DataFrame, codec, id_column: str = "doc_id", text: str = "text") -> DataFrame:

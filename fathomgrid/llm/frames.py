@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -36,6 +37,24 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast object of a class of this package: it travels as bytes, with its class, so that workers need no copy
+    of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._bytes.value)
+        return self._value
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_value": None}
+
+
 def arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, ending: bool = False) -> DataFrame:
     """`mapInArrow` with state made once per task: `make()` gives a function from a batch to dicts of columns.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.frames import arrow, column, stored
+from fathomgrid.llm.frames import Shared, arrow, column, stored
 
 BITS = 12
 UNKNOWN = "und"
@@ -187,7 +187,7 @@ def train(labelled: DataFrame, order: int = 4, hash_bits: int = 20, discount: fl
         return out
 
     symbols = 1 + top.select(F.col("key").bitwiseAND((1 << BITS) - 1)).distinct().count()
-    model = spark.sparkContext.broadcast(Model(langs, order, hash_bits, discount, sorted_arrays(grams, ["c"]), sorted_arrays(contexts, ["total", "types"]), symbols))
+    model = Shared(spark, Model(langs, order, hash_bits, discount, sorted_arrays(grams, ["c"]), sorted_arrays(contexts, ["total", "types"]), symbols))
     where = {lang: i for i, lang in enumerate(langs)}
 
     def own():

@@ -13,6 +13,7 @@ fixed order among themselves. An empty table gives a data set without blocks. Ex
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.bpe import WHITE
+from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.frames import arrow, column, shared_folder
 
 SCALE_BITS = 20
@@ -32,42 +33,96 @@ LANES = 1024
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 128
 REMEMBERED = 500_000
-PIECE_CHARS = 1_000_000
+
+
+#: bytes of white space beyond ASCII in UTF-8, and the ASCII controls that only some engines count as space
+_WIDE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 
 
 class Tokens:
-    """Ids by the tokenizers library. Runs between white space are encoded once and remembered: the byte-level
-    pre-tokenizer never joins characters across such a border, so the parts' ids are the whole's."""
+    """Ids by the tokenizers library, for runs of documents.
+
+    The byte-level pre-tokenizer never joins characters across the start of a word with its leading space, so a text is cut
+    there; every distinct part (by a 64-bit hash) is encoded once and remembered as a row of sorted arrays. Distinct parts
+    are encoded many at a time, each behind a line break, and told apart by the line break's id. Texts with other than
+    ASCII white space or with special tokens are encoded whole.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.ascii = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-        self.any = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, whole = [], []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole.append(i)
-                split.append([])
-            else:
-                split.append((self.ascii if text.isascii() else self.any).findall(text))
-        new = {c for chunks in split for c in chunks} - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {c for chunks in split for c in chunks}
-        new = list(new)
-        self.known.update(zip(new, self._ids(new), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
+        self.line = self.tokenizer.token_to_id("\u010a")
+        self.roll = ts.Rolling()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    @staticmethod
+    def _parts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """First bytes of all parts: words with a space before them, and what white space is left."""
+        w = ts.words(data, cuts)
+        first = np.zeros(len(data) + 1, bool)
+        first[cuts] = True
+        inside = w.starts > cuts[w.row]
+        attached = inside & (data[w.starts - 1] == 0x20)
+        first[np.where(attached, w.starts - 1, w.starts)] = True
+        first[w.ends] = True  # white space after a word, or the next word
+        first[(w.starts - 1)[inside & ~attached]] = True  # the last of a run that doesn't end in a space stands alone
+        return np.flatnonzero(first[:-1])
+
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        rows: list[np.ndarray] = [None] * len(texts)
+        solid = [i for i, t in enumerate(texts) if not t.isspace()]
+        for a in range(0, len(solid), 2000):
+            part = solid[a:a + 2000]
+            ids = self._ids("".join(["\n" + texts[i].decode() for i in part]))
+            at = np.flatnonzero(ids == self.line)
+            if len(at) != len(part):
+                raise ValueError("the tokenizer has no token of its own for a line break")
+            for i, x in zip(part, np.split(ids, at[1:]), strict=True):
+                rows[i] = x[1:]
+        for i, t in enumerate(texts):
+            if rows[i] is None:
+                rows[i] = self._ids(t.decode())
+        if len(self.keys) + len(keys) > REMEMBERED:
+            self._forget()
+        size = np.array([len(r) for r in rows], np.int64)
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *rows])
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.first, self.size = every[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+
+    def encode(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+        """Ids of every document of a run."""
+        raw = data.tobytes()
+        parts = self._parts(data, cuts)
+        hashes = self.roll.spans(self.roll.prefix(self.roll.bytes[data]), parts, np.append(parts[1:], len(data))) if len(parts) else np.zeros(0, np.uint64)
+        distinct, example, place = np.unique(hashes, return_index=True, return_inverse=True)
+        ends = np.append(parts[1:], len(data))
+        for attempt in (0, 1):  # what is forgotten while learning is learnt again
+            at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+            new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+            if not len(new):
+                break
+            if attempt == 0 and len(self.keys) + len(new) > REMEMBERED:
+                self._forget()
+                new = np.arange(len(distinct))
+            self._learn(distinct[new], [raw[s:e] for s, e in zip(parts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, distinct)[place]
+        size = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(self.first[at] - upto[:-1], size) + np.arange(upto[-1])] if len(at) else np.zeros(0, np.uint32)
+        out = np.split(flat, upto[np.searchsorted(parts, cuts[1:-1])]) if len(cuts) > 1 else []
+        odd = {m.start() for pattern in (_WIDE, self.special) for m in pattern.finditer(raw)}
+        for row in {int(np.searchsorted(cuts, i, "right")) - 1 for i in odd}:
+            out[row] = self._ids(raw[cuts[row]:cuts[row + 1]].decode())
         return out
 
 
@@ -154,17 +209,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
         def step(batch):
             nonlocal upto
-            names, texts = column(batch, "id"), [t or "" for t in column(batch, "t").to_pylist()]
-            at, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= PIECE_CHARS or i == len(texts) - 1:
-                    ids = [x + end for x in tokens.encode(texts[at:i + 1])]
-                    n = np.array([len(x) // 4 for x in ids], np.int64)
-                    first = upto + np.cumsum(n) - n
-                    upto += int(n.sum())
-                    yield {"part": np.full(len(n), part, np.int32), "first": first, "id": names.slice(at, len(n)), "n": n, "ids": ids}
-                    at, size = i + 1, 0
+            names = column(batch, "id")
+            for a, b, data, cuts in ts.pieces(column(batch, "t")):
+                ids = [x.tobytes() + end for x in tokens.encode(data, cuts)]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                first = upto + np.cumsum(n) - n
+                upto += int(n.sum())
+                yield {"part": np.full(len(n), part, np.int32), "first": first, "id": names.slice(a, b - a), "n": n, "ids": ids}
         return step
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))

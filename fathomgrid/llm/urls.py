@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.frames import arrow, column, stored
+from fathomgrid.llm.frames import Shared, arrow, column, stored
 
 ORDER, HASH_BITS, FOLDS = 6, 18, 5
 ALLOW, BLOCK = "allow", "block"
@@ -138,7 +138,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_column: str = "
     rows = pages.select(id_column, F.col(url).cast("string").alias("u")).withColumns({"host": host, "path": path}).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
     examples = rows.filter("fit is not null").select("fit.verdict", F.translate("u", string.ascii_uppercase, string.ascii_lowercase).alias("u"), F.pmod(F.xxhash64("u"), F.lit(FOLDS)).alias("fold"))
     models = _count(examples.filter("fold <> 0"))
-    shared = pages.sparkSession.sparkContext.broadcast((models.get(ALLOW), models.get(BLOCK)))
+    shared = Shared(pages.sparkSession, (models.get(ALLOW), models.get(BLOCK)))
 
     def score():
         accepted, rejected = shared.value
