@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Slope and offset of each channel over 0..1, before clipping to 0..1.
+# Slope and offset of each channel along a ramp of 256 steps of 1/255, clipped to 0..1 and truncated to
+# bytes. "Inverse gray" is the gray ramp read from its end.
 COLOURS = {
     "Copper": ((1.25, 0.0), (0.7812, 0.0), (0.4975, 0.0)),
     "Grayscale": ((1.0, 0.0), (1.0, 0.0), (1.0, 0.0)),
-    "Inverse gray": ((-1.0, 1.0), (-1.0, 1.0), (-1.0, 1.0)),
+    "Inverse gray": ((1.0, 0.0), (1.0, 0.0), (1.0, 0.0)),
     "Gold": ((1.6, 0.0), (1.15, -0.05), (0.9, -0.35)),
 }
+REVERSED = ("Inverse gray",)
+STEP = 1.0 / 255
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,7 @@ def colourise(cells: DataFrame, settings: Display = Display(), value: str = "val
         else colour_index(F.col(value), settings)
     # an unknown palette name falls back to copper
     ramps = COLOURS.get(settings.colormap, COLOURS["Copper"])
-    at = F.col("_index") / 255.0
+    at = (255 - F.col("_index") if settings.colormap in REVERSED else F.col("_index")) * F.lit(STEP)
     channels = {c: (_unit(at * slope + offset) * 255).cast("int") for c, (slope, offset) in zip("rgb", ramps)}
     return cells.withColumn("_index", index).withColumns(
         {**channels, "a": F.when(F.col(value).isNotNull(), 255).otherwise(0)}).drop("_index")

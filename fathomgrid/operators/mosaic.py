@@ -18,11 +18,12 @@ from fathomgrid.operators.ordered import MISSION, exact_percentiles
 # Step weights of the 3x3 distance mask.
 STRAIGHT_STEP, DIAGONAL_STEP = 0.955, 1.3693
 
-# Ordering keys are plain numbers, not structs, so that the cell aggregation stays a hash
-# aggregation with map-side combining. Samples of a ping must number below SAMPLES_PER_PING.
-SAMPLES_PER_PING = 1 << 18
-RANGE_SCALE = float(1 << 48)
-KEY_SPAN = 10**18
+# Ordering keys are decimals, not structs, so that the cell aggregation stays a hash aggregation with
+# map-side combining: 18 digits of range, and 20 of ping and sample number (any int sample, pings up to
+# 4e10). A number that does not fit is an error. Ranges count in steps of 2**-36 m, which is exact for
+# single-precision values from 0.13 mm on.
+SAMPLE_SPAN = 1 << 31
+RANGE_SCALE = float(1 << 36)
 
 
 def project_samples(pings: DataFrame, keys: Sequence[str] = MISSION) -> DataFrame:
@@ -45,22 +46,26 @@ def cell_center(number: Column, params: Mosaic) -> Column:
     return (number + 0.5) * params.cell_m - params.half_extent_m
 
 
-def _nearness(near: Column, latest: Column) -> Column:
-    """Order key of the closest sample: smallest scaled range first, the latest among equals."""
-    return (-near).cast("decimal(19,0)") * F.lit(KEY_SPAN).cast("decimal(19,0)") + latest.cast("decimal(19,0)")
+def place_key(ping: Column, sample: Column) -> Column:
+    """Place of a sample in the order of pings and of samples inside a ping."""
+    return (ping.cast("decimal(11,0)") * F.lit(SAMPLE_SPAN).cast("decimal(10,0)") + sample.cast("decimal(10,0)")).cast("decimal(20,0)")
+
+
+def nearness_key(near: Column, ping: Column, sample: Column) -> Column:
+    """Order key of the closest sample: smallest range first, the latest among equals."""
+    steps = F.floor(near.cast("double") * RANGE_SCALE).cast("decimal(17,0)")
+    return (-steps * F.lit(str(10**20)).cast("decimal(21,0)")).cast("decimal(38,0)") + place_key(ping, sample)
 
 
 def _order_keys() -> dict[str, Column]:
-    ping, sample = F.col("ping_seq").cast("long"), F.col("sample_idx").cast("long")
-    latest = ping * SAMPLES_PER_PING + sample
-    near = (F.coalesce(F.abs(F.col("rng")).cast("float").cast("double"), F.lit(0.0)) * RANGE_SCALE).cast("long")
+    ping, sample = F.col("ping_seq").cast("long"), F.col("sample_idx").cast("int")
     return {
         # latest ping, last sample in it
-        "newest": latest,
+        "newest": place_key(ping, sample),
         # first ping to hit the cell, but the last of its samples there
-        "oldest": -ping * SAMPLES_PER_PING + sample,
+        "oldest": place_key(-ping, sample),
         # smallest single-precision range; among equals the latest sample
-        "closest": _nearness(near, latest),
+        "closest": nearness_key(F.coalesce(F.abs(F.col("rng")).cast("float"), F.lit(0.0).cast("float")), ping, sample),
     }
 
 
@@ -196,7 +201,8 @@ def tile_cells(cells: DataFrame, origin: Column, zoom: Column, params: Mosaic =
 
 def merge_cells(partial: DataFrame, *, keys: Sequence[str] = MISSION) -> DataFrame:
     """Cells from partially combined cells (the output of `raster.densify`, or of earlier runs)."""
-    order = {"closest": _nearness(F.col("closest_near"), F.col("closest_at")), "oldest": F.col("oldest_key"), "newest": F.col("newest_key")}
+    at = {p: (F.col(f"{p}_ping"), F.col(f"{p}_sample")) for p in ("closest", "oldest", "newest")}
+    order = {"closest": nearness_key(F.col("closest_near"), *at["closest"]), "oldest": place_key(-at["oldest"][0], at["oldest"][1]), "newest": place_key(*at["newest"])}
     return partial.groupBy(*keys, "cx", "cy").agg(
         F.sum("sum").alias("sum"), F.sum("wsum").alias("wsum"), F.sum("count").alias("count"),
         *[F.max_by(p, by).alias(p) for p, by in order.items()])

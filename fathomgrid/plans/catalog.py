@@ -37,7 +37,7 @@ def R(expression: str, name: str | None = None, digits: int = 6) -> str:
 # --- SQL forms of the derived tables ---------------------------------------------------------
 
 PINGS = """
-a AS (SELECT vec_id // 100 AS mission_id, CASE WHEN vec_id % 2 = 0 THEN 'port' ELSE 'stbd' END AS side,
+a AS (SELECT vec_id // 2 % 5 AS mission_id, CASE WHEN vec_id % 2 = 0 THEN 'port' ELSE 'stbd' END AS side,
   vec_id // 2 AS ping_no, vec_id,
   list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1e0) * 32767.5e0) AS INTEGER)) AS pwr,
   (vec_id // 2 * 100 + (vec_id % 2) * 7 * ((vec_id // 2) % 10)) * 1000000 AS sparse_ns,
@@ -78,7 +78,7 @@ d AS (SELECT mission_id, seq, us, t, user_id AS uid, x, y,
   FROM e WHERE event_type = 'purchase')"""
 
 SAMPLES = """
-l AS (SELECT 0 AS mission_id, l_partkey * 0.05e0 AS x, l_suppkey * 0.3e0 AS y, -60e0 + l_extendedprice / 2500e0 AS v,
+l AS (SELECT l_orderkey % 3 AS mission_id, l_partkey * 0.05e0 AS x, l_suppkey * 0.3e0 AS y, -60e0 + l_extendedprice / 2500e0 AS v,
   CAST(l_quantity AS DOUBLE) AS rng, l_orderkey AS ping_seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY
   l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) AS sample_idx FROM lineitem)"""
 

@@ -82,11 +82,19 @@ def normalize_8bit(spark, d):
     return joined.select("mission_id", "cx", "cy", display.to_8bit(F.col("value"), F.col("vmin"), F.col("vmax")).alias("pixel"))
 
 
+def _ramp(*channels) -> str:
+    """SQL rows (i, r, g, b) of a palette: a table of its 256 levels."""
+    rows = []
+    for i in range(256):
+        x = i * (1.0 / 255)
+        rows.append((i, *[int(min(1.0, max(0.0, slope * x + offset)) * 255) for slope, offset in channels]))
+    return "(VALUES " + ", ".join(map(str, rows)) + ") p(i, r, g, b)"
+
+
 @query(with_(NORM + """,
-ix AS (SELECT *, CASE WHEN u IS NULL THEN 0 ELSE CAST(trunc(greatest(0e0, least(1e0, pow(u, 0.8e0) + 0.1e0)) * 255) AS INTEGER) END / 255e0 AS q FROM nv)""",
-             """SELECT mission_id, cx, cy, CAST(trunc(least(1e0, 1.6e0 * q) * 255) AS INTEGER) AS r,
-CAST(trunc(greatest(0e0, least(1e0, q * 1.15e0 + -0.05e0)) * 255) AS INTEGER) AS g, CAST(trunc(greatest(0e0, least(1e0, q * 0.9e0 + -0.35e0)) * 255) AS INTEGER) AS b,
-CASE WHEN value IS NULL THEN 0 ELSE 255 END AS a FROM ix"""))
+ix AS (SELECT *, CASE WHEN u IS NULL THEN 0 ELSE CAST(trunc(greatest(0e0, least(1e0, pow(u, 0.8e0) + 0.1e0)) * 255) AS INTEGER) END AS i FROM nv)""",
+             f"SELECT mission_id, cx, cy, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, CASE WHEN value IS NULL THEN 0 ELSE 255 END AS a "
+             f"FROM ix JOIN {_ramp((1.6, 0.0), (1.15, -0.05), (0.9, -0.35))} USING (i)"))
 def display_rgba(spark, d):
     cells = _shown(spark, d)
     joined = cells.join(grid.contrast_limits(cells), "mission_id")
@@ -94,10 +102,9 @@ def display_rgba(spark, d):
     return display.colourise(joined, settings).select("mission_id", "cx", "cy", "r", "g", "b", "a")
 
 
-@query(with_(NEAREST_CELLS, """SELECT mission_id, cx, cy, CAST(trunc(least(1e0, q * 1.25e0) * 255) AS INTEGER) AS r,
-CAST(trunc(q * 0.7812e0 * 255) AS INTEGER) AS g, CAST(trunc(q * 0.4975e0 * 255) AS INTEGER) AS b, 255 AS a FROM (
-SELECT mission_id, cx, cy, CAST(trunc(greatest(0e0, least(1e0, (arg_max(v, row(ping_seq, sample_idx)) - -55e0) / (-25e0 - -55e0))) * 255) AS INTEGER) / 255e0 AS q
-FROM n GROUP BY mission_id, cx, cy)"""))
+@query(with_(NEAREST_CELLS, f"""SELECT mission_id, cx, cy, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, 255 AS a FROM (
+SELECT mission_id, cx, cy, CAST(trunc(greatest(0e0, least(1e0, (arg_max(v, row(ping_seq, sample_idx)) - -55e0) / (-25e0 - -55e0))) * 255) AS INTEGER) AS i
+FROM n GROUP BY mission_id, cx, cy) JOIN {_ramp((1.25, 0.0), (0.7812, 0.0), (0.4975, 0.0))} USING (i)"""))
 def display_manual_range(spark, d):
     cells = grid.render(grid.mosaic(tables.samples(spark, d), SCATTER, policies=("newest",)), "newest", SCATTER)
     settings = display.Display(auto_range=False, vmin_db=-55.0, vmax_db=-25.0)

@@ -36,7 +36,7 @@ def side_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     no = F.floor(v / 2)
     return read(spark, sf_dir, "embeddings").select(
-        F.floor(v / 100).alias("mission_id"), F.when(v % 2 == 0, "port").otherwise("stbd").alias("side"),
+        (no % 5).alias("mission_id"), F.when(v % 2 == 0, "port").otherwise("stbd").alias("side"),
         no.alias("ping_no"), v.alias("vec_id"),
         F.transform("embedding", lambda e: F.floor((e.cast("double") + 1.0) * 32767.5).cast("int")).alias("pwr"),
         F.lit(-80.0).alias("min_db"), F.lit(0.0).alias("max_db"), F.lit(0).cast("long").alias("start_mm"),
@@ -102,10 +102,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geo-referenced samples of one mission."""
+    """Geo-referenced samples of three missions."""
     inside = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax")
     return read(spark, sf_dir, "lineitem").select(
-        F.lit(0).alias("mission_id"), (F.col("l_partkey") * 0.05).alias("x"), (F.col("l_suppkey") * 0.3).alias("y"),
+        (F.col("l_orderkey") % 3).alias("mission_id"), (F.col("l_partkey") * 0.05).alias("x"), (F.col("l_suppkey") * 0.3).alias("y"),
         (-60.0 + F.col("l_extendedprice") / 2500.0).alias("v"), F.col("l_quantity").cast("double").alias("rng"),
         F.col("l_orderkey").alias("ping_seq"), F.row_number().over(inside).alias("sample_idx"))

@@ -47,13 +47,13 @@ def detections(messages: DataFrame, keys: Sequence[str] = MISSION) -> DataFrame:
     """Detection messages (t, detections[]: id, x, y, size_x, results[]: class_id, score), one row
     per detection that has a result; the first result counts.
 
-    A non-numeric id is hashed; the hash is stable across runs.
+    A non-numeric id becomes the first 31 bits after the sign of its MD5, which is stable across runs and engines.
     """
     d = F.col("_d")
     flat = messages.select(*keys, "t", "seq", F.posexplode("detections").alias("_i", "_d")).filter(F.size(d["results"]) > 0)
     best = F.get(d["results"], F.lit(0))
     label = F.when(F.length(d["id"]) > 0, d["id"]).otherwise(F.format_string("det-%s-%d", F.col("t").cast("string"), F.col("_i")))
-    hashed = F.xxhash64(label).bitwiseAND(F.lit(UID_MASK).cast("long"))
+    hashed = F.conv(F.substring(F.md5(label.cast("binary")), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(UID_MASK).cast("long"))
     return flat.select(
         *keys, "seq", F.col("_i").alias("detection_no"), F.coalesce(d["id"].try_cast("long"), hashed).alias("uid"), "t",
         d["x"].alias("x"), d["y"].alias("y"),

@@ -156,6 +156,15 @@ def test_palettes(spark):
     got = [(r.r, r.g, r.b, r.a) for r in display.colourise(df, display.Display(colormap="Inverse gray")).collect()]
     assert got == [(255, 255, 255, 255), (0, 0, 0, 255), (255, 255, 255, 0)]
     assert [(r.r, r.g, r.b) for r in display.colourise(df).collect()][1] == (255, 199, 126)
+    # every level of every palette against ramps made with NumPy
+    levels = spark.range(256).select("id", ((F.col("id") + 0.5) / 255).alias("value"), F.lit(0.0).alias("vmin"), F.lit(1.0).alias("vmax"))
+    x = np.linspace(0.0, 1.0, 256)
+    ramps = {"Grayscale": [x, x, x], "Copper": [1.25 * x, 0.7812 * x, 0.4975 * x], "Gold": [1.6 * x, 1.15 * x - 0.05, 0.9 * x - 0.35]}
+    ramps["Inverse gray"] = [c[::-1] for c in ramps["Grayscale"]]
+    for name, ramp in ramps.items():
+        want = (np.clip(np.stack(ramp, axis=1), 0, 1) * 255).astype(np.uint8).tolist()
+        got = [[r.r, r.g, r.b] for r in display.colourise(levels, display.Display(colormap=name)).orderBy("id").collect()]
+        assert got == want
 
 
 def track(x, y, yaw, lateral, values):
