@@ -74,3 +74,28 @@ def suffixes(docs: list[tuple[int, str | None]], k: int = 50) -> dict[int, tuple
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out[doc] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest())
     return out
+
+
+TOKEN = re.compile(r"[^\W_]+")
+
+
+def alignment(item: list[str], words: list[str]) -> int:
+    row, best = [0] * (len(words) + 1), 0
+    for a in item:
+        new = [0]
+        for j, b in enumerate(words):
+            new.append(max(0, row[j] + (2 if a == b else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, max(new))
+    return best
+
+
+def contaminated(docs, items, threshold: float = 0.4) -> set[tuple[int, int]]:
+    """Pairs by aligning every item with every whole document (no seeds)."""
+    out = set()
+    for item, item_text in items:
+        wanted = TOKEN.findall((item_text or "").lower())
+        for doc, text in docs:
+            words = TOKEN.findall((text or "").lower())
+            if len(wanted) >= 2 and set(wanted) & set(words) and alignment(wanted, words) >= threshold * 2 * len(wanted):
+                out.add((doc, item))
+    return out
