@@ -144,17 +144,22 @@ def replay_origin(telemetry: DataFrame, poses: DataFrame, *, keys: Sequence[str]
         F.struct("lat", "lon", F.col("_pose.x").alias("x"), F.col("_pose.y").alias("y")), F.col("seq")).alias("origin"))
 
 
-def fallback_states(odom: DataFrame, fixes: DataFrame, params: Alignment = Alignment(), *,
+def fallback_states(odom: DataFrame, fixes: DataFrame, params: Alignment = Alignment(), *, speeds: DataFrame | None = None,
                     keys: Sequence[str] = MISSION, slices: Slices | None = None) -> DataFrame:
     """GPS-derived states while odometry is dead or frozen at the origin although GPS has moved.
 
     By event time: a fix yields a state when the last odometry row is older than `odom_dead_s` (or
     there is none), or sits at the origin while the reckoned position is over 1 m away; at most one
-    state per 200 ms.
+    state per 200 ms. A measured speed (`speeds`: t, seq, speed) is used where one is known, else the
+    reckoned one.
     """
     slices = slices or Slices.fit("t")
     reckoned = dead_reckon(fixes, keys=keys, slices=slices)
     seen = attach_latest(reckoned, odom.select(*keys, "t", "seq", "x", "y"), "_odom", keys=keys, slices=slices)
+    speed = F.col("reckoned_speed")
+    if speeds is not None:
+        seen = attach_latest(seen, speeds.filter(units.finite(F.col("speed"))).select(*keys, "t", "seq", "speed"), "_speed", keys=keys, slices=slices)
+        speed = F.coalesce(F.col("_speed.speed"), speed)
     o = F.col("_odom")
     dead = o.isNull() | (F.col("t") - o["t"] > params.odom_dead_s)
     stuck = ((F.abs(o["x"]) < params.frozen_eps_m) & (F.abs(o["y"]) < params.frozen_eps_m)
@@ -163,7 +168,7 @@ def fallback_states(odom: DataFrame, fixes: DataFrame, params: Alignment = Align
         *keys, "seq", F.bround(F.col("t") * 1e9).cast("long").alias("stamp_ns"), "t",
         F.col("reckoned_x").alias("x"), F.col("reckoned_y").alias("y"), F.col("reckoned_yaw").alias("yaw"),
         "lat", "lon", F.coalesce("compass_deg", attitude.compass_deg(F.col("reckoned_yaw"))).alias("heading_deg"),
-        F.col("reckoned_speed").alias("speed_mps"))
+        speed.alias("speed_mps"))
     kept = sequential.throttle(wanted, params.state_period_ns, keys=keys, slices=Slices.fit("stamp_ns"))
     return wanted.join(kept.select(*keys, "seq"), [*keys, "seq"]).drop("stamp_ns")
 

@@ -30,19 +30,19 @@ def at_render_rate(df: DataFrame, config: Config = Config()) -> DataStreamWriter
     return df.writeStream.outputMode("update").trigger(processingTime=f"{period} milliseconds")
 
 
-def rates(messages: DataFrame, *, event_time: str = "ts", delay: str = "5 seconds", keys: Sequence[str] = ("mission_id", "topic")) -> DataFrame:
-    """Messages per second and topic."""
+def rates(messages: DataFrame, delay: str, *, event_time: str = "ts", keys: Sequence[str] = ("mission_id", "topic")) -> DataFrame:
+    """Messages per second and topic; a message later than `delay` is not counted."""
     return messages.withWatermark(event_time, delay).groupBy(*keys, F.window(event_time, "1 second")).agg(F.count(F.lit(1)).alias("messages"))
 
 
-def depth_range(pings: DataFrame, *, event_time: str = "ts", delay: str = "5 seconds", keys: Sequence[str] = MISSION) -> DataFrame:
+def depth_range(pings: DataFrame, delay: str, *, event_time: str = "ts", keys: Sequence[str] = MISSION) -> DataFrame:
     """Depth range over the last minute, every second."""
     sliding = F.window(event_time, "60 seconds", "1 second")
     return pings.withWatermark(event_time, delay).groupBy(*keys, sliding).agg(
         F.min("water_depth").alias("depth_min"), F.max("water_depth").alias("depth_max"), F.max_by("water_depth", event_time).alias("depth"))
 
 
-def activity(states: DataFrame, *, event_time: str = "ts", gap: str = "3 seconds", delay: str = "5 seconds", keys: Sequence[str] = MISSION) -> DataFrame:
+def activity(states: DataFrame, delay: str, *, event_time: str = "ts", gap: str = "3 seconds", keys: Sequence[str] = MISSION) -> DataFrame:
     """Unbroken runs of a stream: a silence longer than the gap starts a new one."""
     runs = F.session_window(event_time, gap)
     return states.withWatermark(event_time, delay).groupBy(*keys, runs).agg(F.count(F.lit(1)).alias("states"))

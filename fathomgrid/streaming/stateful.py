@@ -76,17 +76,17 @@ def _apply(df: DataFrame, step: Step, columns: str, keys: Sequence[str], order:
         KeyedStep(step, keys, order, on_idle, idle_ms), schema, "Append", "ProcessingTime" if idle_ms else "None")
 
 
-def dedupe(messages: DataFrame, event_time: str = "ts", delay: str = "5 seconds",
+def dedupe(messages: DataFrame, delay: str, event_time: str = "ts",
            keys: Sequence[str] = ("mission_id", "side", "ping_number")) -> DataFrame:
     """At-least-once input to once per ping; rows later than the delay are dropped."""
     return messages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def pair_pings(df: DataFrame, params: Pairing = Pairing(), *, max_wait_ns: int = 60_000_000_000,
-               keys: Sequence[str] = MISSION) -> DataFrame:
+def pair_pings(df: DataFrame, params: Pairing = Pairing(), *, keys: Sequence[str] = MISSION) -> DataFrame:
     """Streaming form of `sequential.pair_pings` (side, stamp_ns, seq).
 
-    A ping that has waited `max_wait_ns` behind its own side's newest is given up.
+    A waiting ping is given up only when the other side, which comes in order, has passed it by more
+    than the tolerance: nothing that the batch form would pair is lost.
     """
     tol = params.tolerance_ns
 
@@ -106,8 +106,9 @@ def pair_pings(df: DataFrame, params: Pairing = Pairing(), *, max_wait_ns: int =
                 j += 1
             else:
                 i += 1
-        waiting = [[e for e in q[at:] if e[0] >= q[-1][0] - max_wait_ns] for q, at in ((port, i), (stbd, j))]
-        return {"port": waiting[0], "stbd": waiting[1]}, pd.DataFrame(found, columns=["port_seq", "stbd_seq", "port_ns", "stbd_ns"])
+        seen = [max([s for s in (state.get(f"{side}_seen"), *(e[0] for e in q[-1:])) if s is not None], default=None) for side, q in (("port", port), ("stbd", stbd))]
+        waiting = [[e for e in q[at:] if other is None or e[0] >= other - tol] for q, at, other in ((port, i, seen[1]), (stbd, j, seen[0]))]
+        return {"port": waiting[0], "stbd": waiting[1], "port_seen": seen[0], "stbd_seen": seen[1]}, pd.DataFrame(found, columns=["port_seq", "stbd_seq", "port_ns", "stbd_ns"])
 
     return _apply(df.select(*keys, "side", "stamp_ns", "seq"), step,
                   "port_seq long, stbd_seq long, port_ns long, stbd_ns long", keys, ("stamp_ns", "seq"))
@@ -183,37 +184,45 @@ def image_members(df: DataFrame, params: Seabed = Seabed(), *, flush_after_ms: i
     has_end = "end" in df.columns
     names = ["image_id", "row_no", "seq"]
 
-    def emit(state: dict, count: int, out: list) -> None:
-        out += [(state["next"], k, seq) for k, seq in enumerate(state["rows"][-count:])]
-        state["next"] += 1
+    def image(state: dict, seqs: list, end: int, size: int) -> list:
+        """Rows of the image of `size` pings that ends at ping number `end`; `seqs` are the newest up to number `n`."""
+        stop = len(seqs) - (state["n"] - end)
+        state["images"], state["last_end"] = state["images"] + 1, end
+        return [(state["images"] - 1, k, seq) for k, seq in enumerate(seqs[stop - size:stop])]
+
+    def full(state: dict, new: list) -> list:
+        """Images that fill while the pings `new` arrive: their ends are `stride` apart, the first where the window is full."""
+        seqs, out = state["rows"] + new, []
+        state["n"] += len(new)
+        for end in range(max(state["last_end"] + params.stride, params.rows), state["n"] + 1, params.stride):
+            out += image(state, seqs, end, params.rows)
+        state["rows"] = seqs[-params.rows:]
+        return out
 
-    def flush(state: dict, out: list) -> None:
-        tail = min(state["fresh"] if state["next"] else len(state["rows"]), len(state["rows"]))
-        if tail >= 2:
-            emit(state, tail, out)
-        state["fresh"] = 0
+    def tail(state: dict) -> list:
+        """What has come since the last image; all there is when there was none."""
+        size = min(state["n"] - state["last_end"], len(state["rows"]))
+        out = image(state, state["rows"], state["n"], size) if size >= 2 else []
+        state["last_end"] = state["n"]
+        return out
 
     def start(state: dict) -> dict:
-        return state or {"rows": [], "fresh": 0, "next": 0}
+        return state or {"rows": [], "n": 0, "last_end": 0, "images": 0}
 
     def step(state: dict, rows: pd.DataFrame):
         state, out = start(state), []
-        ends = rows["end"] if has_end else [False] * len(rows)
-        for seq, end in zip(rows["seq"], ends):
-            if end:
-                flush(state, out)
-                continue
-            state["rows"] = [*state["rows"][-(params.rows - 1):], int(seq)] if params.rows > 1 else [int(seq)]
-            state["fresh"] += 1
-            if state["fresh"] >= params.stride and len(state["rows"]) >= params.rows:
-                state["fresh"] = 0
-                emit(state, params.rows, out)
+        seqs = rows["seq"].to_numpy()
+        stops = np.flatnonzero(rows["end"].to_numpy(bool)) if has_end else np.zeros(0, int)
+        for part in np.split(np.arange(len(seqs)), stops):
+            if len(part) and len(stops) and part[0] in stops:
+                out += tail(state)
+                part = part[1:]
+            out += full(state, seqs[part].tolist())
         return state, pd.DataFrame(out, columns=names, dtype=np.int64)
 
     def on_idle(state: dict, _rows: pd.DataFrame):
-        state, out = start(state), []
-        flush(state, out)
-        return state, pd.DataFrame(out, columns=names, dtype=np.int64)
+        state = start(state)
+        return state, pd.DataFrame(tail(state), columns=names, dtype=np.int64)
 
     narrow = df.select(*keys, "t", "seq", *(["end"] if has_end else []))
     return _apply(narrow, step, "image_id long, row_no long, seq long", keys, ("t", "seq"), on_idle, flush_after_ms)
@@ -235,9 +244,11 @@ def robot_states(df: DataFrame, params: Alignment = Alignment(), *, keys: Sequen
             t = float(row.t)
             due = state.get("emitted") is None or t - state["emitted"] >= period
             if row.kind == "compass":
-                state["heading"] = float(row.compass_deg) % 360.0
+                if np.isfinite(row.compass_deg):
+                    state["heading"] = float(row.compass_deg) % 360.0
             elif row.kind == "vfr":
-                state["speed"] = float(row.speed)
+                if np.isfinite(row.speed):
+                    state["speed"] = float(row.speed)
             elif row.kind == "gps":
                 lat, lon = float(row.lat), float(row.lon)
                 ref = state.setdefault("ref", [lat, lon])

@@ -112,15 +112,15 @@ def test_live_mosaic_ends_at_the_batch_mosaic(spark, tmp_path):
 def test_time_windows_and_dedupe(spark, tmp_path):
     df = spark.range(20).select(F.lit(1).cast("long").alias("mission_id"), F.lit("port").alias("side"), F.floor(F.col("id") / 2).alias("ping_number"),
                                 F.timestamp_seconds(1000 + F.floor(F.col("id") / 2)).alias("ts"), F.lit("a").alias("topic"), F.col("id").alias("k"))
-    once = drain(stateful.dedupe(streamed(spark, df, "k", tmp_path)), tmp_path)
+    once = drain(stateful.dedupe(streamed(spark, df, "k", tmp_path), "5 seconds"), tmp_path)
     assert once.count() == 10
 
 
 def test_rates_and_sessions(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", float(t)) for t in (0, 0.5, 1, 9, 9.2, 30)], "mission_id long, topic string, t double").withColumn("ts", F.timestamp_seconds("t")).withColumn("water_depth", F.col("t"))
     source = streamed(spark, df, "t", tmp_path, 1)
-    got = drain(live.rates(source), tmp_path, "update")
+    got = drain(live.rates(source, "5 seconds"), tmp_path, "update")
     assert sorted(r.messages for r in got.collect()) == [1, 1, 2, 2]
-    runs = live.activity(df).select("states").collect()
+    runs = live.activity(df, "5 seconds").select("states").collect()
     assert sorted(r.states for r in runs) == [1, 2, 3]
     assert live.gate(df, spark.createDataFrame([(1, 1.0, 9.0)], "mission_id long, started double, ended double")).count() == 2
