@@ -35,13 +35,13 @@ def session_counts(pings: DataFrame, detections: DataFrame, *, keys: Sequence[st
         start.alias("started_s"), end.alias("ended_s"), F.round(end - start, 1).alias("duration_s"))
 
 
-def _by_day(files: DataFrame, sessions: DataFrame, slack_s: int):
-    """Both sides keyed by day, so that the interval join is an equality join plus a filter."""
-    day = 86_400
+def _by_hour(files: DataFrame, sessions: DataFrame, slack_s: int):
+    """Both sides keyed by hour, so that the interval join is an equality join plus a filter."""
+    hour = 3600
     lo, hi = F.col("started") - slack_s, F.col("ended") + slack_s
-    spread = sessions.withColumns({"_lo": lo, "_hi": hi}).withColumn("_day", F.explode(F.sequence(
-        F.floor(F.col("_lo") / day).cast("long"), F.floor(F.col("_hi") / day).cast("long"))))
-    return files.withColumn("_day", F.floor(F.col("mtime") / day).cast("long")), spread
+    spread = sessions.withColumns({"_lo": lo, "_hi": hi}).withColumn("_hour", F.explode(F.sequence(
+        F.floor(F.col("_lo") / hour).cast("long"), F.floor(F.col("_hi") / hour).cast("long"))))
+    return files.withColumn("_hour", F.floor(F.col("mtime") / hour).cast("long")), spread
 
 
 def adopt_files(files: DataFrame, sessions: DataFrame, *, slack_s: int = FILE_SLACK_S) -> DataFrame:
@@ -49,8 +49,8 @@ def adopt_files(files: DataFrame, sessions: DataFrame, *, slack_s: int = FILE_SL
 
     `files` has path and mtime (seconds), `sessions` session_id, folder, started and ended (seconds).
     """
-    keyed, spread = _by_day(files, sessions, slack_s)
-    return keyed.join(spread, "_day").filter(
+    keyed, spread = _by_hour(files, sessions, slack_s)
+    return keyed.join(spread, "_hour").filter(
         F.col("mtime").between(F.col("_lo"), F.col("_hi")) & ~F.col("path").startswith(F.concat("folder", F.lit("/")))
     ).select("session_id", "path", "mtime")
 
@@ -62,10 +62,10 @@ def adopted_counts(files: DataFrame, sessions: DataFrame, *, slack_s: int = FILE
     not multiply into pairs.
     """
     busy = files.groupBy("mtime").agg(F.count(F.lit(1)).alias("_files"))
-    keyed, spread = _by_day(busy, sessions.select("session_id", "started", "ended"), slack_s)
+    keyed, spread = _by_hour(busy, sessions.select("session_id", "started", "ended"), slack_s)
     # sessions with the same interval see the same files: join each interval once
-    spans = spread.select("_day", "_lo", "_hi").distinct()
-    per_span = keyed.join(spans, "_day").filter(F.col("mtime").between(F.col("_lo"), F.col("_hi"))).groupBy("_lo", "_hi").agg(
+    spans = spread.select("_hour", "_lo", "_hi").distinct()
+    per_span = keyed.join(spans, "_hour").filter(F.col("mtime").between(F.col("_lo"), F.col("_hi"))).groupBy("_lo", "_hi").agg(
         F.sum("_files").alias("adopted_files"), F.min("mtime").alias("first_mtime"), F.max("mtime").alias("last_mtime"))
     return (sessions.select("session_id", (F.col("started") - slack_s).alias("_lo"), (F.col("ended") + slack_s).alias("_hi"))
             .join(per_span, ["_lo", "_hi"]).select("session_id", "adopted_files", "first_mtime", "last_mtime"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mosaic_queries", "ping_queries", "frame_queries", "telemetry_queries", "detection_queries", "log_queries")
+MODULES = ("mosaic_queries", "ping_queries", "frame_queries", "telemetry_queries", "detection_queries", "log_queries", "file_queries")
 
 
 def load() -> None:

@@ -9,6 +9,7 @@ from fathomgrid.operators import asof, missions, sequential, telemetry
 from fathomgrid.operators.ordered import newest
 from fathomgrid.plans import processing, tables
 from fathomgrid.plans.catalog import STATES, R, query, r6, recursive, with_
+from fathomgrid.sinks import files
 from fathomgrid.sources import messages
 
 HOUR_NS = 3_600_000_000_000
@@ -207,13 +208,12 @@ def replay_origin(spark, d):
 
 
 @query(with_(STATES, f"""SELECT mission_id, printf('%.3f', (us // 1000 - min(us // 1000) OVER (PARTITION BY mission_id)) / 1e3) AS t_since_first_s,
-printf('%.3f', x) AS x_m, printf('%.3f', y) AS y_m, seq FROM e"""))
+printf('%.3f', x) AS x_m, printf('%.3f', y) AS y_m, printf('%.3f', seq % 7 * 0.5e0) AS depth_m FROM e"""))
 def trajectory_text(spark, d):
     """Whole milliseconds, so that no third decimal is a tie."""
-    rows = tables.states(spark, d).withColumn("t", F.floor(F.col("us") / 1000))
-    out = telemetry.since_first(rows)
-    return out.select("mission_id", F.format_string("%.3f", F.col("since_first_s") / 1e3).alias("t_since_first_s"),
-                      F.format_string("%.3f", "x").alias("x_m"), F.format_string("%.3f", "y").alias("y_m"), "seq")
+    rows = tables.states(spark, d).select("mission_id", (F.floor(F.col("us") / 1000) / 1e3).alias("t"), F.col("x").alias("robot_x"), F.col("y").alias("robot_y"),
+                                          (F.col("seq") % 7 * 0.5).alias("water_depth"))
+    return files.trajectory_rows(rows)
 
 
 @query(with_(STATES, f"SELECT seq, CAST((row_number() OVER w - 1) % 256 AS BIGINT) AS sequence FROM e {W}"))
@@ -321,5 +321,5 @@ def session_files(spark, d):
     orders, items = tables.read(spark, d, "orders"), tables.read(spark, d, "lineitem")
     start = F.floor(tables.epoch_us(orders, "o_orderdate") / 1_000_000)
     sessions = orders.select(F.col("o_orderkey").alias("session_id"), start.alias("started"), (start + 3600).alias("ended"))
-    files = items.select(F.floor(tables.epoch_us(items, "l_shipdate") / 1_000_000).alias("mtime"))
-    return missions.adopted_counts(files, sessions)
+    written = items.select(F.floor(tables.epoch_us(items, "l_shipdate") / 1_000_000).alias("mtime"))
+    return missions.adopted_counts(written, sessions)

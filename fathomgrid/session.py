@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share (see `checkpointed`)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        _use_shared(spark)
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _use_shared(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage.
 
     The folder is the cluster's `spark.checkpoint.dir`; a folder of our own is set only where
     the session names none (single-machine runs and tests).
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        _use_shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -278,3 +278,13 @@ def test_track_segments_over_slices(spark):
     for cut in (None, Slices("t", 1.5)):
         got = [r.segment for r in telemetry.track_segments(df, Alignment(), slices=cut).orderBy("seq").collect()]
         assert got == [0, 0, 1, 1, 2, 2]
+
+
+def test_measured_speed_wins_in_fallback_states(spark):
+    odom = spark.createDataFrame([(1, -9.0, 0, 0.0, 0.0)], "mission_id long, t double, seq long, x double, y double")
+    fixes = spark.createDataFrame([(1, float(i), i, 43.0 + i * 1e-5, 7.0, None) for i in range(4)],
+                                  "mission_id long, t double, seq long, lat double, lon double, compass_deg double")
+    speeds = spark.createDataFrame([(1, 0.5, 1, 2.5), (1, 1.5, 2, float("nan")), (1, 2.5, 3, 3.5)], "mission_id long, t double, seq long, speed double")
+    plain = [r.speed_mps for r in telemetry.fallback_states(odom, fixes).orderBy("t").collect()]
+    got = [r.speed_mps for r in telemetry.fallback_states(odom, fixes, speeds=speeds).orderBy("t").collect()]
+    assert got == [plain[0], 2.5, 2.5, 3.5]
