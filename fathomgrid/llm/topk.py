@@ -123,7 +123,7 @@ def search(vectors: DataFrame, queries, k: int = 5, scale: int = 256, id_column:
 
     keyed = stored(arrow(rows.select("id", "v"), assign, "id long, v binary, pivot int, d double"), "keyed")
     spread = keyed.groupBy("pivot").agg(F.min("d").alias("from"), F.max("d").alias("to"))
-    ring = F.least(F.lit(RINGS - 1), F.floor((F.col("d") - F.col("from")) / (F.col("to") - F.col("from")) * RINGS)).cast("int")
+    ring = F.least(F.lit(RINGS - 1), F.floor(F.try_divide(F.col("d") - F.col("from"), F.col("to") - F.col("from")) * RINGS)).cast("int")
     keyed = keyed.join(spread, "pivot").withColumn("cell", F.col("pivot") * RINGS + F.coalesce(ring, F.lit(0))).drop("from", "to")
     stats = sorted(keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("near"), F.max("d").alias("far")).collect())  # at most PIVOTS * RINGS
     n = np.array([s.n for s in stats], np.int64)
