@@ -167,17 +167,13 @@ def test_palettes(spark):
         assert got == want
 
 
-def track(x, y, yaw, lateral, values):
-    return raster.Track(x, y, yaw, np.array(lateral, float), np.array(values, float), 0.125)
-
-
 def test_virtual_ping_count():
-    side = [1.0, 2.0]
-    a, b, far = track(0, 0, 0, side, [1, 2]), track(0.5, 0, 0, side, [1, 2]), track(3, 0, 0, side, [1, 2])
-    per_ping = a.sides[0][0].size
-    assert raster.virtual_samples(b, a, Mosaic())[0].size == 4 * per_ping
-    assert raster.virtual_samples(far, a, Mosaic())[0].size == per_ping
-    assert raster.virtual_samples(track(0, 0, 0, [0.0], [1]), a, Mosaic())[0].size == 0
+    pose = np.array([[0.0, 0, 0], [0.5, 0, 0], [3.0, 0, 0], [0.0, 0, 0]])
+    lateral, ping = np.array([1.0, 2, 1, 2, 1, 2, 0]), np.array([0, 0, 1, 1, 2, 2, 3])
+    lines = raster.even_lines(lateral, np.arange(7.0), ping, 4, 0.125)
+    per_ping = lines.first[1]
+    total = raster.virtual_pings(pose, lines, np.array([1, 2, 3]), np.array([0, 0, 0]), Mosaic())[-1]
+    assert total.tolist() == [4 * per_ping, per_ping, 0]
 
 
 def plain_walk(now, before, params):
