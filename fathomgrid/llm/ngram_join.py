@@ -7,12 +7,12 @@ similarity is at least `percent`. The join is PPJoin-like:
   whole corpus), then by hash. Any order is right; this one keeps frequent passages out of the prefixes.
 * Prefix: linked sets share an n-gram among the first `n - ceil(percent n) + 1`. A second sketch drops prefix n-grams that
   occur in one prefix only, so what is shuffled are n-grams that may join.
-* Length, positional and suffix filters run on the joined rows; the suffix filter compares 64 parity bits of hash buckets,
-  which bound the symmetric difference from below.
-* Equal sets are one class. In each n-gram's group every class first meets only the group's smallest class (a star, linear
-  in the group). Pairs are distinct, so each is verified once, on the whole texts. After components are built, only groups
-  that still hold several components are joined pair by pair, across components only: no link that matters is lost and
-  groups of near copies are never expanded.
+* Length, positional and suffix filters are conditions of the join itself; the suffix filter compares 512 parity bits of hash
+  buckets, which bound the symmetric difference from below.
+* Equal sets are one class. In each n-gram's group every class first meets only the group's leaders (at most `LEADERS`, drawn
+  anew for each n-gram: linear in the group), and of all its leaders at most `PICKS`. Pairs are distinct, so each is
+  verified once, on the whole texts. After components are built, only groups that still hold several components are joined pair by pair,
+  across components only: no link that matters is lost and groups of near copies are never expanded.
 
 Empty and null texts have an empty set and are alone. Repeated rows and ties need no order: the component is named by its
 smallest id. Null ids get the component of their class. Extra columns play no part. Hashes have 58 bits within the order;
@@ -31,6 +31,8 @@ from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.components import components
 from fathomgrid.llm.frames import arrow, column, stored
 
+LEADERS, PICKS = 8, 24
+PARITY = tuple(f"p{i}" for i in range(8))
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -71,14 +73,22 @@ def _overlap(na: Column, nb: Column, percent: int) -> Column:
 
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Length, positional and suffix filters on two prefix rows given by column prefixes."""
-    na, nb, pa_, pb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     need = _overlap(na, nb, percent)
-    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= need)
-            & (F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) <= na + nb - 2 * need))
+    differ = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY[1:]), F.bit_count(F.col(a + PARITY[0]).bitwiseXOR(F.col(b + PARITY[0]))))
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
+            & (differ <= na + nb - 2 * need))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _named(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(side + c) for c in ("s", "n", "pos", *PARITY, *columns)])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, compared once each on whole texts."""
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(classes, "s").select("s", F.col("rep").alias("id")), "wanted")
+    texts = stored(sketch.only(docs, wanted.select("id"), "id").join(wanted, "id").select("s", "t"), "texts")
     both = pairs.join(texts.select(F.col("s").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("s").alias("b"), F.col("t").alias("tb")), "b")
 
     def make():
@@ -155,45 +165,52 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
                 flat = np.concatenate(sets) if n.sum() else np.zeros(0, np.uint64)
                 first = np.concatenate([[0], np.cumsum(n)])
                 full = np.flatnonzero(n)
-                left, right, parity = (np.zeros(len(n), np.uint64) for _ in range(3))
+                left, right, parity = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.zeros((8, len(n)), np.uint64)
                 if len(full):
                     left[full] = np.add.reduceat(ts.mix(flat ^ _LEFT), first[full])
                     right[full] = np.add.reduceat(ts.mix(flat ^ _RIGHT), first[full])
-                    parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (ts.mix(flat) & np.uint64(63)), first[full])
-                yield {"id": ids.slice(a, b - a), "n": n, "s": pa.array(left.view(np.int64), mask=n == 0), "s2": right.view(np.int64), "parity": None, "pos": None, "token": None} | {
-                    c: pa.nulls(len(n), pa.int64()) for c in ("parity", "pos", "token")}
+                    bucket = ts.mix(flat) & np.uint64(511)
+                    for i in range(8):
+                        bit = np.where(bucket >> np.uint64(6) == i, np.uint64(1) << (bucket & np.uint64(63)), 0)
+                        parity[i, full] = np.bitwise_xor.reduceat(bit, first[full])
+                nothing = pa.nulls(len(n), pa.int64())
+                yield {"id": ids.slice(a, b - a), "n": n, "s": pa.array(left.view(np.int64), mask=n == 0), "s2": right.view(np.int64), "pos": nothing, "token": nothing} | {
+                    p: parity[i].view(np.int64) for i, p in enumerate(PARITY)}
                 size = np.array([_prefix(x, percent) for x in n.tolist()], np.int64)
                 row = np.repeat(np.arange(len(n)), size)
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 token = flat[first[row] + pos]
                 hit = sketch.may_repeat(bits.value, token, log2_width)
                 row, pos, token = row[hit], pos[hit], token[hit]
-                yield {"id": pa.nulls(len(row), pa.int64()), "n": n[row], "s": left[row].view(np.int64), "s2": right[row].view(np.int64),
-                       "parity": parity[row].view(np.int64), "pos": pos, "token": token.view(np.int64)}
+                nothing = pa.nulls(len(row), pa.int64())
+                yield dict.fromkeys(("id", "s2", *PARITY), nothing) | {"n": n[row], "s": left[row].view(np.int64), "pos": pos, "token": token.view(np.int64)}
         return step
 
-    rows = stored(arrow(narrow, make_rows, "id long, n long, s long, s2 long, parity long, pos long, token long").withColumn("is_set", F.col("token").isNull()), "sets")
-    sets = rows.filter("is_set").select("id", "n", "s", "s2")
-    prefixes = rows.filter("not is_set").select("token", "s", "n", "pos", "parity")
-
-    classes = sets.filter("s is not null").groupBy("s").agg(F.min("id").alias("rep"), F.min("s2").alias("lo"), F.max("s2").alias("hi"))
-    classes = stored(classes.select("s", F.when(F.col("lo") == F.col("hi"), F.col("rep")).otherwise(F.raise_error(F.lit("two sets share a fingerprint"))).alias("rep")), "classes")
-
-    groups = prefixes.groupBy("token").agg(F.min(F.struct("s", "n", "pos", "parity")).alias("l"), F.max("s").alias("top")).filter("l.s <> top")
-    joined = stored(prefixes.join(groups.select("token", *[F.col(f"l.{c}").alias(f"l{c}") for c in ("s", "n", "pos", "parity")]), "token").distinct(), "prefixes")
-    needed = joined.select("s").distinct().join(classes, "s")
-    texts = stored(narrow.join(needed.select("s", F.col("rep").alias("id")), "id").groupBy("s").agg(F.first("t").alias("t")), "texts")
-
-    stars = joined.filter("s <> ls").filter(_may_link("", "l", percent)).select(F.col("ls").alias("a"), F.col("s").alias("b")).distinct()
-    links = stored(_verify(stars, texts, k, percent), "links")
-    labels = components(links)
-    rest = joined.select("token", "s", "n", "pos", "parity").join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    schema = "id long, n long, s long, s2 long, pos long, token long, " + ", ".join(f"{p} long" for p in PARITY)
+    rows = stored(arrow(narrow, make_rows, schema).withColumn("is_set", F.col("token").isNull()), "sets")
+    sets = rows.filter("is_set").select("id", "n", "s", "s2", *PARITY)
+    prefixes = rows.filter("not is_set").select("token", "s", "n", "pos")
+
+    same = F.when(F.min("s2") == F.max("s2"), F.min("id")).when(F.min("s2") < F.max("s2"), F.raise_error(F.lit("two sets share a fingerprint")))
+    classes = stored(sets.filter("s is not null").groupBy("s").agg(same.alias("rep"), *[F.max(p).alias(p) for p in PARITY]), "classes")
+
+    prefixes = prefixes.withColumn("draw", F.xxhash64("s", "token"))
+    groups = prefixes.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("token")
+    shared = prefixes.join(groups, "token").distinct()
+    joined = stored(shared.join(classes.select("s", *PARITY), "s"), "prefixes")
+    led = joined.groupBy("token", F.pmod("draw", F.lit(LEADERS))).agg(F.min("draw").alias("draw")).select("token", "draw")
+    leaders = _named(joined.join(led, ["token", "draw"]), "l")
+    star = joined.join(leaders, "token").filter(F.col("s") != F.col("ls")).filter(_may_link("", "l", percent)).groupBy("s").agg(F.collect_set("ls").alias("found"))
+    picked = F.slice(F.sort_array(F.transform("found", lambda x: F.struct(F.xxhash64(x, F.col("s")).alias("draw"), x.alias("l")))), 1, PICKS)
+    star = star.select("s", F.explode(picked).alias("x")).select(F.least("s", "x.l").alias("a"), F.greatest("s", "x.l").alias("b")).distinct()
+    star = stored(star, "star")
+    labels = components(_verify(star, narrow, classes, k, percent))
+    rest = joined.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
     open_groups = rest.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     rest = stored(rest.join(open_groups, "token"), "rest")
-    a, b = (rest.select("token", *[F.col(c).alias(f"{side}{c}") for c in ("s", "n", "pos", "parity", "label")]) for side in "ab")
-    across = a.join(b, "token").filter("`as` < bs and alabel <> blabel").filter(_may_link("a", "b", percent)).select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct()
-    more = _verify(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, k, percent)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    across = _named(rest, "a", "label").join(_named(rest, "b", "label"), "token").filter("`as` < bs and alabel <> blabel").filter(_may_link("a", "b", percent))
+    across = across.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verify(across, narrow, classes, k, percent)))
 
     named = classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
     least = stored(named.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
