@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import bpe, decontaminate, langid, ngram_join, substring
+from fathomgrid.llm import bpe, decontaminate, langid, ngram_join, sketch, substring
 from fathomgrid.llm.frames import stored, table
 from fathomgrid.llm.queries import tokenizer
 
@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     copies = ngram_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(copies, "copies"), "doc_id", "left_anti").select(*COLUMNS)
+    return sketch.without(docs.select(*COLUMNS), stored(copies, "copies"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
