@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.llm import sketch
 from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.frames import arrow, column, stored
 
@@ -169,4 +170,4 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float
 def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The documents without contaminated ones."""
     found = stored(contaminated(docs, items, id_column=id_column, **options).select(id_column).distinct(), "contaminated")
-    return docs.join(found, id_column, "left_anti").select(*docs.columns)
+    return sketch.without(docs, found, id_column)

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import textscan as ts
-from fathomgrid.llm.frames import arrow
+from fathomgrid.llm.frames import arrow, column
 
 ROWS = 2
-LOG2_BLOCK = 16
+LOG2_BLOCK = 15
 LOG2_WIDEST = 29
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
@@ -46,7 +46,7 @@ def repeated_bits(docs: DataFrame, make_values: Callable[[], Callable[[pa.Record
             for row in range(ROWS):
                 places, counts = np.unique(slot(values, row, log2_width), return_counts=True)
                 if len(places):
-                    cells = ((places & ((1 << block) - 1)) << 1 | (counts > 1)).astype(np.uint32)
+                    cells = ((places & ((1 << block) - 1)) << 1 | (counts > 1)).astype(np.uint16)
                     names, at = np.unique(places >> block, return_index=True)
                     ends = [*at[1:], len(cells)]
                     yield {"row": np.full(len(names), row, np.int32), "block": names.astype(np.int32),
@@ -56,8 +56,8 @@ def repeated_bits(docs: DataFrame, make_values: Callable[[], Callable[[pa.Record
     def merge(key, parts):
         seen = np.zeros(1 << block, np.uint8)
         for cell in parts.column("cells").to_pylist():
-            cell = np.frombuffer(cell, np.uint32)
-            seen[cell >> 1] = np.minimum(seen[cell >> 1] + 1 + (cell & 1), 2)
+            cell = np.frombuffer(cell, np.uint16)
+            seen[cell >> 1] = np.minimum(seen[cell >> 1] + 1 + (cell & 1).astype(np.uint8), 2)
         bits = np.packbits(seen > 1, bitorder="little").tobytes()
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
@@ -117,3 +117,35 @@ def member_bits(values: DataFrame, log2_width: int):
             return [np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)]
         return step
     return repeated_bits(values, make, log2_width)
+
+
+def _split(docs: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFrame:
+    """The rows of `docs` with a column that is true wherever the id is among `ids` (and, rarely, elsewhere)."""
+    size = 20  # grows with the number of ids: few rows pass by mistake
+    n = ids.count()
+    size = width_for(64 * n, least=size)
+    bits = member_bits(ids.select(F.col(ids.columns[0]).cast("long")), size)
+
+    def make():
+        def step(batch):
+            key = column(batch, "__id")
+            known = may_repeat(bits.value, key.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size)
+            yield {c: column(batch, c) for c in batch.schema.names if c != "__id"} | {name: pa.array(known)}
+        return step
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return arrow(docs.withColumn("__id", F.col(id_column).cast("long")), make, f"{schema}, {name} boolean")
+
+
+def only(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is among `ids` (one column); others hardly enter the shuffle."""
+    names = ids.toDF(id_column).distinct()
+    return _split(docs, names, id_column, "__in").filter("__in").drop("__in").join(names, id_column, "left_semi").select(*docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id isn't among `ids` (one column); only rows that may be enter a shuffle."""
+    names = ids.toDF(id_column).distinct()
+    split = _split(docs, names, id_column, "__in")
+    doubtful = split.filter("__in").drop("__in").join(names, id_column, "left_anti").select(*docs.columns)
+    return split.filter("not __in").select(*docs.columns).unionByName(doubtful)
