@@ -96,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float
         return step
 
     bitmap = np.zeros(max(1, (1 << log2_bits) // 8), np.uint8)
-    for row in arrow(seeds.select("h"), fold, "at long").distinct().toLocalIterator():
+    for row in arrow(seeds.select("h"), fold, "at long").distinct().collect():  # at most 2**log2_bits
         bitmap[row[0] >> 3] |= np.uint8(1 << (row[0] & 7))
     bitmap = spark.sparkContext.broadcast(bitmap)
 

@@ -64,7 +64,7 @@ def repeated_bits(docs: DataFrame, make_values: Callable[[], Callable[[pa.Record
     merged = arrow(docs, make, "row int, block int, cells binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
     bits = [np.zeros(max(1, (1 << log2_width) // 8), np.uint8) for _ in range(ROWS)]
     step = max(1, (1 << block) // 8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # bounded by the width
         bits[row["row"]][row["block"] * step:(row["block"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
     return docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -100,7 +100,7 @@ def counters(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch
 
     merged = docs.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(merge, "block int, counts binary")
     out = np.zeros((ROWS << log2_width >> block, 1 << block), np.uint32)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # bounded by the width
         out[row["block"]] = np.frombuffer(row["counts"], np.uint32)
     return docs.sparkSession.sparkContext.broadcast(out.reshape(ROWS, -1))
 
