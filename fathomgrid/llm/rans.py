@@ -13,8 +13,11 @@ fixed order among themselves. An empty table gives a data set without blocks. Ex
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -29,23 +32,27 @@ from fathomgrid.llm.frames import arrow, column, shared_folder
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-LANES = 1024
-BLOCK_TOKENS = 1 << 18
+LANES = 4096
+BLOCK_TOKENS = 1 << 20
 CHECKPOINT = 128
-REMEMBERED = 500_000
+REMEMBERED = 1_500_000
 
 
 #: bytes of white space beyond ASCII in UTF-8, and the ASCII controls that only some engines count as space
 _WIDE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 
 
+_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+
+
 class Tokens:
     """Ids by the tokenizers library, for runs of documents.
 
     The byte-level pre-tokenizer never joins characters across the start of a word with its leading space, so a text is cut
     there; every distinct part (by a 64-bit hash) is encoded once and remembered as a row of sorted arrays. Distinct parts
     are encoded many at a time, each behind a line break, and told apart by the line break's id. Texts with other than
-    ASCII white space or with special tokens are encoded whole.
+    ASCII white space or with special tokens are encoded whole. What is remembered lives as long as the worker process, in
+    a module made there, since objects of this class live as long as a task.
     """
 
     def __init__(self, spec: str):
@@ -55,13 +62,21 @@ class Tokens:
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
         self.line = self.tokenizer.token_to_id("\u010a")
         self.roll = ts.Rolling()
-        self._forget()
+        kept = vars(sys.modules.setdefault("_tokens_of_this_worker", types.ModuleType("_tokens_of_this_worker")))
+        name = hashlib.sha256(spec.encode()).hexdigest()
+        if name not in kept:
+            kept.clear()
+        self.kept = kept.setdefault(name, {})
+        if not self.kept:
+            self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.kept |= {"keys": np.zeros(0, np.uint64), "first": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)}
+
+    keys, first, size, ids = (property(lambda self, c=c: self.kept[c]) for c in ("keys", "first", "size", "ids"))
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     @staticmethod
     def _parts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -74,30 +89,34 @@ class Tokens:
         first[np.where(attached, w.starts - 1, w.starts)] = True
         first[w.ends] = True  # white space after a word, or the next word
         first[(w.starts - 1)[inside & ~attached]] = True  # the last of a run that doesn't end in a space stands alone
+        letter = _LETTER[data]
+        first[1:-1] |= letter[:-1] & ~letter[1:] & (data[1:] < 0x80)  # what follows a word's letters is never part of it
         return np.flatnonzero(first[:-1])
 
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        rows: list[np.ndarray] = [None] * len(texts)
-        solid = [i for i, t in enumerate(texts) if not t.isspace()]
+        runs, sizes = [], np.zeros(len(texts), np.int64)
+        blank = [i for i, t in enumerate(texts) if t.isspace()]
+        solid = np.setdiff1d(np.arange(len(texts)), blank)
         for a in range(0, len(solid), 2000):
             part = solid[a:a + 2000]
-            ids = self._ids("".join(["\n" + texts[i].decode() for i in part]))
+            ids = self._ids("\n" + b"\n".join([texts[i] for i in part.tolist()]).decode())
             at = np.flatnonzero(ids == self.line)
             if len(at) != len(part):
                 raise ValueError("the tokenizer has no token of its own for a line break")
-            for i, x in zip(part, np.split(ids, at[1:]), strict=True):
-                rows[i] = x[1:]
-        for i, t in enumerate(texts):
-            if rows[i] is None:
-                rows[i] = self._ids(t.decode())
+            sizes[part] = np.diff(np.append(at, len(ids))) - 1
+            runs.append(ids[ids != self.line])
+        for i in blank:
+            runs.append(self._ids(texts[i].decode()))
+            sizes[i] = len(runs[-1])
+        order = np.concatenate([solid, blank]).astype(np.int64)
+        keys, size = keys[order], sizes[order]
         if len(self.keys) + len(keys) > REMEMBERED:
             self._forget()
-        size = np.array([len(r) for r in rows], np.int64)
         first = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *rows])
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every, kind="stable")
-        self.keys, self.first, self.size = every[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+        self.kept |= {"ids": np.concatenate([self.ids, *runs]), "keys": every[order], "first": np.concatenate([self.first, first])[order],
+                      "size": np.concatenate([self.size, size])[order]}
 
     def encode(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
         """Ids of every document of a run."""
@@ -227,8 +246,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(x, np.uint32))
+            for _, _, data, _ in ts.pieces(batch.column(0)):
+                found = np.bincount(data.view(np.uint32))
                 if len(found) > len(total):
                     found, total = total, found
                 total[:len(found)] += found
@@ -236,7 +255,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         yield pa.RecordBatch.from_pydict({"token": pa.array(at, pa.int64()), "c": pa.array(total[at], pa.int64())})
 
     counts = ids.select("ids").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    table = {r.token: r.c for r in counts.toLocalIterator()}  # one entry per vocabulary item
+    table = {r.token: r.c for r in counts.collect()}  # one entry per vocabulary item
     flat = np.zeros(max(table, default=0) + 1, np.int64)
     flat[list(table)] = list(table.values())
     freq = scaled(flat)
