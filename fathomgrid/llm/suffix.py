@@ -6,16 +6,17 @@ Every `k`-byte string is a suffix prefix; suffixes are dealt to buckets and buck
    (by a count-min sketch, which never misses a repeat) hold no repeated string. Runs of neighbouring strings with one anchor
    are a segment.
 2. Equal segments are matched first: a segment that also stands in a smaller document goes as a whole.
-3. Where one anchor has different segments, their strings are refined: initial buckets are the first `q` bytes, then buckets
+3. Where one anchor has different segments (two bitmaps name such anchors and the first copies of their segments, never
+   missing one), their strings are refined: initial buckets are the first `q` bytes, then buckets
    are sorted on the bucket identifiers `q`, `2q`, ... bytes later. Identifiers are updated in place and each round reuses
-   those of the last, so `k` bytes take log2(k / q) rounds; buckets of one suffix are left alone. Every segment occurs here
-   once, with its smallest document. Anchors with more than `crowded` segments are refined by Spark instead, string by string
+   those of the last, so `k` bytes take log2(k / q) rounds; buckets of one suffix are left alone. Every segment comes with its
+   smallest document. Anchors with more than `crowded` segments are refined by Spark instead, string by string
    on the identity of all `k` bytes, with partial minima: no task holds a bucket without a bound.
 4. Documents meet the removed strings and are cut.
 
 Null and empty texts have no bytes. Rows that repeat an id count as one document each and never remove from one another.
-Null ids neither remove nor lose anything. Extra columns play no part. Segments and anchors are compared by 64-bit hashes,
-step 3 by bytes.
+Null ids neither remove nor lose anything. Extra columns play no part. A segment is known by 64 bits, of which `ANCHOR_BITS`
+come from its anchor; step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from fathomgrid.llm.frames import arrow, column, stored
 
 _ROW = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 1 << 20
+ANCHOR_BITS = 28
 
 
 class Scan:
@@ -74,7 +76,14 @@ class Scan:
             first = np.repeat(first, pieces) + cap * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
             size = np.diff(np.r_[first, len(at)])
         start = at[first]
-        return start, size, self.least[start], self.roll.spans(self.sums, start, start + size + self.k - 1)
+        rest = np.uint64(64 - ANCHOR_BITS)
+        content = self.roll.spans(self.sums, start, start + size + self.k - 1) >> np.uint64(ANCHOR_BITS)
+        return start, size, self.least[start], ts.mix(self.least[start]) >> rest << rest | content
+
+
+def _copy(content: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Hash of a segment in a document."""
+    return ts.mix(content ^ ts.mix(document.astype(np.int64).view(np.uint64) + _ROW))
 
 
 def _distinct(row: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -153,37 +162,59 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
 
     bits = sketch.repeated_bits(narrow.select("t"), make_anchors, log2_width)
 
-    def segments(bits, with_text: bool):
-        """Distinct segments of every document whose anchor is in `bits`."""
-        def make():
-            scan = Scan(k)
-
-            def step(batch):
-                ids = column(batch, "id")
-                for a, _, data, cuts in ts.pieces(column(batch, "t")):
-                    scan.read(data, cuts)
-                    start, size, anchor, content = scan.segments()
-                    hit = np.flatnonzero(sketch.may_repeat(bits.value, anchor, log2_width))
-                    hit = hit[_distinct(scan.row[start[hit]], content[hit])]
-                    if len(hit):
-                        row = scan.row[start[hit]]
-                        out = {"content": content[hit].view(np.int64), "anchor": anchor[hit].view(np.int64), "id": ids.take(pa.array(a + row)), "start": start[hit] - cuts[row]}
-                        if with_text:
-                            raw = data.tobytes()
-                            out["bytes"] = [raw[s:e] for s, e in zip(start[hit].tolist(), (start[hit] + size[hit] + k - 1).tolist(), strict=True)]
-                        yield out
-            return step
-        return arrow(narrow.filter("id is not null"), make, "content long, anchor long, id long, start long" + ", bytes binary" * with_text)
-
-    found = segments(bits, False)
-    firsts = stored(found.groupBy("content").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("anchor").alias("anchor")), "segments")
+    def found():
+        """Distinct segments of every document whose anchor may repeat."""
+        scan = Scan(k)
+
+        def step(batch):
+            ids = column(batch, "id")
+            for a, _, data, cuts in ts.pieces(column(batch, "t")):
+                scan.read(data, cuts)
+                start, _, anchor, content = scan.segments()
+                hit = np.flatnonzero(sketch.may_repeat(bits.value, anchor, log2_width))
+                hit = hit[_distinct(scan.row[start[hit]], content[hit])]
+                if len(hit):
+                    row = scan.row[start[hit]]
+                    yield {"content": content[hit].view(np.int64), "id": ids.take(pa.array(a + row)), "start": start[hit] - cuts[row]}
+        return step
+
+    known = narrow.filter("id is not null")
+    segments = arrow(known, found, "content long, id long, start int")
+    firsts = stored(segments.groupBy("content").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")), "segments")
     repeated = firsts.filter("first_id < last_id").select("content", "first_id")
-    whole = found.join(repeated, "content").filter("id > first_id").select("id", "start", F.lit(-1).cast("long").alias("mask"))
+    whole = segments.join(repeated, "content").filter("id > first_id").select("id", "start", F.lit(-1).cast("long").alias("mask"))
 
-    mixed = stored(firsts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first_id").alias("lo"), F.max("first_id").alias("hi")).filter("n > 1 and lo < hi").select("anchor", "n"), "mixed")
+    anchor = F.shiftrightunsigned("content", 64 - ANCHOR_BITS)
+    mixed = stored(firsts.groupBy(anchor.alias("anchor")).agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
     mixed_bits = sketch.member_bits(mixed.select("anchor"), log2_width)
-    texts = segments(mixed_bits, True).join(firsts.select("content", F.col("first_id").alias("id")), ["content", "id"]).join(mixed, "anchor")
-    texts = stored(texts.select("anchor", "n", "id", "start", "bytes"), "mixed")
+    crowded_bits = sketch.member_bits(mixed.filter(F.col("n") > crowded).select("anchor"), min(log2_width, 24))
+    first_bits = sketch.repeated_bits(firsts.select("content", "first_id"), lambda: lambda batch: [np.repeat(_copy(
+        column(batch, "content").to_numpy().view(np.uint64), column(batch, "first_id").to_numpy()), 2)], log2_width)
+
+    def spelled():
+        """Bytes of the segments of mixed anchors, from the first document of each (and, rarely, from another one)."""
+        scan = Scan(k)
+        low = np.uint64(64 - ANCHOR_BITS)
+
+        def step(batch):
+            for batch_id, a, data, cuts in ((column(batch, "id"), a, data, cuts) for a, _, data, cuts in ts.pieces(column(batch, "t"))):
+                scan.read(data, cuts)
+                start, size, _, content = scan.segments()
+                hit = np.flatnonzero(sketch.may_repeat(mixed_bits.value, content >> low, log2_width))
+                name = batch_id.to_numpy()[a + scan.row[start[hit]]]
+                keep = sketch.may_repeat(first_bits.value, _copy(content[hit], name), log2_width)
+                hit, name = hit[keep], name[keep]
+                new = _distinct(scan.row[start[hit]], content[hit])
+                hit, name = hit[new], name[new]
+                if not len(hit):
+                    continue
+                row, raw = scan.row[start[hit]], data.tobytes()
+                yield {"anchor": (content[hit] >> low).view(np.int64), "id": name, "start": start[hit] - cuts[row],
+                       "crowded": sketch.may_repeat(crowded_bits.value, content[hit] >> low, min(log2_width, 24)),
+                       "bytes": [raw[s:e] for s, e in zip(start[hit].tolist(), (start[hit] + size[hit] + k - 1).tolist(), strict=True)]}
+        return step
+
+    texts = stored(arrow(known, spelled, "anchor long, id long, start int, crowded boolean, bytes binary"), "mixed_texts")
 
     def refined():
         names, starts, rows, last = [], [], [], [None, 0]
@@ -210,8 +241,8 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
                 rows.append(raw)
         return step
 
-    few = texts.filter(F.col("n") <= crowded).repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "start", "bytes")
-    marked = arrow(few, refined, "id long, start long, mask long", ending=True).filter("mask <> 0")
+    few = texts.filter("not crowded").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "start", "bytes")
+    marked = arrow(few, refined, "id long, start int, mask long", ending=True).filter("mask <> 0")
 
     def strings():
         roll = ts.Rolling()
@@ -223,7 +254,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
                 yield {"id": np.full(len(hashes), name), "start": np.full(len(hashes), start), "place": np.arange(len(hashes)), "h": hashes.view(np.int64)}
         return step
 
-    each = arrow(texts.filter(F.col("n") > crowded).select("id", "start", "bytes"), strings, "id long, start long, place int, h long")
+    each = arrow(texts.filter("crowded").select("id", "start", "bytes"), strings, "id long, start int, place int, h long")
     least = each.groupBy("h").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").select("h", "first_id")
     crowd = each.join(least, "h").filter("id > first_id").groupBy("id", "start").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
 
