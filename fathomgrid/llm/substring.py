@@ -89,8 +89,9 @@ def anchor_bits(docs: DataFrame, k: int, text: str, log2_width: int):
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text: str = "text", log2_width: int | None = None,
-                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, the columns `keep`, n_words, n_removed, kept (the remaining words joined by one space), kept_sha256."""
+                   keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """One row per document: id, the columns `keep`, n_words, n_removed, kept (the remaining words joined by one space; with
+    `as_is` the text itself where nothing is removed), kept_sha256."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     narrow = rows.select("id", "t")
     kept_columns = rows.dtypes[2:]
@@ -134,6 +135,9 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text
                 raw, kept = data.tobytes(), []
                 for r in range(b - a):
                     i, j = w.first[r], w.first[r + 1]
+                    if as_is and sums[i] == sums[j]:
+                        kept.append(raw[cuts[r]:cuts[r + 1]])
+                        continue
                     keep = np.flatnonzero(~gone[i:j]) + i
                     kept.append(b" ".join([raw[s:e] for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist(), strict=True)]))
                 yield {c: column(batch, c).slice(a, b - a) for c, _ in kept_columns} | {"id": ids.slice(a, b - a), "n_words": np.diff(w.first), "n_removed": sums[w.first[1:]] - sums[w.first[:-1]],
