@@ -92,8 +92,8 @@ class Alignment:
 class Scale:
     """Sizing of ordered passes; see operators.ordered.Slices."""
 
-    slice_s: float = 600.0
-    slice_rows: int = 10_000
+    slice_s: float = 3600.0
+    slice_rows: int = 100_000
     #: ordering columns that hold seconds
     seconds: tuple = ("t",)
 
