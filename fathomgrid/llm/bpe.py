@@ -33,8 +33,9 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = re.compile(f"[{WHITE}]+")
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 WINDOW = 64
-REMEMBERED = 500_000
-PIECE_CHARS = 1_000_000
+REMEMBERED = 200_000
+PIECE_CHARS = 500_000
+ROWS = 500
 _NONE = np.iinfo(np.int32).max
 
 
@@ -227,13 +228,17 @@ class Decoder:
         yield machine.decode(b"", True)
 
 
-def _grouped(texts: list[str]):
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= PIECE_CHARS or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
+def _rows(batch: pa.RecordBatch):
+    """Ids and texts of runs of rows of about `PIECE_CHARS`; a few rows at a time become Python strings."""
+    names, column_ = column(batch, "id"), column(batch, "t")
+    for first in range(0, len(column_), ROWS):
+        texts = [t or "" for t in column_.slice(first, ROWS).to_pylist()]
+        start, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= PIECE_CHARS or i == len(texts) - 1:
+                yield names.slice(first + start, i + 1 - start), texts[start:i + 1]
+                start, size = i + 1, 0
 
 
 def load(spark, path: str):
@@ -246,10 +251,9 @@ def encode(docs: DataFrame, codec, id_column: str = "doc_id", text: str = "text"
         encoder = Encoder(codec.value)
 
         def step(batch):
-            ids, texts = column(batch, "id"), [t or "" for t in column(batch, "t").to_pylist()]
-            for a, b in _grouped(texts):
-                done = encoder.encode(texts[a:b])
-                yield {"id": ids.slice(a, b - a), "n_tokens": [len(x) // 4 for x in done], "ids": done}
+            for names, texts in _rows(batch):
+                done = encoder.encode(texts)
+                yield {"id": names, "n_tokens": [len(x) // 4 for x in done], "ids": done}
         return step
 
     return arrow(docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("t")), make,
@@ -283,10 +287,9 @@ def round_trip(docs: DataFrame, codec, id_column: str = "doc_id", text: str = "t
             return sums.hexdigest()
 
         def step(batch):
-            names, texts = column(batch, "id"), [t or "" for t in column(batch, "t").to_pylist()]
-            for a, b in _grouped(texts):
-                done = encoder.encode(texts[a:b])
-                yield {"id": names.slice(a, b - a), "n_tokens": [len(x) // 4 for x in done], "ids": done, "ids_sha256": [hashlib.sha256(x).hexdigest() for x in done],
+            for names, texts in _rows(batch):
+                done = encoder.encode(texts)
+                yield {"id": names, "n_tokens": [len(x) // 4 for x in done], "ids": done, "ids_sha256": [hashlib.sha256(x).hexdigest() for x in done],
                        "decoded_sha256": [digest(x) for x in done]}
         return step
 
