@@ -2,10 +2,10 @@
 
 Words are runs of letters and digits, lower-cased. The n-grams of all items are folded into a bitmap of fixed size
 (`2**log2_bits` bits, the only thing broadcast); one scan of the documents keeps those n-grams that hit it, with the words
-around them. The hits then meet the table of item n-grams in an ordinary join. Seeds are an item's rare n-grams: those in
-no more documents than twice the lower quartile over the item (or `rare` documents), so common phrases start no alignment
-while an item that leaked thousands of times keeps its seeds. Every passage around a seed is aligned with the item
-(Smith-Waterman on words, linear gaps); the score is divided by that of a perfect copy.
+around them. The hits then meet the table of item n-grams in an ordinary join. Every n-gram of an item is a seed, however
+often it is seen, so a copy that leaked thousands of times is found like one that leaked once. Every passage around a
+seed is aligned with the item (Smith-Waterman on words, linear gaps); the score is divided by that of a perfect copy. Where
+too few of the item's words stand in the passage to reach the threshold (common phrases), the alignment is left out.
 
 Items with fewer than `n` words use all their words as one seed when they have at least two; shorter, null and empty ones
 match nothing. Null and empty documents match nothing. Repeated rows are each judged; the best passage of a document and
@@ -80,7 +80,7 @@ def _item_table(items: DataFrame, n: int, id_column: str, text: str) -> DataFram
     return arrow(rows, make, "item long, size long, words binary, seeds array<long>, places array<long>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float = 0.4, rare: int = 10, log2_bits: int = 24, id_column: str = "doc_id",
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float = 0.4, log2_bits: int = 24, id_column: str = "doc_id",
                  text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per (document, item) whose best alignment reaches `threshold`: id, item_id, score, first_word, n_words, n_seeds."""
     spark = docs.sparkSession
@@ -136,11 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float
     narrow = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     passages = stored(arrow(narrow, scan, "id long, first_word long, words binary, hits array<long>, places array<long>").withColumn("p", F.monotonically_increasing_id()), "passages")
     hits = passages.select("p", "id", F.explode(F.arrays_zip("hits", "places")).alias("x")).select("p", "id", F.col("x.hits").alias("h"), F.col("x.places").alias("at"))
-    matched = stored(hits.join(seeds, "h"), "hits")
-    spread = matched.groupBy("item", "h").agg(F.count("*").alias("seen"))
-    quartile = spread.groupBy("item").agg(F.percentile("seen", F.lit(0.25)).alias("low"))
-    usual = spread.join(quartile, "item").filter(F.col("seen") <= F.greatest(F.lit(rare), 2 * F.col("low"))).select("item", "h")
-    pairs = matched.join(usual, ["item", "h"]).groupBy("p", "item", "size").agg(F.min(F.col("at") - F.col("q")).alias("lo"), F.max(F.col("at") - F.col("q")).alias("hi"), F.countDistinct("h").alias("n_seeds"))
+    pairs = hits.join(seeds, "h").groupBy("p", "item", "size").agg(F.min(F.col("at") - F.col("q")).alias("lo"), F.max(F.col("at") - F.col("q")).alias("hi"), F.countDistinct("h").alias("n_seeds"))
 
     def score():
         def step(batch):
@@ -153,6 +149,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float
                 slack = len(b) // 2 + 8
                 left = max(0, int(lo[i]) - slack)
                 part = a[left:int(hi[i]) + len(b) + slack]
+                if np.isin(b, part).sum() / len(b) < threshold:  # no alignment scores more than a match for each of these words
+                    part = part[:0]
                 best, end = align(b, part)
                 back = align(b[::-1], part[:end][::-1])[1]
                 value.append(best / (MATCH * len(b)))
