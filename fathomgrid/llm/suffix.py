@@ -15,8 +15,8 @@ Every `k`-byte string is a suffix prefix; suffixes are dealt to buckets and buck
 4. Documents meet the removed strings and are cut.
 
 Null and empty texts have no bytes. Rows that repeat an id count as one document each and never remove from one another.
-Null ids neither remove nor lose anything. Extra columns play no part. A segment is known by 64 bits, of which `ANCHOR_BITS`
-come from its anchor; step 3 compares bytes.
+Null ids neither remove nor lose anything. Extra columns play no part. A segment is known by 64 bits of its anchor and 64 bits
+of its content, a string of a crowded anchor by 64 bits of the anchor and 64 of its own; the rest of step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from fathomgrid.llm.frames import arrow, column, stored
 
 _ROW = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 1 << 20
-ANCHOR_BITS = 28
 
 
 class Scan:
@@ -76,9 +75,7 @@ class Scan:
             first = np.repeat(first, pieces) + cap * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
             size = np.diff(np.r_[first, len(at)])
         start = at[first]
-        rest = np.uint64(64 - ANCHOR_BITS)
-        content = self.roll.spans(self.sums, start, start + size + self.k - 1) >> np.uint64(ANCHOR_BITS)
-        return start, size, self.least[start], ts.mix(self.least[start]) >> rest << rest | content
+        return start, size, self.least[start], self.roll.spans(self.sums, start, start + size + self.k - 1)
 
 
 def _copy(content: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -175,17 +172,16 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
                 hit = hit[_distinct(scan.row[start[hit]], content[hit])]
                 if len(hit):
                     row = scan.row[start[hit]]
-                    yield {"content": content[hit].view(np.int64), "id": ids.take(pa.array(a + row)), "start": start[hit] - cuts[row]}
+                    yield {"anchor": anchor[hit].view(np.int64), "content": content[hit].view(np.int64), "id": ids.take(pa.array(a + row)), "start": start[hit] - cuts[row]}
         return step
 
     known = narrow.filter("id is not null")
-    segments = arrow(known, found, "content long, id long, start int")
-    firsts = stored(segments.groupBy("content").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")), "segments")
-    repeated = firsts.filter("first_id < last_id").select("content", "first_id")
-    whole = segments.join(repeated, "content").filter("id > first_id").select("id", "start", F.lit(-1).cast("long").alias("mask"))
+    segments = arrow(known, found, "anchor long, content long, id long, start int")
+    firsts = stored(segments.groupBy("anchor", "content").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")), "segments")
+    repeated = firsts.filter("first_id < last_id").select("anchor", "content", "first_id")
+    whole = segments.join(repeated, ["anchor", "content"]).filter("id > first_id").select("id", "start", F.lit(-1).cast("long").alias("mask"))
 
-    anchor = F.shiftrightunsigned("content", 64 - ANCHOR_BITS)
-    mixed = stored(firsts.groupBy(anchor.alias("anchor")).agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
+    mixed = stored(firsts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
     mixed_bits = sketch.member_bits(mixed.select("anchor"), log2_width)
     crowded_bits = sketch.member_bits(mixed.filter(F.col("n") > crowded).select("anchor"), min(log2_width, 24))
     first_bits = sketch.repeated_bits(firsts.select("content", "first_id"), lambda: lambda batch: [np.repeat(_copy(
@@ -194,13 +190,12 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
     def spelled():
         """Bytes of the segments of mixed anchors, from the first document of each (and, rarely, from another one)."""
         scan = Scan(k)
-        low = np.uint64(64 - ANCHOR_BITS)
 
         def step(batch):
             for batch_id, a, data, cuts in ((column(batch, "id"), a, data, cuts) for a, _, data, cuts in ts.pieces(column(batch, "t"))):
                 scan.read(data, cuts)
-                start, size, _, content = scan.segments()
-                hit = np.flatnonzero(sketch.may_repeat(mixed_bits.value, content >> low, log2_width))
+                start, size, anchor, content = scan.segments()
+                hit = np.flatnonzero(sketch.may_repeat(mixed_bits.value, anchor, log2_width))
                 name = batch_id.to_numpy()[a + scan.row[start[hit]]]
                 keep = sketch.may_repeat(first_bits.value, _copy(content[hit], name), log2_width)
                 hit, name = hit[keep], name[keep]
@@ -209,8 +204,8 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
                 if not len(hit):
                     continue
                 row, raw = scan.row[start[hit]], data.tobytes()
-                yield {"anchor": (content[hit] >> low).view(np.int64), "id": name, "start": start[hit] - cuts[row],
-                       "crowded": sketch.may_repeat(crowded_bits.value, content[hit] >> low, min(log2_width, 24)),
+                yield {"anchor": anchor[hit].view(np.int64), "id": name, "start": start[hit] - cuts[row],
+                       "crowded": sketch.may_repeat(crowded_bits.value, anchor[hit], min(log2_width, 24)),
                        "bytes": [raw[s:e] for s, e in zip(start[hit].tolist(), (start[hit] + size[hit] + k - 1).tolist(), strict=True)]}
         return step
 
@@ -248,15 +243,15 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
         roll = ts.Rolling()
 
         def step(batch):
-            for name, start, raw in zip(*(column(batch, c).to_pylist() for c in ("id", "start", "bytes")), strict=True):
+            for anchor, name, start, raw in zip(*(column(batch, c).to_pylist() for c in ("anchor", "id", "start", "bytes")), strict=True):
                 data = np.frombuffer(raw, np.uint8)
                 hashes = ts.grams(roll.bytes[data], k, roll)
-                yield {"id": np.full(len(hashes), name), "start": np.full(len(hashes), start), "place": np.arange(len(hashes)), "h": hashes.view(np.int64)}
+                yield {"anchor": np.full(len(hashes), anchor), "id": np.full(len(hashes), name), "start": np.full(len(hashes), start), "place": np.arange(len(hashes)), "h": hashes.view(np.int64)}
         return step
 
-    each = arrow(texts.filter("crowded").select("id", "start", "bytes"), strings, "id long, start int, place int, h long")
-    least = each.groupBy("h").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").select("h", "first_id")
-    crowd = each.join(least, "h").filter("id > first_id").groupBy("id", "start").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    each = arrow(texts.filter("crowded").select("anchor", "id", "start", "bytes"), strings, "anchor long, id long, start int, place int, h long")
+    least = each.groupBy("anchor", "h").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").select("anchor", "h", "first_id")
+    crowd = each.join(least, ["anchor", "h"]).filter("id > first_id").groupBy("id", "start").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
 
     removed = whole.unionByName(marked).unionByName(crowd).groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("cuts"))
 

@@ -85,6 +85,14 @@ def test_byte_strings(spark, families, crowded):
     assert strings(spark.createDataFrame(docs, "doc_id long, text string"), crowded=crowded) == brute.suffixes(docs)
 
 
+@pytest.mark.parametrize("crowded", [2000, 1])
+def test_byte_strings_whose_segments_share_part_of_a_hash(spark, crowded):
+    """In each pair the last segments have one anchor and equal upper 36 bits of content hash, but different bytes."""
+    pairs = [(243348, 247047), (36713, 309888), (74929, 628489), (552064, 557831)]
+    docs = [(i, f"a passage of boilerplate that stands in very many documents: {i:07d}") for pair in pairs for i in pair]
+    assert strings(spark.createDataFrame(docs, "doc_id long, text string"), crowded=crowded) == brute.suffixes(docs)
+
+
 def test_byte_strings_of_odd_texts(odd, nothing):
     assert strings(odd) == brute.suffixes(rows_of(odd))
     assert strings(nothing) == {}
