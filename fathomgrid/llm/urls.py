@@ -7,8 +7,10 @@ back to the shorter one). The score is the log-likelihood under the rejected mod
 by the number of bytes. One fold in five is left out of the counts; the threshold is the largest score that at most
 `false_block` of its accepted pages exceed, and never below 0.
 
-Counts are taken in each task and summed by Spark; a model is sorted arrays of n-gram hashes of `HASH_BITS` bits, so the
-broadcast is at most `2 * 2 * ORDER * 2**HASH_BITS` entries whatever the corpus. Rules are a short list given by the caller.
+Counts are taken in each task and summed by Spark, under the bytes of the n-grams themselves: none share a counter. Models of
+at most `MODEL_ROWS` n-grams and contexts are broadcast as sorted arrays. Larger ones stay a table: the distinct n-grams of
+every few thousand pages (`b`) meet it in joins, and their scores go back to those pages. Rules are a short list given by
+the caller.
 
 A null URL, or one without `://`, has an empty host and path and meets no rule; null and empty URLs score 0 and are allowed.
 Without examples of both kinds every score is 0. Repeated rows are each judged. Extra columns are left alone.
@@ -21,12 +23,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.llm.frames import Shared, arrow, column, stored
 
-ORDER, HASH_BITS, FOLDS = 6, 18, 5
+ORDER, FOLDS = 6, 5
+MODEL_ROWS = 1 << 20
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -59,28 +63,24 @@ def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, sizes
 
 
-def _hash(keys: np.ndarray) -> np.ndarray:
-    x = keys * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - HASH_BITS)
-
-
 def _level(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     gram = keys & np.uint64((1 << 8 * n) - 1)
-    return _hash(gram), _hash(gram >> np.uint64(8))
+    return gram, gram >> np.uint64(8)
 
 
 class Model:
-    """Per order: sorted n-gram hashes with counts, sorted context hashes with totals and numbers of types."""
+    """Per order: sorted n-grams with counts, sorted contexts with totals and numbers of types."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: pa.Table):
+        order, key, c, types = (rows.column(name).to_numpy() for name in ("n", "key", "c", "types"))
         self.grams, self.contexts = {}, {}
         for n in range(1, ORDER + 1):
-            mine = sorted((r.key, r.c) for r in rows if r.n == n)
-            table = np.array(mine, np.int64).reshape(-1, 2)
-            self.grams[n] = table[:, 0].astype(np.uint64), table[:, 1].astype(np.float64)
-            mine = sorted((r.key, r.c, r.types) for r in rows if r.n == -n)
-            table = np.array(mine, np.int64).reshape(-1, 3)
-            self.contexts[n] = table[:, 0].astype(np.uint64), table[:, 1].astype(np.float64), table[:, 2].astype(np.float64)
+            at = np.flatnonzero(order == n)
+            at = at[np.argsort(key[at])]
+            self.grams[n] = key[at].astype(np.uint64), c[at].astype(np.float64)
+            at = np.flatnonzero(order == -n)
+            at = at[np.argsort(key[at])]
+            self.contexts[n] = key[at].astype(np.uint64), c[at].astype(np.float64), types[at].astype(np.float64)
 
     @staticmethod
     def _find(table, keys):
@@ -100,7 +100,8 @@ class Model:
         return np.log(np.minimum(p, 1.0))
 
 
-def _count(examples: DataFrame) -> dict[str, Model]:
+def _count(examples: DataFrame) -> DataFrame:
+    """One row per verdict, order n (contexts: -n) and n-gram: count and number of types."""
     def run(batches):
         held: dict[tuple, dict] = {}
         for batch in batches:
@@ -123,13 +124,55 @@ def _count(examples: DataFrame) -> dict[str, Model]:
     for part in parts[1:]:
         every = every.unionByName(part)
 
-    def hashed():
+    return stored(every, "url_models")
+
+
+def _joined(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """The distinct keys of `grams` with the log-likelihood under the rejected model minus that under the accepted one."""
+    out = grams.select("key").distinct().withColumns({"pa": F.lit(1 / 256), "pb": F.lit(1 / 256)})
+    sides = {"a": F.col("verdict") == ALLOW, "b": F.col("verdict") == BLOCK}
+    for n in range(1, ORDER + 1):
+        counts = model.filter(F.col("n") == n).groupBy(F.col("key").alias("gram")).agg(*[F.sum(F.when(v, F.col("c"))).alias("c" + x) for x, v in sides.items()])
+        contexts = model.filter(F.col("n") == -n).groupBy(F.col("key").alias("context")).agg(
+            *[F.sum(F.when(v, F.col(c))).alias(name + x) for x, v in sides.items() for c, name in (("c", "t"), ("types", "y"))])
+        out = out.withColumn("gram", F.col("key").bitwiseAND((1 << 8 * n) - 1)).withColumn("context", F.shiftrightunsigned("gram", 8))
+        out = out.join(counts, "gram", "left").join(contexts, "context", "left")
+        p = {x: F.when(F.col("t" + x) > 0, (F.coalesce("c" + x, F.lit(0)) + F.col("y" + x) * F.col("p" + x)) / (F.col("t" + x) + F.col("y" + x))).otherwise(F.col("p" + x)) for x in sides}
+        out = out.select("key", *[p[x].alias("p" + x) for x in sides])
+    return out.select("key", (F.log(F.least("pb", F.lit(1.0))) - F.log(F.least("pa", F.lit(1.0)))).alias("ratio"))
+
+
+def _score_by_join(flat: DataFrame, model: DataFrame, schema: str) -> DataFrame:
+    def name_batches():
+        rng = np.random.default_rng()
+
+        def step(batch):
+            yield {c: column(batch, c) for c in batch.schema.names} | {"b": np.full(batch.num_rows, rng.integers(1 << 63))}
+        return step
+
+    def distinct():
         def step(batch):
-            yield {c: column(batch, c) for c in ("verdict", "n", "c", "types")} | {"key": _hash(column(batch, "key").to_numpy().view(np.uint64)).astype(np.int64)}
+            names = column(batch, "b").to_numpy()
+            keys, sizes = _grams([(u or "").encode() for u in column(batch, "lowered").to_pylist()])
+            owner = np.repeat(names, sizes)
+            for b in np.unique(names):
+                mine = np.unique(keys[owner == b])
+                yield {"b": np.full(len(mine), b), "key": mine.view(np.int64)}
         return step
 
-    rows = arrow(every, hashed, "verdict string, n int, key long, c long, types int").groupBy("verdict", "n", "key").agg(F.sum("c").alias("c"), F.sum("types").alias("types")).collect()  # bounded by HASH_BITS
-    return {v: Model([r for r in rows if r.verdict == v]) for v in {r.verdict for r in rows}}
+    def score(pages, ratios):
+        keys, sizes = _grams([(u or "").encode() for u in pages.column("lowered").to_pylist()])
+        names, values = ratios.column("key").to_numpy().view(np.uint64), ratios.column("ratio").to_numpy()
+        order = np.argsort(names)
+        each = values[order][np.searchsorted(names[order], keys)] if len(keys) else np.zeros(0)
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)) / np.maximum(sizes, 1)
+        return pages.drop_columns(["lowered", "b"]).append_column("score", pa.array(total, pa.float64()))
+
+    columns = ", ".join(f"`{c}` {t}" for c, t in flat.dtypes)
+    named = stored(arrow(flat, name_batches, columns + ", b long"), "url_batches")
+    grams = stored(arrow(named.select("b", "lowered"), distinct, "b long, key long").distinct(), "page_grams")
+    ratios = grams.join(_joined(grams, model), "key").select("b", "key", "ratio")
+    return named.groupBy("b").cogroup(ratios.groupBy("b")).applyInArrow(score, schema)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_column: str = "page_id", url: str = "url", false_block: float = 0.01) -> DataFrame:
@@ -137,7 +180,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_column: str = "
     host, path = host_and_path(F.col("u"))
     rows = pages.select(id_column, F.col(url).cast("string").alias("u")).withColumns({"host": host, "path": path}).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
     examples = rows.filter("fit is not null").select("fit.verdict", F.translate("u", string.ascii_uppercase, string.ascii_lowercase).alias("u"), F.pmod(F.xxhash64("u"), F.lit(FOLDS)).alias("fold"))
-    models = _count(examples.filter("fold <> 0"))
+    model = _count(examples.filter("fold <> 0"))
+    size, kinds = model.agg(F.count("*"), F.countDistinct("verdict")).first()
+    few = size <= MODEL_ROWS
+    models = {}
+    if few and kinds == 2:
+        held = model.toArrow()  # at most MODEL_ROWS
+        models = {v: Model(held.filter(pc.equal(held.column("verdict"), v))) for v in (ALLOW, BLOCK)}
     shared = Shared(pages.sparkSession, (models.get(ALLOW), models.get(BLOCK)))
 
     def score():
@@ -154,7 +203,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_column: str = "
 
     flat = rows.select(F.col(id_column), "host", "path", "fit.rule", F.col("fit.verdict").alias("given"), F.pmod(F.xxhash64("u"), F.lit(FOLDS)).alias("fold"), F.translate("u", string.ascii_uppercase, string.ascii_lowercase).alias("lowered"))
     schema = ", ".join(f"`{c}` {t}" for c, t in flat.dtypes if c != "lowered") + ", score double"
-    scored = stored(arrow(flat, score, schema), "scores")
+    scored = stored(arrow(flat, score, schema) if few or kinds < 2 else _score_by_join(flat, model, schema), "scores")
     threshold = scored.filter((F.col("given") == ALLOW) & (F.col("fold") == 0)).agg(F.percentile("score", F.lit(1 - false_block))).first()[0]
     threshold = max(0.0, threshold or 0.0)
     method = F.when(F.col("score") > threshold, BLOCK).otherwise(ALLOW)

@@ -77,6 +77,42 @@ def test_markov_model_is_a_distribution():
     assert sizes.tolist() == [4, 0, 1] and keys[1] == (ord("a") << 8 | ord("b"))
 
 
+@pytest.mark.parametrize("model_rows", [1 << 20, 0])  # broadcast, joined
+def test_url_scores_count_every_n_gram_apart(spark, monkeypatch, model_rows):
+    rng = np.random.default_rng(7)
+    urls_ = [f"http://{host}/{''.join(map(chr, rng.integers(97, 123, 40)))}" for host in ("a.org", "b.com", "c.net") for _ in range(400)]
+    df = spark.createDataFrame([*enumerate(urls_), (5000, None), (5001, "")], "page_id long, url string")
+    fold = {r.page_id: r.fold for r in df.select("page_id", F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS)).alias("fold")).collect()}
+    models = {}
+    for kind, host in (("allow", "a.org"), ("block", "b.com")):
+        counts, totals, types = Counter(), Counter(), Counter()
+        for i, u in enumerate(urls_):
+            if host in u and fold[i]:
+                for end in range(1, len(u) + 1):
+                    for n in range(1, urls.ORDER + 1):
+                        gram = ("\0" * urls.ORDER + u)[end + urls.ORDER - n:end + urls.ORDER]
+                        types[n, gram[:-1]] += not counts[gram]
+                        counts[gram] += 1
+                        totals[n, gram[:-1]] += 1
+        models[kind] = counts, totals, types
+
+    def log_probability(kind, u):
+        counts, totals, types = models[kind]
+        total = 0.0
+        for end in range(1, len(u) + 1):
+            p = 1 / 256
+            for n in range(1, urls.ORDER + 1):
+                gram = ("\0" * urls.ORDER + u)[end + urls.ORDER - n:end + urls.ORDER]
+                t, y = totals[n, gram[:-1]], types[n, gram[:-1]]
+                p = (counts[gram] + y * p) / (t + y) if t else p
+            total += math.log(p)
+        return total
+    monkeypatch.setattr(urls, "MODEL_ROWS", model_rows, raising=False)
+    got = {r.page_id: r.score for r in urls.judge(df, (("allow", "a.org/"), ("block", "b.com/"))).collect()}
+    want = {i: (log_probability("block", u) - log_probability("allow", u)) / len(u) for i, u in enumerate(urls_)} | {5000: 0.0, 5001: 0.0}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_importance_weights_and_sample(spark, odd, nothing, small):
     docs = spark.createDataFrame(small, "doc_id long, text string").unionByName(odd.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10**6))
     good = docs.filter("doc_id % 3 = 0").select("doc_id")
