@@ -12,7 +12,8 @@ similarity is at least `percent`. The join is PPJoin-like:
 * Equal sets are one class. In each n-gram's group every class first meets only the group's leaders (at most `LEADERS`, drawn
   anew for each n-gram: linear in the group), and of all its leaders at most `PICKS`. Pairs are distinct, so each is
   verified once, on the whole texts. After components are built, only groups that still hold several components are joined pair by pair,
-  across components only: no link that matters is lost and groups of near copies are never expanded.
+  across components only: every component is exact and groups of near copies are never expanded. Links inside a component are
+  left out by this; `links` verifies all candidate pairs and returns each link.
 
 Empty and null texts have an empty set and are alone. Repeated rows and ties need no order: the component is named by its
 smallest id. Null ids get the component of their class. Extra columns play no part. Hashes have 58 bits within the order;
@@ -31,7 +32,7 @@ from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.components import components
 from fathomgrid.llm.frames import arrow, column, stored
 
-LEADERS, PICKS = 8, 24
+LEADERS, PICKS, SALTS = 8, 24, 8
 PARITY = tuple(f"p{i}" for i in range(8))
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -118,8 +119,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     return arrow(both.select("a", "b", "ta", "tb"), make, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int = 20) -> DataFrame:
-    """One row per document: id, n_shingles, class_id (fingerprint of its set, null when empty), component_id."""
+def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str, log2_counters: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (id, t), sets of all documents, classes of equal sets, and shared prefix n-grams of classes."""
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
 
     def make_values():
@@ -198,6 +199,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     groups = prefixes.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("token")
     shared = prefixes.join(groups, "token").distinct()
     joined = stored(shared.join(classes.select("s", *PARITY), "s"), "prefixes")
+    return narrow, sets, classes, joined
+
+
+def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int = 20) -> DataFrame:
+    """All links between different sets, each once: a, b (class ids, a < b). Documents of one class link as well.
+
+    Every candidate pair of classes is verified, so the cost grows with the square of a group of near copies; the rows of
+    an n-gram's group are dealt over `SALTS` keys.
+    """
+    narrow, _, classes, joined = _candidates(docs, k, percent, id_column, text, log2_counters)
+    left = _named(joined, "a").withColumn("salt", F.pmod(F.xxhash64("as"), F.lit(SALTS)))
+    right = _named(joined, "b").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    pairs = left.join(right, ["token", "salt"]).filter("`as` < bs").filter(_may_link("a", "b", percent))
+    return _verify(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), narrow, classes, k, percent)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int = 20) -> DataFrame:
+    """One row per document: id, n_shingles, class_id (fingerprint of its set, null when empty), component_id."""
+    narrow, sets, classes, joined = _candidates(docs, k, percent, id_column, text, log2_counters)
     led = joined.groupBy("token", F.pmod("draw", F.lit(LEADERS))).agg(F.min("draw").alias("draw")).select("token", "draw")
     leaders = _named(joined.join(led, ["token", "draw"]), "l")
     star = joined.join(leaders, "token").filter(F.col("s") != F.col("ls")).filter(_may_link("", "l", percent)).groupBy("s").agg(F.collect_set("ls").alias("found"))

@@ -42,6 +42,15 @@ def test_near_duplicates(spark, families):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+@pytest.mark.parametrize("percent", [80, 50])
+def test_links(spark, families, percent):
+    df = spark.createDataFrame(families, "doc_id long, text string")
+    classes = {r.class_id: brute.shingles(families[r.doc_id][1]) for r in ngram_join.near_duplicates(df, percent=percent).collect()}
+    want = [(a, b) for a, x in classes.items() for b, y in classes.items() if a < b and 100 * len(x & y) >= percent * len(x | y)]
+    got = [tuple(r) for r in ngram_join.links(df, percent=percent).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
 def test_near_duplicates_of_odd_texts(odd, nothing):
     assert near(odd) == brute.near_duplicates(rows_of(odd))
     assert near(nothing) == {}
