@@ -73,3 +73,15 @@ def arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     found = batch.column(batch.schema.get_field_index(name))
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def text_runs(names: pa.Array, texts: pa.Array, limit: int = 1 << 20, rows: int = 256) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts (null: empty) of runs of rows of about `limit` characters; only a few rows are Python strings at a time."""
+    for first in range(0, len(texts), rows):
+        part = [t or "" for t in texts.slice(first, rows).to_pylist()]
+        start, size = 0, 0
+        for i, text in enumerate(part):
+            size += len(text)
+            if size >= limit or i == len(part) - 1:
+                yield names.slice(first + start, i + 1 - start), part[start:i + 1]
+                start, size = i + 1, 0

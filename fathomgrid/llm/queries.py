@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm import bpe, decontaminate, importance, langid, ngram_join, rans, substring, suffix, topk, urls
+from fathomgrid.llm import bpe, decontaminate, importance, langid, lexical_search, ngram_join, rans, substring, suffix, token_alignment, token_counts, topk, urls
 from fathomgrid.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,19 @@ r AS (SELECT e.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY
 FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.pos = e.pos GROUP BY e.doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
 
+ORACLE["op12_lexical_search"] = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+n AS (SELECT count(*) FILTER (len(ts) > 0) AS nn, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+p AS (SELECT r, doc_id, len(ts) AS n, t.term, count(*) AS tf FROM d, unnest(ts) AS t(term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, n GROUP BY term, nn),
+b AS (SELECT item_id, row_number() OVER () AS i,
+regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+q AS (SELECT DISTINCT i, item_id, t.term FROM b, unnest(ts) AS t(term)),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * nn) // l)))) AS BIGINT) AS score
+FROM q JOIN p USING (term) JOIN w USING (term), n GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +122,21 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = token_alignment.load(spark, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), vocabularies)
+    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), token_counts.load(spark, tokenizer("piece_bpe_32k.model")))
