@@ -2,14 +2,17 @@
 
 Both token rows of a text spell the same bytes. Seen as byte ranges, two tokens of different rows are linked where their
 ranges overlap, and the connected components of that graph are the smallest groups of tokens that spell the same bytes in
-both rows. Components come from pointer jumping over whole runs of documents at once: every token points to the
-farthest-right token that overlaps it (the right-hand row's token where both end together, which points to itself), and
+both rows. Components come from pointer jumping over many texts at once: every token points to the farthest-right token that
+overlaps it (the right-hand row's token where both end together, which points to itself), and
 `successor = successor[successor]` doubles the step until nothing changes; each token then knows its group's last token.
 
-* `encode` tokenises every text once and stores the ids (two bytes each for vocabularies below 65,536).
-* `pair_counts` counts in how many documents each pair of ids is linked: distinct pairs per document, summed inside each
-  task before the shuffle.
-* `align` gives each document its groups and what its links count. The pairs of most documents (at most `BROADCAST_PAIRS`,
+* A space between two other characters that are surely no white space begins a token in both rows and no token reaches over
+  it, if the left tokenizer's words start there (byte-level pre-tokenizer, no normaliser) and the right model's pieces hold
+  no space behind another character (`token_counts.prove`). Texts are cut there, and each distinct stretch is tokenised and
+  aligned once a task, as long as what a task remembers stays below `REMEMBERED_CHARS`. Other tokenizers get whole texts.
+* `groups` reads every text once: its counts, its groups and its distinct linked pairs of ids, which `align` stores.
+* `pair_counts` counts in how many documents each pair is linked, summed inside each task before the shuffle.
+* `align` adds what each document's links count. The pairs of most documents (at most `BROADCAST_PAIRS`,
   a fixed bound) are looked up in a broadcast table; the others, each in few documents, are joined by pair and summed by row.
 
 A text has no tokens (all zeros, no groups) if it is null or empty or if either row doesn't spell space + text, such as
@@ -19,19 +22,30 @@ document of its own, repeated rows and null ids too. Extra columns play no part;
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.llm import token_counts
 from fathomgrid.llm.frames import Shared, arrow, column, stored, text_runs
 
 BROADCAST_PAIRS = 1 << 20
 HELD_PAIRS = 1 << 20
-RUN_TOKENS = 1 << 18
+REMEMBERED_CHARS = 1 << 24
+CHUNK = 1 << 20
+TOGETHER = 500
+
+#: characters that some engine takes for white space, and the piece model's own space
+_DOUBTFUL = r"\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff\u2581"
+_CUT = re.compile(f"(?<=[^{_DOUBTFUL}]) (?=[^{_DOUBTFUL}])")
+_NEVER = re.compile("(?!)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,10 +60,14 @@ def _piece_bytes(piece: str, is_byte: bool) -> bytes:
 
 
 class Vocabularies:
-    """Both tokenizers' files and the length in bytes of every id; travels to the workers."""
+    """Both tokenizers' files and the bytes of every id; travels to the workers."""
 
     def __init__(self, byte_level: str, pieces: bytes):
         self.files = byte_level, pieces
+        spec = json.loads(byte_level)
+        words = spec.get("pre_tokenizer") or {}
+        self.cuts = (words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+                     and not spec.get("normalizer") and token_counts.prove(pieces) is not None)
         left, right = self._open()
         letters = byte_alphabet()
         vocabulary = left.get_vocab(with_added_tokens=True)
@@ -59,7 +77,6 @@ class Vocabularies:
             self.left[i] = token.encode() if token in added else bytes(letters[c] for c in token)
         self.right = [_piece_bytes(right.id_to_piece(i), right.is_byte(i)) for i in range(right.get_piece_size())]
         self.sizes = tuple(np.array([len(t) for t in side], np.int64) for side in (self.left, self.right))
-        self.kinds = tuple(np.min_scalar_type(len(side)) for side in (self.left, self.right))
 
     def _open(self):
         from sentencepiece import SentencePieceProcessor
@@ -72,16 +89,31 @@ class Vocabularies:
         return left, SentencePieceProcessor(model_proto=self.files[1])
 
     def encoder(self):
-        """A function from texts to pairs of id lists; empty where a row doesn't spell space + text."""
+        """A function from stretches to the ids of both rows of space + stretch for all of them, behind one another, and
+        whether each is spelt in full (those that aren't have no ids)."""
         left, right = self._open()
-        spell = self.left.__getitem__, self.right.__getitem__
 
-        def encode(texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        def rows(texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
             spaced = [" " + t for t in texts]
             for text, a, b in zip(spaced, left.encode_batch_fast(spaced, add_special_tokens=False), right.encode(texts, num_threads=1), strict=True):
-                a, raw = a.ids, text.encode()
-                whole = len(text) > 1 and b"".join(map(spell[0], a)) == raw and b"".join(map(spell[1], b)) == raw
-                yield (a, b) if whole else ([], [])
+                raw = text.encode()
+                whole = b"".join(map(self.left.__getitem__, a.ids)) == raw and b"".join(map(self.right.__getitem__, b)) == raw
+                yield (a.ids, b) if whole else None
+
+        def encode(stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids, spelt = ([], []), np.ones(len(stretches), bool)
+            for start in range(0, len(stretches), TOGETHER if self.cuts else 1):
+                part = stretches[start:start + TOGETHER] if self.cuts else stretches[start:start + 1]
+                found = list(rows([" ".join(part)]))
+                if found[0] is None and len(part) > 1:
+                    found = list(rows(part))
+                for i, row in enumerate(found):
+                    if row is None:
+                        spelt[start + i] = False
+                    else:
+                        for side, new in zip(ids, row, strict=True):
+                            side.append(np.array(new, np.int64))
+            return *(np.concatenate([np.zeros(0, np.int64), *side]) for side in ids), spelt
         return encode
 
 
@@ -104,77 +136,154 @@ def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Run:
-    """Tokens, links and groups of a run of documents whose rows stand behind one another."""
+    """Tokens, links and groups of a run of stretches of text that stand behind one another."""
 
-    def __init__(self, sizes: tuple[np.ndarray, np.ndarray], a: list[np.ndarray], b: list[np.ndarray]):
-        self.n = len(a)
-        self.counts = tuple(np.array([len(x) for x in side], np.int64) for side in (a, b))
-        self.ids = tuple(np.concatenate(side).astype(np.int64) for side in (a, b))
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, lengths: np.ndarray):
+        self.n, self.ids = len(lengths), (a, b)
         self.ends = tuple(np.cumsum(size[ids]) for size, ids in zip(sizes, self.ids, strict=True))
-        self.rows = tuple(np.repeat(np.arange(self.n), c) for c in self.counts)
+        borders = np.cumsum(lengths)
+        self.rows = tuple(np.searchsorted(borders, ends) for ends in self.ends)
+        self.counts = tuple(np.bincount(rows, minlength=self.n) for rows in self.rows)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, left id, right id) of every overlap: one for each stretch between neighbouring ends of any row."""
+        """(stretch, left id, right id) of every overlap: one for each stretch of bytes between neighbouring ends of any row."""
         ends = np.union1d(*self.ends)
         at = np.searchsorted(self.ends[0], ends)
         return self.rows[0][at], self.ids[0][at], self.ids[1][np.searchsorted(self.ends[1], ends)]
 
     def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Group numbers of both rows' tokens (rising through the run) and the document of each group."""
+        """Group numbers of both rows' tokens (rising through the run) and the stretch of each group."""
         a, b = terminals(*self.ends)
         last = np.unique(b)
         return np.searchsorted(last, a), np.searchsorted(last, b), self.rows[1][last]
 
-    def written(self, a_group: np.ndarray, b_group: np.ndarray, words: tuple) -> list[str]:
-        """`a1,a2|b1;a3|b2,b3` per document; `words` are the decimal ids of each side behind each of its two separators."""
+    def written(self, a_group: np.ndarray, b_group: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]]) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` per stretch; `words` are each side's ids in decimal behind each of its two separators."""
         out = np.empty(len(a_group) + len(b_group), object)
-        for side, group, other, edge in ((0, a_group, b_group, "left"), (1, b_group, a_group, "right")):
+        for ids, group, other, edge, (inside, last) in ((self.ids[0], a_group, b_group, "left", words[0]), (self.ids[1], b_group, a_group, "right", words[1])):
             inner = np.zeros(len(group), bool)
             inner[:-1] = group[1:] == group[:-1]
-            out[np.arange(len(group)) + np.searchsorted(other, group, edge)] = np.where(inner, words[side][0][self.ids[side]], words[side][1][self.ids[side]])
+            out[np.arange(len(group)) + np.searchsorted(other, group, edge)] = np.where(inner, inside[ids], last[ids])
         cuts, flat = np.concatenate([[0], np.cumsum(self.counts[0] + self.counts[1])]).tolist(), out.tolist()
         return ["".join(flat[i:j])[:-1] for i, j in zip(cuts, cuts[1:])]  # noqa: B905, RUF007
 
 
-def _words(size: int, last: str) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.array([f"{i}{s}" for i in range(size)], object) for s in (",", last))
-
-
-def _runs(batch: pa.RecordBatch, vocabularies: Vocabularies) -> Iterator[tuple[int, Run]]:
-    """Runs of about `RUN_TOKENS` tokens of a batch of stored ids, each with its first row."""
-    sides = [column(batch, c) for c in ("a", "b")]
-    start, size, held = 0, 0, ([], [])
-    for i in range(batch.num_rows):
-        for side, kind, found in zip(sides, vocabularies.kinds, held, strict=True):
-            found.append(np.frombuffer(side[i].as_buffer(), kind))
-            size += len(found[-1])
-        if size >= RUN_TOKENS or i == batch.num_rows - 1:
-            yield start, Run(vocabularies.sizes, *held)
-            start, size, held = i + 1, 0, ([], [])
-
-
-def encode(docs: DataFrame, vocabularies: Shared, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, a and b (ids of both tokenizers, as bytes)."""
+class _Numbers(dict):
+    """Numbers of the stretches that a task remembers; those met for the first time wait to be aligned."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting = []
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = number = len(self)
+        self.waiting.append(stretch)
+        return number
+
+
+class Aligner:
+    """Aligned texts of one task. Every remembered stretch has its counts, its groups as text, and its links."""
+
+    def __init__(self, vocabularies: Vocabularies):
+        self.vocabularies, self.width = vocabularies, len(vocabularies.right)
+        self.encode = vocabularies.encoder()
+        self.border = _CUT if vocabularies.cuts else _NEVER
+        self.words = [tuple(np.array([f"{i}{c}" for i in range(len(side))], object) for c in (",", last)) for side, last in ((vocabularies.left, "|"), (vocabularies.right, ";"))]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.chars, self.written = _Numbers(), 0, []
+        self.counts = np.zeros((4, 0), np.int64)  # tokens of both rows, groups, links
+        self.spelt = np.zeros(0, bool)
+        self.pairs, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        stretches, self.numbers.waiting = self.numbers.waiting, []
+        a, b, spelt = self.encode(stretches)
+        lengths = np.array([len(s.encode()) + 1 for s in stretches], np.int64) * spelt
+        run = Run(self.vocabularies.sizes, a, b, lengths)
+        row, left, right = run.links()
+        a_group, b_group, group_row = run.groups()
+        counts = [*run.counts, np.bincount(group_row, minlength=run.n), np.bincount(row, minlength=run.n)]
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.spelt = np.concatenate([self.spelt, spelt])
+        written = run.written(a_group, b_group, self.words)
+        self.written += written
+        self.pairs = np.concatenate([self.pairs, left * self.width + right])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts[3])])
+        self.chars += sum(map(len, stretches)) + sum(map(len, written))
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > CHUNK:
+            border = self.border.search(text, start + CHUNK)
+            if border is None:
+                break
+            yield from self.border.split(text[start:border.start()])
+            start = border.end()
+        yield from self.border.split(text[start:])
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, stretch number) of all stretches of the texts in order; texts without tokens have none."""
+        if self.chars > REMEMBERED_CHARS:
+            self._forget()
+        get = self.numbers.__getitem__
+        found = [np.fromiter(map(get, self._stretches(t)) if t else (), np.int64) for t in texts]
+        if self.numbers.waiting:
+            self._learn()
+        row, number = np.repeat(np.arange(len(texts)), [len(x) for x in found]), np.concatenate(found)
+        odd = np.zeros(len(texts), bool)
+        odd[row[~self.spelt[number]]] = True  # a stretch that isn't spelt in full leaves its text without tokens
+        keep = ~odd[row]
+        return row[keep], number[keep]
+
+    def totals(self, values: np.ndarray, row: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+        """Sums by row of a value of each stretch."""
+        upto = np.concatenate([[0], np.cumsum(values[number])])
+        at = np.searchsorted(row, np.arange(n + 1))
+        return upto[at[1:]] - upto[at[:-1]]
+
+    def links(self, row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pair, times) of the distinct linked pairs of each row, in order."""
+        size = max(1, len(self.written))
+        distinct, times = np.unique(row * size + number, return_counts=True)
+        row, number = distinct // size, distinct % size
+        n = self.counts[3][number]
+        upto = np.cumsum(n) - n
+        pair = self.pairs[np.repeat(self.first[number] - upto, n) + np.arange(int(n.sum()))]
+        names, place = np.unique(pair, return_inverse=True)
+        width = max(1, len(names))
+        distinct, back = np.unique(np.repeat(row, n) * width + place, return_inverse=True)
+        return distinct // width, names[distinct % width], np.bincount(back, np.repeat(times, n), len(distinct)).astype(np.int64)
+
+
+def groups(docs: DataFrame, vocabularies: Shared, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: id, n_a, n_b, n_groups, n_links, groups (null without tokens), pair and times (distinct linked
+    pairs, and how many links are that pair)."""
     def make():
-        tokens = vocabularies.value
-        encoder = tokens.encoder()
+        aligner = Aligner(vocabularies.value)
 
         def step(batch):
             for names, texts in text_runs(column(batch, "id"), column(batch, "t")):
-                a, b = zip(*encoder(texts), strict=True)
-                yield {"id": names, "a": [np.array(x, tokens.kinds[0]).tobytes() for x in a], "b": [np.array(x, tokens.kinds[1]).tobytes() for x in b]}
+                row, number = aligner.read(texts)
+                n, written, flat = len(texts), aligner.written.__getitem__, number.tolist()
+                cuts = np.searchsorted(row, np.arange(n + 1)).tolist()
+                out = {c: aligner.totals(v, row, number, n) for c, v in zip(("n_a", "n_b", "n_groups", "n_links"), aligner.counts, strict=True)}
+                out["groups"] = [";".join(map(written, flat[i:j])) or None for i, j in zip(cuts, cuts[1:])]  # noqa: B905, RUF007
+                link_row, pair, times = aligner.links(row, number)
+                cuts = np.searchsorted(link_row, np.arange(n + 1))
+                yield out | {"id": names} | {c: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for c, x in (("pair", pair), ("times", times))}
         return step
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("t"))
-    return arrow(rows, make, f"id {docs.schema[id_column].dataType.simpleString()}, a binary, b binary")
+    kind = docs.schema[id_column].dataType.simpleString()
+    return arrow(rows, make, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, pair array<long>, times array<long>").withColumnRenamed("id", id_column)
 
 
-def pair_counts(encoded: DataFrame, vocabularies: Shared) -> DataFrame:
+def pair_counts(aligned: DataFrame, vocabularies: Shared) -> DataFrame:
     """(pair, count, best): pair = left id * right vocabulary + right id, the documents that hold it linked, and whether
     no other pair of its left id is held by more."""
     def make():
-        tokens = vocabularies.value
-        width = len(tokens.right)
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
         def merged():
@@ -184,13 +293,9 @@ def pair_counts(encoded: DataFrame, vocabularies: Shared) -> DataFrame:
 
         def step(batch):
             if batch is not None:
-                for _, run in _runs(batch, tokens):
-                    row, a, b = run.links()
-                    distinct, place = np.unique(a * width + b, return_inverse=True)
-                    once = np.unique(row * len(distinct) + place) % max(1, len(distinct))
-                    held.append((distinct, np.bincount(once, minlength=len(distinct))))
-                    if sum(len(x) for x, _ in held) > 2 * HELD_PAIRS:
-                        held[:] = [merged()]
+                held.append(np.unique(column(batch, "pair").flatten().to_numpy(), return_counts=True))
+                if sum(len(x) for x, _ in held) > 2 * HELD_PAIRS:
+                    held[:] = [merged()]
             if batch is None or len(held[0][0]) > HELD_PAIRS:
                 pair, n = merged()
                 held[:] = [(pair[:0], n[:0])]
@@ -198,7 +303,7 @@ def pair_counts(encoded: DataFrame, vocabularies: Shared) -> DataFrame:
         return step
 
     width = len(vocabularies.value.right)
-    counts = stored(arrow(encoded.select("a", "b"), make, "pair long, n long", ending=True).groupBy("pair").agg(F.sum("n").alias("count")), "pair_counts")
+    counts = stored(arrow(aligned.select("pair"), make, "pair long, n long", ending=True).groupBy("pair").agg(F.sum("n").alias("count")), "pair_counts")
     left = F.floor(F.col("pair") / width)
     most = counts.groupBy(left.alias("left")).agg(F.max("count").alias("most"))  # at most one row per left id
     return counts.withColumn("left", left).join(most, "left").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -220,51 +325,35 @@ def _known(counts: DataFrame, bound: int):
 
 def align(docs: DataFrame, vocabularies: Shared, id_column: str = "doc_id", text: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (null without tokens)."""
-    encoded = stored(encode(docs, vocabularies, id_column, text).withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
-    known, rest = _known(stored(pair_counts(encoded, vocabularies), "pairs"), broadcast_pairs)
-
-    def looked_up(run, width):
-        """Links with their pair, count and whether it is the best; -1 for pairs outside the table."""
-        row, a, b = run.links()
-        pair = a * width + b
-        pairs, counts, best = known.value
-        at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
-        found = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
-        return row, pair, found, counts[at[found]], best[at[found]]
-
-    def make():
-        tokens = vocabularies.value
-        width, words = len(tokens.right), (_words(len(tokens.left), "|"), _words(len(tokens.right), ";"))
-
-        def step(batch):
-            names, numbers = column(batch, "id"), column(batch, "row")
-            for start, run in _runs(batch, tokens):
-                row, _, found, count, best = looked_up(run, width)
-                a_group, b_group, group_row = run.groups()
-                groups = run.written(a_group, b_group, words)
-                total = np.zeros(run.n, np.int64)
-                np.add.at(total, row[found], count)
-                yield {"id": names.slice(start, run.n), "row": numbers.slice(start, run.n), "n_a": run.counts[0], "n_b": run.counts[1],
-                       "n_groups": np.bincount(group_row, minlength=run.n), "n_links": np.bincount(row, minlength=run.n),
-                       "n_best": np.bincount(row[found][best], minlength=run.n), "count_sum": total, "groups": [g or None for g in groups]}
-        return step
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    out = arrow(encoded, make, f"id {kind}, row long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+    aligned = groups(docs, vocabularies, id_column, text).withColumn("row", F.monotonically_increasing_id())
+    aligned = stored(aligned, "aligned", compression="zstd")
+    known, rest = _known(stored(pair_counts(aligned, vocabularies), "pairs"), broadcast_pairs)
+
+    def found(pair: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs, their place in the table, and whether they are there."""
+        flat, pairs = np.concatenate([np.zeros(0, np.int64), *pair]), known.value[0]
+        at = np.minimum(np.searchsorted(pairs, flat), max(len(pairs) - 1, 0))
+        return flat, at, pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
+
+    @F.pandas_udf("struct<count_sum: long, n_best: long>")
+    def counted(pair: pd.Series, times: pd.Series) -> pd.DataFrame:
+        _, at, inside = found(pair)
+        flat = np.concatenate([np.zeros(0, np.int64), *times])[inside]
+        cuts, out = np.concatenate([[0], np.cumsum(pair.map(len).to_numpy())]).astype(np.int64), {}
+        for name, values in (("count_sum", known.value[1]), ("n_best", known.value[2])):
+            upto = np.zeros(len(inside) + 1, np.int64)
+            upto[1:][inside] = values[at[inside]] * flat
+            out[name] = np.diff(np.cumsum(upto)[cuts])
+        return pd.DataFrame(out)
+
+    out = aligned.withColumn("sums", counted("pair", "times")).withColumns({"count_sum": F.col("sums.count_sum"), "n_best": F.col("sums.n_best")})
     if rest is not None:
-        def make_rest():
-            tokens = vocabularies.value
-            width = len(tokens.right)
-
-            def step(batch):
-                numbers = column(batch, "row").to_numpy()
-                for start, run in _runs(batch, tokens):
-                    row, pair, found, _, _ = looked_up(run, width)
-                    yield {"row": numbers[start + row[~found]], "pair": pair[~found]}
-            return step
-
-        links = arrow(encoded, make_rest, "row long, pair long").join(rest, "pair")
-        more = links.groupBy("row").agg(F.sum("count").alias("more"), F.count_if("best").alias("more_best"))
+        @F.pandas_udf("boolean")
+        def absent(pair: pd.Series) -> pd.Series:
+            return pd.Series(~found([pair.to_numpy()])[2])
+
+        links = aligned.select("row", F.explode(F.arrays_zip("pair", "times")).alias("x")).select("row", "x.pair", "x.times").filter(absent("pair")).join(rest, "pair")
+        more = links.groupBy("row").agg(F.sum(F.col("times") * F.col("count")).alias("more"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"))
         out = out.join(more, "row", "left").withColumns({
             "n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more", F.lit(0))})
-    return out.select(F.col("id").alias(id_column), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    return out.select(id_column, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")

@@ -121,7 +121,8 @@ def test_token_alignment(spark, docs, pieces, bound, monkeypatch):
     """All pairs in the broadcast table, some of them, none of them."""
     if bound < 1000:
         monkeypatch.setattr(token_alignment, "HELD_PAIRS", 50)
-        monkeypatch.setattr(token_alignment, "RUN_TOKENS", 1000)
+        monkeypatch.setattr(token_alignment, "REMEMBERED_CHARS", 5000)
+        monkeypatch.setattr(token_alignment, "CHUNK", 20)
     byte_level = tokenizers.Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     byte_level.encode_special_tokens = True
     rows = docs.select("doc_id", "text").collect()
