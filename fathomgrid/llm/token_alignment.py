@@ -38,7 +38,7 @@ from fathomgrid.llm.frames import Shared, arrow, column, stored, text_runs
 
 BROADCAST_PAIRS = 1 << 20
 HELD_PAIRS = 1 << 20
-REMEMBERED_CHARS = 1 << 24
+REMEMBERED_CHARS = 1 << 25
 CHUNK = 1 << 20
 TOGETHER = 500
 
