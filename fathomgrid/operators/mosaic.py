@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathomgrid.config import GapFill, Mosaic
 from fathomgrid.functions import attitude, geodesy
@@ -154,42 +158,62 @@ def contrast_limits(cells: DataFrame, params: Mosaic = Mosaic(), *, keys: Sequen
     return found.select(*keys, F.coalesce(low, F.lit(0.0)).alias("vmin"), F.coalesce(top, F.lit(1.0)).alias("vmax"))
 
 
+def _fill_tile(cx: np.ndarray, cy: np.ndarray, count: np.ndarray, value: np.ndarray, x0: int, y0: int, tile: int, g: int, least: int) -> tuple[np.ndarray, ...]:
+    """(cx, cy, count, value, filled) of a tile at (x0, y0) from the cells in and up to g around it; NaN is no value."""
+    width = tile + 2 * g
+    at = (cx - x0 + g, cy - y0 + g)
+    counts, values = np.zeros((width, width), np.int64), np.full((width, width), np.nan)
+    counts[at], values[at] = count, value
+    hit = counts > 0
+    known = np.where(hit, np.nan_to_num(values), 0.0)
+    inner = slice(g, g + tile)
+    shifts = [(d, slice(g + d, g + d + tile)) for d in range(-g, g + 1)]
+    # along x first: sum, number and nearest of the hits in each row, then along y over those
+    total = sum(known[s] for _, s in shifts)
+    near = sum(hit[s].astype(np.int64) for _, s in shifts)
+    across = np.min([np.where(hit[s], abs(d), np.inf) for d, s in shifts], axis=0)
+    far = lambda a, d: STRAIGHT_STEP * np.abs(a - d) + DIAGONAL_STEP * np.minimum(a, d)
+    distance = np.min([far(across[:, s], abs(d)) for d, s in shifts], axis=0)
+    total, near = sum(total[:, s] for _, s in shifts), sum(near[:, s] for _, s in shifts)
+    counts, own = counts[inner, inner], values[inner, inner]
+    filled = (counts == 0) & (distance <= g) & (near >= least)
+    x, y = np.nonzero(filled | (counts > 0) | ~np.isnan(own))
+    with np.errstate(invalid="ignore"):
+        shown = np.where(filled, total / near, own)
+    return x + x0, y + y0, counts[x, y], shown[x, y], filled[x, y]
+
+
 def fill_gaps(rendered: DataFrame, params: Mosaic = Mosaic(), gaps: GapFill = GapFill(), *,
-              keys: Sequence[str] = MISSION) -> DataFrame:
+              keys: Sequence[str] = MISSION, tile: int = 256) -> DataFrame:
     """Fill empty cells near data with the mean of the measured cells around them.
 
     Takes keys, cx, cy, count, value; returns the same with `filled`. A cell is filled when it has
     no hit, lies within the gap distance of a hit cell, and enough hit cells are in the box around
     it. A hit cell with too little weight to be shown counts as 0 in that mean.
 
-    The box sum and the distance are both separable, so offsets are spread along x, combined, and
-    then along y: 2(2g+1) rows per cell instead of (2g+1)^2.
+    Cells go to the tile of `tile` by `tile` cells they lie in, and those within the gap distance of
+    its border to the tile beyond as well: one shuffle of about (1 + 2 g / tile)^2 rows a cell, and
+    memory for one tile in a task. Box sum and distance are separable, so each takes 2(2g+1) shifts
+    of the tile's arrays.
     """
     g = max(1, round(gaps.max_gap_m / params.cell_m))
-    reach = F.array(*[F.lit(d) for d in range(-g, g + 1)])
-    stay = F.array(F.lit(0))
-    hit = F.col("count") > 0
-    along_x = (rendered.withColumn("dx", F.explode(F.when(hit, reach).otherwise(stay)))
-               .groupBy(*keys, (F.col("cx") + F.col("dx")).alias("cx"), "cy").agg(
-        F.sum(F.when(hit, F.coalesce("value", F.lit(0.0))).otherwise(0.0)).alias("total"),
-        F.count(F.when(hit, 1)).alias("near"),
-        F.min(F.when(hit, F.abs("dx"))).alias("ax"),
-        F.max(F.when(F.col("dx") == 0, F.col("value"))).alias("own"),
-        F.max(F.when(F.col("dx") == 0, F.col("count"))).alias("count")))
-    here = F.col("dy") == 0
-    ax, ay = F.col("ax"), F.abs("dy")
-    distance = STRAIGHT_STEP * F.abs(ax - ay) + DIAGONAL_STEP * F.least(ax, ay)
-    along_y = (along_x.withColumn("dy", F.explode(F.when(F.col("near") > 0, reach).otherwise(stay)))
-               .groupBy(*keys, "cx", (F.col("cy") + F.col("dy")).alias("cy")).agg(
-        F.sum("total").alias("total"), F.sum("near").alias("near"),
-        F.min(F.when(ax.isNotNull(), distance)).alias("distance"),
-        F.max(F.when(here, F.col("own"))).alias("own"),
-        F.coalesce(F.max(F.when(here, F.col("count"))), F.lit(0).cast("long")).alias("count")))
-    filled = (F.col("count") == 0) & (F.col("distance") <= g) & (F.col("near") >= gaps.min_neighbors)
-    out = along_y.withColumn("filled", F.coalesce(filled, F.lit(False)))
-    return out.filter(F.col("filled") | (F.col("count") > 0) | F.col("own").isNotNull()).select(
-        *keys, "cx", "cy", "count",
-        F.when(F.col("filled"), F.col("total") / F.col("near")).otherwise(F.col("own")).alias("value"), "filled")
+    keys, tile = list(keys), max(tile, 2 * g + 1)
+    spots = [F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-g, g)])) for c in ("cx", "cy")]
+    tiled = (rendered.select(*keys, F.col("cx").cast("long"), F.col("cy").cast("long"), F.col("count").cast("long"), F.col("value").cast("double"))
+             .withColumn("_tx", F.explode(spots[0])).withColumn("_ty", F.explode(spots[1])))
+    schema = T.StructType([T.StructField(k, rendered.schema[k].dataType) for k in keys]
+                          + list(T.StructType.fromDDL("cx long, cy long, count long, value double, filled boolean")))
+    target = to_arrow_schema(schema)
+
+    def fill(key: tuple, cells: pa.Table) -> pa.Table:
+        x0, y0 = (int(k.as_py()) * tile for k in key[-2:])
+        columns = [cells.column(c).to_numpy() for c in ("cx", "cy", "count", "value")]
+        found = _fill_tile(*columns, x0, y0, tile, g, gaps.min_neighbors)
+        own = [pa.repeat(k, len(found[0])) for k in key[:-2]]
+        made = [pa.array(c, mask=np.isnan(c) if c.dtype == np.float64 else None) for c in found]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip([*own, *made], target, strict=True)], schema=target)
+
+    return tiled.groupBy(*keys, "_tx", "_ty").applyInArrow(fill, schema)
 
 
 def tile_cells(cells: DataFrame, origin: Column, zoom: Column, params: Mosaic = Mosaic()) -> DataFrame:

@@ -15,7 +15,7 @@ from fathomgrid.plans.ping_queries import LOOSE, PAIRS, _lock_sql
 from fathomgrid.plans.processing import process
 from fathomgrid.session import checkpointed
 from fathomgrid.sinks.envelopes import envelopes
-from fathomgrid.sources import logs
+from fathomgrid.sources import framing, logs
 
 PER_LOG = 512
 KEY = ("log_id",)
@@ -39,7 +39,7 @@ def _profile_payload(number: pa.Array, values: pa.Array) -> pa.Array:
 def _frame(packet_id: pa.Array, src: pa.Array, payload: pa.Array) -> pa.Array:
     out = []
     for i, s, p in zip(packet_id.to_pylist(), src.to_pylist(), payload.to_pylist()):
-        frame = logs.MARK + len(p).to_bytes(2, "little") + i.to_bytes(2, "little") + bytes([s, 0]) + p
+        frame = framing.MARK + len(p).to_bytes(2, "little") + i.to_bytes(2, "little") + bytes([s, 0]) + p
         out.append(frame + (sum(frame) & 0xFFFF).to_bytes(2, "little"))
     return pa.array(out, pa.binary())
 
@@ -49,7 +49,17 @@ def _joined(frames: pa.Array) -> pa.Array:
     return pa.array([b"\x00".join(f) + b"BR\xff" for f in frames.to_pylist()], pa.binary())
 
 
-def _contents(spark, d):
+@F.arrow_udf(T.BinaryType())
+def _damaged(seq: pa.Array, frame: pa.Array) -> pa.Array:
+    """Every 13th frame has a wrong checksum; every 29th is followed by junk that reads as a frame, with marks inside."""
+    out = []
+    for n, f in zip(seq.to_pylist(), frame.to_pylist()):
+        f = f[:-2] + bytes([f[-2] ^ 0x55, f[-1]]) if n % 13 == 0 else f
+        out.append(f + b"B\x01RBB" + b"BR\x08\x00\x07\x00\x05\x06BRBR\x00BRB\xff\xff" if n % 29 == 0 else f)
+    return pa.array(out, pa.binary())
+
+
+def _contents(spark, d, damaged=False):
     """One binary row per log: view → ATTITUDE, click → GLOBAL_POSITION_INT, signup → LOCAL_POSITION_NED,
     purchase → an unknown type, error → a sonar profile; every 97th event is broken JSON."""
     rows = tables.states(spark, d)
@@ -70,6 +80,8 @@ def _contents(spark, d):
     src = F.when(sonar, (F.col("seq") % 3).cast("int")).otherwise(0)
     framed = rows.select(F.floor(F.col("seq") / PER_LOG).alias("log_id"), "seq", packet_id.alias("p"), src.alias("s"), payload.alias("b"))
     framed = framed.select("log_id", "seq", _frame("p", "s", "b").alias("f"))
+    if damaged:
+        framed = framed.withColumn("f", _damaged("seq", "f"))
     # at most 512 small frames per group
     grouped = framed.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("seq", "f"))).alias("fs"))
     return grouped.select("log_id", _joined(F.transform("fs", lambda x: x["f"])).alias("content"))
@@ -84,9 +96,19 @@ lg AS (SELECT *, seq // 512 AS log_id, seq % 512 AS no, event_type = 'error' AND
 lp AS (SELECT *, CASE WHEN sonar THEN 2198 WHEN seq % 31 = 0 THEN 2194 ELSE 150 END AS packet_id, CASE WHEN sonar THEN seq % 3 ELSE 0 END AS src FROM lg)"""
 
 
-@query(with_(LOG, "SELECT log_id, no AS seq, CAST(packet_id AS INTEGER) AS packet_id, CAST(src AS INTEGER) AS src, true AS checksum_ok FROM lp"))
+# A damaged frame stays a packet, and junk that reads as a frame is one: its marks inside are payload.
+FRAMED = LOG + """,
+fr AS (SELECT log_id, no, 0 AS k, packet_id, src, 0 AS dst, seq % 13 <> 0 AS checksum_ok, CASE WHEN sonar THEN 60 + CASE WHEN seq % 11 = 0 THEN -3 ELSE 0 END END AS payload_bytes FROM lp
+  UNION ALL SELECT log_id, no, 1, 7, 5, 6, false, 8 FROM lp WHERE seq % 29 = 0)"""
+
+
+@query(with_(FRAMED, """SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY no, k) - 1 AS seq, CAST(packet_id AS INTEGER) AS packet_id, CAST(src AS INTEGER) AS src,
+CAST(dst AS INTEGER) AS dst, checksum_ok, CAST(payload_bytes AS INTEGER) AS payload_bytes FROM fr"""))
 def log_packets(spark, d):
-    return _packets(spark, d).select("log_id", "seq", "packet_id", "src", "checksum_ok")
+    """Logs of some 70 kB, in ranges of 8 kB: frames and junk lie across their borders."""
+    found = logs.packets(_contents(spark, d, damaged=True), keys=KEY, range_bytes=8192)
+    known = F.when(F.col("packet_id").isin(logs.PROFILE_ID, 7), F.length("payload"))
+    return found.select("log_id", "seq", "packet_id", "src", "dst", "checksum_ok", known.alias("payload_bytes"))
 
 
 @query(with_(LOG, f"""SELECT log_id, no AS seq, CASE WHEN src = 1 THEN 'port' ELSE 'stbd' END AS side, seq % 11 = 0 AS decode_error,

@@ -112,10 +112,10 @@ def display_manual_range(spark, d):
 
 
 GAPS = CELLS + """,
-off AS (SELECT dx, dy, 0.955e0 * (greatest(abs(dx), abs(dy)) - least(abs(dx), abs(dy))) + 1.3693e0 * least(abs(dx), abs(dy)) AS dist
-  FROM (SELECT unnest(range(-3, 4)) AS dx), (SELECT unnest(range(-3, 4)) AS dy)),
-near AS (SELECT mission_id, cx + dx AS cx, cy + dy AS cy, sum(coalesce(value, 0e0)) AS total, count(*) AS k, min(dist) AS dist
-  FROM cells, off WHERE count > 0 GROUP BY ALL),
+ax AS (SELECT mission_id, cx + dx AS cx, cy, sum(coalesce(value, 0e0)) AS total, count(*) AS k, min(abs(dx)) AS ax
+  FROM cells, (SELECT unnest(range(-3, 4)) AS dx) WHERE count > 0 GROUP BY mission_id, cx + dx, cy),
+near AS (SELECT mission_id, cx, cy + dy AS cy, sum(total) AS total, sum(k) AS k, min(0.955e0 * abs(ax - abs(dy)) + 1.3693e0 * least(ax, abs(dy))) AS dist
+  FROM ax, (SELECT unnest(range(-3, 4)) AS dy) GROUP BY mission_id, cx, cy + dy),
 fill AS (SELECT n.mission_id, n.cx, n.cy, total / k AS fv FROM near n LEFT JOIN hits h USING (mission_id, cx, cy)
   WHERE h.count IS NULL AND n.dist <= 3 AND n.k >= 3)"""
 

@@ -14,7 +14,7 @@ from fathomgrid.operators import sequential
 from fathomgrid.operators import telemetry as tel
 from fathomgrid.operators.asof import attach_latest, attach_nearest
 from fathomgrid.operators.ordered import MISSION, Slices
-from fathomgrid.session import checkpointed
+from fathomgrid.session import checkpointed, written
 from fathomgrid.sources import logs
 
 
@@ -80,10 +80,14 @@ def process(profiles: DataFrame, poses: DataFrame, config: Config = Config(), *,
 
 
 def replay(packets: DataFrame, config: Config = Config(), *, keys: Sequence[str] = MISSION) -> tuple[DataFrame, DataFrame]:
-    """(pings, states) of recorded logs, on the mission clock (seconds from its first event)."""
+    """(pings, states) of recorded logs, on the mission clock (seconds from its first event).
+
+    Packets are written once, then the decoded profiles and messages with their stamps, then the poses: every pass along
+    a mission reads what it needs of those tables, and no plan parses packets or stamps again.
+    """
     slices = Slices.fit("seq")
-    profiles, messages = logs.clocked(packets, keys=keys, slices=slices)
-    poses = tel.synthesise_odom(messages, keys=keys, slices=slices)
+    profiles, messages = (written(x, name) for x, name in zip(logs.clocked(written(packets, "packets"), keys=keys, slices=slices), ("profiles", "messages"), strict=True))
+    poses = written(tel.synthesise_odom(messages, keys=keys, slices=slices), "poses")
     pings = process(profiles, poses, _locf(config), keys=keys, slices=slices)
     kept = sequential.throttle(poses, config.alignment.state_period_ns, keys=keys, slices=Slices.fit("stamp_ns"))
     origin = tel.replay_origin(messages, poses, keys=keys, slices=slices)

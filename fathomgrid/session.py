@@ -36,6 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write a table to the shared folder and read it back: what several passes read is made once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_session(cpus: int | str = "*", **conf) -> SparkSession:
     """Local session used by tests and the benchmark; a cluster brings its own."""
     builder = (

@@ -1,12 +1,12 @@
 """Recorded binary logs: packets, sonar profiles, telemetry, typed topics.
 
-A log file is one binary row (files roll over at 500 MB), read by one task per file; from packets
-on, work spreads by packet.
+A log file is one binary row (files roll over at 500 MB), cut by one task and parsed in byte ranges by
+many; from packets on, work spreads by packet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from fathomgrid.functions import attitude, units
 from fathomgrid.operators import telemetry as tel
 from fathomgrid.operators.ordered import MISSION, Slices, latest, scan
+from fathomgrid.sources import framing
 
-# Frame and profile layout, identifiers.
-MARK = b"BR"
-HEADER, TRAILER = 8, 2
+# Profile layout, identifiers.
 PROFILE_ID, TELEMETRY_ID = 2198, 150
 PORT_DEVICE, STBD_DEVICE = 1, 2
 PROFILE_HEAD = np.dtype([
@@ -40,47 +39,13 @@ MESSAGE = ("type string, time_boot_ms long, roll double, pitch double, yaw doubl
            "latitude double, longitude double, altitude double, airspeed double, groundspeed double, heading double, throttle double, climb double")
 
 
-def walk(data: bytes) -> Iterator[tuple[int, int]]:
-    """(offset, payload length) of the frames in a log. Junk between frames is skipped; a frame
-    that runs past the end stops the walk."""
-    at, last = data.find(MARK), len(data) - HEADER
-    while 0 <= at < last:
-        size = int.from_bytes(data[at + 2:at + 4], "little")
-        end = at + HEADER + size + TRAILER
-        if end > len(data):
-            return
-        yield at, size
-        at = data.find(MARK, end)
+def packets(blobs: DataFrame, *, keys: Sequence[str] = MISSION, content: str = "content", range_bytes: int = framing.RANGE_BYTES) -> DataFrame:
+    """Packets of log contents (keys, binary), numbered from 0 within each row of `blobs`; NULL contents hold none.
 
-
-def packets(blobs: DataFrame, *, keys: Sequence[str] = MISSION, content: str = "content", block: int = 4096) -> DataFrame:
-    """Packets of log contents (keys, binary), numbered from 0 within each row of `blobs`.
-
-    The checksum is reported, not enforced.
+    Junk between frames is skipped, and a frame that runs past the end stops the log. The checksum is reported, not
+    enforced. A log is read in ranges of `range_bytes`, in parallel.
     """
-    schema = T.StructType([T.StructField(k, blobs.schema[k].dataType) for k in keys] + list(T.StructType.fromDDL(PACKET)))
-    target = to_arrow_schema(schema)
-    keys = tuple(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                owner = [batch.column(k)[i].as_py() for k in keys]
-                data, rows = batch.column(content)[i].as_py(), []
-                for seq, (at, size) in enumerate(walk(data)):
-                    end = at + HEADER + size
-                    given = int.from_bytes(data[end:end + TRAILER], "little")
-                    # weighted by nothing: the plain byte sum, modulo 2^16
-                    true = int(np.frombuffer(data, np.uint8, end - at, at).sum(dtype=np.int64)) & 0xFFFF
-                    rows.append((*owner, seq, at, int.from_bytes(data[at + 4:at + 6], "little"), data[at + 6], data[at + 7],
-                                 data[at + HEADER:end], given, given == true))
-                    if len(rows) == block:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
-
-    return blobs.select(*keys, content).mapInArrow(run, schema)
+    return framing.packets(blobs, PACKET, keys=keys, content=content, range_bytes=range_bytes)
 
 
 def read_logs(spark: SparkSession, path: str, pattern: str = "*.svlog") -> DataFrame:

@@ -12,7 +12,7 @@ from fathomgrid.operators import imaging, missions, mosaic, raster
 from fathomgrid.operators import telemetry as tel
 from fathomgrid.plans import processing
 from fathomgrid.sinks import files
-from fathomgrid.sources import logs, messages
+from fathomgrid.sources import framing, logs, messages
 
 
 def frame(packet_id, src, payload, checksum=None):
@@ -40,6 +40,37 @@ def test_walk_skips_junk_and_stops_at_a_cut_frame(spark):
         (0, 3, 150, 0, b"{}", True), (1, 3 + len(good) + 4, 7, 3, b"abc", False)]
 
 
+def test_ranges_equal_the_plain_walk(spark):
+    """Random bytes full of marks, and real frames with junk: any split gives the walk from the start."""
+    rng = np.random.default_rng(8)
+    blobs = [b"", b"B", b"BR", b"BRBRBRBRBR", frame(1, 2, b"") * 50]
+    for i in range(30):
+        noise = rng.choice(np.frombuffer(b"BBRR\x00\x01\x02\x05", np.uint8), int(rng.integers(1, 4000))).tobytes()
+        real = b"".join(frame(int(rng.integers(9)), int(rng.integers(3)), rng.choice(np.frombuffer(b"BRxy", np.uint8), int(rng.integers(0, 300))).tobytes(),
+                              checksum=None if rng.random() < 0.8 else 7) + (b"BR" if rng.random() < 0.02 else b"junkB" * int(rng.integers(0, 3))) for _ in range(60))
+        blobs.append(noise if i % 3 == 0 else real if i % 3 == 1 else real[:-3])
+    df = spark.createDataFrame([("same" if i < 9 else str(i), b) for i, b in enumerate(blobs)] + [("none", None)], "mission_id string, content binary")
+    want = []
+    for i, data in enumerate(blobs):
+        for seq, (at, size) in enumerate(framing.walk(data)):
+            end = at + 8 + size
+            want.append(("same" if i < 9 else str(i), seq, at, int.from_bytes(data[at + 4:at + 6], "little"), data[at + 6], data[at + 7], data[at + 8:end],
+                         int.from_bytes(data[end:end + 2], "little"), sum(data[at:end]) & 0xFFFF == int.from_bytes(data[end:end + 2], "little")))
+    assert len(want) > 600 and {w[-1] for w in want} == {True, False}
+    for width in (1 << 20, 2500, 97):
+        got = [(*r[:6], bytes(r.payload), *r[7:]) for r in logs.packets(df, range_bytes=width).collect()]
+        assert sorted(got) == sorted(want)
+    assert logs.packets(df.limit(0)).count() == 0
+
+
+def test_frames_longer_than_ranges(spark):
+    data = frame(1, 0, b"BR" * 30_000) + b"BR\x00" + frame(2, 0, b"x" * 65_535) + frame(3, 0, b"")
+    df = spark.createDataFrame([("m", data)], "mission_id string, content binary")
+    for width in (10_000, 70_000):
+        got = logs.packets(df, range_bytes=width).orderBy("seq").collect()
+        assert [(r.offset, len(r.payload)) for r in got] == list(framing.walk(data))
+
+
 @pytest.fixture(scope="module")
 def recording(tmp_path_factory):
     """A boat moving east at 1 m/s: bottom at 6 m on both sides, one odometry pair per ping pair."""

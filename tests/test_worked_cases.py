@@ -284,3 +284,33 @@ def test_measured_speed_wins_in_fallback_states(spark):
     plain = [r.speed_mps for r in telemetry.fallback_states(odom, fixes).orderBy("t").collect()]
     got = [r.speed_mps for r in telemetry.fallback_states(odom, fixes, speeds=speeds).orderBy("t").collect()]
     assert got == [plain[0], 2.5, 2.5, 3.5]
+
+
+def test_gaps_across_tiles_match_every_offset(spark):
+    """Cells around tile borders on both sides of zero, hits without a value and empty cells with one."""
+    rng = np.random.default_rng(5)
+    rows = {}
+    for mission in ("a", "b"):
+        for _ in range(150):
+            at = (mission, int(rng.integers(-20, 20)), int(rng.integers(-20, 20)))
+            count, value = int(rng.integers(0, 3)), float(rng.normal())
+            rows[at] = (count, value if rng.random() < 0.8 else None)
+    want = {}
+    for (m, x, y), (count, value) in rows.items():
+        if count or value is not None:
+            want[m, x, y] = (count, value, False)
+    for m in ("a", "b"):
+        for x in range(-24, 25):
+            for y in range(-24, 25):
+                near = [(abs(dx), abs(dy), rows[m, x + dx, y + dy][1]) for dx in range(-3, 4) for dy in range(-3, 4) if rows.get((m, x + dx, y + dy), (0,))[0]]
+                close = any(0.955 * abs(a - b) + 1.3693 * min(a, b) <= 3 for a, b, _ in near)
+                if close and len(near) >= 3 and not rows.get((m, x, y), (0,))[0]:
+                    want[m, x, y] = (0, sum(v or 0.0 for *_, v in near) / len(near), True)
+    df = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "mission_id string, cx long, cy long, count long, value double")
+    for tile in (1, 8, 256):
+        got = {(r.mission_id, r.cx, r.cy): (r["count"], r.value, r.filled) for r in mosaic.fill_gaps(df, tile=tile).collect()}
+        assert got.keys() == want.keys()
+        for k, (count, value, filled) in want.items():
+            assert got[k][0] == count and got[k][2] == filled
+            assert got[k][1] == (None if value is None else pytest.approx(value))
+    assert mosaic.fill_gaps(df.limit(0)).count() == 0
