@@ -49,10 +49,12 @@ class Tokens:
     """Ids by the tokenizers library, for runs of documents.
 
     The byte-level pre-tokenizer never joins characters across the start of a word with its leading space, so a text is cut
-    there; every distinct part (by a 64-bit hash) is encoded once and remembered as a row of sorted arrays. Distinct parts
-    are encoded many at a time, each behind a line break, and told apart by the line break's id. Texts with other than
-    ASCII white space or with special tokens are encoded whole. What is remembered lives as long as the worker process, in
-    a module made there, since objects of this class live as long as a task.
+    there; every distinct part is encoded once and remembered. Parts of up to 15 bytes are known by all their bytes and their
+    length, as two numbers, in sorted arrays; longer ones by their bytes in a dict. Distinct parts are encoded many at a time,
+    each behind a line break, and told apart by the line break's id; where that doesn't come out even, one by one. Texts with
+    other than ASCII white space or with special tokens are set aside first and encoded whole. What is remembered is bounded
+    by `REMEMBERED` parts and lives as long as the worker process, in a module made there (objects of this class live as long
+    as a task); Spark doesn't account for that memory.
     """
 
     def __init__(self, spec: str):
@@ -61,7 +63,6 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
         self.line = self.tokenizer.token_to_id("\u010a")
-        self.roll = ts.Rolling()
         kept = vars(sys.modules.setdefault("_tokens_of_this_worker", types.ModuleType("_tokens_of_this_worker")))
         name = hashlib.sha256(spec.encode()).hexdigest()
         if name not in kept:
@@ -71,9 +72,10 @@ class Tokens:
             self._forget()
 
     def _forget(self) -> None:
-        self.kept |= {"keys": np.zeros(0, np.uint64), "first": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)}
+        self.kept |= {"keys": np.zeros(0, np.uint64), "low": np.zeros(0, np.uint64), "high": np.zeros(0, np.uint64), "at": np.zeros(0, np.int64),
+                      "first": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32), "long": {}}
 
-    keys, first, size, ids = (property(lambda self, c=c: self.kept[c]) for c in ("keys", "first", "size", "ids"))
+    keys, low, high, at, first, size, ids, long = (property(lambda self, c=c: self.kept[c]) for c in ("keys", "low", "high", "at", "first", "size", "ids", "long"))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -93,54 +95,86 @@ class Tokens:
         first[1:-1] |= letter[:-1] & ~letter[1:] & (data[1:] < 0x80)  # what follows a word's letters is never part of it
         return np.flatnonzero(first[:-1])
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+    def _learn(self, texts: list[bytes]) -> np.ndarray:
+        """Encode new parts; their places in `first` and `size`."""
         runs, sizes = [], np.zeros(len(texts), np.int64)
-        blank = [i for i, t in enumerate(texts) if t.isspace()]
+        blank = [i for i, t in enumerate(texts) if not t.strip()]
+        alone, order = list(blank), []
         solid = np.setdiff1d(np.arange(len(texts)), blank)
         for a in range(0, len(solid), 2000):
             part = solid[a:a + 2000]
             ids = self._ids("\n" + b"\n".join([texts[i] for i in part.tolist()]).decode())
             at = np.flatnonzero(ids == self.line)
             if len(at) != len(part):
-                raise ValueError("the tokenizer has no token of its own for a line break")
+                alone += part.tolist()
+                continue
             sizes[part] = np.diff(np.append(at, len(ids))) - 1
             runs.append(ids[ids != self.line])
-        for i in blank:
+            order.append(part)
+        for i in alone:
             runs.append(self._ids(texts[i].decode()))
             sizes[i] = len(runs[-1])
-        order = np.concatenate([solid, blank]).astype(np.int64)
-        keys, size = keys[order], sizes[order]
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self._forget()
-        first = len(self.ids) + np.cumsum(size) - size
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.kept |= {"ids": np.concatenate([self.ids, *runs]), "keys": every[order], "first": np.concatenate([self.first, first])[order],
-                      "size": np.concatenate([self.size, size])[order]}
+        order = np.concatenate([*order, np.array(alone, np.int64)]).astype(np.int64)
+        first = np.zeros(len(texts), np.int64)
+        first[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
+        places = len(self.first) + np.arange(len(texts))
+        self.kept |= {"ids": np.concatenate([self.ids, *runs]), "first": np.concatenate([self.first, first]), "size": np.concatenate([self.size, sizes])}
+        return places
+
+    def _short(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Places of parts that are known by two numbers; -1 for the few whose key is another part's."""
+        key = ts.mix(low ^ ts.mix(high))
+        distinct, example, place = np.unique(key, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            which = example[new]
+            places = self._learn([raw[s:e] for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            every = np.concatenate([self.keys, distinct[new]])
+            order = np.argsort(every, kind="stable")
+            self.kept |= {"keys": every[order]} | {c: np.concatenate([self.kept[c], x])[order] for c, x in (("low", low[which]), ("high", high[which]), ("at", places))}
+            at = np.searchsorted(self.keys, distinct)
+        at = at[place]
+        return np.where((self.low[at] == low) & (self.high[at] == high), self.at[at], -1)
+
+    def _long(self, parts: list[bytes]) -> list[int]:
+        new = [p for p in dict.fromkeys(parts) if p not in self.long]
+        if new:
+            self.long.update(zip(new, self._learn(new).tolist(), strict=True))
+        return [self.long[p] for p in parts]
 
     def encode(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
         """Ids of every document of a run."""
         raw = data.tobytes()
+        odd = {m.start() for pattern in (_WIDE, self.special) for m in pattern.finditer(raw)}
+        aside = sorted({int(np.searchsorted(cuts, i, "right")) - 1 for i in odd})
         parts = self._parts(data, cuts)
-        hashes = self.roll.spans(self.roll.prefix(self.roll.bytes[data]), parts, np.append(parts[1:], len(data))) if len(parts) else np.zeros(0, np.uint64)
-        distinct, example, place = np.unique(hashes, return_index=True, return_inverse=True)
         ends = np.append(parts[1:], len(data))
-        for attempt in (0, 1):  # what is forgotten while learning is learnt again
-            at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-            new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
-            if not len(new):
-                break
-            if attempt == 0 and len(self.keys) + len(new) > REMEMBERED:
-                self._forget()
-                new = np.arange(len(distinct))
-            self._learn(distinct[new], [raw[s:e] for s, e in zip(parts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
-        at = np.searchsorted(self.keys, distinct)[place]
-        size = self.size[at]
+        usual = np.ones(len(cuts) - 1, bool)
+        usual[aside] = False
+        keep = usual[np.searchsorted(cuts, parts, "right") - 1]
+        parts, ends = parts[keep], ends[keep]
+        if len(self.first) + len(parts) // 4 > REMEMBERED:
+            self._forget()
+        size = ends - parts
+        short = size <= 15
+        padded = np.frombuffer(raw + bytes(16), np.uint8)
+        window = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+        masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+        at, n = parts[short], size[short]
+        low = window[at] & masks[np.minimum(n, 8)]
+        high = window[at + 8] & masks[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
+        places = np.full(len(parts), -1, np.int64)
+        if len(at):
+            places[short] = self._short(raw, at, ends[short], low, high)
+        rest = np.flatnonzero(places < 0)
+        if len(rest):
+            places[rest] = self._long([raw[s:e] for s, e in zip(parts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        size = self.size[places]
         upto = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.first[at] - upto[:-1], size) + np.arange(upto[-1])] if len(at) else np.zeros(0, np.uint32)
+        flat = self.ids[np.repeat(self.first[places] - upto[:-1], size) + np.arange(upto[-1])] if len(places) else np.zeros(0, np.uint32)
         out = np.split(flat, upto[np.searchsorted(parts, cuts[1:-1])]) if len(cuts) > 1 else []
-        odd = {m.start() for pattern in (_WIDE, self.special) for m in pattern.finditer(raw)}
-        for row in {int(np.searchsorted(cuts, i, "right")) - 1 for i in odd}:
+        for row in aside:
             out[row] = self._ids(raw[cuts[row]:cuts[row + 1]].decode())
         return out
 

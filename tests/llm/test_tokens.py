@@ -78,6 +78,27 @@ def test_token_files(spark, odd, small, nothing, pieces, monkeypatch):
     assert rans.through_files(nothing, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_parts_of_any_text(pieces, monkeypatch):
+    """All kinds of white space, words that agree in polynomial hashes, long words, and memory that is full."""
+    rng = random.Random(7)
+    morse = [bin(i).count("1") & 1 for i in range(1024)]
+    twins = ["".join("ab"[x] for x in morse), "".join("ba"[x] for x in morse)]
+    letters = ["a", "b", "th", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000",
+               "é", "漢", "🙂", "'s", "'", ".", "12", "<|endoftext|>", "\x00", "\ufeff", "\u200b", "abcdefghijklmnopq", "\x00\x00"]
+    texts = ["\n\xa0\n", "Hello.\n\xa0\nWorld", "\xa0 x", "'\xa0'", " ".join(twins), *twins, "", "\n", "a\x00", "a\x00\x00", "a"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(5000)]
+    want = [x.ids for x in pieces.encode_batch(texts, add_special_tokens=False)]
+    for bound in (1_500_000, 300):
+        monkeypatch.setattr(rans, "REMEMBERED", bound)
+        tokens = rans.Tokens(pieces.to_str())
+        got = []
+        for start in range(0, len(texts), 97):
+            raw = [t.encode() for t in texts[start:start + 97]]
+            cuts = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            got += [x.tolist() for x in tokens.encode(np.frombuffer(b"".join(raw), np.uint8), cuts)]
+        assert got == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 300_000])
 def test_blocks(n, monkeypatch):
     monkeypatch.setattr(rans, "CHECKPOINT", 7)
