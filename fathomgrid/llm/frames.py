@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
@@ -30,13 +31,40 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a table to the shared folder and read it back: work that several later steps use is done once."""
     path = shared_folder(df.sparkSession, name)
+    if _open:
+        _open[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` makes inside are removed at the end."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _open.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that `make` gives, written and read back; whatever was stored on the way is removed once it is written."""
+    path = shared_folder(spark, name)
+    with intermediates(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Shared:
     """A broadcast object of a class of this package: it travels as bytes, with its class, so that workers need no copy
     of the package."""

@@ -7,8 +7,8 @@ similarity is at least `percent`. The join is PPJoin-like:
   whole corpus), then by hash. Any order is right; this one keeps frequent passages out of the prefixes.
 * Prefix: linked sets share an n-gram among the first `n - ceil(percent n) + 1`. A second sketch drops prefix n-grams that
   occur in one prefix only, so what is shuffled are n-grams that may join.
-* Length, positional and suffix filters are conditions of the join itself; the suffix filter compares 512 parity bits of hash
-  buckets, which bound the symmetric difference from below.
+* Length and positional filters are conditions of the join itself. The distinct pairs that pass fetch 512 parity bits of hash
+  buckets for the suffix filter, which bound the symmetric difference from below.
 * Equal sets are one class. In each n-gram's group every class first meets only the group's leaders (at most `LEADERS`, drawn
   anew for each n-gram: linear in the group), and of all its leaders at most `PICKS`. Pairs are distinct, so each is
   verified once, on the whole texts. After components are built, only groups that still hold several components are joined pair by pair,
@@ -73,22 +73,28 @@ def _overlap(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filters on two prefix rows given by column prefixes."""
+    """Length and positional filters on two prefix rows given by column prefixes."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    need = _overlap(na, nb, percent)
-    differ = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY[1:]), F.bit_count(F.col(a + PARITY[0]).bitwiseXOR(F.col(b + PARITY[0]))))
-    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
-            & (differ <= na + nb - 2 * need))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= _overlap(na, nb, percent))
 
 
 def _named(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(side + c) for c in ("s", "n", "pos", *PARITY, *columns)])
+    return rows.select("token", *[F.col(c).alias(side + c) for c in ("s", "n", "pos", *columns)])
+
+
+def _suffixes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of classes that pass the suffix filter; their parity bits are fetched only here."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(classes.select(F.col("s").alias(side), F.col("n").alias(f"{side}n"), *[F.col(p).alias(side + p) for p in PARITY]), side)
+    differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY[1:]), F.bit_count(F.col("a" + PARITY[0]).bitwiseXOR(F.col("b" + PARITY[0]))))
+    return both.filter(differ <= F.col("an") + F.col("bn") - 2 * _overlap(F.col("an"), F.col("bn"), percent)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, compared once each on whole texts."""
     pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(classes, "s").select("s", F.col("rep").alias("id")), "wanted")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(classes.select("s", F.col("rep").alias("id")), "s"), "wanted")
     texts = stored(sketch.only(docs, wanted.select("id"), "id").join(wanted, "id").select("s", "t"), "texts")
     both = pairs.join(texts.select(F.col("s").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("s").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -193,13 +199,11 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
     prefixes = rows.filter("not is_set").select("token", "s", "n", "pos")
 
     same = F.when(F.min("s2") == F.max("s2"), F.min("id")).when(F.min("s2") < F.max("s2"), F.raise_error(F.lit("two sets share a fingerprint")))
-    classes = stored(sets.filter("s is not null").groupBy("s").agg(same.alias("rep"), *[F.max(p).alias(p) for p in PARITY]), "classes")
+    classes = stored(sets.filter("s is not null").groupBy("s").agg(same.alias("rep"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITY]), "classes")
 
     prefixes = prefixes.withColumn("draw", F.xxhash64("s", "token"))
     groups = prefixes.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("token")
-    shared = prefixes.join(groups, "token").distinct()
-    joined = stored(shared.join(classes.select("s", *PARITY), "s"), "prefixes")
-    return narrow, sets, classes, joined
+    return narrow, sets, classes, stored(prefixes.join(groups, "token").distinct(), "prefixes")
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int = 20) -> DataFrame:
@@ -212,7 +216,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_
     left = _named(joined, "a").withColumn("salt", F.pmod(F.xxhash64("as"), F.lit(SALTS)))
     right = _named(joined, "b").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     pairs = left.join(right, ["token", "salt"]).filter("`as` < bs").filter(_may_link("a", "b", percent))
-    return _verify(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), narrow, classes, k, percent)
+    return _verify(_suffixes(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), classes, percent), narrow, classes, k, percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int = 20) -> DataFrame:
@@ -220,7 +224,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     narrow, sets, classes, joined = _candidates(docs, k, percent, id_column, text, log2_counters)
     led = joined.groupBy("token", F.pmod("draw", F.lit(LEADERS))).agg(F.min("draw").alias("draw")).select("token", "draw")
     leaders = _named(joined.join(led, ["token", "draw"]), "l")
-    star = joined.join(leaders, "token").filter(F.col("s") != F.col("ls")).filter(_may_link("", "l", percent)).groupBy("s").agg(F.collect_set("ls").alias("found"))
+    star = joined.join(leaders, "token").filter(F.col("s") != F.col("ls")).filter(_may_link("", "l", percent)).select(F.col("s").alias("a"), F.col("ls").alias("b")).distinct()
+    star = _suffixes(star, classes, percent).groupBy(F.col("a").alias("s")).agg(F.collect_set("b").alias("found"))
     picked = F.slice(F.sort_array(F.transform("found", lambda x: F.struct(F.xxhash64(x, F.col("s")).alias("draw"), x.alias("l")))), 1, PICKS)
     star = star.select("s", F.explode(picked).alias("x")).select(F.least("s", "x.l").alias("a"), F.greatest("s", "x.l").alias("b")).distinct()
     star = stored(star, "star")
@@ -229,10 +234,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     open_groups = rest.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     rest = stored(rest.join(open_groups, "token"), "rest")
     across = _named(rest, "a", "label").join(_named(rest, "b", "label"), "token").filter("`as` < bs and alabel <> blabel").filter(_may_link("a", "b", percent))
-    across = across.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    across = _suffixes(across.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), classes, percent)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verify(across, narrow, classes, k, percent)))
 
-    named = classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    named = classes.select("s", "rep").join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
     least = stored(named.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
     names = stored(named.join(least, "label").select("s", "component_id"), "names")
     return sets.join(names, "s", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("s").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
