@@ -1,17 +1,20 @@
 """From raw documents to token ids: five stages, each over all that its predecessor kept.
 
 Language ID -> n-gram Jaccard join -> substring dedup -> benchmark decontamination -> BPE. Every stage takes
-(spark, docs, sf_dir); `run` writes each result as Parquet to shared storage and reads it as the next one's input. All
+(spark, docs, sf_dir); `run` writes each result as Parquet to shared storage, removes what the stage stored on its way, and
+reads the result as the next one's input. Repeated rows of one id stay or go together; a null id always stays. All
 stages but the last return the columns of `documents` (extra ones are dropped).
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import bpe, decontaminate, langid, ngram_join, sketch, substring
-from fathomgrid.llm.frames import stored, table
+from fathomgrid.llm.frames import staged, stored, table
 from fathomgrid.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -53,5 +56,5 @@ STAGES = [("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("subs
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = staged(spark, name, partial(stage, spark, docs, sf_dir))
     return docs
