@@ -28,7 +28,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +37,10 @@ from fathomgrid.llm.frames import Shared, arrow, column, stored, text_runs
 
 BROADCAST_PAIRS = 1 << 20
 HELD_PAIRS = 1 << 20
-REMEMBERED_CHARS = 1 << 25
+REMEMBERED_CHARS = 1 << 24
 CHUNK = 1 << 20
 TOGETHER = 500
+ROWS = 500
 
 #: characters that some engine takes for white space, and the piece model's own space
 _DOUBTFUL = r"\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff\u2581"
@@ -77,6 +77,7 @@ class Vocabularies:
             self.left[i] = token.encode() if token in added else bytes(letters[c] for c in token)
         self.right = [_piece_bytes(right.id_to_piece(i), right.is_byte(i)) for i in range(right.get_piece_size())]
         self.sizes = tuple(np.array([len(t) for t in side], np.int64) for side in (self.left, self.right))
+        self.pair = "int" if len(self.left) * len(self.right) < 1 << 31 else "long"
 
     def _open(self):
         from sentencepiece import SentencePieceProcessor
@@ -262,6 +263,7 @@ def groups(docs: DataFrame, vocabularies: Shared, id_column: str = "doc_id", tex
     pairs, and how many links are that pair)."""
     def make():
         aligner = Aligner(vocabularies.value)
+        small = np.int32 if vocabularies.value.pair == "int" else np.int64
 
         def step(batch):
             for names, texts in text_runs(column(batch, "id"), column(batch, "t")):
@@ -272,12 +274,12 @@ def groups(docs: DataFrame, vocabularies: Shared, id_column: str = "doc_id", tex
                 out["groups"] = [";".join(map(written, flat[i:j])) or None for i, j in zip(cuts, cuts[1:])]  # noqa: B905, RUF007
                 link_row, pair, times = aligner.links(row, number)
                 cuts = np.searchsorted(link_row, np.arange(n + 1))
-                yield out | {"id": names} | {c: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for c, x in (("pair", pair), ("times", times))}
+                yield out | {"id": names} | {c: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for c, x in (("pair", pair.astype(small)), ("times", times.astype(np.int32)))}
         return step
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("t"))
     kind = docs.schema[id_column].dataType.simpleString()
-    return arrow(rows, make, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, pair array<long>, times array<long>").withColumnRenamed("id", id_column)
+    return arrow(rows, make, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, pair array<{vocabularies.value.pair}>, times array<int>").withColumnRenamed("id", id_column)
 
 
 def pair_counts(aligned: DataFrame, vocabularies: Shared) -> DataFrame:
@@ -293,7 +295,8 @@ def pair_counts(aligned: DataFrame, vocabularies: Shared) -> DataFrame:
 
         def step(batch):
             if batch is not None:
-                held.append(np.unique(column(batch, "pair").flatten().to_numpy(), return_counts=True))
+                pair, n = np.unique(column(batch, "pair").flatten().to_numpy(), return_counts=True)
+                held.append((pair.astype(np.int64), n))
                 if sum(len(x) for x, _ in held) > 2 * HELD_PAIRS:
                     held[:] = [merged()]
             if batch is None or len(held[0][0]) > HELD_PAIRS:
@@ -329,28 +332,30 @@ def align(docs: DataFrame, vocabularies: Shared, id_column: str = "doc_id", text
     aligned = stored(aligned, "aligned", compression="zstd")
     known, rest = _known(stored(pair_counts(aligned, vocabularies), "pairs"), broadcast_pairs)
 
-    def found(pair: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs, their place in the table, and whether they are there."""
-        flat, pairs = np.concatenate([np.zeros(0, np.int64), *pair]), known.value[0]
-        at = np.minimum(np.searchsorted(pairs, flat), max(len(pairs) - 1, 0))
-        return flat, at, pairs[at] == flat if len(pairs) else np.zeros(len(flat), bool)
-
-    @F.pandas_udf("struct<count_sum: long, n_best: long>")
-    def counted(pair: pd.Series, times: pd.Series) -> pd.DataFrame:
-        _, at, inside = found(pair)
-        flat = np.concatenate([np.zeros(0, np.int64), *times])[inside]
-        cuts, out = np.concatenate([[0], np.cumsum(pair.map(len).to_numpy())]).astype(np.int64), {}
-        for name, values in (("count_sum", known.value[1]), ("n_best", known.value[2])):
-            upto = np.zeros(len(inside) + 1, np.int64)
-            upto[1:][inside] = values[at[inside]] * flat
-            out[name] = np.diff(np.cumsum(upto)[cuts])
-        return pd.DataFrame(out)
+    def found(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs in the table, and whether they are there."""
+        pairs = known.value[0]
+        at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
+        return at, pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
+
+    @F.arrow_udf("struct<count_sum: long, n_best: long>")
+    def counted(pair: pa.Array, times: pa.Array) -> pa.Array:
+        done = [np.zeros((2, 0), np.int64)]
+        for start in range(0, len(pair), ROWS):  # a few rows at a time: what is made on the way stays small
+            part, often = pair.slice(start, ROWS), times.slice(start, ROWS).flatten().to_numpy()
+            at, inside = found(part.flatten().to_numpy().astype(np.int64))
+            cuts = np.concatenate([[0], np.cumsum(part.value_lengths().to_numpy())]).astype(np.int64)
+            sums = np.zeros((2, len(inside) + 1), np.int64)
+            for i in (0, 1):
+                sums[i, 1:][inside] = known.value[i + 1][at[inside]] * often[inside]
+            done.append(np.diff(np.cumsum(sums, axis=1)[:, cuts], axis=1))
+        return pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate(done, axis=1)], names=["count_sum", "n_best"])
 
     out = aligned.withColumn("sums", counted("pair", "times")).withColumns({"count_sum": F.col("sums.count_sum"), "n_best": F.col("sums.n_best")})
     if rest is not None:
-        @F.pandas_udf("boolean")
-        def absent(pair: pd.Series) -> pd.Series:
-            return pd.Series(~found([pair.to_numpy()])[2])
+        @F.arrow_udf("boolean")
+        def absent(pair: pa.Array) -> pa.Array:
+            return pa.array(~found(pair.to_numpy().astype(np.int64))[1])
 
         links = aligned.select("row", F.explode(F.arrays_zip("pair", "times")).alias("x")).select("row", "x.pair", "x.times").filter(absent("pair")).join(rest, "pair")
         more = links.groupBy("row").agg(F.sum(F.col("times") * F.col("count")).alias("more"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"))
