@@ -2,7 +2,8 @@
 
 Language ID -> n-gram Jaccard join -> substring dedup -> benchmark decontamination -> BPE. Every stage takes
 (spark, docs, sf_dir); `run` writes each result as Parquet to shared storage, removes what the stage stored on its way, and
-reads the result as the next one's input. Repeated rows of one id stay or go together; a null id always stays. All
+reads the result as the next one's input. Copies and contaminated documents are dropped by id: repeated rows of one id stay or
+go together, and rows with a null id stay in those two stages. All
 stages but the last return the columns of `documents` (extra ones are dropped).
 """
 
