@@ -88,6 +88,18 @@ class Alignment:
     jump_m: float = 5.0
 
 
+@dataclass(frozen=True)
+class Display:
+    """How intensities become colours. The defaults."""
+
+    auto_range: bool = True
+    vmin_db: float = -60.0
+    vmax_db: float = -10.0
+    gamma: float = 1.0
+    brightness: float = 0.0
+    colormap: str = "Copper"
+
+
 @dataclass(frozen=True)
 class Scale:
     """Sizing of ordered passes; see operators.ordered.Slices."""

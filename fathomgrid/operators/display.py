@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomgrid.config import Display
+
 # Slope and offset of each channel along a ramp of 256 steps of 1/255, clipped to 0..1 and truncated to
 # bytes. "Inverse gray" is the gray ramp read from its end.
 COLOURS = {
@@ -19,16 +19,6 @@ REVERSED = ("Inverse gray",)
 STEP = 1.0 / 255
 
 
-@dataclass(frozen=True)
-class Display:
-    auto_range: bool = True
-    vmin_db: float = -60.0
-    vmax_db: float = -10.0
-    gamma: float = 1.0
-    brightness: float = 0.0
-    colormap: str = "Copper"
-
-
 def _unit(value: Column) -> Column:
     """Clipped to 0..1; `greatest` and `least` skip NULL, so a missing value is kept apart."""
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))

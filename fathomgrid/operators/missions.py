@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomgrid.operators.ordered import HALO, MISSION, SLICE, Slices, with_halo
+from fathomgrid.operators.ordered import MISSION
 
 # Fixed values.
 FILE_SLACK_S = 10
@@ -76,16 +76,27 @@ def rate_per_second(messages: DataFrame, *, keys: Sequence[str] = MISSION, on: s
     return messages.groupBy(*keys, topic, F.floor(on).cast("long").alias("second")).agg(F.count(F.lit(1)).alias("messages"))
 
 
-def rolling_depth(pings: DataFrame, span_s: float = DEPTH_SPAN_S, *, keys: Sequence[str] = MISSION,
-                  order: Sequence[str] = ("t", "seq"), slices: Slices | None = None) -> DataFrame:
-    """Add depth_min and depth_max over the last `span_s` seconds up to the row."""
-    slices = slices or Slices.fit(order[0])
-    tagged = with_halo(pings, slices, span_s + 1e-3)  # a little wide; the frame below is exact
-    part = list(keys) if slices.single else [*keys, SLICE]
-    micros = F.bround(F.col(order[0]) * 1e6).cast("long")
-    w = Window.partitionBy(*part).orderBy(micros).rangeBetween(-round(span_s * 1e6), 0)
-    out = tagged.withColumns({"depth_min": F.min("water_depth").over(w), "depth_max": F.max("water_depth").over(w)})
-    return out.filter(~F.col(HALO)).select(*pings.columns, "depth_min", "depth_max")
+def rolling_depth(pings: DataFrame, span_s: float = DEPTH_SPAN_S, *, keys: Sequence[str] = MISSION, on: str = "t") -> DataFrame:
+    """Add depth_min and depth_max over the last `span_s` seconds up to the row, rows of the same time included.
+
+    Time is cut into blocks as long as the span, so a window is the end of one block and the beginning of the next. Each
+    row goes to its own block and, `span_s` later, to the next one; there both parts are running extremes, one forwards and one
+    backwards in time. One shuffle, linear in the rows, no frame is aggregated twice. Rows without a time see each other.
+    """
+    span = round(span_s * 1e6)
+    at = F.bround(F.col(on) * 1e6).cast("long")
+    block, depth = at - F.pmod(at, F.lit(span)), F.col("water_depth")
+    row, nothing = F.struct(*pings.columns), F.lit(None)
+    own = F.struct(at.alias("at"), block.alias("block"), depth.alias("here"), nothing.cast(pings.schema["water_depth"].dataType).alias("before"), row.alias("row"))
+    later = F.struct((at + span).alias("at"), (block + span).alias("block"), nothing.cast(pings.schema["water_depth"].dataType).alias("here"),
+                     depth.alias("before"), F.when(F.lit(False), row).alias("row"))
+    spots = pings.select(*keys, F.explode(F.array(own, later)).alias("_e")).select(*keys, "_e.*")
+    part = Window.partitionBy(*keys, "block")
+    since_start = part.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    to_end = part.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    out = spots.select("row", F.least(F.min("here").over(since_start), F.min("before").over(to_end)).alias("depth_min"),
+                       F.greatest(F.max("here").over(since_start), F.max("before").over(to_end)).alias("depth_max"))
+    return out.filter("row is not null").select("row.*", "depth_min", "depth_max")
 
 
 def trajectory_summary(pings: DataFrame, *, keys: Sequence[str] = MISSION, order: Sequence[str] = ("t", "seq")) -> DataFrame:

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathomgrid.operators import missions
+from fathomgrid.config import Display
+from fathomgrid.operators import imaging, missions
 from fathomgrid.operators import mosaic as grid
 from fathomgrid.plans import tables
 from fathomgrid.plans.catalog import CELLS, DETECTIONS, MERGED, R, query, r6, with_
+from fathomgrid.plans.ping_queries import IMAGE, WATERFALL
+from fathomgrid.plans.ping_queries import _members as image_members
+from fathomgrid.plans.telemetry_queries import SESSIONS
 from fathomgrid.session import shared_folder
 from fathomgrid.sinks import files
 from fathomgrid.sources import messages
 
 
-@query(with_(CELLS, f"SELECT mission_id, cx, cy, count, {R('wsum')}, {R('pow(10e0, value / 20)', 'amplitude', 9)}, 0.25e0 AS cell_size_m, -30e0 AS x0, -30e0 AS y0 FROM cells"))
+@query(with_(CELLS, f"SELECT mission_id, cx, cy, count, {R('wsum')}, {R('pow(10e0, value / 20)', 'amplitude', 9)}, {R('closest')}, {R('oldest')}, {R('newest')}, 0.25e0 AS cell_size_m, -30e0 AS x0, -30e0 AS y0 FROM cells"))
 def mosaic_saved(spark, d):
     """Mosaic cells through the mosaic store."""
     path = shared_folder(spark, "mosaic")
-    files.write_mosaic(grid.mosaic(tables.samples(spark, d), policies=()), path)
+    files.write_mosaic(grid.mosaic(tables.samples(spark, d)), path)
     back = messages.read_mosaic(spark, path)
     return back.select(F.col("mission_id").cast("long").alias("mission_id"), "cx", "cy", "count", r6("wsum"), r6(F.pow(F.lit(10.0), F.col("mean") / 20), "amplitude", 9),
-                       "cell_size_m", "x0", "y0")
+                       *[r6(c) for c in ("closest", "oldest", "newest")], "cell_size_m", "x0", "y0")
 
 
 @query(with_(MERGED, f"SELECT {R('t - min(t) OVER (PARTITION BY mission_id)', 't_since_first_s', 3)}, {R('robot_x', 'x_m', 3)}, {R('robot_y', 'y_m', 3)}, {R('water_depth', 'depth_m', 3)} FROM mp"))
@@ -65,3 +69,76 @@ def adopted_files(spark, d):
         "session_id", "started", (F.col("started") + 3600).alias("ended"), F.concat(F.lit("session_"), "session_id").alias("folder"))
     path = F.concat(F.lit("session_"), "l_orderkey", F.lit("/"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey")
     return missions.adopt_files(items.select(path.alias("path"), F.floor(tables.epoch_us(items, "l_shipdate") / 1_000_000).alias("mtime")), sessions)
+
+
+@query(with_(WATERFALL, f"""SELECT mission_id, image_id, count(*) AS rows, CAST(40 AS INTEGER) AS cols, {R('arg_min(t, row_no)', 't_start_s')},
+'+range (PORT)' AS col0, {R('sum(t * (row_no + 1))', 't_sum')}, {R('sum(robot_x * (row_no + 1))', 'x_sum')}, {R('sum(yaw * (row_no + 1))', 'yaw_sum')},
+{R('sum(range_m)', 'range_sum')}, {R('sum(speed_mps)', 'speed_sum')}, {R('sum(water_depth * (row_no + 1))', 'altitude_sum')},
+{R('arg_max(robot_y, row_no)', 'end_y')}, CAST(1 AS BIGINT) AS detections FROM im GROUP BY mission_id, image_id"""))
+def image_metadata(spark, d):
+    """Images through their data set: the stored JSON, with a pose per row, read back and parsed."""
+    path = shared_folder(spark, "images")
+    members = image_members(spark, d)
+    files.write_images(members, path, IMAGE.columns, imaging.detect(members))
+    row = "t_s double, x_m double, y_m double, yaw_rad double, range_m double, speed_mps double, altitude_m double"
+    layout = (f"schema int, rows long, cols int, t_start_s double, pixel_convention struct<col0: string>, rows_data array<struct<{row}>>, "
+              "boat struct<end_pose: array<double>>, detections array<struct<class_name: string>>")
+    m = spark.read.parquet(f"{path}/images").select(F.col("mission_id").cast("long").alias("mission_id"), "image_id", F.from_json("metadata", layout).alias("m"))
+
+    def total(field: str, weighted: bool = True):
+        values = F.transform("m.rows_data", lambda r, i: r[field] * (i + 1 if weighted else F.lit(1)))
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return m.select(
+        "mission_id", "image_id", "m.rows", "m.cols", r6("m.t_start_s", "t_start_s"), "m.pixel_convention.col0", r6(total("t_s"), "t_sum"), r6(total("x_m"), "x_sum"),
+        r6(total("yaw_rad"), "yaw_sum"), r6(total("range_m", False), "range_sum"), r6(total("speed_mps", False), "speed_sum"), r6(total("altitude_m"), "altitude_sum"),
+        r6(F.col("m.boat.end_pose")[1], "end_y"), F.size("m.detections").cast("long").alias("detections"))
+
+
+@query(with_(WATERFALL, f"""SELECT im.mission_id, im.image_id, im.row_no, CAST(c AS INTEGER) AS col, {R('robot_x - sin(yaw) * (range_m * (1e0 - 2e0 * c / 39e0))', 'world_x')},
+{R('CAST(wfr.v AS FLOAT)', 'v')} FROM im CROSS JOIN (SELECT unnest(range(0, 40)) AS c)
+LEFT JOIN wfr ON wfr.mission_id = im.mission_id AND wfr.seq = im.seq AND wfr.col = c"""))
+def image_pixels(spark, d):
+    """The pixel table of the image data set, read back."""
+    path = shared_folder(spark, "images")
+    files.write_images(image_members(spark, d), path, IMAGE.columns)
+    back = spark.read.parquet(f"{path}/pixels")
+    return back.select(F.col("mission_id").cast("long").alias("mission_id"), "image_id", "row_no", "col", r6("world_x"), r6(F.col("v").cast("double"), "v"))
+
+
+@query(with_(WATERFALL + """,
+h AS (SELECT mission_id, image_id, count(*) AS rows, arg_max(t, row_no) AS t_end_s, avg(water_depth) AS depth FROM im GROUP BY mission_id, image_id)""",
+             f"""SELECT mission_id, image_id, 'dummy_center' AS class_name, row_no, 20 AS col, {R('t', 't_s')}, {R('t_end_s')}, {R('depth', 'mean_altitude_m')},
+{R('robot_y + cos(yaw) * (range_m * (1e0 - 2e0 * 20 / 39e0))', 'y')} FROM im JOIN h USING (mission_id, image_id) WHERE row_no = rows // 2"""))
+def analysis_json(spark, d):
+    """The analysis message of every image, parsed: one finding each, no pixels."""
+    members = image_members(spark, d)
+    layout = ("image struct<t_end_s: double, boat: struct<mean_altitude_m: double>>, "
+              "detections array<struct<pixel: array<int>, world: array<double>, class_name: string, t_s: double>>")
+    m = files.analysis(members, imaging.detect(members)).select("mission_id", "image_id", F.from_json("metadata", layout).alias("m"))
+    return m.select("mission_id", "image_id", "m.image", F.explode("m.detections").alias("f")).select(
+        "mission_id", "image_id", "f.class_name", F.col("f.pixel")[0].alias("row_no"), F.col("f.pixel")[1].alias("col"), r6("f.t_s", "t_s"),
+        r6("image.t_end_s", "t_end_s"), r6("image.boat.mean_altitude_m", "mean_altitude_m"), r6(F.col("f.world")[1], "y"))
+
+
+@query(with_(SESSIONS + """,
+c AS (SELECT session_id, count(*) FILTER (event_type = 'error') AS ping_count, count(*) FILTER (event_type = 'purchase') AS detection_count,
+  min(us) AS us0, round(max(t) - min(t), 1) + 0e0 AS duration_s, min(t) AS t0, max(t) AS t1 FROM z GROUP BY session_id),
+f AS (SELECT us // 1000000 AS mtime FROM e WHERE event_type = 'click'),
+n AS (SELECT session_id, count(*) AS adopted FROM c JOIN f ON mtime BETWEEN floor(t0) - 10 AND floor(t1) + 10 GROUP BY session_id)""",
+             f"""SELECT session_id AS session, ping_count, detection_count, duration_s, us0 // 1000 * 1000 AS started_us, coalesce(adopted, 0) AS adopted, 0.25e0 AS cell_size_m,
+'newest' AS policy, 0.8e0 AS gamma, 'Gold' AS colormap, 'port' AS sonar FROM c LEFT JOIN n USING (session_id)"""))
+def session_metadata(spark, d):
+    """Session reports through JSON files, with settings as they were at the end."""
+    keyed = tables.states(spark, d).withColumn("session_id", F.floor(F.col("us") / 86_400_000_000) * 10 + F.col("mission_id"))
+    counts = missions.session_counts(keyed.filter("event_type = 'error'"), keyed.filter("event_type = 'purchase'"))
+    logs = keyed.filter("event_type = 'click'").select(F.concat(F.lit("logs/"), "seq").alias("path"), F.floor(F.col("us") / 1_000_000).alias("mtime"))
+    sessions = counts.select("session_id", F.concat(F.lit("session_"), "session_id").alias("folder"), *[F.floor(f"{c}_s").alias(c) for c in ("started", "ended")])
+    report = files.session_metadata(counts, missions.adopt_files(logs, sessions), policy="newest", display=Display(gamma=0.8, colormap="Gold"), topics={"sonar": "port"})
+    path = shared_folder(spark, "sessions")
+    files.write_session_metadata(report, path)
+    back = spark.read.schema("session long, ping_count long, detection_count long, duration_s double, started_utc timestamp, adopted_svlogs array<string>, "
+                             "mosaic struct<cell_size_m: double, priority_mode_displayed: string>, display_settings_at_end struct<gamma: double, colormap: string>, "
+                             "topics struct<sonar: string>").json(path)
+    return back.select("session", "ping_count", "detection_count", "duration_s", (F.floor(F.unix_micros("started_utc") / 1000) * 1000).alias("started_us"),
+                       F.size("adopted_svlogs").cast("long").alias("adopted"), "mosaic.cell_size_m", F.col("mosaic.priority_mode_displayed").alias("policy"),
+                       "display_settings_at_end.gamma", "display_settings_at_end.colormap", "topics.sonar")

@@ -13,8 +13,9 @@ from fathomgrid.plans import tables
 from fathomgrid.plans.catalog import BOTTOM, STATES, R, query, r6, recursive, with_
 from fathomgrid.plans.ping_queries import LOOSE, PAIRS, _lock_sql
 from fathomgrid.plans.processing import process
-from fathomgrid.session import checkpointed
+from fathomgrid.session import checkpointed, shared_folder
 from fathomgrid.sinks.envelopes import envelopes
+from fathomgrid.sinks.files import write_topics
 from fathomgrid.sources import framing, logs
 
 PER_LOG = 512
@@ -60,19 +61,22 @@ def _damaged(seq: pa.Array, frame: pa.Array) -> pa.Array:
 
 
 def _contents(spark, d, damaged=False):
-    """One binary row per log: view → ATTITUDE, click → GLOBAL_POSITION_INT, signup → LOCAL_POSITION_NED,
-    purchase → an unknown type, error → a sonar profile; every 97th event is broken JSON."""
+    """One binary row per log: view → ATTITUDE, click → GLOBAL_POSITION_INT, signup → LOCAL_POSITION_NED, purchase → one of
+    three rarer types or an unknown one, error → a sonar profile; every 97th event is broken JSON."""
     rows = tables.states(spark, d)
     kind, boot = F.col("event_type"), F.col("time_boot_ms")
 
     def message(name, **fields):
         return F.to_json(F.struct(F.struct(F.lit(name).alias("type"), boot.alias("time_boot_ms"),
                                            *[c.alias(n) for n, c in fields.items()]).alias("message")))
+    e7 = {c: F.bround(F.col(c) * 1e7).cast("long") for c in ("lat", "lon")}
     text = (F.when(F.col("seq") % 97 == 0, "{broken")
-            .when(kind == "view", message("ATTITUDE", roll=F.lit(0.1), pitch=F.lit(0.2), yaw=F.col("yaw")))
-            .when(kind == "click", message("GLOBAL_POSITION_INT", lat=F.bround(F.col("lat") * 1e7).cast("long"),
-                                           lon=F.bround(F.col("lon") * 1e7).cast("long"), hdg=F.col("compass_deg") * 100))
+            .when(kind == "view", message("ATTITUDE", roll=F.lit(0.1), pitch=F.lit(0.2), yaw=F.col("yaw"), rollspeed=F.col("value")))
+            .when(kind == "click", message("GLOBAL_POSITION_INT", lat=e7["lat"], lon=e7["lon"], hdg=F.col("compass_deg") * 100, relative_alt=F.col("seq") * 10))
             .when(kind == "signup", message("LOCAL_POSITION_NED", x=F.col("x"), y=F.col("y"), vx=F.col("yaw")))
+            .when(F.col("seq") % 4 == 0, message("HOME_POSITION", latitude=e7["lat"], longitude=e7["lon"], altitude=F.col("seq")))
+            .when(F.col("seq") % 4 == 1, message("GPS_GLOBAL_ORIGIN", latitude=e7["lat"], longitude=e7["lon"], altitude=F.col("seq")))
+            .when(F.col("seq") % 4 == 2, message("VFR_HUD", airspeed=F.col("value"), heading=F.col("compass_deg"), throttle=F.col("value")))
             .otherwise(message("HEARTBEAT")))
     sonar = (kind == "error") & (F.col("seq") % 97 != 0)
     payload = F.when(sonar, _profile_payload("seq", "value")).otherwise(text.cast("binary"))
@@ -121,7 +125,8 @@ def log_profiles(spark, d):
 
 
 @query(with_(LOG, f"""SELECT log_id, no AS seq, seq % 97 = 0 AS decode_error, CASE WHEN seq % 97 = 0 THEN NULL WHEN event_type = 'view' THEN 'ATTITUDE'
-WHEN event_type = 'click' THEN 'GLOBAL_POSITION_INT' WHEN event_type = 'signup' THEN 'LOCAL_POSITION_NED' ELSE 'HEARTBEAT' END AS type,
+WHEN event_type = 'click' THEN 'GLOBAL_POSITION_INT' WHEN event_type = 'signup' THEN 'LOCAL_POSITION_NED' WHEN sonar THEN NULL
+ELSE ['HOME_POSITION', 'GPS_GLOBAL_ORIGIN', 'VFR_HUD', 'HEARTBEAT'][CAST(seq % 4 + 1 AS INTEGER)] END AS type,
 CASE WHEN seq % 97 <> 0 THEN time_boot_ms END AS time_boot_ms, {R("CASE WHEN seq % 97 <> 0 AND event_type = 'view' THEN yaw END", 'yaw')},
 {R("CASE WHEN seq % 97 <> 0 AND event_type = 'signup' THEN x END", 'x')} FROM lp WHERE packet_id = 150"""))
 def log_telemetry(spark, d):
@@ -136,28 +141,48 @@ st AS (SELECT *, 1704067200000000000 + CAST(sum(tick) OVER w AS BIGINT) * 200000
   last_value(CASE WHEN event_type = 'signup' THEN x END IGNORE NULLS) OVER w AS nx FROM tk WINDOW w AS (PARTITION BY log_id ORDER BY no))"""
 
 
-@query(with_(LOG_CLOCK, f"""SELECT 'navsat' AS topic, log_id, no AS seq, stamp_ns, {R('round_even(lat * 1e7, 0) / 1e7', 'value', 9)} FROM st WHERE event_type = 'click'
-UNION ALL SELECT 'compass_hdg', log_id, no, stamp_ns, {R('compass_deg', 'value', 9)} FROM st WHERE event_type = 'click'
-UNION ALL SELECT 'local_pose', log_id, no, stamp_ns, {R('x', 'value', 9)} FROM st WHERE event_type = 'signup'
-UNION ALL SELECT 'local_velocity', log_id, no, stamp_ns, {R('yaw', 'value', 9)} FROM st WHERE event_type = 'signup'
-UNION ALL SELECT 'odom', log_id, no, stamp_ns, {R('pi() / 2 - nyaw', 'value', 9)} FROM st WHERE event_type IN ('view', 'signup') AND nyaw IS NOT NULL AND nx IS NOT NULL
-UNION ALL SELECT side || '_profile', log_id, no, stamp_ns, {R('seq', 'value', 9)} FROM (SELECT *, CASE WHEN src = 1 THEN 'port' ELSE 'stbd' END AS side FROM st WHERE sonar)"""))
+def _topic_sql(topic: str, value: str, rows: str) -> str:
+    return f"SELECT '{topic}' AS topic, log_id, no AS seq, stamp_ns, {R(value, 'value', 9)} FROM st WHERE {rows}"
+
+
+def _purchase(rest: int) -> str:
+    return f"event_type = 'purchase' AND seq % 4 = {rest}"
+
+
+# Checked value of each topic: in the table, in SQL, and the rows of the log it is made from.
+TOPICS = {
+    "imu": ("imu.angular_velocity.x", "value", "event_type = 'view'"),
+    "navsat": ("navsat.lat", "round_even(lat * 1e7, 0) / 1e7", "event_type = 'click'"),
+    "rel_alt": ("rel_alt.data", "seq / 1e2", "event_type = 'click'"),
+    "compass_hdg": ("compass_hdg.data", "compass_deg", "event_type = 'click'"),
+    "local_pose": ("local_pose.position.y", "x", "event_type = 'signup'"),
+    "local_velocity": ("local_velocity.linear.y", "yaw", "event_type = 'signup'"),
+    "home_position": ("home_position.lat", "round_even(lat * 1e7, 0) / 1e7", _purchase(0)),
+    "gp_origin": ("gp_origin.alt", "seq / 1e3", _purchase(1)),
+    "vfr_hud": ("vfr_hud.throttle", "value / 1e2", _purchase(2)),
+    "odom": ("odom.yaw", "pi() / 2 - nyaw", "event_type IN ('view', 'signup') AND nyaw IS NOT NULL AND nx IS NOT NULL"),
+    "port_profile": ("port_profile.ping_number", "seq", "sonar AND src = 1"),
+    "stbd_profile": ("stbd_profile.ping_number", "seq", "sonar AND src = 2"),
+    "port_raw": ("port_raw.payload", "60", "sonar AND src = 1"),
+    "stbd_raw": ("stbd_raw.payload", "60", "sonar AND src = 2"),
+}
+
+
+@query(with_(LOG_CLOCK, " UNION ALL ".join(_topic_sql(name, sql, rows) for name, (_, sql, rows) in TOPICS.items())))
 def log_topics(spark, d):
-    # seven streams read the packets: store them once
-    t = logs.topics(checkpointed(_packets(spark, d)), keys=KEY)
-    values = {"navsat": "lat", "compass_hdg": "data", "local_pose": "position.y", "local_velocity": "linear.y", "odom": "yaw",
-              "port_profile": "ping_number", "stbd_profile": "ping_number"}
-    parts = [t[name].select(F.lit(name).alias("topic"), "log_id", "seq", "stamp_ns", r6(F.col(c).cast("double"), "value", 9)) for name, c in values.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All typed streams through their store: packets are parsed once, topics written in one pass."""
+    path = shared_folder(spark, "topics")
+    rows = logs.topic_rows(_packets(spark, d), keys=KEY)
+    write_topics(rows, path, keys=KEY)
+    back = spark.read.schema(rows.schema).parquet(path)
+    values = [F.when(F.col("topic") == name, (F.length(c) if c.endswith("payload") else F.col(c)).cast("double")) for name, (c, _, _) in TOPICS.items()]
+    return back.select("topic", "log_id", "seq", "stamp_ns", r6(F.coalesce(*values), "value", 9))
 
 
 @query(with_(LOG_CLOCK + """,
 ct AS (SELECT log_id, CASE WHEN packet_id = 2194 OR (sonar AND src = 0) THEN ['skipped_non_target'] WHEN seq % 97 = 0 OR (sonar AND seq % 11 = 0) THEN ['decode_errors']
   WHEN sonar THEN [CASE WHEN src = 1 THEN 'sonar_port' ELSE 'sonar_stbd' END] WHEN event_type = 'view' THEN ['imu'] WHEN event_type = 'click' THEN ['navsat', 'rel_alt', 'compass_hdg']
-  WHEN event_type = 'signup' THEN ['local_pose', 'local_velocity'] ELSE ['mavlink_skipped_type'] END AS cs FROM lp)""",
+  WHEN event_type = 'signup' THEN ['local_pose', 'local_velocity'] ELSE [['home_position', 'gp_origin', 'vfr_hud', 'mavlink_skipped_type'][CAST(seq % 4 + 1 AS INTEGER)]] END AS cs FROM lp)""",
              """SELECT log_id, category, count(*) AS packets FROM (SELECT log_id, unnest(cs) AS category FROM ct
 UNION ALL SELECT log_id, 'odom_synthesized' FROM st WHERE event_type IN ('view', 'signup') AND nyaw IS NOT NULL AND nx IS NOT NULL) GROUP BY ALL"""))
 def log_counts(spark, d):

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.config import Config
+from fathomgrid.config import Config, Display
 from fathomgrid.operators import imaging
 from fathomgrid.operators.mosaic import shown_value
 from fathomgrid.operators.ordered import MISSION, newest
 from fathomgrid.operators.telemetry import since_first
 
+NOTE = "Stored cells and waterfall rows are raw values; colours are applied when they are shown."
+PIXELS = {
+    "row0": "oldest ping", "last_row": "newest ping", "col0": "+range (PORT)", "last_col": "-range (STARBOARD)",
+    "formula": "lateral = range_m * (1 - 2 * col / (cols - 1)); x = x_m - sin(yaw_rad) * lateral; y = y_m + cos(yaw_rad) * lateral"}
+
 
 def write_mosaic(cells: DataFrame, path: str, config: Config = Config(), *, keys: Sequence[str] = MISSION) -> None:
     """Measured cells only (never gap-filled), with the mean shown and the lattice they are on."""
@@ -47,8 +53,14 @@ def write_detections(detections: DataFrame, path: str, *, keys: Sequence[str] =
         detection_rows(detections, keys=keys).write.mode("overwrite").partitionBy(*keys).csv(path, header=True)
 
 
-def session_metadata(sessions: DataFrame, adopted: DataFrame, config: Config = Config(), policy: str = "average") -> DataFrame:
-    """One row per session: counters, span, adopted files and settings.
+def _snapshot(values: dict | None, empty: str) -> Column:
+    """A struct of settings, NULL where there are none."""
+    return F.struct(*[F.lit(v).alias(n) for n, v in values.items()]) if values else F.lit(None).cast(empty)
+
+
+def session_metadata(sessions: DataFrame, adopted: DataFrame, config: Config = Config(), policy: str = "average", *,
+                     display: Display | None = None, topics: dict[str, str] | None = None) -> DataFrame:
+    """One row per session: counters, span, adopted files and settings, `display` as it was at the end, `topics` by their use.
 
     `sessions` as from `missions.session_counts`, `adopted` as from `missions.adopt_files`.
     """
@@ -60,7 +72,9 @@ def session_metadata(sessions: DataFrame, adopted: DataFrame, config: Config = C
     return sessions.join(files, "session_id", "left").select(
         F.col("session_id").alias("session"), F.timestamp_seconds("started_s").alias("started_utc"),
         F.timestamp_seconds("ended_s").alias("ended_utc"), "duration_s", "ping_count", "detection_count",
-        F.coalesce("adopted_svlogs", F.array().cast("array<string>")).alias("adopted_svlogs"), settings.alias("mosaic"))
+        F.coalesce("adopted_svlogs", F.array().cast("array<string>")).alias("adopted_svlogs"), settings.alias("mosaic"),
+        _snapshot(display and asdict(display), "struct<colormap: string>").alias("display_settings_at_end"),
+        _snapshot(topics, "map<string, string>").alias("topics"), F.lit(NOTE).alias("note"))
 
 
 def write_session_metadata(metadata: DataFrame, path: str) -> None:
@@ -79,19 +93,23 @@ def write_waterfall(pings: DataFrame, path: str, config: Config = Config(), *, k
 
 def write_images(members: DataFrame, path: str, columns: int, detections: DataFrame | None = None, *,
                  keys: Sequence[str] = MISSION) -> None:
-    """Image data set: `images` (8-bit pixels and metadata JSON) and `pixels` (raw values with world coordinates)."""
+    """Image data set: `images` (8-bit pixels and metadata JSON with a pose per row) and `pixels` (raw values with world coordinates)."""
     image = imaging.to_8bit(imaging.images(members, keys=keys))
-    described = image.join(analysis(members, detections, keys=keys), [*keys, "image_id"])
-    described.select(*keys, "image_id", "pixels", "metadata").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/images")
+    described = image.join(_described(members, detections, keys), [*keys, "image_id"])
+    per_row = F.transform("rows_data", lambda r: F.struct(
+        r["t"].alias("t_s"), r["robot_x"].alias("x_m"), r["robot_y"].alias("y_m"), r["yaw"].alias("yaw_rad"), r["range_m"].alias("range_m"),
+        r["speed_mps"].alias("speed_mps"), r["altitude_m"].alias("altitude_m")))
+    body = F.struct(F.lit(imaging.SCHEMA_VERSION).alias("schema"), "image_id", "rows", "cols", "t_start_s", "t_end_s",
+                    _snapshot(PIXELS, "").alias("pixel_convention"), per_row.alias("rows_data"), "boat", "detections")
+    described.withColumn("metadata", F.to_json(body)).select(*keys, "image_id", "pixels", "metadata").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/images")
     imaging.pixel_world(members, columns).write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/pixels")
 
 
-def analysis(members: DataFrame, detections: DataFrame | None = None, *, keys: Sequence[str] = MISSION) -> DataFrame:
-    """keys, image_id and `metadata`: JSON of an image with its detections, never its pixels."""
+def _described(members: DataFrame, detections: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Size, time span, `boat` and `detections` of each image."""
     by = [*keys, "image_id"]
-    summary = imaging.image_summary(members, keys=keys)
     width = members.groupBy(*by).agg(F.first(F.size("intensity")).alias("cols"))
-    out = summary.join(width, by)
+    out = imaging.image_summary(members, keys=keys).join(width, by)
     if detections is not None:
         # bounded: an analyzer's findings on one image
         found = detections.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(
@@ -99,14 +117,16 @@ def analysis(members: DataFrame, detections: DataFrame | None = None, *, keys: S
         out = out.join(found, by, "left")
     else:
         out = out.withColumn("detections", F.array())
-    boat = F.struct("mean_speed_mps", "mean_altitude_m", *[
-        F.array(F.col(f"{p}.robot_x"), F.col(f"{p}.robot_y"), F.col(f"{p}.yaw")).alias(p) for p in ("start_pose", "end_pose")])
-    body = F.struct(F.lit(imaging.SCHEMA_VERSION).alias("schema"), F.struct(
-        "image_id", "t_start_s", "t_end_s", "rows", "cols", boat.alias("boat")).alias("image"), "detections")
-    return out.select(*by, F.to_json(body).alias("metadata"))
+    return out.withColumn("boat", F.struct("mean_speed_mps", "mean_altitude_m", *[
+        F.array(F.col(f"{p}.robot_x"), F.col(f"{p}.robot_y"), F.col(f"{p}.yaw")).alias(p) for p in ("start_pose", "end_pose")]))
+
+
+def analysis(members: DataFrame, detections: DataFrame | None = None, *, keys: Sequence[str] = MISSION) -> DataFrame:
+    """keys, image_id and `metadata`: JSON of an image with its detections, never its pixels."""
+    body = F.struct(F.lit(imaging.SCHEMA_VERSION).alias("schema"), F.struct("image_id", "t_start_s", "t_end_s", "rows", "cols", "boat").alias("image"), "detections")
+    return _described(members, detections, keys).select(*keys, "image_id", F.to_json(body).alias("metadata"))
 
 
-def write_topics(topics: dict[str, DataFrame], path: str, *, keys: Sequence[str] = MISSION) -> None:
-    """One table per typed stream of a converted log."""
-    for name, rows in topics.items():
-        rows.write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/topic={name}")
+def write_topics(rows: DataFrame, path: str, *, keys: Sequence[str] = MISSION) -> None:
+    """The typed streams of converted logs (`logs.topic_rows`) in one write, a folder per topic and key."""
+    rows.write.mode("overwrite").partitionBy("topic", *keys).parquet(path)

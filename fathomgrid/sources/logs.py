@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from fathomgrid.functions import attitude, units
 from fathomgrid.operators import telemetry as tel
 from fathomgrid.operators.ordered import MISSION, Slices, latest, scan
+from fathomgrid.session import written
 from fathomgrid.sources import framing
 
 # Profile layout, identifiers.
@@ -136,49 +137,71 @@ def _num(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0.0))
 
 
-def topics(packets: DataFrame, *, keys: Sequence[str] = MISSION, slices: Slices | None = None) -> dict[str, DataFrame]:
-    """The typed streams of a log, each with keys, seq and stamp_ns on the converter clock.
+def topic_rows(packets: DataFrame, *, keys: Sequence[str] = MISSION, slices: Slices | None = None) -> DataFrame:
+    """All typed streams of a log in one table: keys, seq, stamp_ns on the converter clock, `topic`, and one struct column
+    per topic, NULL but for the row's own.
 
-    Persist `packets` (or write them once) when several streams are used.
+    Packets are parsed once and stored decoded. One pass along the log, over messages and the stamps of sonar packets, gives
+    stamps, orientation and odometry; only sonar rows are joined with theirs.
     """
     slices = slices or Slices.fit("seq")
-    sonar, messages = clocked(packets, converter=True, keys=keys, slices=slices)
-    at = [*keys, "seq", "stamp_ns"]
-    raw = packets.select(*keys, "seq", F.lit(0).alias("src"), "dst", "packet_id", "payload")
-
-    def of(kind: str) -> DataFrame:
-        return messages.filter(F.col("type") == kind)
-
-    attitude_rows = of("ATTITUDE")
-    rpy = attitude.swap_ned_enu_rpy(_num("roll"), _num("pitch"), _num("yaw"))
-    quat = attitude.rpy_quat(rpy["roll"], rpy["pitch"], rpy["yaw"])
-    gps, local = of("GLOBAL_POSITION_INT"), of("LOCAL_POSITION_NED")
+    sonar_packet = (F.col("packet_id") == PROFILE_ID) & F.col("src").isin(PORT_DEVICE, STBD_DEVICE)
+    text = F.col("payload").cast("string")
+    usable = F.when((F.col("packet_id") == TELEMETRY_ID) & F.is_valid_utf8(text), text)
+    decoded = packets.filter(sonar_packet | (F.col("packet_id") == TELEMETRY_ID)).select(
+        *keys, "seq", F.when(sonar_packet, F.when(F.col("src") == PORT_DEVICE, "port").otherwise("stbd")).alias("side"), "dst", "packet_id",
+        F.when(sonar_packet, F.col("payload")).alias("payload"), _profile_decoder()(F.when(sonar_packet, F.col("payload"))).alias("profile"),
+        F.try_parse_json(usable).isNotNull().alias("readable"), F.from_json(usable, f"message struct<{_fields(MESSAGE)}>")["message"].alias("_m"))
+    decoded = written(decoded.filter("profile is not null or readable"), "decoded")
+
+    quat = (lambda r: attitude.rpy_quat(r["roll"], r["pitch"], r["yaw"]))(attitude.swap_ned_enu_rpy(_num("roll"), _num("pitch"), _num("yaw")))
     p = attitude.swap_ned_enu(_num("x"), _num("y"), _num("z"))
     v = attitude.swap_ned_enu(_num("vx"), _num("vy"), _num("vz"))
-    geo = [units.deg_e7(_num("latitude")).alias("lat"), units.deg_e7(_num("longitude")).alias("lon"),
-           units.milli(_num("altitude")).alias("alt")]
-    turned = scan(messages.filter(F.col("type").isin("ATTITUDE", "LOCAL_POSITION_NED")),
-                  {"_q": latest(F.when(F.col("type") == "ATTITUDE", quat))}, keys=keys, order=("seq",), slices=slices)
+    turns, moves = F.col("type") == "ATTITUDE", F.col("type") == "LOCAL_POSITION_NED"
+    stamped = tel.burst_clock(decoded.select(*keys, "seq", "side", "_m.*"), tel.CONVERTER_EPOCH_NS, keys=keys, slices=slices)
+    passed = scan(stamped, {
+        "_q": latest(F.when(turns, quat)),
+        "_turn": latest(F.when(turns, attitude.swap_ned_enu_rpy(_num("roll"), _num("pitch"), _num("yaw")))),
+        "_move": latest(F.when(moves, F.struct(p.alias("p"), v.alias("v"))))}, keys=keys, order=("seq",), slices=slices)
+    passed = written(passed, "passed")
+
     level = F.struct(*[F.lit(x).alias(n) for n, x in (("x", 0.0), ("y", 0.0), ("z", 0.0), ("w", 1.0))])
-    odom = tel.synthesise_odom(messages, keys=keys, slices=slices)
-    out = {f"{side}_profile": sonar.filter(F.col("side") == side) for side in ("port", "stbd")}
-    out |= {f"{side}_raw": sonar.filter(F.col("side") == side).select(*at).join(raw, [*keys, "seq"]) for side in ("port", "stbd")}
-    return out | {
-        "imu": attitude_rows.select(*at, quat.alias("orientation"), F.struct(
-            _num("rollspeed").alias("x"), (-_num("pitchspeed")).alias("y"), (-_num("yawspeed")).alias("z")).alias("angular_velocity")),
-        "navsat": gps.select(*at, F.lit(0).alias("status"), units.deg_e7(_num("lat")).alias("lat"), units.deg_e7(_num("lon")).alias("lon"),
-                             units.milli(_num("alt")).alias("alt")),
-        "rel_alt": gps.select(*at, units.milli(_num("relative_alt")).alias("data")),
-        "compass_hdg": gps.select(*at, units.centi(_num("hdg")).alias("data")),
-        "local_pose": turned.filter("type = 'LOCAL_POSITION_NED'").select(*at, p.alias("position"), F.coalesce("_q", level).alias("orientation")),
-        "local_velocity": local.select(*at, v.alias("linear")),
-        "home_position": of("HOME_POSITION").select(*at, *geo),
-        "gp_origin": of("GPS_GLOBAL_ORIGIN").select(*at, *geo),
-        "vfr_hud": of("VFR_HUD").select(
-            *at, *[_num(c).alias(c) for c in ("airspeed", "groundspeed")], _num("heading").cast("int").alias("heading"),
-            units.centi(_num("throttle")).alias("throttle"), _num("alt").alias("altitude"), _num("climb").alias("climb")),
-        "odom": odom,
-    }
+    geo = F.struct(units.deg_e7(_num("latitude")).alias("lat"), units.deg_e7(_num("longitude")).alias("lon"), units.milli(_num("altitude")).alias("alt"))
+    fix = F.col("type") == "GLOBAL_POSITION_INT"
+    messages = _tagged(passed.filter("side is null"), keys, {
+        "imu": F.when(turns, F.struct(quat.alias("orientation"), F.struct(
+            _num("rollspeed").alias("x"), (-_num("pitchspeed")).alias("y"), (-_num("yawspeed")).alias("z")).alias("angular_velocity"))),
+        "navsat": F.when(fix, F.struct(F.lit(0).alias("status"), units.deg_e7(_num("lat")).alias("lat"), units.deg_e7(_num("lon")).alias("lon"),
+                                       units.milli(_num("alt")).alias("alt"))),
+        "rel_alt": F.when(fix, F.struct(units.milli(_num("relative_alt")).alias("data"))),
+        "compass_hdg": F.when(fix, F.struct(units.centi(_num("hdg")).alias("data"))),
+        "local_pose": F.when(moves, F.struct(p.alias("position"), F.coalesce("_q", level).alias("orientation"))),
+        "local_velocity": F.when(moves, F.struct(v.alias("linear"))),
+        "home_position": F.when(F.col("type") == "HOME_POSITION", geo),
+        "gp_origin": F.when(F.col("type") == "GPS_GLOBAL_ORIGIN", geo),
+        "vfr_hud": F.when(F.col("type") == "VFR_HUD", F.struct(
+            *[_num(c).alias(c) for c in ("airspeed", "groundspeed")], _num("heading").cast("int").alias("heading"),
+            units.centi(_num("throttle")).alias("throttle"), _num("alt").alias("altitude"), _num("climb").alias("climb"))),
+        "odom": F.when((turns | moves) & F.col("_turn").isNotNull() & F.col("_move").isNotNull(), F.struct(
+            "_move.p.x", "_move.p.y", "_move.p.z", *[F.col(f"_move.v.{c}").alias(f"v{c}") for c in "xyz"], "_turn.roll", "_turn.pitch", "_turn.yaw"))})
+    sonar = decoded.filter("side is not null").join(passed.filter("side is not null").select(*keys, "seq", "stamp_ns"), [*keys, "seq"])
+    raw = F.struct(F.lit(0).alias("src"), "dst", "packet_id", "payload")
+    sides = {f"{side}_{kind}": F.when(F.col("side") == side, body) for side in ("port", "stbd") for kind, body in (("profile", F.col("profile")), ("raw", raw))}
+    return messages.unionByName(_tagged(sonar, keys, sides), allowMissingColumns=True)
+
+
+def _tagged(rows: DataFrame, keys: Sequence[str], bodies: dict[str, Column]) -> DataFrame:
+    """One row per body that a row has, with its name as `topic`."""
+    full = rows.select(*keys, "seq", "stamp_ns", *[c.alias(n) for n, c in bodies.items()])
+    names = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in bodies]))
+    return full.withColumn("topic", F.explode(names)).withColumns({n: F.when(F.col("topic") == n, F.col(n)) for n in bodies})
+
+
+def topics(packets: DataFrame, *, keys: Sequence[str] = MISSION, slices: Slices | None = None) -> dict[str, DataFrame]:
+    """The typed streams of a log as tables of their own, each with keys, seq and stamp_ns; all read one stored table."""
+    rows = written(topic_rows(packets, keys=keys, slices=slices), "topics")
+    return {name: rows.filter(F.col("topic") == name).select(*keys, "seq", "stamp_ns", f"{name}.*") for name in rows.columns
+            if name not in (*keys, "seq", "stamp_ns", "topic")}
 
 
 # Counters of each telemetry type.

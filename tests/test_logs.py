@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomgrid.config import Config, Seabed, Tracking
+from fathomgrid.config import Config, Display, Seabed, Tracking
 from fathomgrid.functions.attitude import flatten_odometry
 from fathomgrid.operators import imaging, missions, mosaic, raster
 from fathomgrid.operators import telemetry as tel
@@ -132,11 +132,13 @@ def test_replay_and_artefacts(spark, recording, tmp_path):
     found = imaging.detect(members)
     files.write_images(members, str(tmp_path / "images"), 40, found)
     meta = [json.loads(r.metadata) for r in spark.read.parquet(str(tmp_path / "images" / "images")).collect()]
-    assert sorted(m["image"]["rows"] for m in meta) == [15, 16] or sorted(m["image"]["rows"] for m in meta) == [7, 16, 16]
+    assert sorted(m["rows"] for m in meta) == [15, 16] or sorted(m["rows"] for m in meta) == [7, 16, 16]
+    assert all(len(m["rows_data"]) == m["rows"] and m["rows_data"][0]["t_s"] == m["t_start_s"] and m["pixel_convention"]["row0"] == "oldest ping" for m in meta)
     assert all(m["detections"][0]["class_name"] == "dummy_center" for m in meta)
     assert imaging.detect(members, None).count() == 0
-    files.write_topics({"imu": logs.topics(packets)["imu"]}, str(tmp_path / "topics"))
+    files.write_topics(logs.topic_rows(packets), str(tmp_path / "topics"))
     assert spark.read.parquet(str(tmp_path / "topics" / "topic=imu")).count() == 40
+    assert logs.topics(packets)["imu"].select("angular_velocity.x").count() == 40
     files.write_detections(found.withColumns({"t": F.col("t_s"), "extent_m": F.lit(1.0)}), str(tmp_path / "det"))
     assert (tmp_path / "det").exists()
 
@@ -158,8 +160,11 @@ def test_session_files(spark):
     sessions = spark.createDataFrame([("s", "/data/s", 100, 150)], "session_id string, folder string, started long, ended long")
     assert [r.path for r in missions.adopt_files(log, sessions).collect()] == ["/data/a.svlog"]
     counts = spark.createDataFrame([("s", 3, 1, 100.0, 150.0, 50.0)], "session_id string, ping_count long, detection_count long, started_s double, ended_s double, duration_s double")
-    row = files.session_metadata(counts, missions.adopt_files(log, sessions)).first()
+    row = files.session_metadata(counts, missions.adopt_files(log, sessions), topics={"sonar": "/sonar"}).first()
     assert row.adopted_svlogs == ["a.svlog"] and row.mosaic.cell_size_m == 0.25
+    assert row.display_settings_at_end is None and row.topics.sonar == "/sonar"
+    shown = files.session_metadata(counts, missions.adopt_files(log, sessions), display=Display(gamma=0.5)).first()
+    assert shown.display_settings_at_end.gamma == 0.5 and shown.display_settings_at_end.colormap == "Copper" and shown.topics is None
 
 
 def test_message_sources(spark):

@@ -1,6 +1,7 @@
 """Worked cases with results known by hand."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomgrid.config import Alignment, Config, GapFill, Mosaic, Seabed, overlay
 from fathomgrid.functions import acoustics, attitude
-from fathomgrid.operators import asof, detections, display, imaging, mosaic, raster, telemetry
+from fathomgrid.operators import asof, detections, display, imaging, missions, mosaic, raster, telemetry
 from fathomgrid.operators.ordered import Slices
 
 
@@ -314,3 +315,14 @@ def test_gaps_across_tiles_match_every_offset(spark):
             assert got[k][0] == count and got[k][2] == filled
             assert got[k][1] == (None if value is None else pytest.approx(value))
     assert mosaic.fill_gaps(df.limit(0)).count() == 0
+
+
+def test_rolling_depth_across_blocks(spark):
+    """Against a plain walk: ties, gaps longer than the span, window ends on block borders, missing depths."""
+    rng = random.Random(5)
+    rows = [(m, i, rng.choice([0.0, 0.25, 0.5, 1.0]) + rng.randrange(40) - 20, rng.choice([None, *map(float, range(9))])) for m in (1, 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "mission_id int, seq int, t double, water_depth double")
+    got = {(r.mission_id, r.seq): (r.depth_min, r.depth_max) for r in missions.rolling_depth(df, 4.0).collect()}
+    for m, i, t, _ in rows:
+        near = [d for k, _, u, d in rows if k == m and t - 4 <= u <= t and d is not None]
+        assert got[m, i] == ((min(near), max(near)) if near else (None, None))
