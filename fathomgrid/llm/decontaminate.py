@@ -2,10 +2,13 @@
 
 Words are runs of letters and digits, lower-cased. The n-grams of all items are folded into a bitmap of fixed size
 (`2**log2_bits` bits, the only thing broadcast); one scan of the documents keeps those n-grams that hit it, with the words
-around them. The hits then meet the table of item n-grams in an ordinary join. Every n-gram of an item is a seed, however
-often it is seen, so a copy that leaked thousands of times is found like one that leaked once. Every passage around a
-seed is aligned with the item (Smith-Waterman on words, linear gaps); the score is divided by that of a perfect copy. Where
-too few of the item's words stand in the passage to reach the threshold (common phrases), the alignment is left out.
+around them. Seeds are ranked by the number of passages that hold them. Rare ones (at most `rare` passages) come first: they
+join passages to items, and those pairs need nothing else. Only pairs without a rare seed in common are joined by their
+frequent n-grams, so a copy that leaked thousands of times is found like one that leaked once. A seed's passages and items
+are dealt over keys such that no key joins many more than `PAIRS` pairs. Every passage of a pair is aligned with the item
+(Smith-Waterman on words, linear gaps), around the seeds where they are frequent, whole where they are rare; the score is
+divided by that of a perfect copy. Where too few of the item's words stand in the passage to reach the threshold (common
+phrases), the alignment is left out. `n_seeds` counts the seeds that joined the pair.
 
 Items with fewer than `n` words use all their words as one seed when they have at least two; shorter, null and empty ones
 match nothing. Null and empty documents match nothing. Repeated rows are each judged; the best passage of a document and
@@ -24,6 +27,7 @@ from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.frames import arrow, column, stored
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+PAIRS = 1 << 16
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -80,7 +84,28 @@ def _item_table(items: DataFrame, n: int, id_column: str, text: str) -> DataFram
     return arrow(rows, make, "item long, size long, words binary, seeds array<long>, places array<long>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float = 0.4, log2_bits: int = 24, id_column: str = "doc_id",
+def _pairs(spots: DataFrame, seeds: DataFrame, rare: int) -> DataFrame:
+    """Passages and items with a seed in common, each pair once: p, item, size, n_seeds and between which shifts to align."""
+    grams = seeds.groupBy("item", "size", "h").agg(F.min("q").alias("q0"), F.max("q").alias("q1"))
+    seen = spots.groupBy("h").agg(F.count("*").alias("n"))
+    held = grams.groupBy("h").agg(F.count("*").alias("m"))
+    ranked = stored(grams.join(seen, "h").join(held, "h").withColumn("keys", F.ceil(F.col("n") * F.col("m") / PAIRS)), "seeds")
+    # every such seed stands for PAIRS joined rows, so they are few
+    busy = ranked.filter("keys > 1").select("h", "keys").distinct()
+    dealt = spots.join(busy, "h", "left").withColumn("key", F.pmod(F.xxhash64("p"), F.coalesce("keys", F.lit(1)))).drop("keys")
+
+    def met(some: DataFrame):
+        spread = some.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("keys") - 1)))
+        return dealt.join(spread, ["h", "key"]).groupBy("p", "item", "size")
+
+    whole = (F.lit(0).cast("long").alias("lo"), F.lit(1 << 40).alias("hi"))
+    near = stored(met(ranked.filter(F.col("n") <= rare)).agg(F.count("*").alias("n_seeds")).select("*", *whole), "near")
+    far = met(ranked.filter(F.col("n") > rare)).agg(
+        F.count("*").alias("n_seeds"), F.min(F.col("first") - F.col("q1")).alias("lo"), F.max(F.col("last") - F.col("q0")).alias("hi"))
+    return near.unionByName(far.join(near.select("p", "item"), ["p", "item"], "left_anti"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float = 0.4, rare: int = 64, log2_bits: int = 24, id_column: str = "doc_id",
                  text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per (document, item) whose best alignment reaches `threshold`: id, item_id, score, first_word, n_words, n_seeds."""
     spark = docs.sparkSession
@@ -135,8 +160,9 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float
 
     narrow = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     passages = stored(arrow(narrow, scan, "id long, first_word long, words binary, hits array<long>, places array<long>").withColumn("p", F.monotonically_increasing_id()), "passages")
-    hits = passages.select("p", "id", F.explode(F.arrays_zip("hits", "places")).alias("x")).select("p", "id", F.col("x.hits").alias("h"), F.col("x.places").alias("at"))
-    pairs = hits.join(seeds, "h").groupBy("p", "item", "size").agg(F.min(F.col("at") - F.col("q")).alias("lo"), F.max(F.col("at") - F.col("q")).alias("hi"), F.countDistinct("h").alias("n_seeds"))
+    spots = passages.select("p", F.explode(F.arrays_zip("hits", "places")).alias("x")).groupBy("p", F.col("x.hits").alias("h")).agg(
+        F.min("x.places").alias("first"), F.max("x.places").alias("last"))
+    pairs = _pairs(stored(spots, "hits"), seeds, rare)
 
     def score():
         def step(batch):

@@ -194,13 +194,16 @@ def test_decontamination(spark, small, odd):
     assert decontaminate.contaminated(odd, bench.filter("item_id < 5")).count() == 0
 
 
-def test_decontamination_of_copies_that_leaked_often(spark):
+@pytest.mark.parametrize(("rare", "pairs"), [(64, 1 << 16), (2, 3), (0, 5)])
+def test_decontamination_of_copies_that_leaked_often(spark, monkeypatch, rare, pairs):
+    """With rare seeds, with frequent ones only, and with both, dealt over many keys."""
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     items = [(k, " ".join(f"k{k}w{i}" for i in range(30))) for k in range(2)]
     whole, half = (text.split() for _, text in items)
     changed = " ".join("changed" if i in (14, 15) else w for i, w in enumerate(whole))
     docs = [(0, items[0][1]), *[(i, f"lead {changed} tail") for i in range(1, 13)]]  # an original beside equal edited copies
     docs += [(20, items[1][1]), *[(20 + i, f"lead {' '.join(half[:15])} tail") for i in range(1, 13)]]  # the first half leaked often
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rare=rare).collect()}
     assert got == brute.contaminated(docs, items) == {(d, 0) for d in range(13)} | {(d, 1) for d in range(20, 33)}
 
 
