@@ -12,14 +12,16 @@ however many equal vectors there are. Broadcast are the pivots and one row per a
 
 Null vectors, and those that hold null, NaN or infinite components, take no part, nor do null ids. Vectors of different
 lengths are compared as if the shorter had zeros. Ties go to the smaller id. A row never meets rows of its own id; other
-repeated rows each count. An empty table gives no rows. Extra columns play no part.
+repeated rows each count. Query rows that share an id are searched each on its own and then share one list of `k`. Vectors
+whose squared norm does not fit `2**62` raise an error, as their products would not fit 64 bits. An empty table gives no rows. Extra
+columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgrid.llm.frames import arrow, column, stored
@@ -74,7 +76,11 @@ def integers(vectors: DataFrame, id_column: str, vector: str, scale: int) -> Dat
             size = lists.value_lengths().to_numpy()
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             cut = np.concatenate([[0], np.cumsum(size)])
-            whole = np.floor(flat.astype(np.float64) * scale).astype(np.int64)
+            whole = np.floor(flat.astype(np.float64) * scale)
+            square = np.concatenate([[0.0], np.cumsum(whole * whole)])
+            if np.abs(whole).max(initial=0) > 2.0**31 or (square[cut[1:]] - square[cut[:-1]]).max(initial=0) > 2.0**62:
+                raise ValueError(f"a vector times {scale} is too large for products of 64 bits")
+            whole = whole.astype(np.int64)
             rows = [whole[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield {"id": ids, "v": [r.tobytes() for r in rows], "norm": [int(r @ r) for r in rows], "width": size}
         return step
@@ -136,7 +142,7 @@ def search(vectors: DataFrame, queries, k: int = 5, scale: int = 256, id_column:
     chosen = rows.join(vectors.filter(queries).select(F.col(id_column).cast("long").alias("id")).distinct(), "id", "left_semi")
     total = chosen.count()
     parts = max(1, -(-total // QUERIES))
-    state = stored(chosen.select(F.col("id").alias("query_id"), "v", "norm", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("upto"),
+    state = stored(chosen.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("query_id"), "v", "norm", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("upto"),
                                  F.lit(False).alias("done"), F.array().cast("array<struct<score:bigint,vec_id:bigint>>").alias("best")), "queries")
     budget = FIRST
 
@@ -157,36 +163,38 @@ def search(vectors: DataFrame, queries, k: int = 5, scale: int = 256, id_column:
                     out["cell"].append(np.repeat(cells["cell"][take], blocks).tolist())
                     out["block"].append([b for x in blocks.tolist() for b in range(x)])
                     out["last"].append(max(last, int(upto[i])))
-                    out["done"].append(last >= open_ and len(take) == 0)
-                yield {c: column(batch, c) for c in ("query_id", "v", "norm", "part", "best")} | out
+                    out["done"].append(last >= open_)  # what is left cannot reach the k-th score
+                yield {c: column(batch, c) for c in ("row", "query_id", "v", "norm", "part", "best")} | out
             return step
 
-        planned = stored(arrow(state.filter("not done"), expand, "query_id long, v binary, norm long, part int, best array<struct<score:bigint,vec_id:bigint>>, "
+        planned = stored(arrow(state.filter("not done"), expand, "row long, query_id long, v binary, norm long, part int, best array<struct<score:bigint,vec_id:bigint>>, "
                                "cell array<int>, block array<int>, last int, done boolean"), "planned")
-        wanted = planned.select("query_id", "v", "part", F.explode(F.arrays_zip("cell", "block")).alias("x")).select("query_id", "v", "part", "x.cell", "x.block")
-        offered = indexed.select("cell", "block", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        wanted = planned.select("row", "query_id", "v", "part", F.explode(F.arrays_zip("cell", "block")).alias("x")).select("row", "query_id", "v", "part", "x.cell", "x.block")
+        keys = ("cell", "block", "part")
+        # only blocks that some query wants leave the index, once for each block of queries that wants them
+        offered = indexed.join(wanted.select(*keys).distinct().toDF(*keys), ["cell", "block"])
 
         def scan(left, right):
-            found = {c: [] for c in ("query_id", "vec_id", "score")}
+            found = {c: [] for c in ("row", "vec_id", "score")}
             if left.num_rows and right.num_rows:
-                ids, names = right["id"].to_numpy(), left["query_id"].to_numpy()
+                ids, names, rows = right["id"].to_numpy(), left["query_id"].to_numpy(), left["row"].to_numpy()
                 scores = _products(_matrix(left["v"].combine_chunks(), width), _matrix(right["v"].combine_chunks(), width))
                 for i, name in enumerate(names):
                     others = np.flatnonzero(ids != name)
                     at = others[_best(scores[i, others], ids[others], k)]
-                    found["query_id"] += [name] * len(at)
+                    found["row"] += [rows[i]] * len(at)
                     found["vec_id"] += ids[at].tolist()
                     found["score"] += scores[i, at].tolist()
             return pa.table({c: pa.array(x, pa.int64()) for c, x in found.items()})
 
-        keys = ("cell", "block", "part")
-        found = wanted.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score long")
-        merged = found.groupBy("query_id").agg(F.collect_list(F.struct("score", "vec_id")).alias("new"))
+        found = wanted.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(scan, "row long, vec_id long, score long")
+        merged = found.groupBy("row").agg(F.collect_list(F.struct("score", "vec_id")).alias("new"))
         ranked = F.slice(F.array_sort(F.concat("best", F.coalesce("new", F.array())), lambda x, y: F.when(x.score != y.score, F.when(x.score > y.score, -1).otherwise(1)).otherwise(
             F.when(x.vec_id < y.vec_id, -1).when(x.vec_id > y.vec_id, 1).otherwise(0))), 1, k)
-        after = planned.join(merged, "query_id", "left").select("query_id", "v", "norm", "part", F.col("last").alias("upto"), "done", ranked.alias("best"))
+        after = planned.join(merged, "row", "left").select("row", "query_id", "v", "norm", "part", F.col("last").alias("upto"), "done", ranked.alias("best"))
         state = stored(after.unionByName(state.filter("done").select(*after.columns)), "queries")
         budget *= GROWTH
 
-    ranks = state.select("query_id", F.posexplode("best").alias("at", "x"))
-    return ranks.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    first = Window.partitionBy("query_id").orderBy(F.col("x.score").desc(), "x.vec_id")
+    ranks = state.select("query_id", F.explode("best").alias("x")).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    return ranks.select("query_id", "rank", F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -170,6 +170,24 @@ def test_top_products(spark, spread, monkeypatch):
     assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect())) == products(rows, lambda i: i % 50 == 0)
 
 
+def test_top_products_of_repeated_queries(spark):
+    """Rows of one query id share one list, whether their vectors differ or not."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 4)))]
+    rows += [(0, rng.normal(size=4).tolist()), (50, rows[50][1]), (7, rows[7][1])]
+    got = sorted(map(tuple, topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()))
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    for q in (0, 50, 100):
+        want = sorted((-int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q)[:5]
+        assert [r for r in got if r[0] == q] == [(q, n + 1, j, -s) for n, (s, j) in enumerate(want)]
+
+
+def test_top_products_too_large_for_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large for products"):
+        topk.search(df, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_top_products_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     assert topk.search(df, F.col("vec_id") % 50 == 0).collect() == []
