@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.config import Display
 from fathomgrid.operators import imaging, missions
 from fathomgrid.operators import mosaic as grid
 from fathomgrid.plans import tables
-from fathomgrid.plans.catalog import CELLS, DETECTIONS, MERGED, R, query, r6, with_
+from fathomgrid.plans.catalog import CELLS, DETECTIONS, MERGED, STATES, R, query, r6, with_
 from fathomgrid.plans.ping_queries import IMAGE, WATERFALL
 from fathomgrid.plans.ping_queries import _members as image_members
 from fathomgrid.plans.telemetry_queries import SESSIONS
@@ -47,15 +50,21 @@ def detections_file(spark, d):
         r6(F.col(c).cast("double"), c, 3) for c in ("x_m", "y_m")], "class", r6(F.col("confidence").cast("double"), "confidence", 3), r6(F.col("extent_m").cast("double"), "extent_m", 2))
 
 
-@query(with_(MERGED, f"""SELECT mission_id, seq, {R('t')}, {R('robot_x')}, {R('range_m', 'swath_half_range_m')}, CAST(800 AS INTEGER) AS columns FROM (
-SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY t DESC, seq DESC) AS newest FROM mp) WHERE newest <= 1500"""))
+@query(with_(MERGED + """,
+wide AS (SELECT mission_id, seq, greatest(0, least(799, CAST(trunc((range_m - y) / (2 * range_m) * 799) AS INTEGER))) AS col, pos, v FROM m JOIN mp USING (mission_id, seq)),
+shown AS (SELECT mission_id, seq, col, CAST(CAST(arg_max(v, pos) AS FLOAT) AS DOUBLE) AS v FROM wide GROUP BY mission_id, seq, col),
+line AS (SELECT mission_id, seq, count(*) AS filled, sum(v * (col + 1)) AS weighted FROM shown GROUP BY mission_id, seq)""",
+             f"""SELECT mission_id, seq, {R('t')}, {R('robot_x')}, {R('range_m', 'swath_half_range_m')}, CAST(800 AS INTEGER) AS columns, filled, {R('weighted', digits=4)} FROM (
+SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY t DESC, seq DESC) AS newest FROM mp) JOIN line USING (mission_id, seq) WHERE newest <= 1500"""))
 def waterfall_file(spark, d):
     """The newest waterfall rows through their store."""
     path = shared_folder(spark, "waterfall")
     files.write_waterfall(tables.merged_pings(spark, d), path)
     back = spark.read.parquet(path)
+    values = F.transform("intensity_db", lambda v, i: F.coalesce(v.cast("double") * (i + 1), F.lit(0.0)))
     return back.filter(F.size("intensity_db") == F.col("columns")).select(
-        F.col("mission_id").cast("long").alias("mission_id"), "seq", r6("t"), r6("robot_x"), r6("swath_half_range_m"), "columns")
+        F.col("mission_id").cast("long").alias("mission_id"), "seq", r6("t"), r6("robot_x"), r6("swath_half_range_m"), "columns",
+        F.size(F.array_compact("intensity_db")).cast("long").alias("filled"), r6(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), "weighted", 4))
 
 
 @query("""WITH s AS (SELECT min(o_orderkey) AS session_id, epoch_us(o_orderdate) // 1000000 AS started FROM orders GROUP BY 2),
@@ -142,3 +151,32 @@ def session_metadata(spark, d):
     return back.select("session", "ping_count", "detection_count", "duration_s", (F.floor(F.unix_micros("started_utc") / 1000) * 1000).alias("started_us"),
                        F.size("adopted_svlogs").cast("long").alias("adopted"), "mosaic.cell_size_m", F.col("mosaic.priority_mode_displayed").alias("policy"),
                        "display_settings_at_end.gamma", "display_settings_at_end.colormap", "topics.sonar")
+
+
+@query(with_(MERGED, f"""SELECT mission_id, seq, {R('any_value(t)', 't')}, {R('any_value(atan2(sin(yaw), cos(yaw)))', 'yaw')}, {R('any_value(water_depth)', 'water_depth')},
+count(*) AS samples, {R('sum(y * v * (pos + 1))', 'weighted', 4)} FROM m GROUP BY mission_id, seq"""))
+def sonar_messages(spark, d):
+    """Processed ping messages, a stamp, quaternion and arrays per side, as merged pings."""
+    pings = tables.merged_pings(spark, d)
+
+    def side(values: str, port: bool):
+        return F.filter(values, lambda _, i: (F.get("y_local", i) > 0) == F.lit(port))
+    sent = pings.select(
+        "mission_id", F.col("seq").alias("port_ping_number"), (F.col("seq") * 100_000_000).alias("port_stamp_ns"), "robot_x", "robot_y", "water_depth",
+        F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.sin(F.col("yaw") / 2).alias("z"), F.cos(F.col("yaw") / 2).alias("w")).alias("orientation"),
+        side("y_local", True).alias("port_y"), side("y_local", False).alias("starboard_y"),
+        side("intensity_db", True).alias("port_intensity_db"), side("intensity_db", False).alias("starboard_intensity_db"))
+    got = messages.sonar_pings(sent)
+    values = F.transform(F.arrays_zip("y_local", "intensity_db"), lambda s, i: s["y_local"] * s["intensity_db"] * (i + 1))
+    return got.select("mission_id", "seq", r6("t"), r6("yaw"), r6("water_depth"), F.size("y_local").cast("long").alias("samples"),
+                      r6(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), "weighted", 4))
+
+
+@query(with_(STATES, f"""SELECT CASE event_type WHEN 'view' THEN 'odom' WHEN 'click' THEN 'gps' WHEN 'signup' THEN 'compass' WHEN 'purchase' THEN 'detections' ELSE 'sonar' END AS stream,
+mission_id, seq, {R('value')} FROM e"""))
+def telemetry_streams(spark, d):
+    """A stacked telemetry table split by topic."""
+    topics = {"odom": "view", "gps": "click", "compass": "signup", "detections": "purchase", "sonar": "error"}
+    parts = messages.telemetry_topics(tables.states(spark, d).withColumnRenamed("event_type", "topic"), topics)
+    named = [rows.select(F.lit(name).alias("stream"), "mission_id", "seq", r6("value")) for name, rows in parts.items()]
+    return reduce(DataFrame.unionByName, named)

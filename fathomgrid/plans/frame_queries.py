@@ -134,21 +134,26 @@ def unit_conversions(spark, d):
         F.pmod(compass, F.lit(36000)).alias("hdg_cdeg"), r6(units.centi(compass), "hdg_deg"))
 
 
-@query(with_(STATES, """SELECT seq, event_type <> 'error' AND seq % 17 <> 0 AS fix_ok, seq % 5 <> 0 AS attitude_ok, seq % 13 > 1 AS compass_ok
-FROM e WHERE t BETWEEN 1704500000e0 AND 1705500000e0"""))
+@query(with_(STATES, """SELECT seq, event_type <> 'error' AND seq % 17 <> 0 AS fix_ok, seq % 5 <> 0 AS attitude_ok, seq % 13 > 1 AS compass_ok FROM e"""))
 def validity_flags(spark, d):
-    """Fix, attitude and compass validity of rows in a time range."""
+    """Fix, attitude and compass validity."""
     e = F.col("seq")
     nan, inf = F.lit(float("nan")), F.lit(float("inf"))
     status = F.when(F.col("event_type") == "error", -1).otherwise(0)
     lat = F.when(e % 17 == 0, nan).otherwise(F.col("lat"))
     zero = F.when(e % 5 == 0, 0.0).otherwise(0.5)
     compass = F.when(e % 13 == 0, nan).when(e % 13 == 1, inf).otherwise(F.col("compass_deg"))
-    return select_range(tables.states(spark, d), 1704500000.0, 1705500000.0).select(
+    return tables.states(spark, d).select(
         "seq", fix_valid(status, lat, F.col("lon")).alias("fix_ok"),
         attitude.quat_valid(zero, zero, zero, zero).alias("attitude_ok"), units.finite(compass).alias("compass_ok"))
 
 
+@query(with_(STATES, f"SELECT mission_id, seq, {R('x')} FROM e WHERE t BETWEEN 1704500000e0 AND 1705500000e0"))
+def time_range(spark, d):
+    """Events between two times."""
+    return select_range(tables.states(spark, d), 1704500000.0, 1705500000.0).select("mission_id", "seq", r6("x"))
+
+
 @query(with_(STATES, f"""SELECT seq, {R('x')}, {R('y')}, {R('value', 'z')}, 0e0 AS roll, 0e0 AS pitch, {R('atan2(sin(yaw), cos(yaw))', 'yaw')},
 {R('x * 2', 'u')}, {R('yaw * 3', 'r')}, {R('sin(yaw / 2)', 'qz')} FROM e"""))
 def odometry_vectors(spark, d):

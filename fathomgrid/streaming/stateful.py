@@ -231,55 +231,51 @@ def image_members(df: DataFrame, params: Seabed = Seabed(), *, flush_after_ms: i
 def robot_states(df: DataFrame, params: Alignment = Alignment(), *, keys: Sequence[str] = MISSION) -> DataFrame:
     """Live boat states from stacked telemetry (kind, t, seq, x, y, yaw, speed, lat, lon, compass_deg).
 
-    Odometry drives, at most one state per 200 ms, with the latest fix, heading and speed. While
-    odometry is silent for `odom_dead_s`, or sits at the origin although GPS has moved, fixes
-    drive instead with dead-reckoned positions. Event time throughout.
+    The rule of the batch form: every row is looked at with the latest of each kind known by then. Odometry rows count unless
+    they sit at the origin while the fixes have moved; fixes count, with dead-reckoned positions, while odometry has been
+    silent for `odom_dead_s` or sits at the origin. Of the rows that count, at most one in 200 ms is a state. Event time throughout.
     """
-    radius = EARTH_RADIUS_M
     period = params.state_period_ns / 1e9
 
     def step(state: dict, rows: pd.DataFrame):
-        out = []
-        for row in rows.itertuples(index=False):
-            t = float(row.t)
-            due = state.get("emitted") is None or t - state["emitted"] >= period
-            if row.kind == "compass":
-                if np.isfinite(row.compass_deg):
-                    state["heading"] = float(row.compass_deg) % 360.0
-            elif row.kind == "vfr":
-                if np.isfinite(row.speed):
-                    state["speed"] = float(row.speed)
-            elif row.kind == "gps":
-                lat, lon = float(row.lat), float(row.lon)
-                ref = state.setdefault("ref", [lat, lon])
-                east = np.radians(lon - ref[1]) * radius * np.cos(np.radians(ref[0]))
-                north = np.radians(lat - ref[0]) * radius
-                last = state.get("last")
-                dt = t - last[0] if last else 0.0
-                speed = float(np.hypot(east - last[1], north - last[2]) / dt) if dt > 1e-3 else 0.0
-                state |= {"fix": [lat, lon], "last": [t, float(east), float(north)]}
-                silent = state.get("odom_t") is None or t - state["odom_t"] > params.odom_dead_s
-                if (silent or state.get("stuck")) and due:
-                    heading = state.get("heading")
-                    yaw = float(np.radians(90.0 - heading)) if heading is not None else 0.0
-                    out.append((int(row.seq), t, float(east), float(north), yaw, lat, lon,
-                                heading if heading is not None else 90.0, state.get("speed", speed), "gps"))
-                    state["emitted"] = t
-            else:
-                x, y = float(row.x), float(row.y)
-                state["odom_t"] = t
-                last = state.get("last")
-                state["stuck"] = bool(last and abs(x) < params.frozen_eps_m and abs(y) < params.frozen_eps_m
-                                      and np.hypot(last[1], last[2]) > params.moved_min_m)
-                if not state["stuck"] and due:
-                    fix = state.get("fix", [None, None])
-                    heading = state.get("heading", (90.0 - float(np.degrees(row.yaw))) % 360.0)
-                    out.append((int(row.seq), t, x, y, float(row.yaw), *fix, heading, state.get("speed", float(row.speed)), "odom"))
-                    state["emitted"] = t
-        frame = pd.DataFrame(out, columns=["seq", "t", "x", "y", "yaw", "lat", "lon", "heading_deg", "speed_mps", "source"])
-        for c in ("lat", "lon"):
-            frame[c] = pd.array(frame[c], "Float64")
-        return state, frame
+        t, x, y, yaw, speed, lat, lon, compass = (pd.to_numeric(rows[c]).to_numpy(float) for c in ("t", "x", "y", "yaw", "speed", "lat", "lon", "compass_deg"))
+        kind = rows["kind"].to_numpy()
+        fix, odom = kind == "gps", ~np.isin(kind, ("gps", "compass", "vfr"))
+        if fix.any():
+            state.setdefault("ref", [float(lat[fix][0]), float(lon[fix][0])])
+        ref = np.radians(state.get("ref", [0.0, 0.0]))
+        east, north = (np.radians(lon) - ref[1]) * EARTH_RADIUS_M * np.cos(ref[0]), (np.radians(lat) - ref[0]) * EARTH_RADIUS_M
+        seconds = np.diff(np.r_[state.get("fix_t", np.nan), t[fix]])
+        metres = np.hypot(*(np.diff(np.r_[state.get(name, np.nan), v[fix]]) for name, v in (("east", east), ("north", north))))
+        reckoned = np.zeros(len(t))
+        reckoned[fix] = np.divide(metres, seconds, out=np.zeros(len(metres)), where=seconds > 1e-3)
+
+        def known(name: str, values: np.ndarray, where: np.ndarray) -> np.ndarray:
+            """The latest value at or before each row, from earlier batches too."""
+            latest = pd.Series(np.where(where, values, np.nan)).ffill().fillna(state.get(name, np.nan)).to_numpy()
+            state[name] = float(latest[-1])
+            return latest
+
+        heading = known("heading", compass % 360.0, (kind == "compass") & np.isfinite(compass))
+        measured = known("speed", speed, (kind == "vfr") & np.isfinite(speed))
+        known("fix_t", t, fix)
+        at_lat, at_lon, at_east, at_north = (known(n, v, fix) for n, v in (("lat", lat), ("lon", lon), ("east", east), ("north", north)))
+        odom_t, odom_x, odom_y = (known(n, v, odom) for n, v in (("odom_t", t), ("odom_x", x), ("odom_y", y)))
+        stuck = (np.maximum(np.abs(odom_x), np.abs(odom_y)) < params.frozen_eps_m) & (np.hypot(at_east, at_north) > params.moved_min_m)
+        silent = ~(t - odom_t <= params.odom_dead_s)
+
+        kept = []
+        for i in np.flatnonzero(np.where(odom, ~stuck, fix & (silent | stuck))):
+            if not t[i] - state.get("emitted", -np.inf) < period:
+                state["emitted"] = float(t[i])
+                kept.append(i)
+        turned = np.where(fix, np.nan_to_num(np.radians(90.0 - heading)), yaw)
+        frame = pd.DataFrame({
+            "seq": rows["seq"].to_numpy(np.int64), "t": t, "x": np.where(fix, at_east, x), "y": np.where(fix, at_north, y), "yaw": turned,
+            "lat": pd.array(at_lat, "Float64"), "lon": pd.array(at_lon, "Float64"),
+            "heading_deg": np.where(np.isnan(heading), (90.0 - np.degrees(turned)) % 360.0, heading),
+            "speed_mps": np.where(np.isnan(measured), np.where(fix, reckoned, speed), measured), "source": np.where(fix, "gps", "odom")})
+        return state, frame.iloc[kept]
 
     columns = ["kind", "t", "seq", "x", "y", "yaw", "speed", "lat", "lon", "compass_deg"]
     return _apply(df.select(*keys, *columns), step, "seq long, t double, x double, y double, yaw double, lat double, lon double, "

@@ -124,3 +124,16 @@ def test_rates_and_sessions(spark, tmp_path):
     runs = live.activity(df, "5 seconds").select("states").collect()
     assert sorted(r.states for r in runs) == [1, 2, 3]
     assert live.gate(df, spark.createDataFrame([(1, 1.0, 9.0)], "mission_id long, started double, ended double")).count() == 2
+
+
+def test_states_do_not_depend_on_micro_batches(spark, tmp_path):
+    rng, nan = random.Random(7), float("nan")
+    data = []
+    for i in range(160):
+        t, kind = i * 0.15, rng.choice(["odom", "gps", "compass", "vfr"] if i < 60 else ["gps", "compass", "odom" if i > 110 else "gps"])
+        x = 0.0 if rng.random() < 0.5 else rng.uniform(1, 5)
+        data.append((1, kind, t, i, x, x, 0.3, rng.choice([1.0, nan]), 43 + i * 1e-5, 7.0, rng.choice([10.0, nan, 400.0])))
+    df = spark.createDataFrame(data, "mission_id long, kind string, t double, seq long, x double, y double, yaw double, speed double, lat double, lon double, compass_deg double")
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    whole = rows(drain(stateful.robot_states(streamed(spark, df, "t", tmp_path / "a", 1)), tmp_path / "a"))
+    assert rows(drain(stateful.robot_states(streamed(spark, df, "t", tmp_path / "b", 4)), tmp_path / "b")) == whole and len(whole) > 40
