@@ -3,8 +3,9 @@
 A document is the set of its distinct word n-grams (fewer words: the whole sequence as one). Two link when the Jaccard
 similarity is at least `percent`. The join is PPJoin-like:
 
-* Rare first: n-grams are ordered by the magnitude of their estimated frequency (a fixed-width count-min sketch over the
-  whole corpus), then by hash. Any order is right; this one keeps frequent passages out of the prefixes.
+* Rare first: n-grams are ordered by the magnitude of their estimated frequency, then by hash. The frequencies come from a
+  sketch over the whole corpus whose width follows the corpus (up to `LOG2_CELLS`: 64 MB broadcast), so that frequent
+  passages stay out of the prefixes at every size. Any order is right, whatever the sketch says.
 * Prefix: linked sets share an n-gram among the first `n - ceil(percent n) + 1`. A second sketch drops prefix n-grams that
   occur in one prefix only, so what is shuffled are n-grams that may join.
 * Length, positional and suffix filters are conditions of the join itself; the suffix filter compares 512 parity bits of hash
@@ -33,6 +34,7 @@ from fathomgrid.llm.components import components
 from fathomgrid.llm.frames import arrow, column, stored
 
 LEADERS, PICKS, SALTS = 8, 24, 8
+LOG2_CELLS = 27
 PARITY = tuple(f"p{i}" for i in range(8))
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -58,10 +60,9 @@ class Shingles:
         self.hashes, self.cuts = whole, np.concatenate([[0], np.cumsum(grams)])
 
 
-def _tokens(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _tokens(hashes: np.ndarray, sizes: sketch.Magnitudes) -> np.ndarray:
     """Sortable tokens, rare first: six bits of frequency magnitude, then the hash."""
-    size = np.log2(sketch.estimate(counts, hashes) + 1.0).astype(np.uint64)
-    return size << np.uint64(58) | hashes >> np.uint64(6)
+    return sizes.of(hashes) << np.uint64(58) | hashes >> np.uint64(6)
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -119,7 +120,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     return arrow(both.select("a", "b", "ta", "tb"), make, "a long, b long")
 
 
-def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str, log2_counters: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str, log2_counters: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents (id, t), sets of all documents, classes of equal sets, and shared prefix n-grams of classes."""
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
 
@@ -134,7 +135,8 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
             return found
         return values
 
-    counts = sketch.counters(narrow.select("t"), make_values, log2_counters)
+    size = sketch.text_bytes(narrow, "t")
+    counts = sketch.magnitudes(narrow.select("t"), make_values, log2_counters or sketch.width_for(size // 64, most=LOG2_CELLS))  # some ten n-grams a cell
 
     def sets_of(shingles, data, cuts):
         """Per document the sorted distinct tokens."""
@@ -152,7 +154,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
             return found
         return values
 
-    log2_width = sketch.width_for(sketch.text_bytes(narrow, "t") // 8)
+    log2_width = sketch.width_for(size // 8)
     bits = sketch.repeated_bits(narrow.select("t"), make_prefixes, log2_width)
 
     def make_rows():
@@ -202,7 +204,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
     return narrow, sets, classes, joined
 
 
-def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int = 20) -> DataFrame:
+def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int | None = None) -> DataFrame:
     """All links between different sets, each once: a, b (class ids, a < b). Documents of one class link as well.
 
     Every candidate pair of classes is verified, so the cost grows with the square of a group of near copies; the rows of
@@ -215,7 +217,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_
     return _verify(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), narrow, classes, k, percent)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int | None = None) -> DataFrame:
     """One row per document: id, n_shingles, class_id (fingerprint of its set, null when empty), component_id."""
     narrow, sets, classes, joined = _candidates(docs, k, percent, id_column, text, log2_counters)
     led = joined.groupBy("token", F.pmod("draw", F.lit(LEADERS))).agg(F.min("draw").alias("draw")).select("token", "draw")

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgrid.llm import textscan as ts
-from fathomgrid.llm.frames import arrow, column
+from fathomgrid.llm.frames import Shared, arrow, column, stored
 
 ROWS = 2
 LOG2_BLOCK = 15
+LOG2_COUNT_BLOCK = 20
 LOG2_WIDEST = 29
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
@@ -77,37 +78,88 @@ def may_repeat(bits: list[np.ndarray], values: np.ndarray, log2_width: int) -> n
     return hit
 
 
-def counters(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], log2_width: int = 20):
-    """Full counters of a two-row sketch of fixed width, broadcast (`ROWS * 4 * 2**log2_width` bytes)."""
-    block = min(14, log2_width)
+class Magnitudes:
+    """Estimated frequency levels of 64-bit values: four bits a cell, one power of two a level, from half the mean load on."""
 
-    def run(batches):
-        values_of = make_values()
-        counts = np.zeros((ROWS, 1 << log2_width), np.uint32)
-        for batch in batches:
-            for values in values_of(batch):
-                for row in range(ROWS):
-                    counts[row] += np.bincount(slot(values, row, log2_width), minlength=1 << log2_width).astype(np.uint32)
-        parts = counts.reshape(-1, 1 << block)
-        at = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"block": pa.array(at, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in at], pa.binary())})
+    def __init__(self, cells: np.ndarray, log2_width: int):
+        self.cells, self.log2_width = cells, log2_width
 
-    def merge(key, parts):
-        total = np.zeros(1 << block, np.uint32)
-        for part in parts.column("counts").to_pylist():
-            total += np.frombuffer(part, np.uint32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def of(self, values: np.ndarray) -> np.ndarray:
+        place = slot(values, 0, self.log2_width)
+        return (self.cells[place >> 1] >> ((place & 1) << 2).astype(np.uint8) & 15).astype(np.uint64)
 
-    merged = docs.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(merge, "block int, counts binary")
-    out = np.zeros((ROWS << log2_width >> block, 1 << block), np.uint32)
-    for row in merged.collect():  # bounded by the width
-        out[row["block"]] = np.frombuffer(row["counts"], np.uint32)
-    return docs.sparkSession.sparkContext.broadcast(out.reshape(ROWS, -1))
 
+def _steps(places: np.ndarray) -> bytes:
+    """Sorted places as 16-bit steps; a step of 65,535 only moves on."""
+    steps = np.diff(places, prepend=0)
+    far = steps // 65535
+    out = np.full(len(steps) + int(far.sum()), 65535, np.uint16)
+    out[np.cumsum(far + 1) - 1] = steps % 65535
+    return out.tobytes()
+
+
+def _places(steps: bytes) -> np.ndarray:
+    steps = np.frombuffer(steps, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
+
+
+def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], log2_width: int) -> Shared:
+    """Counts of all values in one row of cells, broadcast as `Magnitudes` (half a byte a cell).
+
+    Tasks send the cells they hit as steps between them, some two bytes a value; each block of cells is counted in one
+    array that takes in whatever comes, so memory doesn't grow with the corpus.
+    """
+    block = min(LOG2_COUNT_BLOCK, log2_width)
+    blocks = 1 << (log2_width - block)
+
+    def make():
+        values_of, held, size = make_values(), [], [0]
+
+        def step(batch):
+            if batch is not None:
+                for values in values_of(batch):
+                    held.append(slot(values, 0, log2_width).astype(np.uint32))
+                    size[0] += len(values)
+            if size[0] >= 1 << 22 or (batch is None and size[0]):
+                places = np.sort(np.concatenate(held))
+                held.clear()
+                size[0] = 0
+                names, at = np.unique(places >> block, return_index=True)
+                inside = (places & ((1 << block) - 1)).astype(np.int64)
+                yield {"block": names.astype(np.int32), "cells": [_steps(inside[a:b]) for a, b in zip(at, [*at[1:], len(places)], strict=True)]}
+        return step
+
+    def count():
+        totals = {}
+
+        def step(batch):
+            if batch is None:
+                for name, total in totals.items():
+                    yield {"block": [name], "load": [int(total.sum())], "levels": [np.log2(total + 1.0).astype(np.uint8).tobytes()]}
+                return
+            for name, cells in zip(column(batch, "block").to_pylist(), column(batch, "cells").to_pylist(), strict=True):
+                if name not in totals:
+                    totals[name] = np.zeros(1 << block, np.int64)
+                totals[name] += np.bincount(_places(cells), minlength=1 << block)
+            yield from ()
+        return step
+
+    hit = arrow(docs, make, "block int, cells binary", ending=True).repartition(max(1, blocks // 4), "block")
+    counted = stored(arrow(hit, count, "block int, load long, levels binary", ending=True), "magnitudes")
+    load = (counted.agg(F.sum("load")).first()[0] or 0) >> log2_width
+    least = max(0, load.bit_length() - 2)
+
+    def pack():
+        def step(batch):
+            for name, levels in zip(column(batch, "block").to_pylist(), column(batch, "levels").to_pylist(), strict=True):
+                level = np.clip(np.frombuffer(levels, np.uint8).astype(np.int16) - least, 0, 15).astype(np.uint8)
+                yield {"block": [name], "cells": [(level[::2] | level[1::2] << 4).tobytes()]}
+        return step
 
-def estimate(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    log2_width = counts.shape[1].bit_length() - 1
-    return np.minimum(*(counts[row][slot(values, row, log2_width)] for row in range(ROWS)))
+    cells = np.zeros(1 << log2_width >> 1, np.uint8)
+    for row in arrow(counted.select("block", "levels"), pack, "block int, cells binary").toLocalIterator():  # bounded by the width
+        cells[row["block"] << block >> 1:][:1 << block >> 1] = np.frombuffer(row["cells"], np.uint8)
+    return Shared(docs.sparkSession, Magnitudes(cells, log2_width))
 
 
 def member_bits(values: DataFrame, log2_width: int):

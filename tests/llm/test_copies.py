@@ -51,6 +51,32 @@ def test_links(spark, families, percent):
     assert sorted(got) == sorted(want) and len(want) > 100
 
 
+@pytest.mark.parametrize("log2_counters", [1, 4])
+def test_near_duplicates_when_the_frequency_sketch_is_full(spark, families, log2_counters):
+    df = spark.createDataFrame(families, "doc_id long, text string")
+    assert near(df, log2_counters=log2_counters) == brute.near_duplicates(families)
+
+
+def test_frequency_levels(spark):
+    """Levels are powers of two of the counts, from half the mean load of a cell on; cells far apart are counted too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fathomgrid.llm import sketch
+    rng = np.random.default_rng(1)
+    values = rng.permutation(np.repeat(np.arange(40), 1 << np.arange(40) % 10))
+    df = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(3)
+    for log2_width in (2, 22):
+        sizes = sketch.magnitudes(df, lambda: lambda batch: [batch.column(0).to_numpy().view(np.uint64)], log2_width).value
+        names = np.arange(40).astype(np.uint64)
+        place = sketch.slot(names, 0, log2_width)
+        counts = np.bincount(place, np.float64(1 << np.arange(40) % 10))[place]
+        least = max(0, (len(values) >> log2_width).bit_length() - 2)
+        assert sizes.of(names).tolist() == np.clip(np.log2(counts + 1).astype(int) - least, 0, 15).tolist()
+    empty = sketch.magnitudes(df.limit(0), lambda: lambda batch: [pa.array([]).to_numpy()], 4).value
+    assert not empty.cells.any()
+
+
 def test_near_duplicates_of_odd_texts(odd, nothing):
     assert near(odd) == brute.near_duplicates(rows_of(odd))
     assert near(nothing) == {}
