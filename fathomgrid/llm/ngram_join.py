@@ -6,8 +6,9 @@ similarity is at least `percent`. The join is PPJoin-like:
 * Rare first: n-grams are ordered by the magnitude of their estimated frequency, then by hash. The frequencies come from a
   sketch over the whole corpus whose width follows the corpus (up to `LOG2_CELLS`: 64 MB broadcast), so that frequent
   passages stay out of the prefixes at every size. Any order is right, whatever the sketch says.
-* Prefix: linked sets share an n-gram among the first `n - ceil(percent n) + 1`. A second sketch drops prefix n-grams that
-  occur in one prefix only, so what is shuffled are n-grams that may join.
+* Prefix: linked sets share an n-gram among the first `n - ceil(percent n) + 1`. Equal sets are found first and only one
+  document of each has a prefix. A second sketch drops prefix n-grams that occur in one prefix only, so what is shuffled are
+  n-grams that may join.
 * Length, positional and suffix filters are conditions of the join itself; the suffix filter compares 512 parity bits of hash
   buckets, which bound the symmetric difference from below.
 * Equal sets are one class. In each n-gram's group every class first meets only the group's leaders (at most `LEADERS`, drawn
@@ -128,15 +129,13 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
         shingles = Shingles(k)
 
         def values(batch):
-            found = []
             for _, _, data, cuts in ts.pieces(column(batch, "t")):
                 shingles.read(data, cuts)
-                found.append(shingles.hashes)
-            return found
+                yield shingles.hashes
         return values
 
     size = sketch.text_bytes(narrow, "t")
-    counts = sketch.magnitudes(narrow.select("t"), make_values, log2_counters or sketch.width_for(size // 64, most=LOG2_CELLS))  # some ten n-grams a cell
+    counts = sketch.magnitudes(narrow.select("t"), make_values, log2_counters or sketch.width_for(size // 16, most=LOG2_CELLS))  # one to three n-grams a cell
 
     def sets_of(shingles, data, cuts):
         """Per document the sorted distinct tokens."""
@@ -144,20 +143,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
         tokens, at = _tokens(shingles.hashes, counts.value), shingles.cuts.tolist()
         return [np.unique(tokens[i:j]) for i, j in zip(at, at[1:])]  # noqa: B905, RUF007
 
-    def make_prefixes():
-        shingles = Shingles(k)
-
-        def values(batch):
-            found = []
-            for _, _, data, cuts in ts.pieces(column(batch, "t")):
-                found += [s[:_prefix(len(s), percent)] for s in sets_of(shingles, data, cuts)]
-            return found
-        return values
-
-    log2_width = sketch.width_for(size // 8)
-    bits = sketch.repeated_bits(narrow.select("t"), make_prefixes, log2_width)
-
-    def make_rows():
+    def make_sets():
         shingles = Shingles(k)
 
         def step(batch):
@@ -176,27 +162,49 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
                     for i in range(8):
                         bit = np.where(bucket >> np.uint64(6) == i, np.uint64(1) << (bucket & np.uint64(63)), 0)
                         parity[i, full] = np.bitwise_xor.reduceat(bit, first[full])
-                nothing = pa.nulls(len(n), pa.int64())
-                yield {"id": ids.slice(a, b - a), "n": n, "s": pa.array(left.view(np.int64), mask=n == 0), "s2": right.view(np.int64), "pos": nothing, "token": nothing} | {
+                yield {"id": ids.slice(a, b - a), "n": n, "s": pa.array(left.view(np.int64), mask=n == 0), "s2": right.view(np.int64)} | {
                     p: parity[i].view(np.int64) for i, p in enumerate(PARITY)}
-                size = np.array([_prefix(x, percent) for x in n.tolist()], np.int64)
-                row = np.repeat(np.arange(len(n)), size)
-                pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                token = flat[first[row] + pos]
-                hit = sketch.may_repeat(bits.value, token, log2_width)
-                row, pos, token = row[hit], pos[hit], token[hit]
-                nothing = pa.nulls(len(row), pa.int64())
-                yield dict.fromkeys(("id", "s2", *PARITY), nothing) | {"n": n[row], "s": left[row].view(np.int64), "pos": pos, "token": token.view(np.int64)}
         return step
 
-    schema = "id long, n long, s long, s2 long, pos long, token long, " + ", ".join(f"{p} long" for p in PARITY)
-    rows = stored(arrow(narrow, make_rows, schema).withColumn("is_set", F.col("token").isNull()), "sets")
-    sets = rows.filter("is_set").select("id", "n", "s", "s2", *PARITY)
-    prefixes = rows.filter("not is_set").select("token", "s", "n", "pos")
+    sets = stored(arrow(narrow, make_sets, "id long, n long, s long, s2 long, " + ", ".join(f"{p} long" for p in PARITY)), "sets")
 
     same = F.when(F.min("s2") == F.max("s2"), F.min("id")).when(F.min("s2") < F.max("s2"), F.raise_error(F.lit("two sets share a fingerprint")))
     classes = stored(sets.filter("s is not null").groupBy("s").agg(same.alias("rep"), *[F.max(p).alias(p) for p in PARITY]), "classes")
 
+    # only representatives have prefixes (and, rarely, others: the same rows again): copies alone make no n-gram repeat
+    leading = sketch.split(narrow, classes.select("rep").filter("rep is not null"), "id", "leads").filter("leads or id is null").select("id", "t")
+
+    def make_prefixes():
+        shingles = Shingles(k)
+
+        def values(batch):
+            found = []
+            for _, _, data, cuts in ts.pieces(column(batch, "t")):
+                found += [s[:_prefix(len(s), percent)] for s in sets_of(shingles, data, cuts)]
+            return found
+        return values
+
+    log2_width = sketch.width_for(size // 8)
+    bits = sketch.repeated_bits(leading.select("t"), make_prefixes, log2_width)
+
+    def make_rows():
+        shingles = Shingles(k)
+
+        def step(batch):
+            for _, _, data, cuts in ts.pieces(column(batch, "t")):
+                sets = [tokens for tokens in sets_of(shingles, data, cuts) if len(tokens)]
+                if sets:
+                    s = np.array([np.add.reduce(ts.mix(tokens ^ _LEFT)) for tokens in sets], np.uint64).view(np.int64)
+                    n = np.array([len(tokens) for tokens in sets])
+                    size = np.array([_prefix(x, percent) for x in n.tolist()])
+                    row = np.repeat(np.arange(len(n)), size)
+                    pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                    token = np.concatenate([tokens[:x] for tokens, x in zip(sets, size.tolist(), strict=True)])
+                    hit = sketch.may_repeat(bits.value, token, log2_width)
+                    yield {"token": token[hit].view(np.int64), "s": s[row[hit]], "n": n[row[hit]], "pos": pos[hit]}
+        return step
+
+    prefixes = stored(arrow(leading, make_rows, "token long, s long, n long, pos long"), "tokens")
     prefixes = prefixes.withColumn("draw", F.xxhash64("s", "token"))
     groups = prefixes.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("token")
     shared = prefixes.join(groups, "token").distinct()

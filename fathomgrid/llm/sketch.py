@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from fathomgrid.llm.frames import Shared, arrow, column, stored
 
 ROWS = 2
 LOG2_BLOCK = 15
-LOG2_COUNT_BLOCK = 20
+LOG2_COUNT_BLOCK, HELD = 18, 1 << 20
 LOG2_WIDEST = 29
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
@@ -103,7 +103,7 @@ def _places(steps: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
-def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], log2_width: int) -> Shared:
+def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], Iterable[np.ndarray]]], log2_width: int) -> Shared:
     """Counts of all values in one row of cells, broadcast as `Magnitudes` (half a byte a cell).
 
     Tasks send the cells they hit as steps between them, some two bytes a value; each block of cells is counted in one
@@ -115,18 +115,22 @@ def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBat
     def make():
         values_of, held, size = make_values(), [], [0]
 
+        def flush():
+            places = np.sort(np.concatenate(held))
+            held.clear()
+            size[0] = 0
+            names, at = np.unique(places >> block, return_index=True)
+            ends = [*at[1:], len(places)]
+            yield {"block": names.astype(np.int32), "cells": [_steps(places[a:b].astype(np.int64) & ((1 << block) - 1)) for a, b in zip(at, ends, strict=True)]}
+
         def step(batch):
-            if batch is not None:
-                for values in values_of(batch):
-                    held.append(slot(values, 0, log2_width).astype(np.uint32))
-                    size[0] += len(values)
-            if size[0] >= 1 << 22 or (batch is None and size[0]):
-                places = np.sort(np.concatenate(held))
-                held.clear()
-                size[0] = 0
-                names, at = np.unique(places >> block, return_index=True)
-                inside = (places & ((1 << block) - 1)).astype(np.int64)
-                yield {"block": names.astype(np.int32), "cells": [_steps(inside[a:b]) for a, b in zip(at, [*at[1:], len(places)], strict=True)]}
+            for values in () if batch is None else values_of(batch):
+                held.append(slot(values, 0, log2_width).astype(np.uint32))
+                size[0] += len(values)
+                if size[0] >= HELD:
+                    yield from flush()
+            if batch is None and size[0]:
+                yield from flush()
         return step
 
     def count():
@@ -144,7 +148,7 @@ def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBat
             yield from ()
         return step
 
-    hit = arrow(docs, make, "block int, cells binary", ending=True).repartition(max(1, blocks // 4), "block")
+    hit = arrow(docs, make, "block int, cells binary", ending=True).repartition(max(1, blocks // 8), "block")
     counted = stored(arrow(hit, count, "block int, load long, levels binary", ending=True), "magnitudes")
     load = (counted.agg(F.sum("load")).first()[0] or 0) >> log2_width
     least = max(0, load.bit_length() - 2)
@@ -171,7 +175,7 @@ def member_bits(values: DataFrame, log2_width: int):
     return repeated_bits(values, make, log2_width)
 
 
-def _split(docs: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFrame:
+def split(docs: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFrame:
     """The rows of `docs` with a column that is true wherever the id is among `ids` (and, rarely, elsewhere)."""
     size = 20  # grows with the number of ids: few rows pass by mistake
     n = ids.count()
@@ -192,12 +196,12 @@ def _split(docs: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFr
 def only(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id is among `ids` (one column); others hardly enter the shuffle."""
     names = ids.toDF(id_column).distinct()
-    return _split(docs, names, id_column, "__in").filter("__in").drop("__in").join(names, id_column, "left_semi").select(*docs.columns)
+    return split(docs, names, id_column, "__in").filter("__in").drop("__in").join(names, id_column, "left_semi").select(*docs.columns)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id isn't among `ids` (one column); only rows that may be enter a shuffle."""
     names = ids.toDF(id_column).distinct()
-    split = _split(docs, names, id_column, "__in")
+    split = split(docs, names, id_column, "__in")
     doubtful = split.filter("__in").drop("__in").join(names, id_column, "left_anti").select(*docs.columns)
     return split.filter("not __in").select(*docs.columns).unionByName(doubtful)
