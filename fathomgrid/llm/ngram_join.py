@@ -171,27 +171,31 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
     same = F.when(F.min("s2") == F.max("s2"), F.min("id")).when(F.min("s2") < F.max("s2"), F.raise_error(F.lit("two sets share a fingerprint")))
     classes = stored(sets.filter("s is not null").groupBy("s").agg(same.alias("rep"), *[F.max(p).alias(p) for p in PARITY]), "classes")
 
-    # only representatives have prefixes (and, rarely, others: the same rows again): copies alone make no n-gram repeat
-    leading = sketch.split(narrow, classes.select("rep").filter("rep is not null"), "id", "leads").filter("leads or id is null").select("id", "t")
+    leads = sketch.id_test(classes.select("rep").filter("rep is not null"))
+
+    def leading(batch) -> pa.Array:
+        """Texts of representatives (and, rarely, others: the same rows again): copies alone make no n-gram repeat."""
+        ids = column(batch, "id")
+        return column(batch, "t").filter(pa.array(leads(ids) | ids.is_null().to_numpy(zero_copy_only=False)))
 
     def make_prefixes():
         shingles = Shingles(k)
 
         def values(batch):
             found = []
-            for _, _, data, cuts in ts.pieces(column(batch, "t")):
+            for _, _, data, cuts in ts.pieces(leading(batch)):
                 found += [s[:_prefix(len(s), percent)] for s in sets_of(shingles, data, cuts)]
             return found
         return values
 
     log2_width = sketch.width_for(size // 8)
-    bits = sketch.repeated_bits(leading.select("t"), make_prefixes, log2_width)
+    bits = sketch.repeated_bits(narrow, make_prefixes, log2_width)
 
     def make_rows():
         shingles = Shingles(k)
 
         def step(batch):
-            for _, _, data, cuts in ts.pieces(column(batch, "t")):
+            for _, _, data, cuts in ts.pieces(leading(batch)):
                 sets = [tokens for tokens in sets_of(shingles, data, cuts) if len(tokens)]
                 if sets:
                     s = np.array([np.add.reduce(ts.mix(tokens ^ _LEFT)) for tokens in sets], np.uint64).view(np.int64)
@@ -204,7 +208,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
                     yield {"token": token[hit].view(np.int64), "s": s[row[hit]], "n": n[row[hit]], "pos": pos[hit]}
         return step
 
-    prefixes = stored(arrow(leading, make_rows, "token long, s long, n long, pos long"), "tokens")
+    prefixes = stored(arrow(narrow, make_rows, "token long, s long, n long, pos long"), "tokens")
     prefixes = prefixes.withColumn("draw", F.xxhash64("s", "token"))
     groups = prefixes.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("token")
     shared = prefixes.join(groups, "token").distinct()

@@ -175,18 +175,20 @@ def member_bits(values: DataFrame, log2_width: int):
     return repeated_bits(values, make, log2_width)
 
 
-def split(docs: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFrame:
-    """The rows of `docs` with a column that is true wherever the id is among `ids` (and, rarely, elsewhere)."""
-    size = 20  # grows with the number of ids: few rows pass by mistake
-    n = ids.count()
-    size = width_for(64 * n, least=size)
+def id_test(ids: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """Function from an array of ids to marks that are true wherever the id is among `ids` (one column; rarely elsewhere)."""
+    size = width_for(64 * ids.count(), least=20)  # grows with the number of ids: few rows pass by mistake
     bits = member_bits(ids.select(F.col(ids.columns[0]).cast("long")), size)
+    return lambda key: may_repeat(bits.value, key.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size)
+
+
+def _split(docs: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFrame:
+    """The rows of `docs` with a column that is true wherever the id is among `ids` (and, rarely, elsewhere)."""
+    known = id_test(ids)
 
     def make():
         def step(batch):
-            key = column(batch, "__id")
-            known = may_repeat(bits.value, key.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size)
-            yield {c: column(batch, c) for c in batch.schema.names if c != "__id"} | {name: pa.array(known)}
+            yield {c: column(batch, c) for c in batch.schema.names if c != "__id"} | {name: pa.array(known(column(batch, "__id")))}
         return step
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
@@ -196,12 +198,12 @@ def split(docs: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFra
 def only(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id is among `ids` (one column); others hardly enter the shuffle."""
     names = ids.toDF(id_column).distinct()
-    return split(docs, names, id_column, "__in").filter("__in").drop("__in").join(names, id_column, "left_semi").select(*docs.columns)
+    return _split(docs, names, id_column, "__in").filter("__in").drop("__in").join(names, id_column, "left_semi").select(*docs.columns)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id isn't among `ids` (one column); only rows that may be enter a shuffle."""
     names = ids.toDF(id_column).distinct()
-    split = split(docs, names, id_column, "__in")
+    split = _split(docs, names, id_column, "__in")
     doubtful = split.filter("__in").drop("__in").join(names, id_column, "left_anti").select(*docs.columns)
     return split.filter("not __in").select(*docs.columns).unionByName(doubtful)
