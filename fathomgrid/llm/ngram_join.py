@@ -24,6 +24,8 @@ two different sets with one 64-bit fingerprint raise an error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,7 @@ from fathomgrid.llm.components import components
 from fathomgrid.llm.frames import arrow, column, stored
 
 LEADERS, PICKS, SALTS = 8, 24, 8
-LOG2_CELLS = 27
+LOG2_CELLS, ROWS = 27, 256
 PARITY = tuple(f"p{i}" for i in range(8))
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -173,17 +175,19 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
 
     leads = sketch.id_test(classes.select("rep").filter("rep is not null"))
 
-    def leading(batch) -> pa.Array:
+    def leading(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Texts of representatives (and, rarely, others: the same rows again): copies alone make no n-gram repeat."""
-        ids = column(batch, "id")
-        return column(batch, "t").filter(pa.array(leads(ids) | ids.is_null().to_numpy(zero_copy_only=False)))
+        ids, texts = column(batch, "id"), column(batch, "t")
+        keep = pa.array(leads(ids) | ids.is_null().to_numpy(zero_copy_only=False))
+        for i in range(0, len(ids), ROWS):  # a few rows are copied at a time
+            yield from ts.pieces(texts.slice(i, ROWS).filter(keep.slice(i, ROWS)))
 
     def make_prefixes():
         shingles = Shingles(k)
 
         def values(batch):
             found = []
-            for _, _, data, cuts in ts.pieces(leading(batch)):
+            for _, _, data, cuts in leading(batch):
                 found += [s[:_prefix(len(s), percent)] for s in sets_of(shingles, data, cuts)]
             return found
         return values
@@ -195,7 +199,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
         shingles = Shingles(k)
 
         def step(batch):
-            for _, _, data, cuts in ts.pieces(leading(batch)):
+            for _, _, data, cuts in leading(batch):
                 sets = [tokens for tokens in sets_of(shingles, data, cuts) if len(tokens)]
                 if sets:
                     s = np.array([np.add.reduce(ts.mix(tokens ^ _LEFT)) for tokens in sets], np.uint64).view(np.int64)
