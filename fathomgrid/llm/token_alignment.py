@@ -89,6 +89,15 @@ class Vocabularies:
         left.no_padding()
         return left, SentencePieceProcessor(model_proto=self.files[1])
 
+    def _together(self, stretches: list[str]) -> Iterator[tuple[int, int]]:
+        """Runs of stretches that are tokenised as one text: each border in a run is one at which a text would be cut.
+        Stretches at the edge of a text may end or begin with white space, which would merge with their neighbour's."""
+        start = 0
+        for i in range(1, len(stretches) + 1):
+            if i == len(stretches) or i - start == TOGETHER or not self.cuts or not _CUT.match(f"{stretches[i - 1][-1:]} {stretches[i][:1]}", 1):
+                yield start, i
+                start = i
+
     def encoder(self):
         """A function from stretches to the ids of both rows of space + stretch for all of them, behind one another, and
         whether each is spelt in full (those that aren't have no ids)."""
@@ -103,8 +112,8 @@ class Vocabularies:
 
         def encode(stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ids, spelt = ([], []), np.ones(len(stretches), bool)
-            for start in range(0, len(stretches), TOGETHER if self.cuts else 1):
-                part = stretches[start:start + TOGETHER] if self.cuts else stretches[start:start + 1]
+            for start, end in self._together(stretches):
+                part = stretches[start:end]
                 found = list(rows([" ".join(part)]))
                 if found[0] is None and len(part) > 1:
                     found = list(rows(part))

@@ -133,6 +133,22 @@ def test_token_alignment(spark, docs, pieces, bound, monkeypatch):
     assert sum(w[1] > 0 for w in want) > 500 and sum(w[1] == 0 for w in want) > 100
 
 
+def test_alignment_of_neighbours(pieces):
+    """Texts that end and begin with white space keep their own tokens next to one another in a task."""
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f, open(tokenizer("piece_bpe_32k.model"), "rb") as g:
+        vocabularies = token_alignment.Vocabularies(f.read(), g.read())
+    byte_level = tokenizers.Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    byte_level.encode_special_tokens = True
+    edges = ["", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", "\u1680", "\u200b", "\ufeff"]
+    for texts in [[f"foo{a}", f"{b}bar"] for a in edges for b in edges] + [["one", "  ", "two"], ["\n", "\n", " ", " "]]:
+        aligner = token_alignment.Aligner(vocabularies)
+        row, number = aligner.read(texts)
+        got = [";".join(aligner.written[n] for n, r in zip(number, row, strict=True) if r == i) for i in range(len(texts))]
+        n_groups = aligner.totals(aligner.counts[2], row, number, len(texts)).tolist()
+        want = aligned(texts, byte_level, pieces)
+        assert got == [w[-1] for w in want] and n_groups == [w[2] for w in want], texts
+
+
 def test_alignment_of_nothing(spark, nothing):
     vocabularies = token_alignment.load(spark, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
     assert token_alignment.align(nothing, vocabularies).count() == 0
