@@ -12,7 +12,7 @@ from fathomgrid.operators import imaging, missions
 from fathomgrid.operators import mosaic as grid
 from fathomgrid.plans import tables
 from fathomgrid.plans.catalog import CELLS, DETECTIONS, MERGED, STATES, R, query, r6, with_
-from fathomgrid.plans.ping_queries import IMAGE, WATERFALL
+from fathomgrid.plans.ping_queries import IMAGE, IMAGES
 from fathomgrid.plans.ping_queries import _members as image_members
 from fathomgrid.plans.telemetry_queries import SESSIONS
 from fathomgrid.session import shared_folder
@@ -80,7 +80,7 @@ def adopted_files(spark, d):
     return missions.adopt_files(items.select(path.alias("path"), F.floor(tables.epoch_us(items, "l_shipdate") / 1_000_000).alias("mtime")), sessions)
 
 
-@query(with_(WATERFALL, f"""SELECT mission_id, image_id, count(*) AS rows, CAST(40 AS INTEGER) AS cols, {R('arg_min(t, row_no)', 't_start_s')},
+@query(with_(IMAGES, f"""SELECT mission_id, image_id, count(*) AS rows, CAST(40 AS INTEGER) AS cols, {R('arg_min(t, row_no)', 't_start_s')},
 '+range (PORT)' AS col0, {R('sum(t * (row_no + 1))', 't_sum')}, {R('sum(robot_x * (row_no + 1))', 'x_sum')}, {R('sum(yaw * (row_no + 1))', 'yaw_sum')},
 {R('sum(range_m)', 'range_sum')}, {R('sum(speed_mps)', 'speed_sum')}, {R('sum(water_depth * (row_no + 1))', 'altitude_sum')},
 {R('arg_max(robot_y, row_no)', 'end_y')}, CAST(1 AS BIGINT) AS detections FROM im GROUP BY mission_id, image_id"""))
@@ -103,7 +103,7 @@ def image_metadata(spark, d):
         r6(F.col("m.boat.end_pose")[1], "end_y"), F.size("m.detections").cast("long").alias("detections"))
 
 
-@query(with_(WATERFALL, f"""SELECT im.mission_id, im.image_id, im.row_no, CAST(c AS INTEGER) AS col, {R('robot_x - sin(yaw) * (range_m * (1e0 - 2e0 * c / 39e0))', 'world_x')},
+@query(with_(IMAGES, f"""SELECT im.mission_id, im.image_id, im.row_no, CAST(c AS INTEGER) AS col, {R('robot_x - sin(yaw) * (range_m * (1e0 - 2e0 * c / 39e0))', 'world_x')},
 {R('CAST(wfr.v AS FLOAT)', 'v')} FROM im CROSS JOIN (SELECT unnest(range(0, 40)) AS c)
 LEFT JOIN wfr ON wfr.mission_id = im.mission_id AND wfr.seq = im.seq AND wfr.col = c"""))
 def image_pixels(spark, d):
@@ -114,7 +114,7 @@ def image_pixels(spark, d):
     return back.select(F.col("mission_id").cast("long").alias("mission_id"), "image_id", "row_no", "col", r6("world_x"), r6(F.col("v").cast("double"), "v"))
 
 
-@query(with_(WATERFALL + """,
+@query(with_(IMAGES + """,
 h AS (SELECT mission_id, image_id, count(*) AS rows, arg_max(t, row_no) AS t_end_s, avg(water_depth) AS depth FROM im GROUP BY mission_id, image_id)""",
              f"""SELECT mission_id, image_id, 'dummy_center' AS class_name, row_no, 20 AS col, {R('t', 't_s')}, {R('t_end_s')}, {R('depth', 'mean_altitude_m')},
 {R('robot_y + cos(yaw) * (range_m * (1e0 - 2e0 * 20 / 39e0))', 'y')} FROM im JOIN h USING (mission_id, image_id) WHERE row_no = rows // 2"""))

@@ -140,6 +140,11 @@ im AS (SELECT ti.*, j AS image_id, CAST(n - j * 8 - 1 AS INTEGER) AS row_no FROM
     WHERE j < nfull AND n > j * 8 AND n <= j * 8 + 16
   UNION ALL SELECT ti.*, nfull AS image_id, CAST(n - (total - tail) - 1 AS INTEGER) AS row_no FROM ti WHERE tail >= 2 AND n > total - tail)"""
 
+#: the rows of every image, however many a mission has
+IMAGES = WATERFALL[:WATERFALL.index("im AS (")] + """wi AS (SELECT *, unnest(range(greatest((n - 9) // 8, 0), least((n - 1) // 8 + 1, nfull))) AS j FROM ti),
+im AS (SELECT * EXCLUDE (j), j AS image_id, CAST(n - j * 8 - 1 AS INTEGER) AS row_no FROM wi
+  UNION ALL SELECT ti.*, nfull AS image_id, CAST(n - (total - tail) - 1 AS INTEGER) AS row_no FROM ti WHERE tail >= 2 AND n > total - tail)"""
+
 
 def _members(spark, d):
     pings = imaging.ping_speed(imaging.usable_pings(tables.merged_pings(spark, d)))
@@ -160,13 +165,13 @@ def ping_speed(spark, d):
     return imaging.ping_speed(imaging.usable_pings(tables.merged_pings(spark, d))).select("mission_id", "seq", r6("speed_mps"))
 
 
-@query(with_(WATERFALL, "SELECT mission_id, image_id, row_no, seq FROM im"))
+@query(with_(IMAGES, "SELECT mission_id, image_id, row_no, seq FROM im"))
 def image_windows(spark, d):
     pings = imaging.usable_pings(tables.merged_pings(spark, d))
     return imaging.image_members(pings, IMAGE).select("mission_id", "image_id", "row_no", "seq")
 
 
-@query(with_(WATERFALL, f"""SELECT mission_id, image_id, count(*) AS rows, {R('arg_min(t, row_no)', 't_start_s')}, {R('arg_max(t, row_no)', 't_end_s')},
+@query(with_(IMAGES, f"""SELECT mission_id, image_id, count(*) AS rows, {R('arg_min(t, row_no)', 't_start_s')}, {R('arg_max(t, row_no)', 't_end_s')},
 {R('avg(speed_mps)', 'mean_speed_mps')}, {R('avg(water_depth)', 'mean_altitude_m')}, {R('arg_min(robot_x, row_no)', 'start_x')},
 {R('arg_max(robot_y, row_no)', 'end_y')}, {R('arg_max(yaw, row_no)', 'end_yaw')} FROM im GROUP BY mission_id, image_id"""))
 def image_summary(spark, d):
@@ -175,7 +180,7 @@ def image_summary(spark, d):
                       r6("start_pose.robot_x", "start_x"), r6("end_pose.robot_y", "end_y"), r6("end_pose.yaw", "end_yaw"))
 
 
-@query(with_(WATERFALL, f"""SELECT mission_id, image_id, row_no, CAST(c AS INTEGER) AS col,
+@query(with_(IMAGES, f"""SELECT mission_id, image_id, row_no, CAST(c AS INTEGER) AS col,
 {R('robot_x - sin(yaw) * (range_m * (1e0 - 2e0 * c / 39e0))', 'world_x')}, {R('robot_y + cos(yaw) * (range_m * (1e0 - 2e0 * c / 39e0))', 'world_y')},
 {R('CAST(wfr.v AS FLOAT)', 'v')} FROM im, (SELECT unnest(range(0, 40)) AS c)
 LEFT JOIN wfr ON wfr.mission_id = im.mission_id AND wfr.seq = im.seq AND wfr.col = c""".replace("SELECT mission_id", "SELECT im.mission_id")))
@@ -184,7 +189,7 @@ def pixel_world(spark, d):
         "mission_id", "image_id", "row_no", "col", r6("world_x"), r6("world_y"), r6(F.col("v").cast("double"), "v"))
 
 
-@query(with_(WATERFALL + """,
+@query(with_(IMAGES + """,
 px AS (SELECT im.mission_id, im.image_id, row_no, col, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM im JOIN wfr USING (mission_id, seq)),
 lim AS (SELECT mission_id, image_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM px GROUP BY mission_id, image_id)""",
              """SELECT im.mission_id, im.image_id, im.row_no, CAST(c AS INTEGER) AS col, CASE WHEN v IS NULL THEN 0 ELSE
@@ -197,7 +202,7 @@ def image_8bit(spark, d):
         "mission_id", "image_id", "row_no", F.posexplode("r").alias("col", "pixel"))
 
 
-@query(with_(WATERFALL + """,
+@query(with_(IMAGES + """,
 h AS (SELECT mission_id, image_id, count(*) AS rows FROM im GROUP BY mission_id, image_id),
 c AS (SELECT im.*, range_m * (1e0 - 2e0 * 20 / 39e0) AS y FROM im JOIN h USING (mission_id, image_id) WHERE row_no = rows // 2)""",
              f"""SELECT mission_id, image_id, 1000000 + image_id * 16 AS uid, {R('t', 't_s')}, row_no, 20 AS col,
