@@ -3,9 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import check
+from fathomgrid.config import Tracking
+from fathomgrid.operators.sequential import lock_altitude
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,10 @@ def test_query_on_copies(spark, copies, name):
     assert sorted(os.listdir(copies)) == ["embeddings.parquet", "events.parquet"]
     result = check.compare(spark, check.oracle(copies), name, copies)
     assert result.startswith("ok"), result
+
+
+def test_lock_starts_at_the_plain_mean():
+    """Added oldest first, in doubles: another rounding would move a sample over the altitude."""
+    found = [i / 63 * 30000 / 1000 for i in (16, 13, 19)]
+    out, _ = lock_altitude(np.array(found), Tracking(bootstrap_pings=3, agreement_m=3.0))
+    assert out[-1] == (found[0] + found[1] + found[2]) / 3 and (found[0] + found[1] + found[2]) / 3 != found[0]
