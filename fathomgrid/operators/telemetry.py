@@ -81,7 +81,8 @@ def synthesise_odom(telemetry: DataFrame, *, keys: Sequence[str] = MISSION, orde
 
 def dead_reckon(fixes: DataFrame, *, keys: Sequence[str] = MISSION, order: Sequence[str] = ("t", "seq"),
                 slices: Slices | None = None) -> DataFrame:
-    """Local pose and speed from GPS fixes (lat, lon) and compass: the first fix is the origin."""
+    """Local pose and speed from GPS fixes (lat, lon) and compass: the first fix is the origin. Speed is 0 for the first fix and
+    for steps of 1 ms or less."""
     first = fixes.groupBy(*keys).agg(F.min_by(F.struct("lat", "lon"), F.struct(*order)).alias("_ref"))
     seen = scan(fixes, {"_was": previous(F.struct(order[0], "lat", "lon"))}, keys=keys, order=order, slices=slices)
     ref, was = F.col("_ref"), F.col("_was")

@@ -68,7 +68,8 @@ c1 AS (SELECT c.*, radians(lon - lon0) * 6378137e0 * cos(radians(lat0)) AS rx, r
 c2 AS (SELECT *, coalesce(sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w, 2)) / (t - lag(t) OVER w), 0e0) AS speed FROM c1 {W})"""
 
 
-@query(with_(GPS, f"SELECT seq, {R('rx', 'x')}, {R('ry', 'y')}, {R('radians(90e0 - compass_deg)', 'yaw')}, {R('speed')} FROM c2"))
+@query(with_(GPS, f"""SELECT seq, {R('rx', 'x')}, {R('ry', 'y')}, {R('radians(90e0 - compass_deg)', 'yaw')}, {R('''CASE WHEN t - lag(t) OVER w > 1e-3
+  THEN sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w, 2)) / (t - lag(t) OVER w) ELSE 0e0 END''', 'speed')} FROM c1 {W}"""))
 def gps_reckon(spark, d):
     return telemetry.dead_reckon(_kind(spark, d, "click")).select(
         "seq", r6("reckoned_x", "x"), r6("reckoned_y", "y"), r6("reckoned_yaw", "yaw"), r6("reckoned_speed", "speed"))
