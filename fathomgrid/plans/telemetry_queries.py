@@ -132,7 +132,8 @@ def _views(spark, d):
     return _kind(spark, d, "view").select("mission_id", "t", "seq", "x", "y", "yaw")
 
 
-@query(with_(STATE_OF, f"""SELECT seq, {R('sx + cos(syaw) * x - sin(syaw) * y', 'x')}, {R('sy + sin(syaw) * x + cos(syaw) * y', 'y')}
+# a state with the stamp of a fix counts as known, whichever came first
+@query(with_(STATE_OF.replace("ORDER BY us, seq", "ORDER BY us, event_type <> 'view', seq"), f"""SELECT seq, {R('sx + cos(syaw) * x - sin(syaw) * y', 'x')}, {R('sy + sin(syaw) * x + cos(syaw) * y', 'y')}
 FROM so WHERE event_type = 'signup' AND sx IS NOT NULL"""))
 def pinger_world(spark, d):
     fixes = _kind(spark, d, "signup").select("mission_id", "t", "seq", "x", "y")

@@ -26,7 +26,7 @@ def copies(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["image_windows", "gps_reckon"])
+@pytest.mark.parametrize("name", ["image_windows", "gps_reckon", "pinger_world"])
 def test_query_on_copies(spark, copies, name):
     assert sorted(os.listdir(copies)) == ["embeddings.parquet", "events.parquet"]
     result = check.compare(spark, check.oracle(copies), name, copies)
