@@ -128,5 +128,6 @@ def analysis(members: DataFrame, detections: DataFrame | None = None, *, keys: S
 
 
 def write_topics(rows: DataFrame, path: str, *, keys: Sequence[str] = MISSION) -> None:
-    """The typed streams of converted logs (`logs.topic_rows`) in one write, a folder per topic and key."""
-    rows.write.mode("overwrite").partitionBy("topic", *keys).parquet(path)
+    """The typed streams of converted logs (`logs.topic_rows`) in one write, a folder per topic. Rows of a log stand together in
+    a file, so the number of files doesn't grow with the logs and a reader of one log skips the others."""
+    rows.sortWithinPartitions("topic", *keys, "seq").write.mode("overwrite").partitionBy("topic").parquet(path)

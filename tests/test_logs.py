@@ -186,3 +186,11 @@ def test_hashed_detection_ids_are_stable(spark):
     a, b = messages.detections(df).orderBy("detection_no").collect()
     assert 0 <= a.uid <= 0x7FFFFFFF and a.extent_m == 0.5
     assert (b.uid, b.class_name, b.extent_m) == (12, "object", 3.0)
+
+
+def test_topic_files_do_not_grow_with_the_logs(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 2).selectExpr("id % 500 AS log_id", "id AS seq", "id % 2 AS stamp_ns", "IF(id % 3 = 0, 'imu', 'odom') AS topic", "id AS value")
+    files.write_topics(rows, str(tmp_path / "topics"), keys=("log_id",))
+    back = spark.read.parquet(str(tmp_path / "topics"))
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "topics").rglob("*.parquet"))) <= 4
