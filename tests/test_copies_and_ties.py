@@ -8,6 +8,7 @@ import pytest
 
 import check
 from fathomgrid.config import Tracking
+from fathomgrid.operators import mosaic
 from fathomgrid.operators.sequential import lock_altitude
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,25 @@ def test_lock_starts_at_the_plain_mean():
     found = [i / 63 * 30000 / 1000 for i in (16, 13, 19)]
     out, _ = lock_altitude(np.array(found), Tracking(bootstrap_pings=3, agreement_m=3.0))
     assert out[-1] == (found[0] + found[1] + found[2]) / 3 and (found[0] + found[1] + found[2]) / 3 != found[0]
+
+
+@pytest.mark.parametrize("share", [0.002, 0.02, 0.4])
+def test_gaps_of_tiles_with_few_cells(share):
+    """Work that follows the cells gives what the arrays of a whole tile give, and is taken where it is less."""
+    tile, g, rng = 64, 3, np.random.default_rng(7)
+    width = tile + 2 * g
+    for x0, y0 in ((0, 0), (-64, 128)):
+        code = rng.choice(width * width, int(width * width * share), replace=False)
+        cells = (code // width + x0 - g, code % width + y0 - g, rng.integers(0, 3, len(code)), np.where(rng.random(len(code)) < 0.2, np.nan, rng.normal(-40, 5, len(code))))
+        found = [sorted(zip(*(c.tolist() for c in way), strict=True)) for way in (
+            mosaic.fill_tile(*cells, x0, y0, tile, g, 3), mosaic.fill_sparse(*cells, x0, y0, tile, g, 3), mosaic.fill_dense(*cells, x0, y0, tile, g, 3))]
+        assert all(repr([(x, y, n, f) for x, y, n, _, f in way]) == repr([(x, y, n, f) for x, y, n, _, f in found[0]]) for way in found)
+        assert all(np.allclose([r[3] for r in way], [r[3] for r in found[0]], rtol=1e-12, equal_nan=True) for way in found)
+
+
+def test_gaps_of_scattered_tiles_are_cheap(monkeypatch):
+    """Tiles with a handful of cells don't make a tile's arrays."""
+    monkeypatch.setattr(mosaic, "fill_dense", None)
+    one = [np.array([0, 2, 4]), np.array([0, 2, 0]), np.ones(3, np.int64), np.array([-10.0, -20.0, -30.0])]
+    x, y, count, value, filled = mosaic.fill_tile(*one, 0, 0, 256, 3, 3)
+    assert filled.sum() > 0 and np.allclose(value[filled], -20.0) and count.sum() == 3
