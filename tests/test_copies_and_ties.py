@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 import check
 from fathomgrid.config import Tracking
 from fathomgrid.operators import mosaic
@@ -61,3 +62,15 @@ def test_gaps_of_scattered_tiles_are_cheap(monkeypatch):
     one = [np.array([0, 2, 4]), np.array([0, 2, 0]), np.ones(3, np.int64), np.array([-10.0, -20.0, -30.0])]
     x, y, count, value, filled = mosaic.fill_tile(*one, 0, 0, 256, 3, 3)
     assert filled.sum() > 0 and np.allclose(value[filled], -20.0) and count.sum() == 3
+
+
+@pytest.mark.parametrize("name", ["normalize_8bit", "display_rgba", "contrast_limits"])
+def test_cells_are_not_gathered_by_mission(spark, name):
+    """Three missions must not be three tasks: limits come to the cells, even where Spark doesn't know how few they are."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin [mission_id" in plan
