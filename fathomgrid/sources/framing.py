@@ -106,24 +106,15 @@ def packets(blobs: DataFrame, schema: str, *, keys: Sequence[str], content: str
     """Packets (`schema`) of log contents (keys, binary), numbered from 0 within each row of `blobs`."""
     keys, at = list(keys), ("_log", "_range")
     owner = [T.StructField(k, blobs.schema[k].dataType) for k in keys]
-    places = T.StructType([*owner, *T.StructType.fromDDL("_log long, _range long, _start long, _total long, _data binary")])
-    kind = to_arrow_schema(places)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if not batch.column(content)[i].is_valid:
-                    continue
-                data = batch.column(content)[i].as_buffer()
-                own = [batch.column(k).slice(i, 1) for k in [*keys, "_log"]]
-                for number, start in enumerate(range(0, data.size, range_bytes)):
-                    part = data.slice(start, min(range_bytes + LONGEST, data.size - start))
-                    cells = [*own, pa.array([number]), pa.array([start]), pa.array([data.size]), pa.array([part.to_pybytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cells, kind, strict=True)], schema=kind)
+    # Spark cuts the ranges itself: a Python worker would hold a batch of whole logs
+    whole = blobs.filter(F.length(content) > 0).select(*keys, F.monotonically_increasing_id().alias("_log"), F.col(content).alias("_content"))
+    starts = F.sequence(F.lit(0), F.length("_content") - 1, F.lit(range_bytes))
+    cut = whole.select("*", F.posexplode(starts).alias("_range", "_start")).select(
+        *keys, "_log", F.col("_range").cast("long"), F.col("_start").cast("long"), F.length("_content").cast("long").alias("_total"),
+        F.substring("_content", F.col("_start") + 1, F.lit(range_bytes + LONGEST)).alias("_data"))
 
     # small row groups, so that the ranges of one large log are read by many tasks
-    ranges = written(blobs.select(*keys, F.monotonically_increasing_id().alias("_log"), content).mapInArrow(cut, places), "log_ranges",
-                     **{"parquet.block.size": 2 * (range_bytes + LONGEST)})
+    ranges = written(cut, "log_ranges", **{"parquet.block.size": 2 * (range_bytes + LONGEST)})
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

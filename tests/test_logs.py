@@ -194,3 +194,26 @@ def test_topic_files_do_not_grow_with_the_logs(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "topics"))
     assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
     assert len(list((tmp_path / "topics").rglob("*.parquet"))) <= 4
+
+
+def test_whole_logs_stay_out_of_python(spark, monkeypatch):
+    """Contents are joined and cut by Spark; Python sees ranges only."""
+    from fathomgrid.plans import log_queries
+    from fathomgrid.sources import framing
+
+    plan = log_queries._contents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "listagg" in plan
+    seen = []
+
+    def stored(df, name, **options):
+        if name == "log_ranges":
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(framing, "written", stored)
+    frame = framing.MARK + b"\x02\x00\x07\x00\x01\x00ab" + b"\x00\x00"
+    blobs = spark.createDataFrame([(1, None), (2, b""), (3, b"B"), (4, frame * 5), (5, frame * 2 + b"BR")], "mission_id long, content binary")
+    for width in (1, 12, 24, 1 << 20):
+        got = logs.packets(blobs, range_bytes=width).select("mission_id", "seq", "offset").collect()
+        assert sorted(map(tuple, got)) == [(4, i, 12 * i) for i in range(5)] + [(5, i, 12 * i) for i in range(2)]
+    assert not any("InArrow" in plan or "Python" in plan for plan in seen)
