@@ -9,7 +9,8 @@ overlaps it (the right-hand row's token where both end together, which points to
 * A space between two other characters that are surely no white space begins a token in both rows and no token reaches over
   it, if the left tokenizer's words start there (byte-level pre-tokenizer, no normaliser) and the right model's pieces hold
   no space behind another character (`token_counts.prove`). Texts are cut there, and each distinct stretch is tokenised and
-  aligned once a task, as long as what a task remembers stays below `REMEMBERED_CHARS`. Other tokenizers get whole texts.
+  aligned once a task, as long as what a task remembers stays below `REMEMBERED_CHARS`; beyond it the stretches used least are
+  forgotten and aligned anew where they come again. Other tokenizers get whole texts.
 * `groups` reads every text once: its counts, its groups and its distinct linked pairs of ids, which `align` stores.
 * `pair_counts` counts in how many documents each pair is linked, summed inside each task before the shuffle.
 * `align` adds what each document's links count. The pairs of most documents (at most `BROADCAST_PAIRS`,
@@ -37,7 +38,9 @@ from fathomgrid.llm.frames import Shared, arrow, column, stored, text_runs
 
 BROADCAST_PAIRS = 1 << 20
 HELD_PAIRS = 1 << 20
-REMEMBERED_CHARS = 1 << 24
+REMEMBERED_CHARS = 1 << 22
+#: rows of results whose groups are long: the writer holds less of them at a time
+GROUP_BYTES = 1 << 24
 CHUNK = 1 << 20
 TOGETHER = 500
 ROWS = 500
@@ -199,14 +202,31 @@ class Aligner:
         self.encode = vocabularies.encoder()
         self.border = _CUT if vocabularies.cuts else _NEVER
         self.words = [tuple(np.array([f"{i}{c}" for i in range(len(side))], object) for c in (",", last)) for side, last in ((vocabularies.left, "|"), (vocabularies.right, ";"))]
-        self._forget()
-
-    def _forget(self) -> None:
         self.numbers, self.chars, self.written = _Numbers(), 0, []
+        self.used = np.zeros(0, np.int64)
         self.counts = np.zeros((4, 0), np.int64)  # tokens of both rows, groups, links
         self.spelt = np.zeros(0, bool)
         self.pairs, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Only the stretches used most stay, up to half of what may be remembered."""
+        names = list(self.numbers)
+        size = np.fromiter((len(s) + len(w) for s, w in zip(names, self.written, strict=True)), np.int64, len(names))
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.sort(order[np.cumsum(size[order]) <= REMEMBERED_CHARS // 2])
+        self.numbers = _Numbers()
+        self.numbers.update((names[i], n) for n, i in enumerate(keep.tolist()))
+        self.written, self.chars = [self.written[i] for i in keep.tolist()], int(size[keep].sum())
+        self.pairs = self.pairs[self._links_of(keep)]
+        self.counts, self.spelt, self.used = self.counts[:, keep], self.spelt[keep], self.used[keep] // 2
+        self.first = np.concatenate([[0], np.cumsum(self.counts[3])])
+
+    def _links_of(self, number: np.ndarray) -> np.ndarray:
+        """Places in `pairs` of the links of some stretches, in order."""
+        n = self.counts[3][number]
+        upto = np.cumsum(n) - n
+        return np.repeat(self.first[number] - upto, n) + np.arange(int(n.sum()))
+
     def _learn(self) -> None:
         stretches, self.numbers.waiting = self.numbers.waiting, []
         a, b, spelt = self.encode(stretches)
@@ -217,6 +237,7 @@ class Aligner:
         counts = [*run.counts, np.bincount(group_row, minlength=run.n), np.bincount(row, minlength=run.n)]
         self.counts = np.concatenate([self.counts, counts], axis=1)
         self.spelt = np.concatenate([self.spelt, spelt])
+        self.used = np.concatenate([self.used, np.zeros(run.n, np.int64)])
         written = run.written(a_group, b_group, self.words)
         self.written += written
         self.pairs = np.concatenate([self.pairs, left * self.width + right])
@@ -242,6 +263,7 @@ class Aligner:
         if self.numbers.waiting:
             self._learn()
         row, number = np.repeat(np.arange(len(texts)), [len(x) for x in found]), np.concatenate(found)
+        self.used += np.bincount(number, minlength=len(self.used))
         odd = np.zeros(len(texts), bool)
         odd[row[~self.spelt[number]]] = True  # a stretch that isn't spelt in full leaves its text without tokens
         keep = ~odd[row]
@@ -258,9 +280,7 @@ class Aligner:
         size = max(1, len(self.written))
         distinct, times = np.unique(row * size + number, return_counts=True)
         row, number = distinct // size, distinct % size
-        n = self.counts[3][number]
-        upto = np.cumsum(n) - n
-        pair = self.pairs[np.repeat(self.first[number] - upto, n) + np.arange(int(n.sum()))]
+        n, pair = self.counts[3][number], self.pairs[self._links_of(number)]
         names, place = np.unique(pair, return_inverse=True)
         width = max(1, len(names))
         distinct, back = np.unique(np.repeat(row, n) * width + place, return_inverse=True)
@@ -338,7 +358,7 @@ def _known(counts: DataFrame, bound: int):
 def align(docs: DataFrame, vocabularies: Shared, id_column: str = "doc_id", text: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (null without tokens)."""
     aligned = groups(docs, vocabularies, id_column, text).withColumn("row", F.monotonically_increasing_id())
-    aligned = stored(aligned, "aligned", compression="zstd")
+    aligned = stored(aligned, "aligned", compression="zstd", **{"parquet.block.size": str(GROUP_BYTES)})
     known, rest = _known(stored(pair_counts(aligned, vocabularies), "pairs"), broadcast_pairs)
 
     def found(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -228,3 +228,30 @@ def test_digest_columns(spark):
     assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert out.filter("(n_a = 0) <> (groups_sha256 = '')").count() == 0
     assert len(hashlib.sha256(b"").hexdigest()) == out.filter("n_a > 0").selectExpr("max(length(groups_sha256))").first()[0]
+
+
+def test_alignment_remembers_what_is_used(monkeypatch):
+    """What a task remembers is bounded; beyond that the stretches used least go first, and results stay the same."""
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f, open(tokenizer("piece_bpe_32k.model"), "rb") as g:
+        vocabularies = token_alignment.Vocabularies(f.read(), g.read())
+    assert token_alignment.REMEMBERED_CHARS <= 1 << 22
+    rng = random.Random(5)
+    texts = [" ".join(["often", "used", *(f"rare{rng.randrange(10 ** 9)}" for _ in range(20))] * 2) for _ in range(60)]
+
+    def read(bound):
+        monkeypatch.setattr(token_alignment, "REMEMBERED_CHARS", bound)
+        aligner, out = token_alignment.Aligner(vocabularies), []
+        for text in texts:
+            before = aligner.chars
+            row, number = aligner.read([text, "often used"])
+            assert before <= bound or aligner.chars < before
+            links = aligner.links(row, number)
+            out.append(([aligner.written[n] for n in number], *[x.tolist() for x in links],
+                        [aligner.totals(c, row, number, 2).tolist() for c in aligner.counts]))
+        return aligner, out
+
+    _, want = read(1 << 30)
+    aligner, got = read(5000)
+    assert got == want
+    aligner._forget()
+    assert aligner.chars <= 2500 and {"often", "used"} <= set(aligner.numbers) and len(aligner.numbers) == len(aligner.written) == len(aligner.first) - 1
