@@ -13,7 +13,7 @@ from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.frames import Shared, arrow, column, stored
 
 ROWS = 2
-LOG2_BLOCK = 15
+LOG2_BLOCK = 17
 LOG2_COUNT_BLOCK, HELD = 18, 1 << 20
 LOG2_WIDEST = 29
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
@@ -31,38 +31,48 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def repeated_bits(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], list[np.ndarray]]], log2_width: int):
+def repeated_bits(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], Iterable[np.ndarray]]], log2_width: int):
     """Two-row sketch of the values of all batches, as broadcast bits "estimated to occur more than once".
 
-    Counters stop at two, which is all that is asked of them. The broadcast is `ROWS * 2**log2_width / 8` bytes.
+    Counters stop at two, which is all that is asked of them. A task sends a block's cells once for every `HELD` values, however
+    few values a batch has. The broadcast is `ROWS * 2**log2_width / 8` bytes.
     """
     block = min(LOG2_BLOCK, log2_width)
 
     def make():
-        values_of = make_values()
+        values_of, held, size = make_values(), [], [0]
 
-        def step(batch):
-            found = values_of(batch)
-            values = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        def flush():
+            values = np.concatenate(held)
+            held.clear()
+            size[0] = 0
             for row in range(ROWS):
                 places, counts = np.unique(slot(values, row, log2_width), return_counts=True)
-                if len(places):
-                    cells = ((places & ((1 << block) - 1)) << 1 | (counts > 1)).astype(np.uint16)
-                    names, at = np.unique(places >> block, return_index=True)
-                    ends = [*at[1:], len(cells)]
-                    yield {"row": np.full(len(names), row, np.int32), "block": names.astype(np.int32),
-                           "cells": [cells[a:b].tobytes() for a, b in zip(at, ends, strict=True)]}
+                cells = (places & ((1 << block) - 1)) << 1 | (counts > 1)
+                names, at = np.unique(places >> block, return_index=True)
+                ends = [*at[1:], len(cells)]
+                yield {"row": np.full(len(names), row, np.int32), "block": names.astype(np.int32),
+                       "cells": [_steps(cells[a:b], np.uint8) for a, b in zip(at, ends, strict=True)]}
+
+        def step(batch):
+            for values in () if batch is None else values_of(batch):
+                held.append(values)
+                size[0] += len(values)
+                if size[0] >= HELD:
+                    yield from flush()
+            if batch is None and size[0]:
+                yield from flush()
         return step
 
     def merge(key, parts):
         seen = np.zeros(1 << block, np.uint8)
         for cell in parts.column("cells").to_pylist():
-            cell = np.frombuffer(cell, np.uint16)
+            cell = _places(cell, np.uint8)
             seen[cell >> 1] = np.minimum(seen[cell >> 1] + 1 + (cell & 1).astype(np.uint8), 2)
         bits = np.packbits(seen > 1, bitorder="little").tobytes()
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
-    merged = arrow(docs, make, "row int, block int, cells binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
+    merged = arrow(docs, make, "row int, block int, cells binary", ending=True).groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary")
     bits = [np.zeros(max(1, (1 << log2_width) // 8), np.uint8) for _ in range(ROWS)]
     step = max(1, (1 << block) // 8)
     for row in merged.collect():  # bounded by the width
@@ -89,18 +99,19 @@ class Magnitudes:
         return (self.cells[place >> 1] >> ((place & 1) << 2).astype(np.uint8) & 15).astype(np.uint64)
 
 
-def _steps(places: np.ndarray) -> bytes:
-    """Sorted places as 16-bit steps; a step of 65,535 only moves on."""
+def _steps(places: np.ndarray, kind=np.uint16) -> bytes:
+    """Sorted places as steps of 8 or 16 bits; the largest step only moves on."""
+    most = int(np.iinfo(kind).max)
     steps = np.diff(places, prepend=0)
-    far = steps // 65535
-    out = np.full(len(steps) + int(far.sum()), 65535, np.uint16)
-    out[np.cumsum(far + 1) - 1] = steps % 65535
+    far = steps // most
+    out = np.full(len(steps) + int(far.sum()), most, kind)
+    out[np.cumsum(far + 1) - 1] = steps % most
     return out.tobytes()
 
 
-def _places(steps: bytes) -> np.ndarray:
-    steps = np.frombuffer(steps, np.uint16)
-    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
+def _places(steps: bytes, kind=np.uint16) -> np.ndarray:
+    steps = np.frombuffer(steps, kind)
+    return np.cumsum(steps, dtype=np.int64)[steps != np.iinfo(kind).max]
 
 
 def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], Iterable[np.ndarray]]], log2_width: int) -> Shared:

@@ -79,11 +79,9 @@ def anchor_bits(docs: DataFrame, k: int, text: str, log2_width: int):
         scan = Scan(k)
 
         def values(batch):
-            found = []
             for _, _, data, cuts in ts.pieces(column(batch, text)):
                 scan.read(data, cuts)
-                found.append(scan.anchors())
-            return found
+                yield scan.anchors()
         return values
     return sketch.repeated_bits(docs.select(text), make, log2_width)
 

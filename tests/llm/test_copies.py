@@ -1,11 +1,13 @@
 """Near duplicates, word windows and byte strings against brute force."""
 
+import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 
-from fathomgrid.llm import components, ngram_join, substring, suffix
+from fathomgrid.llm import components, ngram_join, sketch, substring, suffix
 
 
 def rows_of(df):
@@ -143,3 +145,48 @@ def test_refined_buckets_are_equal_strings():
         for i in range(len(text) - k + 1):
             assert by_text.setdefault(text[i:i + k].tobytes(), bucket[i]) == bucket[i]
         assert len(set(by_text.values())) == len(by_text)
+
+
+def test_suffix_rows_of_one_id(spark):
+    """Rows that share an id but not their text, mixed anchors among them, and rows without an id."""
+    passage = " ".join(f"shared{i}" for i in range(40))
+    docs = [(1, f"start {passage[:120]} middle {passage[100:]}"), (5, f"five {passage}"), (5, "five"), (5, passage[60:220] + " other end"),
+            (5, f"{passage} and {passage}"), (7, passage[30:200]), (None, passage), (9, f"x{passage[:90]}y{passage[:90]}z"), (9, passage[80:])]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    want = []
+    for name, text in docs:
+        raw, gone = text.encode(), set()
+        for i in range(len(raw) - 49):
+            if name is not None and any(raw[i:i + 50] in t.encode() for other, t in docs if other is not None and other < name):
+                gone.update(range(i, i + 50))
+        kept = bytes(c for i, c in enumerate(raw) if i not in gone)
+        want.append((name or 0, len(raw), len(gone), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want) and sum(w[2] for w in want) > 200
+
+
+def test_sketch_cells_are_small():
+    """A cell that a task hit takes about a byte of the shuffle."""
+    cells = np.sort(np.random.default_rng(1).choice(1 << 16, 1500, replace=False))
+    steps = sketch._steps(cells, np.uint8)
+    assert len(steps) < 1.3 * len(cells) and np.array_equal(sketch._places(steps, np.uint8), cells)
+    for edge in ([], [0], [255], [254, 255, 510, 65535]):
+        assert sketch._places(sketch._steps(np.array(edge, np.int64), np.uint8), np.uint8).tolist() == edge
+
+
+def test_suffix_segments_are_made_once(spark):
+    """Documents meet the table of first segments; segments aren't made a second time to be joined with it."""
+    docs = spark.range(200).selectExpr("id as doc_id", "repeat(concat('some text ', id % 50, ' '), 20) as text")
+    plan = suffix.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # mixed segments, strings of crowded anchors (twice), documents
+
+
+def test_sketch_rows_follow_values(spark, monkeypatch):
+    """Small batches don't make a row for each of their few cells: a task sends a block once for many values."""
+    made = []
+    arrow = sketch.arrow
+    monkeypatch.setattr(sketch, "arrow", lambda *a, **k: made.append(arrow(*a, **k)) or made[-1])
+    values = spark.range(0, 60_000, numPartitions=2).select("id")
+    bits = sketch.member_bits(values, 24)
+    assert made[0].count() <= 2 * 2 * (1 << 24 - sketch.LOG2_BLOCK)
+    assert sketch.may_repeat(bits.value, np.arange(60_000, dtype=np.uint64), 24).all()
+    assert sketch.may_repeat(bits.value, np.arange(60_000, 120_000, dtype=np.uint64), 24).mean() < 0.01
