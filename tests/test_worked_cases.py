@@ -98,6 +98,32 @@ def cells(spark, hit):
     return spark.createDataFrame([(1, x, y, 1, v) for x, y, v in hit], "mission_id long, cx long, cy long, count long, value double")
 
 
+def test_splat_over_tile_borders(spark, monkeypatch):
+    """Samples are shuffled once each and not as four cells; tiles of any size give the same cells."""
+    rng = random.Random(4)
+    rows = [(i % 2, i, 0, rng.uniform(-45, 45), rng.uniform(-45, 45), rng.uniform(-60, 0), rng.uniform(0, 9)) for i in range(2000)]
+    df = spark.createDataFrame([*rows, (1, 5, 1, None, 2.0, 1.0, 1.0)], SAMPLE)
+    plan = mosaic.mosaic(df)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moves) == 1 and "_tx" in moves[0] and "cx" not in moves[0]
+
+    def cells():
+        return {(r.mission_id, r.cx, r.cy): (round(r["sum"], 9), round(r.wsum, 9), r["count"], r.closest, r.oldest, r.newest) for r in mosaic.mosaic(df).collect()}
+
+    want = {}
+    for mission, *_, x, y, v, _ in rows:
+        gx, gy = (x + 30) / 0.25 - 0.5, (y + 30) / 0.25 - 0.5
+        for cx, cy in ((math.floor(gx) + i, math.floor(gy) + j) for i in (0, 1) for j in (0, 1)):
+            w = (1 - abs(gx - cx)) * (1 - abs(gy - cy))
+            if w > 1e-4:
+                want[mission, cx, cy] = want.get((mission, cx, cy), 0) + w
+    found = cells()
+    assert found.keys() == want.keys() and all(found[k][1] == pytest.approx(w, abs=1e-8) for k, w in want.items())
+    assert sum(c[2] for c in found.values()) == len(rows)
+    monkeypatch.setattr(mosaic, "SPLAT_TILE", 1 << 20)
+    assert cells() == found
+
+
 def test_gap_fill(spark):
     lonely = mosaic.fill_gaps(cells(spark, [(0, 0, 5.0)]))
     assert lonely.count() == 1
