@@ -24,7 +24,7 @@ def write_mosaic(cells: DataFrame, path: str, config: Config = Config(), *, keys
     """Measured cells only (never gap-filled), with the mean shown and the lattice they are on."""
     m = config.mosaic
     (cells.withColumns({"mean": shown_value("average", m), "cell_size_m": F.lit(m.cell_m), "x0": F.lit(-m.half_extent_m), "y0": F.lit(-m.half_extent_m)})
-     .write.mode("overwrite").partitionBy(*keys).parquet(path))
+     .write.mode("overwrite").partitionBy(*keys).parquet(path, compression="zstd"))
 
 
 def _fixed(name: str, digits: int) -> Column:
