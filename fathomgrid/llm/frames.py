@@ -83,12 +83,24 @@ class Shared:
         return {"_bytes": self._bytes, "_value": None}
 
 
+#: bytes of a batch; the JVM, the pipe and the worker each hold one
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes as well as by rows from now on, unless the session names a limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, ending: bool = False) -> DataFrame:
     """`mapInArrow` with state made once per task: `make()` gives a function from a batch to dicts of columns.
 
-    With `ending` the function is called once more with None after the last batch.
+    With `ending` the function is called once more with None after the last batch. Batches are bounded in bytes.
     """
     kind = to_arrow_schema(_parse_datatype_string(schema))
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         step = make()

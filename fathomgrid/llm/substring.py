@@ -79,7 +79,7 @@ def anchor_bits(docs: DataFrame, k: int, text: str, log2_width: int):
         scan = Scan(k)
 
         def values(batch):
-            for _, _, data, cuts in ts.pieces(column(batch, text)):
+            for _, _, data, cuts in ts.pieces(column(batch, text), ts.SCAN_BYTES):
                 scan.read(data, cuts)
                 yield scan.anchors()
         return values
@@ -101,7 +101,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text
 
         def step(batch):
             ids = column(batch, "id")
-            for a, b, data, cuts in ts.pieces(column(batch, "t")):
+            for a, b, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES):
                 scan.read(data, cuts)
                 at = scan.repeated(bits.value, log2_width)
                 at = at[scan.first_in_document(at)]
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text
             lists, known = found.flatten().to_numpy(zero_copy_only=False), found.is_valid().to_numpy(zero_copy_only=False)
             size = np.where(known, found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
             cut = np.concatenate([[0], np.cumsum(size)])
-            for a, b, data, cuts in ts.pieces(column(batch, "t")):
+            for a, b, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES):
                 scan.read(data, cuts)
                 w = scan.words
                 at = scan.repeated(bits.value, log2_width)

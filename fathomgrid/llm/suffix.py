@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
         scan = Scan(k)
 
         def values(batch):
-            for _, _, data, cuts in ts.pieces(column(batch, "t")):
+            for _, _, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES):
                 scan.read(data, cuts)
                 yield scan.anchors()
         return values
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
 
         def step(batch):
             ids = column(batch, "id")
-            for a, _, data, cuts in ts.pieces(column(batch, "t")):
+            for a, _, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES):
                 scan.read(data, cuts)
                 start, _, anchor, content = scan.segments()
                 hit = np.flatnonzero(sketch.may_repeat(bits.value, anchor, log2_width))
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
         scan = Scan(k)
 
         def step(batch):
-            for batch_id, a, data, cuts in ((column(batch, "id"), a, data, cuts) for a, _, data, cuts in ts.pieces(column(batch, "t"))):
+            for batch_id, a, data, cuts in ((column(batch, "id"), a, data, cuts) for a, _, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES)):
                 scan.read(data, cuts)
                 start, size, anchor, content = scan.segments()
                 short = _short(anchor).astype(np.int64).view(np.uint64)
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, id_column: str = "doc_id", text
             (own, n_own), (marks, n_marks) = _lists(column(batch, "own")), _lists(column(batch, "marks"))
             own, (marked, masks) = own.to_numpy(), (x.to_numpy() for x in marks.flatten())
             own_cuts, mark_cuts = np.concatenate([[0], np.cumsum(n_own)]), np.concatenate([[0], np.cumsum(n_marks)])
-            for a, b, data, cuts in ts.pieces(column(batch, "t")):
+            for a, b, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES):
                 scan.read(data, cuts)
                 start, size, anchor, content = scan.segments()
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+#: for scans that hold a dozen 64-bit values for every byte of a piece
+SCAN_BYTES = 1 << 18
 _SEED = 0x5EED
 
 #: bytes that end a word: space, and tab to carriage return

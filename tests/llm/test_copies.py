@@ -190,3 +190,31 @@ def test_sketch_rows_follow_values(spark, monkeypatch):
     assert made[0].count() <= 2 * 2 * (1 << 24 - sketch.LOG2_BLOCK)
     assert sketch.may_repeat(bits.value, np.arange(60_000, dtype=np.uint64), 24).all()
     assert sketch.may_repeat(bits.value, np.arange(60_000, 120_000, dtype=np.uint64), 24).mean() < 0.01
+
+
+def test_batches_and_scans_are_bounded_in_bytes(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fathomgrid.llm.frames import BATCH_BYTES, arrow
+
+    def sizes():
+        def step(batch):
+            yield {"n": [batch.num_rows], "bytes": [batch.nbytes]}
+        return step
+
+    texts = spark.range(3_000, numPartitions=1).selectExpr("repeat('ten bytes ', 1000) AS t")
+    got = arrow(texts, sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 3_000 and max(r.bytes for r in got) < 1.2 * BATCH_BYTES
+
+    rng = np.random.default_rng(1)
+    batch = pa.array([rng.bytes(3_000) for _ in range(1_500)], pa.binary())
+    scan = suffix.Scan(50)
+    tracemalloc.start()
+    for _, _, data, cuts in suffix.ts.pieces(batch, suffix.ts.SCAN_BYTES):
+        scan.read(data, cuts)
+        scan.segments()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 140 MB and more in pieces of 1 MB
