@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.frames import Shared, arrow, column, stored
+from fathomgrid.llm.frames import Shared, arrow, bounded_batches, column, stored, text_runs
 
 BITS = 12
 UNKNOWN = "und"
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 1 << 18
 REMEMBERED = 1_000_000
 
 
@@ -54,15 +54,6 @@ def char_grams(texts: list[str], table: np.ndarray, order: int) -> tuple[np.ndar
     return keys[wanted], np.diff(upto)
 
 
-def _batches(ids: list, texts: list[str]):
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= PIECE_CHARS or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
-
-
 def _hash(keys: np.ndarray, bits: int) -> np.ndarray:
     x = keys * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -131,26 +122,29 @@ def train(labelled: DataFrame, order: int = 4, hash_bits: int = 20, discount: fl
     """Broadcast model and calibration {lang: (mean, variance)} from rows (lang, t)."""
     spark = labelled.sparkSession
     table = spark.sparkContext.broadcast(letter_table())
+    bounded_batches(spark)
 
     def count(batches):
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _batches(langs, texts):
-                keys, sizes = char_grams(texts[a:b], table.value, order)
-                owner = np.repeat(np.arange(b - a), sizes)
-                names = np.array(langs[a:b], dtype=object)
-                for lang in sorted(set(langs[a:b])):
-                    found, times = np.unique(keys[np.isin(owner, np.flatnonzero(names == lang))], return_counts=True)
-                    if lang in held:
-                        both = np.concatenate([held[lang][0], found])
-                        found, back = np.unique(both, return_inverse=True)
-                        times = np.bincount(back, np.concatenate([held[lang][1], times])).astype(np.int64)
-                    held[lang] = found, times
-                    if len(found) > REMEMBERED:
-                        yield pack(lang, *held.pop(lang))
-        for lang, (found, times) in held.items():
-            yield pack(lang, found, times)
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            for some, texts in text_runs(pa.array(np.arange(len(names))), batch.column(1), PIECE_CHARS):
+                keys, sizes = char_grams(texts, table.value, order)
+                own = names[some.to_numpy()]
+                owner = np.repeat(own, sizes)
+                for lang in sorted(set(own)):
+                    parts = held.setdefault(lang, [])
+                    parts.append(np.unique(keys[owner == lang], return_counts=True))
+                    if sum(len(found) for found, _ in parts[1:]) > PIECE_CHARS:  # added up now and then, not for every piece
+                        parts[:] = [summed(parts)]
+                        if len(parts[0][0]) > REMEMBERED:
+                            yield pack(lang, *held.pop(lang)[0])
+        for lang, parts in held.items():
+            yield pack(lang, *summed(parts))
+
+    def summed(parts):
+        found, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return found, np.bincount(back, np.concatenate([x for _, x in parts]), len(found)).astype(np.int64)
 
     def pack(lang, keys, times):
         return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "key": pa.array(keys.view(np.int64)), "c": pa.array(times.astype(np.int64))})
@@ -215,9 +209,11 @@ def predict(docs: DataFrame, model, table, calibration: dict, id_column: str = "
         deviation = np.sqrt([calibration[x][1] for x in langs])
 
         def step(batch):
-            texts = column(batch, "__t").to_pylist()
-            for a, b in _batches(texts, texts):
-                keys, sizes = char_grams(texts[a:b], table.value, order)
+            end = 0
+            for some, texts in text_runs(column(batch, id_column), column(batch, "__t"), PIECE_CHARS):
+                a, b = end, end + len(some)
+                end = b
+                keys, sizes = char_grams(texts, table.value, order)
                 n, has = len(sizes), sizes > 0
                 total = np.zeros((n, max(len(langs), 1)))
                 if len(keys) and langs:

@@ -230,3 +230,16 @@ def test_alignment_is_smith_waterman():
     for _ in range(200):
         a, b = rng.integers(0, 4, rng.integers(1, 12)), rng.integers(0, 4, rng.integers(0, 20))
         assert decontaminate.align(a.astype(np.uint64), b.astype(np.uint64))[0] == brute.alignment(a.tolist(), b.tolist())
+
+
+def test_long_batches_are_read_in_pieces(spark, monkeypatch):
+    """A worker holds n-grams of `PIECE_CHARS` letters at a time, and any size of piece gives the same model and predictions."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    assert langid.PIECE_CHARS <= 1 << 18
+    got = langid.identify(docs).orderBy("doc_id").collect()
+    monkeypatch.setattr(langid, "PIECE_CHARS", 5_000)
+    monkeypatch.setattr(langid, "REMEMBERED", 3_000)
+    assert langid.identify(docs).orderBy("doc_id").select("doc_id", "lang_pred", "fits").collect() == [(r.doc_id, r.lang_pred, r.fits) for r in got]
+    assert docs.filter(F.col("lang").isNotNull()).count() > 50
