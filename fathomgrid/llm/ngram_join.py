@@ -9,11 +9,12 @@ similarity is at least `percent`. The join is PPJoin-like:
 * Prefix: linked sets share an n-gram among the first `n - ceil(percent n) + 1`. Equal sets are found first and only one
   document of each has a prefix. A second sketch drops prefix n-grams that occur in one prefix only, so what is shuffled are
   n-grams that may join.
-* Length, positional and suffix filters are conditions of the join itself; the suffix filter compares 512 parity bits of hash
-  buckets, which bound the symmetric difference from below.
+* What is shuffled by n-gram are a few numbers a row. Length and suffix filters are judged once for each distinct pair; the
+  suffix filter compares 512 parity bits of hash buckets, which bound the symmetric difference from below. Where groups are
+  joined pair by pair the length and positional filters are conditions of that join.
 * Equal sets are one class. In each n-gram's group every class first meets only the group's leaders (at most `LEADERS`, drawn
-  anew for each n-gram: linear in the group), and of all its leaders at most `PICKS`. Pairs are distinct, so each is
-  verified once, on the whole texts. After components are built, only groups that still hold several components are joined pair by pair,
+  anew for each n-gram: linear in the group). Of all its leaders at most `DRAWN` are looked at more closely, and at most `PICKS`
+  of those that pass the filters. Pairs are distinct, so each is verified once, on the whole texts. After components are built, only groups that still hold several components are joined pair by pair,
   across components only: every component is exact and groups of near copies are never expanded. Links inside a component are
   left out by this; `links` verifies all candidate pairs and returns each link.
 
@@ -36,7 +37,7 @@ from fathomgrid.llm import textscan as ts
 from fathomgrid.llm.components import components
 from fathomgrid.llm.frames import arrow, column, stored
 
-LEADERS, PICKS, SALTS = 8, 24, 8
+LEADERS, DRAWN, PICKS, SALTS = 8, 96, 24, 8
 LOG2_CELLS, ROWS = 27, 256
 PARITY = tuple(f"p{i}" for i in range(8))
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -76,17 +77,33 @@ def _overlap(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((percent * (na + nb)) / F.lit(100 + percent))
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filters on two prefix rows given by column prefixes."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    need = _overlap(na, nb, percent)
-    differ = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY[1:]), F.bit_count(F.col(a + PARITY[0]).bitwiseXOR(F.col(b + PARITY[0]))))
-    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) >= need)
-            & (differ <= na + nb - 2 * need))
+def _long_enough(na: Column, nb: Column, percent: int) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
+def _may_meet(percent: int) -> Column:
+    """Length and positional filters on two prefix rows with column prefixes a and b."""
+    na, nb = F.col("an"), F.col("bn")
+    return _long_enough(na, nb, percent) & (F.least(na - F.col("apos"), nb - F.col("bpos")) >= _overlap(na, nb, percent))
+
+
+def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the length and suffix filters."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("s").alias(side), *[F.col(c).alias(side + c) for c in ("n", *PARITY)]), side)
+    na, nb = F.col("an"), F.col("bn")
+    differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY[1:]), F.bit_count(F.col("a" + PARITY[0]).bitwiseXOR(F.col("b" + PARITY[0]))))
+    return pairs.filter(_long_enough(na, nb, percent) & (differ <= na + nb - 2 * _overlap(na, nb, percent))).select("a", "b")
 
 
 def _named(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(side + c) for c in ("s", "n", "pos", *PARITY, *columns)])
+    return rows.select("token", *[F.col(c).alias(side + c) for c in ("s", "n", "pos", *columns)])
+
+
+def _drawn(column: str, most: int) -> Column:
+    """At most so many values of an array, drawn anew for each class `a`."""
+    drawn = F.sort_array(F.transform(column, lambda x: F.struct(F.xxhash64(x, F.col("a")).alias("draw"), x.alias("b"))))
+    return F.transform(F.slice(drawn, 1, most), lambda x: x["b"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -124,14 +141,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
 
 def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str, log2_counters: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Documents (id, t), sets of all documents, classes of equal sets, and shared prefix n-grams of classes."""
+    """Documents (id, t), sets of all documents, classes of equal sets, and prefix n-grams of classes that may be shared."""
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
 
     def make_values():
         shingles = Shingles(k)
 
         def values(batch):
-            for _, _, data, cuts in ts.pieces(column(batch, "t")):
+            for _, _, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES):
                 shingles.read(data, cuts)
                 yield shingles.hashes
         return values
@@ -150,7 +167,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
 
         def step(batch):
             ids = column(batch, "id")
-            for a, b, data, cuts in ts.pieces(column(batch, "t")):
+            for a, b, data, cuts in ts.pieces(column(batch, "t"), ts.SCAN_BYTES):
                 sets = sets_of(shingles, data, cuts)
                 n = np.array([len(s) for s in sets])
                 flat = np.concatenate(sets) if n.sum() else np.zeros(0, np.uint64)
@@ -171,7 +188,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
     sets = stored(arrow(narrow, make_sets, "id long, n long, s long, s2 long, " + ", ".join(f"{p} long" for p in PARITY)), "sets")
 
     same = F.when(F.min("s2") == F.max("s2"), F.min("id")).when(F.min("s2") < F.max("s2"), F.raise_error(F.lit("two sets share a fingerprint")))
-    classes = stored(sets.filter("s is not null").groupBy("s").agg(same.alias("rep"), *[F.max(p).alias(p) for p in PARITY]), "classes")
+    classes = stored(sets.filter("s is not null").groupBy("s").agg(same.alias("rep"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITY]), "classes")
 
     leads = sketch.id_test(classes.select("rep").filter("rep is not null"))
 
@@ -180,7 +197,7 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
         ids, texts = column(batch, "id"), column(batch, "t")
         keep = pa.array(leads(ids) | ids.is_null().to_numpy(zero_copy_only=False))
         for i in range(0, len(ids), ROWS):  # a few rows are copied at a time
-            yield from ts.pieces(texts.slice(i, ROWS).filter(keep.slice(i, ROWS)))
+            yield from ts.pieces(texts.slice(i, ROWS).filter(keep.slice(i, ROWS)), ts.SCAN_BYTES)
 
     def make_prefixes():
         shingles = Shingles(k)
@@ -212,12 +229,13 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_column: str, text: str
                     yield {"token": token[hit].view(np.int64), "s": s[row[hit]], "n": n[row[hit]], "pos": pos[hit]}
         return step
 
-    prefixes = stored(arrow(narrow, make_rows, "token long, s long, n long, pos long"), "tokens")
-    prefixes = prefixes.withColumn("draw", F.xxhash64("s", "token"))
-    groups = prefixes.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("token")
-    shared = prefixes.join(groups, "token").distinct()
-    joined = stored(shared.join(classes.select("s", *PARITY), "s"), "prefixes")
-    return narrow, sets, classes, joined
+    return narrow, sets, classes, stored(arrow(narrow, make_rows, "token long, s long, n long, pos long"), "tokens")
+
+
+def _shared(prefixes: DataFrame, by: str) -> DataFrame:
+    """The distinct rows whose n-gram stands in rows with different values of `by`."""
+    groups = prefixes.groupBy("token").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo <> hi").select("token")
+    return prefixes.join(groups, "token").distinct()
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int | None = None) -> DataFrame:
@@ -226,28 +244,31 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_
     Every candidate pair of classes is verified, so the cost grows with the square of a group of near copies; the rows of
     an n-gram's group are dealt over `SALTS` keys.
     """
-    narrow, _, classes, joined = _candidates(docs, k, percent, id_column, text, log2_counters)
+    narrow, _, classes, prefixes = _candidates(docs, k, percent, id_column, text, log2_counters)
+    joined = stored(_shared(prefixes, "s"), "prefixes")
     left = _named(joined, "a").withColumn("salt", F.pmod(F.xxhash64("as"), F.lit(SALTS)))
     right = _named(joined, "b").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    pairs = left.join(right, ["token", "salt"]).filter("`as` < bs").filter(_may_link("a", "b", percent))
-    return _verify(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), narrow, classes, k, percent)
+    pairs = left.join(right, ["token", "salt"]).filter("`as` < bs").filter(_may_meet(percent))
+    return _verify(_may_link(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), classes, percent), narrow, classes, k, percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int | None = None) -> DataFrame:
     """One row per document: id, n_shingles, class_id (fingerprint of its set, null when empty), component_id."""
-    narrow, sets, classes, joined = _candidates(docs, k, percent, id_column, text, log2_counters)
-    led = joined.groupBy("token", F.pmod("draw", F.lit(LEADERS))).agg(F.min("draw").alias("draw")).select("token", "draw")
-    leaders = _named(joined.join(led, ["token", "draw"]), "l")
-    star = joined.join(leaders, "token").filter(F.col("s") != F.col("ls")).filter(_may_link("", "l", percent)).groupBy("s").agg(F.collect_set("ls").alias("found"))
-    picked = F.slice(F.sort_array(F.transform("found", lambda x: F.struct(F.xxhash64(x, F.col("s")).alias("draw"), x.alias("l")))), 1, PICKS)
-    star = star.select("s", F.explode(picked).alias("x")).select(F.least("s", "x.l").alias("a"), F.greatest("s", "x.l").alias("b")).distinct()
+    narrow, sets, classes, prefixes = _candidates(docs, k, percent, id_column, text, log2_counters)
+    ours = F.xxhash64("token")  # a draw is a class seen through its n-gram, and gives it back
+    drawn = prefixes.select("token", F.col("s").bitwiseXOR(ours).alias("draw"))
+    led = drawn.groupBy("token").agg(F.min("draw").alias("lo"), F.max("draw").alias("hi"), F.array(*[F.min(F.when(F.pmod("draw", F.lit(LEADERS)) == i, F.col("draw"))) for i in range(LEADERS)]).alias("draws"))
+    led = led.filter("lo <> hi").select("token", F.explode(F.array_compact("draws")).alias("draw"))
+    leaders = stored(led.select("token", F.col("draw").bitwiseXOR(ours).alias("b")), "leaders")
+    star = prefixes.select("token", F.col("s").alias("a")).join(leaders, "token").filter("a <> b").groupBy("a").agg(F.collect_set("b").alias("found"))
+    star = _may_link(star.select("a", F.explode(_drawn("found", DRAWN)).alias("b")), classes, percent).groupBy("a").agg(F.collect_set("b").alias("found"))
+    star = star.select("a", F.explode(_drawn("found", PICKS)).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = stored(star, "star")
     labels = components(_verify(star, narrow, classes, k, percent))
-    rest = joined.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
-    open_groups = rest.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    rest = stored(rest.join(open_groups, "token"), "rest")
-    across = _named(rest, "a", "label").join(_named(rest, "b", "label"), "token").filter("`as` < bs and alabel <> blabel").filter(_may_link("a", "b", percent))
-    across = across.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = prefixes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    rest = stored(_shared(stored(rest, "labelled"), "label"), "rest")
+    across = _named(rest, "a", "label").join(_named(rest, "b", "label"), "token").filter("`as` < bs and alabel <> blabel").filter(_may_meet(percent))
+    across = _may_link(across.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), classes, percent)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verify(across, narrow, classes, k, percent)))
 
     named = classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))

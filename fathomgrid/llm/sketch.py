@@ -48,11 +48,12 @@ def repeated_bits(docs: DataFrame, make_values: Callable[[], Callable[[pa.Record
             size[0] = 0
             for row in range(ROWS):
                 places, counts = np.unique(slot(values, row, log2_width), return_counts=True)
-                cells = (places & ((1 << block) - 1)) << 1 | (counts > 1)
+                places = np.repeat(places, np.minimum(counts, 2))
+                cells = places & ((1 << block) - 1)
                 names, at = np.unique(places >> block, return_index=True)
                 ends = [*at[1:], len(cells)]
                 yield {"row": np.full(len(names), row, np.int32), "block": names.astype(np.int32),
-                       "cells": [_steps(cells[a:b], np.uint8) for a, b in zip(at, ends, strict=True)]}
+                       "cells": [_packed(cells[a:b]) for a, b in zip(at, ends, strict=True)]}
 
         def step(batch):
             for values in () if batch is None else values_of(batch):
@@ -67,8 +68,9 @@ def repeated_bits(docs: DataFrame, make_values: Callable[[], Callable[[pa.Record
     def merge(key, parts):
         seen = np.zeros(1 << block, np.uint8)
         for cell in parts.column("cells").to_pylist():
-            cell = _places(cell, np.uint8)
-            seen[cell >> 1] = np.minimum(seen[cell >> 1] + 1 + (cell & 1).astype(np.uint8), 2)
+            cell = _unpacked(cell)
+            seen[cell] = np.minimum(seen[cell] + 1, 2)
+            seen[cell[1:][cell[1:] == cell[:-1]]] = 2
         bits = np.packbits(seen > 1, bitorder="little").tobytes()
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
@@ -114,10 +116,20 @@ def _places(steps: bytes, kind=np.uint16) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != np.iinfo(kind).max]
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Sorted places as steps of the size that takes less, and a byte that tells the size."""
+    kind = np.uint8 if places[-1] < 368 * len(places) else np.uint16
+    return _steps(places, kind) + bytes([np.dtype(kind).itemsize])
+
+
+def _unpacked(steps: bytes) -> np.ndarray:
+    return _places(steps[:-1], np.uint8 if steps[-1] == 1 else np.uint16)
+
+
 def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBatch], Iterable[np.ndarray]]], log2_width: int) -> Shared:
     """Counts of all values in one row of cells, broadcast as `Magnitudes` (half a byte a cell).
 
-    Tasks send the cells they hit as steps between them, some two bytes a value; each block of cells is counted in one
+    Tasks send the cells they hit as steps between them, one to two bytes a value; each block of cells is counted in one
     array that takes in whatever comes, so memory doesn't grow with the corpus.
     """
     block = min(LOG2_COUNT_BLOCK, log2_width)
@@ -132,7 +144,7 @@ def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBat
             size[0] = 0
             names, at = np.unique(places >> block, return_index=True)
             ends = [*at[1:], len(places)]
-            yield {"block": names.astype(np.int32), "cells": [_steps(places[a:b].astype(np.int64) & ((1 << block) - 1)) for a, b in zip(at, ends, strict=True)]}
+            yield {"block": names.astype(np.int32), "cells": [_packed(places[a:b].astype(np.int64) & ((1 << block) - 1)) for a, b in zip(at, ends, strict=True)]}
 
         def step(batch):
             for values in () if batch is None else values_of(batch):
@@ -155,7 +167,7 @@ def magnitudes(docs: DataFrame, make_values: Callable[[], Callable[[pa.RecordBat
             for name, cells in zip(column(batch, "block").to_pylist(), column(batch, "cells").to_pylist(), strict=True):
                 if name not in totals:
                     totals[name] = np.zeros(1 << block, np.int64)
-                totals[name] += np.bincount(_places(cells), minlength=1 << block)
+                totals[name] += np.bincount(_unpacked(cells), minlength=1 << block)
             yield from ()
         return step
 

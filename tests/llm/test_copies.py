@@ -192,6 +192,36 @@ def test_sketch_rows_follow_values(spark, monkeypatch):
     assert sketch.may_repeat(bits.value, np.arange(60_000, 120_000, dtype=np.uint64), 24).mean() < 0.01
 
 
+@pytest.mark.parametrize("gap", [0, 5, 64, 200, 1000, 60_000])
+def test_sketch_cells_take_the_smaller_steps(gap):
+    rng = np.random.default_rng(gap)
+    places = np.sort(rng.integers(0, 5_000 * gap + 1, 5_000))
+    steps = sketch._packed(places)
+    assert np.array_equal(sketch._unpacked(steps), places)
+    assert len(steps) < (1.2 if gap <= 64 else 3.1 if gap > 10_000 else 2.1) * len(places)
+
+
+def test_repeats_in_one_task_and_across_tasks(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 3_000, 4_000)
+    rows = [(int(x),) for x in values]
+    df = spark.createDataFrame(rows, "v long").repartition(5)
+    bits = sketch.repeated_bits(df, lambda: lambda batch: [batch.column(0).to_numpy().view(np.uint64)], 24).value
+    names, counts = np.unique(values, return_counts=True)
+    assert np.array_equal(sketch.may_repeat(bits, names.astype(np.uint64), 24), counts > 1)
+    empty = sketch.repeated_bits(df.limit(0), lambda: lambda batch: [pa.array([]).to_numpy()], 4).value
+    assert not any(x.any() for x in empty)
+
+
+def test_what_the_join_shuffles_by_ngram_is_narrow(spark, families):
+    """Parity bits stand in the classes only: rows that go by n-gram grow with nothing but their number."""
+    df = spark.createDataFrame(families, "doc_id long, text string")
+    _, _, classes, prefixes = ngram_join._candidates(df, 5, 80, "doc_id", "text", None)
+    assert prefixes.columns == ["token", "s", "n", "pos"] and set(ngram_join.PARITY) < set(classes.columns)
+
+
 def test_batches_and_scans_are_bounded_in_bytes(spark):
     import tracemalloc
 
