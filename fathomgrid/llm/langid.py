@@ -131,10 +131,10 @@ def train(labelled: DataFrame, order: int = 4, hash_bits: int = 20, discount: fl
             for some, texts in text_runs(pa.array(np.arange(len(names))), batch.column(1), PIECE_CHARS):
                 keys, sizes = char_grams(texts, table.value, order)
                 own = names[some.to_numpy()]
-                owner = np.repeat(own, sizes)
+                owner = np.repeat(np.arange(len(own)), sizes)
                 for lang in sorted(set(own)):
                     parts = held.setdefault(lang, [])
-                    parts.append(np.unique(keys[owner == lang], return_counts=True))
+                    parts.append(np.unique(keys[(own == lang)[owner]], return_counts=True))
                     if sum(len(found) for found, _ in parts[1:]) > PIECE_CHARS:  # added up now and then, not for every piece
                         parts[:] = [summed(parts)]
                         if len(parts[0][0]) > REMEMBERED:
