@@ -9,9 +9,10 @@ similarity is at least `percent`. The join is PPJoin-like:
 * Prefix: linked sets share an n-gram among the first `n - ceil(percent n) + 1`. Equal sets are found first and only one
   document of each has a prefix. A second sketch drops prefix n-grams that occur in one prefix only, so what is shuffled are
   n-grams that may join.
-* What is shuffled by n-gram are a few numbers a row. Length and suffix filters are judged once for each distinct pair; the
-  suffix filter compares 512 parity bits of hash buckets, which bound the symmetric difference from below. Where groups are
-  joined pair by pair the length and positional filters are conditions of that join.
+* What is shuffled by n-gram are a few numbers a row. The suffix filter compares 512 parity bits of hash buckets, which bound
+  the symmetric difference from below. For pairs with leaders length and suffix filters are judged once for each distinct pair.
+  Where groups are joined pair by pair the rows that are left carry their parity bits, and all filters are conditions of that
+  join: it compares the pairs of a group but makes rows of those only that pass.
 * Equal sets are one class. In each n-gram's group every class first meets only the group's leaders (at most `LEADERS`, drawn
   anew for each n-gram: linear in the group). Of all its leaders at most `DRAWN` are looked at more closely, and at most `PICKS`
   of those that pass the filters. Pairs are distinct, so each is verified once, on the whole texts. After components are built, only groups that still hold several components are joined pair by pair,
@@ -81,23 +82,27 @@ def _long_enough(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+def _alike(percent: int) -> Column:
+    """Suffix filter on two classes with column prefixes a and b."""
+    differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY[1:]), F.bit_count(F.col("a" + PARITY[0]).bitwiseXOR(F.col("b" + PARITY[0]))))
+    return differ <= F.col("an") + F.col("bn") - 2 * _overlap(F.col("an"), F.col("bn"), percent)
+
+
 def _may_meet(percent: int) -> Column:
-    """Length and positional filters on two prefix rows with column prefixes a and b."""
+    """Length, positional and suffix filters on two prefix rows with column prefixes a and b."""
     na, nb = F.col("an"), F.col("bn")
-    return _long_enough(na, nb, percent) & (F.least(na - F.col("apos"), nb - F.col("bpos")) >= _overlap(na, nb, percent))
+    return _long_enough(na, nb, percent) & (F.least(na - F.col("apos"), nb - F.col("bpos")) >= _overlap(na, nb, percent)) & _alike(percent)
 
 
 def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the length and suffix filters."""
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("s").alias(side), *[F.col(c).alias(side + c) for c in ("n", *PARITY)]), side)
-    na, nb = F.col("an"), F.col("bn")
-    differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY[1:]), F.bit_count(F.col("a" + PARITY[0]).bitwiseXOR(F.col("b" + PARITY[0]))))
-    return pairs.filter(_long_enough(na, nb, percent) & (differ <= na + nb - 2 * _overlap(na, nb, percent))).select("a", "b")
+    return pairs.filter(_long_enough(F.col("an"), F.col("bn"), percent) & _alike(percent)).select("a", "b")
 
 
 def _named(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(side + c) for c in ("s", "n", "pos", *columns)])
+    return rows.select("token", *[F.col(c).alias(side + c) for c in ("s", "n", "pos", *PARITY, *columns)])
 
 
 def _drawn(column: str, most: int) -> Column:
@@ -245,11 +250,11 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_
     an n-gram's group are dealt over `SALTS` keys.
     """
     narrow, _, classes, prefixes = _candidates(docs, k, percent, id_column, text, log2_counters)
-    joined = stored(_shared(prefixes, "s"), "prefixes")
+    joined = stored(_shared(prefixes, "s").join(classes.select("s", *PARITY), "s"), "prefixes")
     left = _named(joined, "a").withColumn("salt", F.pmod(F.xxhash64("as"), F.lit(SALTS)))
     right = _named(joined, "b").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     pairs = left.join(right, ["token", "salt"]).filter("`as` < bs").filter(_may_meet(percent))
-    return _verify(_may_link(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), classes, percent), narrow, classes, k, percent)
+    return _verify(pairs.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct(), narrow, classes, k, percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text", log2_counters: int | None = None) -> DataFrame:
@@ -266,9 +271,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     star = stored(star, "star")
     labels = components(_verify(star, narrow, classes, k, percent))
     rest = prefixes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
-    rest = stored(_shared(stored(rest, "labelled"), "label"), "rest")
+    rest = stored(_shared(stored(rest, "labelled"), "label").join(classes.select("s", *PARITY), "s"), "rest")
     across = _named(rest, "a", "label").join(_named(rest, "b", "label"), "token").filter("`as` < bs and alabel <> blabel").filter(_may_meet(percent))
-    across = _may_link(across.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), classes, percent)
+    across = across.select(F.col("as").alias("a"), F.col("bs").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verify(across, narrow, classes, k, percent)))
 
     named = classes.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import brute
 import numpy as np
@@ -248,3 +249,36 @@ def test_batches_and_scans_are_bounded_in_bytes(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6  # 140 MB and more in pieces of 1 MB
+
+
+def pairs_joined(spark, make):
+    """Rows that joins of pairs (on a or b) make while `make` runs, and what it gives."""
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    seen = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    made, rows = make(), 0
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    for run in {runs.apply(i).executionId() for i in range(runs.size())} - seen:
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size()) if re.search(r"Join \[[ab]#", node.desc())):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    rows += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return rows, made
+
+
+def test_pairs_of_a_group_without_links_are_not_made(spark, monkeypatch):
+    """Copies with three edits each are too far apart to link, but share n-grams early in their prefixes."""
+    monkeypatch.setattr(ngram_join, "DRAWN", 4)
+    monkeypatch.setattr(ngram_join, "PICKS", 2)
+    rng, docs = random.Random(7), []
+    for i in range(120):
+        words = [f"w{j}" for j in range(150)]
+        for third in (10, 55, 100):
+            words[third + rng.randrange(40)] = f"edit{i}x{third}"
+        docs.append((i, " ".join(words)))
+    rows, got = pairs_joined(spark, lambda: near(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == brute.near_duplicates(docs) and len({c for _, c in got.values()}) > 10
+    assert 120 < rows < 20 * len(docs), rows
