@@ -36,13 +36,22 @@ LANES = 4096
 BLOCK_TOKENS = 1 << 20
 CHECKPOINT = 128
 REMEMBERED = 1_500_000
+SLOTS = 1 << 16
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: bytes of white space beyond ASCII in UTF-8, and the ASCII controls that only some engines count as space
-_WIDE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+#: first bytes of white space beyond ASCII in UTF-8, and the ASCII controls that only some engines count as space
+_LEAD = np.zeros(256, bool)
+_LEAD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
 
 
-_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+def _wide(data: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII and of those controls."""
+    at = np.flatnonzero(_LEAD[data])
+    a, b, c = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+    dash = (b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+    return at[(a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & dash | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
 
 
 class Tokens:
@@ -50,7 +59,7 @@ class Tokens:
 
     The byte-level pre-tokenizer never joins characters across the start of a word with its leading space, so a text is cut
     there; every distinct part is encoded once and remembered. Parts of up to 15 bytes are known by all their bytes and their
-    length, as two numbers, in sorted arrays; longer ones by their bytes in a dict. Distinct parts are encoded many at a time,
+    length, as two numbers, and found through a table of slots (open addressing); longer ones by their bytes in a dict. Distinct parts are encoded many at a time,
     each behind a line break, and told apart by the line break's id; where that doesn't come out even, one by one. Texts with
     other than ASCII white space or with special tokens are set aside first and encoded whole. What is remembered is bounded
     by `REMEMBERED` parts and lives as long as the worker process, in a module made there (objects of this class live as long
@@ -72,10 +81,19 @@ class Tokens:
             self._forget()
 
     def _forget(self) -> None:
-        self.kept |= {"keys": np.zeros(0, np.uint64), "low": np.zeros(0, np.uint64), "high": np.zeros(0, np.uint64), "at": np.zeros(0, np.int64),
-                      "first": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32), "long": {}}
+        self.kept |= {"slots": np.zeros(SLOTS, np.int32), "long": {}}
+        self.kept |= {c: (np.zeros(1, kind), n) for c, kind, n in (("low", np.uint64, 1), ("high", np.uint64, 1), ("at", np.int64, 1), ("first", np.int64, 0), ("size", np.int64, 0), ("ids", np.uint32, 0))}
+
+    low, high, at, first, size, ids = (property(lambda self, c=c: self.kept[c][0][:self.kept[c][1]]) for c in ("low", "high", "at", "first", "size", "ids"))
+    slots, long = (property(lambda self, c=c: self.kept[c]) for c in ("slots", "long"))
 
-    keys, low, high, at, first, size, ids, long = (property(lambda self, c=c: self.kept[c]) for c in ("keys", "low", "high", "at", "first", "size", "ids", "long"))
+    def _add(self, name: str, values: np.ndarray) -> None:
+        """Values at the end of an array that has room to spare."""
+        held, n = self.kept[name]
+        if n + len(values) > len(held):
+            held = np.concatenate([held[:n], np.zeros(len(values) + n // 4, held.dtype)])
+        held[n:n + len(values)] = values
+        self.kept[name] = held, n + len(values)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -118,24 +136,52 @@ class Tokens:
         first = np.zeros(len(texts), np.int64)
         first[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
         places = len(self.first) + np.arange(len(texts))
-        self.kept |= {"ids": np.concatenate([self.ids, *runs]), "first": np.concatenate([self.first, first]), "size": np.concatenate([self.size, sizes])}
+        for name, values in (("ids", np.concatenate(runs)), ("first", first), ("size", sizes)):
+            self._add(name, values)
         return places
 
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (ts.mix(low ^ high * _SPREAD) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _find(self, slot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entries of parts (0, which is nobody's: not known), from their slot on to the first that is free."""
+        known_low, known_high = self.low, self.high
+        entry = self.slots[slot]
+        other = np.flatnonzero((entry > 0) & ((known_low[entry] != low) | (known_high[entry] != high)))
+        at = slot[other]
+        while len(other):
+            at = at + 1 & len(self.slots) - 1
+            now = self.slots[at]
+            entry[other] = now
+            go = (now > 0) & ((known_low[now] != low[other]) | (known_high[now] != high[other]))
+            other, at = other[go], at[go]
+        return entry
+
+    def _enter(self, slot: np.ndarray, first: int) -> None:
+        """New entries, numbered from `first` on, each in the first free slot from its own on."""
+        entry = first + np.arange(len(slot), dtype=np.int32)
+        while len(entry):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = entry[free]
+            left = self.slots[slot] != entry
+            entry, slot = entry[left], slot[left] + 1 & len(self.slots) - 1
+
     def _short(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Places of parts that are known by two numbers; -1 for the few whose key is another part's."""
-        key = ts.mix(low ^ ts.mix(high))
-        distinct, example, place = np.unique(key, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        slot = self._slot(low, high)
+        entry = self._find(slot, low, high)
+        new = np.flatnonzero(entry == 0)
         if len(new):
-            which = example[new]
+            which = new[np.unique(ts.mix(low[new] ^ ts.mix(high[new])), return_index=True)[1]]
             places = self._learn([raw[s:e] for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
-            every = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(every, kind="stable")
-            self.kept |= {"keys": every[order]} | {c: np.concatenate([self.kept[c], x])[order] for c, x in (("low", low[which]), ("high", high[which]), ("at", places))}
-            at = np.searchsorted(self.keys, distinct)
-        at = at[place]
-        return np.where((self.low[at] == low) & (self.high[at] == high), self.at[at], -1)
+            known = len(self.at)
+            for name, values in (("low", low[which]), ("high", high[which]), ("at", places)):
+                self._add(name, values)
+            if 2 * len(self.at) > len(self.slots):  # at most half of the slots are taken
+                self.kept["slots"], known = np.zeros(1 << (2 * len(self.at)).bit_length(), np.int32), 1
+            self._enter(self._slot(self.low[known:], self.high[known:]), known)
+            entry[new] = self._find(self._slot(low[new], high[new]), low[new], high[new])
+        return np.where(entry > 0, self.at[entry], -1)
 
     def _long(self, parts: list[bytes]) -> list[int]:
         new = [p for p in dict.fromkeys(parts) if p not in self.long]
@@ -146,24 +192,32 @@ class Tokens:
     def encode(self, data: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
         """Ids of every document of a run."""
         raw = data.tobytes()
-        odd = {m.start() for pattern in (_WIDE, self.special) for m in pattern.finditer(raw)}
-        aside = sorted({int(np.searchsorted(cuts, i, "right")) - 1 for i in odd})
+        odd = np.append(_wide(data), [m.start() for m in self.special.finditer(raw)]).astype(np.int64)
+        aside = np.unique(np.searchsorted(cuts, odd, "right") - 1).tolist()
         parts = self._parts(data, cuts)
         ends = np.append(parts[1:], len(data))
-        usual = np.ones(len(cuts) - 1, bool)
-        usual[aside] = False
-        keep = usual[np.searchsorted(cuts, parts, "right") - 1]
-        parts, ends = parts[keep], ends[keep]
+        if aside:
+            usual = np.ones(len(cuts) - 1, bool)
+            usual[aside] = False
+            keep = usual[np.searchsorted(cuts, parts, "right") - 1]
+            parts, ends = parts[keep], ends[keep]
         if len(self.first) + len(parts) // 4 > REMEMBERED:
             self._forget()
         size = ends - parts
         short = size <= 15
-        padded = np.frombuffer(raw + bytes(16), np.uint8)
-        window = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+        numbers = np.frombuffer(raw + bytes(24 - len(raw) % 8), "<u8")
         masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+        def eight(at: np.ndarray) -> np.ndarray:
+            """The eight bytes from every place on."""
+            i, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+            return numbers[i] >> shift | numbers[i + 1] << np.uint64(1) << np.uint64(63) - shift
+
         at, n = parts[short], size[short]
-        low = window[at] & masks[np.minimum(n, 8)]
-        high = window[at + 8] & masks[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
+        low = eight(at) & masks[np.minimum(n, 8)]
+        high = n.astype(np.uint64) << np.uint64(56)
+        more = np.flatnonzero(n > 8)
+        high[more] |= eight(at[more] + 8) & masks[n[more] - 8]
         places = np.full(len(parts), -1, np.int64)
         if len(at):
             places[short] = self._short(raw, at, ends[short], low, high)

@@ -99,6 +99,26 @@ def test_parts_of_any_text(pieces, monkeypatch):
         assert got == want
 
 
+def test_known_parts_are_found_without_sorting(pieces, monkeypatch):
+    """Slots that collide and grow give the library's ids, and what is known is looked up, not sorted again."""
+    monkeypatch.setattr(rans, "SLOTS", 2, raising=False)
+    tokens = rans.Tokens(pieces.to_str())
+    tokens._forget()
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(300)]
+    want = [x.ids for x in pieces.encode_batch(texts, add_special_tokens=False)]
+    sorted_, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **b: sorted_.append(len(x)) or unique(x, *a, **b))
+    for again in (False, True):
+        sorted_.clear()
+        for start in range(0, len(texts), 50):
+            raw = [t.encode() for t in texts[start:start + 50]]
+            cuts = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            assert [x.tolist() for x in tokens.encode(np.frombuffer(b"".join(raw), np.uint8), cuts)] == want[start:start + 50]
+        assert not again or max(sorted_, default=0) < 100
+    tokens._forget()
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 300_000])
 def test_blocks(n, monkeypatch):
     monkeypatch.setattr(rans, "CHECKPOINT", 7)
