@@ -102,3 +102,43 @@ def test_pings_are_densified_in_bounded_runs(monkeypatch):
     monkeypatch.setattr(raster, "_runs", lambda batch: [(0, batch)])
     want = samples()
     assert got.num_rows == want.num_rows and all(np.allclose(got[c], want[c], rtol=1e-6, atol=1e-9) for c in target.names)
+
+
+def test_gaps_of_samples_in_one_shuffle(spark, monkeypatch):
+    """Straight from samples, in blocks that cut tiles in pieces: what gap filling makes of the cells."""
+    rng, n = np.random.default_rng(11), 900
+    near = np.concatenate([rng.uniform(-40, 40, (n, 2)), rng.uniform(-17, -13, (n, 2)), np.full((40, 2), 2.0)])
+    rows = [(None if m == 2 else f"m{m}", i, 0, float(x), float(y), float(v) if rng.random() < 0.9 else None, 1.0)
+            for i, ((x, y), m, v) in enumerate(zip(near, rng.integers(0, 3, len(near)), rng.normal(-40, 5, len(near)), strict=True))]
+    rows += [("m0", -1, 0, None, 1.0, 1.0, 1.0), ("m0", -2, 0, 1.0, None, 1.0, 1.0)]
+    samples = spark.createDataFrame(rows, "mission_id string, ping_seq long, sample_idx int, x double, y double, v double, rng double")
+    plan = entry.queries()["gap_fill"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapGroups" not in plan
+
+    def found(df):
+        return {(r.mission_id, r.cx, r.cy): (r["count"], r.value, r.filled) for r in df.collect()}
+
+    for bilinear in (True, False):
+        params = Mosaic(bilinear=bilinear)
+        want = found(mosaic.fill_gaps(mosaic.render(mosaic.mosaic(samples, params, policies=()), "average", params), params))
+        assert sum(filled for *_, filled in want.values()) > 500 and any(v is None for _, v, _ in want.values())
+        for rows_at_once, tile in ((7, 1), (50, 64), (1 << 16, 200)):
+            monkeypatch.setattr(mosaic, "FILL_ROWS", rows_at_once)
+            got = found(mosaic.filled_mosaic(samples, params, tile=tile))
+            assert got.keys() == want.keys()
+            for k, (count, value, filled) in want.items():
+                assert got[k] == (count, None if value is None else pytest.approx(value, rel=1e-9), filled)
+
+
+def test_scattered_tiles_are_filled_together(monkeypatch):
+    """A few hits in each of many tiles: no array of a tile, no step a tile, and no work for hits that lie alone."""
+    tile, g, n, rng = 64, 3, 20_000, np.random.default_rng(2)
+    width = tile + 2 * g
+    at = np.unique(np.arange(n).repeat(3) * width * width + rng.integers(0, width * width, 3 * n))
+    at = np.concatenate([at, n * width * width + np.array([10, 12, 14]) * width + 20])
+    reached, sparse = [], mosaic._sparse
+    monkeypatch.setattr(mosaic, "_dense", None)
+    monkeypatch.setattr(mosaic, "_sparse", lambda at, *rest: (reached.append(len(at)), sparse(at, *rest))[1])
+    place, count, value, filled = mosaic._fill(at, np.ones(len(at), np.int64), np.full(len(at), -20.0), tile, g, 3)
+    assert len(reached) == 1 and 3 <= reached[0] < len(at) // 10
+    assert filled[place >= n * width * width].sum() > 0 and np.allclose(value, -20.0) and count.sum() <= len(at)
